@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bwt_dedup import suffix_dedup
 from .decontamination import contamination
+from .sharding import shard
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
 
@@ -27,6 +28,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    body = F.coalesce("text", F.lit(""))
+    sized = docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"))
+    return shard(sized, "doc_id", [1.0] * 16).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=3)
 
@@ -38,6 +46,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
