@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bwt_dedup import suffix_dedup
 from .decontamination import contamination
+from .quality import quality_verdicts
 from .sharding import shard
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
@@ -39,6 +40,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=3)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_verdicts(_table(spark, sf_dir, "documents"), keys=("lang", "source"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.col("longest").alias("longest_match"))
@@ -48,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
+    "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
