@@ -38,7 +38,7 @@ POS_MASK = np.uint64((1 << 22) - 1)
 #: Bytes of segments in one index; a minimizer's segments stay together.
 INDEX_BYTES = 4 << 20
 FLUSH_BYTES = 12 << 20
-SEGMENT_SCHEMA = "bucket int, gram binary, c1 binary, c2 binary, doc binary, start binary, size binary, body binary, side_doc binary, side_start binary, side_stop binary"
+SEGMENT_SCHEMA = "bucket int, gram binary, c1 binary, c2 binary, places binary, size binary, body binary, side binary, side_size binary"
 
 
 def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -88,7 +88,7 @@ def _minimizers(length: int, buckets: int):
     from .substring_dedup import _Gather
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Gather(lambda k, d, p: R.key_batch(k, None, d, p, p + 1, buckets, False))
+        out = _Gather(lambda k, d, p: R.key_batch(k, None, d, p, (0, 1), buckets, False))
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = A.strings(b.column(1))
@@ -106,14 +106,16 @@ def _pack_segments(gram, c1, c2, doc, start, size, body, buckets: int) -> pa.Rec
     side = (doc[order] != doc[lead]) | (start[order] != start[lead])
     side, keep = order[~fresh & side], order[fresh]
     at = np.concatenate([[0], np.cumsum(size)])
-    sides = {b: side[i] for b, i in R.by_bucket(R.doc_bucket(doc[side], buckets))}
+    sd, sa, sz = A.merge_spans(doc[side], start[side], start[side] + size[side])
+    sides = dict(R.by_bucket(R.doc_bucket(sd, buckets)))
+    keep = np.sort(keep)  # in the order of the text
     mains = {b: keep[i] for b, i in R.by_bucket((gram[keep] >> np.uint64(40)).astype(np.int64) % buckets)}
     rows, none = [], np.zeros(0, np.int64)
     for b in sorted(sides.keys() | mains.keys()):
         m, s = mains.get(b, none), sides.get(b, none)
         flat = np.repeat(at[m], size[m]) + A.spread(size[m])
-        rows.append((b, *(x[m].tobytes() for x in (gram, c1, c2, doc)), start[m].astype(np.int32).tobytes(), size[m].astype(np.int32).tobytes(), body[flat].tobytes(), doc[s].tobytes(), start[s].astype(np.int32).tobytes(), (start[s] + size[s]).astype(np.int32).tobytes()))
-    return R.batch(rows, ["bucket", "gram", "c1", "c2", "doc", "start", "size", "body", "side_doc", "side_start", "side_stop"])
+        rows.append((b, gram[m].tobytes(), c1[m].tobytes(), c2[m].astype(np.uint32).tobytes(), R.pack_places(doc[m], start[m]), R.pack_sizes(size[m]), body[flat].tobytes(), R.pack_places(sd[s], sa[s]), R.pack_sizes(sz[s] - sa[s])))
+    return R.batch(rows, ["bucket", "gram", "c1", "c2", "places", "size", "body", "side", "side_size"])
 
 
 def _segments(length: int, buckets: int):
@@ -263,11 +265,11 @@ def repeats(body: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarr
 
 def _mark(length: int, buckets: int):
     def settle(table: pa.Table) -> pa.Table:
-        gram, c1, c2 = (R.column(table, x, np.uint64) for x in ("gram", "c1", "c2"))
-        doc = R.column(table, "doc", np.int64)
-        start, size = (R.column(table, x, np.int32).astype(np.int64) for x in ("start", "size"))
-        body = R.column(table, "body", np.uint8)
-        spans = [tuple(R.column(table, f"side_{x}", t) for x, t in (("doc", np.int64), ("start", np.int32), ("stop", np.int32)))]
+        gram, c1, c2 = R.column(table, "gram", np.uint64), R.column(table, "c1", np.uint64), R.column(table, "c2", np.uint32)
+        doc, start = R.places(table, "places")
+        size, body = R.sizes(table, "size"), R.column(table, "body", np.uint8)
+        side, at = R.places(table, "side")
+        spans = [(side, at, at + R.sizes(table, "side_size"))]
         at = np.concatenate([[0], np.cumsum(size)])
         order = np.lexsort((start, doc, c2, c1))
         fresh = A.group_starts(c1[order], c2[order])
@@ -303,7 +305,7 @@ def repeated_byte_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     R.prepare(docs.sparkSession)
     texts = R.keyed(docs, "text")
     buckets = R.bucket_count(texts)
-    marked = R.stage(R.shared_spans(R.map_arrow(texts, _minimizers(length, buckets), R.KEY_SCHEMA), buckets, False, False), "minimizers")
+    marked = R.stage(R.shared_spans(R.map_arrow(texts, _minimizers(length, buckets), R.KEY_SCHEMA), (0, 1), buckets, False, False), "minimizers")
     near = texts.join(marked, "doc_id").select("doc_id", "text", "spans")
     rows = R.map_arrow(near, _segments(length, buckets), SEGMENT_SCHEMA)
     return R.stage(R.spans_of(rows.groupBy("bucket").applyInArrow(_mark(length, buckets), R.SPAN_SCHEMA)), "repeats")

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagestream.shipping import ship
+
 #: Sorts before every real id; stands for a null id inside the operators.
 NULL_ID = -(2**63)
 #: Bytes of (stored) input for each bucket of a packed exchange.
@@ -21,7 +23,8 @@ BUCKET_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches small: documents may be long."""
+    """Send the package to the executors, and keep Arrow batches small: documents may be long."""
+    ship(spark)
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))):
         with contextlib.suppress(Exception):
             spark.conf.set(key, value)
@@ -87,8 +90,63 @@ def plain_id(name: str = "doc_id"):
 # --- packed exchange ---------------------------------------------------------------------------------------------
 # A row holds many entries for one bucket as binary columns, so that the shuffle moves a few large rows.
 
-SPAN_SCHEMA = "bucket int, doc binary, start binary, stop binary"
-KEY_SCHEMA = "bucket int, k1 binary, k2 binary, known binary, doc binary, start binary, stop binary, side_doc binary, side_start binary, side_stop binary"
+SPAN_SCHEMA = "bucket int, places binary, size binary"
+KEY_SCHEMA = "bucket int, k1 binary, k2 binary, known binary, places binary, side binary, side_size binary"
+
+
+def small(values: np.ndarray) -> np.ndarray:
+    """Unsigned values in the narrowest type that holds them."""
+    top = int(values.max()) if len(values) else 0
+    return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
+
+
+def _part(values: np.ndarray) -> bytes:
+    values = small(values)
+    return np.array([len(values), values.itemsize], np.int64).tobytes() + values.tobytes()
+
+
+def _take(blob: bytes, at: int) -> tuple[np.ndarray, int]:
+    n, width = np.frombuffer(blob, np.int64, 2, at).tolist()
+    at += 16
+    return np.frombuffer(blob, f"u{width}", n, at).astype(np.int64), at + n * width
+
+
+def pack_places(doc: np.ndarray, start: np.ndarray) -> bytes:
+    """(doc, start) rows, documents as runs; compact if each document's rows are together."""
+    if not len(doc):
+        return b""
+    at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    ids = doc[at]
+    base = int(ids.min())
+    wide = int(ids.max()) - base >= 1 << 32
+    head = np.array([wide, base, len(ids)], np.int64).tobytes()
+    return head + (ids.tobytes() if wide else _part(ids - base)) + _part(np.diff(np.append(at, len(doc)))) + _part(start)
+
+
+def places(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    docs, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for blob in table.column(name).to_pylist():
+        if not blob:
+            continue
+        wide, base, n = np.frombuffer(blob, np.int64, 3).tolist()
+        if wide:
+            ids, at = np.frombuffer(blob, np.int64, n, 24), 24 + 8 * n
+        else:
+            ids, at = _take(blob, 24)
+            ids = ids + base
+        runs_, at = _take(blob, at)
+        start, _ = _take(blob, at)
+        docs.append(np.repeat(ids, runs_))
+        starts.append(start)
+    return np.concatenate(docs), np.concatenate(starts)
+
+
+def pack_sizes(size: np.ndarray) -> bytes:
+    return _part(size) if len(size) else b""
+
+
+def sizes(table: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(_take(x, 0)[0] for x in table.column(name).to_pylist() if x)])
 
 
 def doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
@@ -117,8 +175,11 @@ def batch(rows: list[tuple], names: list[str], first: pa.DataType = pa.int32())
 
 
 def span_batches(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, buckets: int) -> pa.RecordBatch:
-    rows = [(b, doc[i].tobytes(), start[i].astype(np.int32).tobytes(), stop[i].astype(np.int32).tobytes()) for b, i in by_bucket(doc_bucket(doc, buckets))]
-    return batch(rows, ["bucket", "doc", "start", "stop"])
+    from .arrays import merge_spans
+
+    doc, start, stop = merge_spans(doc, start, stop)
+    rows = [(b, pack_places(doc[i], start[i]), pack_sizes(stop[i] - start[i])) for b, i in by_bucket(doc_bucket(doc, buckets))]
+    return batch(rows, ["bucket", "places", "size"])
 
 
 def column(table: pa.Table, name: str, dtype) -> np.ndarray:
@@ -132,7 +193,8 @@ def spans_of(rows: DataFrame) -> DataFrame:
     def merge(table: pa.Table) -> pa.Table:
         from .arrays import merge_spans
 
-        doc, start, stop = merge_spans(column(table, "doc", np.int64), column(table, "start", np.int32), column(table, "stop", np.int32))
+        doc, start = places(table, "places")
+        doc, start, stop = merge_spans(doc, start, start + sizes(table, "size"))
         at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
         pairs = np.stack([start, stop], 1).astype(np.int32) if len(doc) else np.zeros((0, 2), np.int32)
         return pa.table({"doc_id": pa.array(doc[at], pa.int64()), "spans": pa.array([pairs[a:b].tobytes() for a, b in runs(at, len(doc))], pa.binary())})
@@ -140,65 +202,75 @@ def spans_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(merge, "doc_id long, spans binary")
 
 
-def key_batch(k1: np.ndarray, k2: np.ndarray | None, doc: np.ndarray, start: np.ndarray, stop: np.ndarray, buckets: int, later: bool) -> pa.RecordBatch:
-    """Entries of one chunk with equal keys collapsed.
+def key_batch(k1: np.ndarray, k2: np.ndarray | None, doc: np.ndarray, start: np.ndarray, reach: tuple[int, int], buckets: int, later: bool) -> pa.RecordBatch:
+    """Entries of one chunk with equal keys collapsed; an entry at ``start`` speaks for [start - reach[0], start + reach[1]).
 
     The first entry (by doc, start) of each key goes to the key's bucket.  The others are settled already
     (``later``: they start after it; else: they have a partner) and travel beside, dealt by document.
     """
+    from .arrays import merge_spans
+
     columns = (start, doc, k1) if k2 is None else (start, doc, k2, k1)
     order = np.lexsort(columns)
-    k1, doc, start, stop = k1[order], doc[order], start[order], stop[order]
+    k1, doc, start = k1[order], doc[order], start[order]
     fresh = np.ones(len(k1), bool)
     fresh[1:] = k1[1:] != k1[:-1]
     if k2 is not None:
         k2 = k2[order]
         fresh[1:] |= k2[1:] != k2[:-1]
     at = np.flatnonzero(fresh)
-    known = np.diff(np.concatenate([at, [len(k1)]])) > 1
+    known = np.diff(np.append(at, len(k1))) > 1
     side = np.flatnonzero(~fresh)
     if later and len(side):  # equal (doc, start): a repeated row is no earlier place
         lead = at[np.cumsum(fresh) - 1][side]
         side = side[(doc[side] != doc[lead]) | (start[side] != start[lead])]
-    sides = {b: side[i] for b, i in by_bucket(doc_bucket(doc[side], buckets))}
-    mains = {b: (at[i], known[i]) for b, i in by_bucket((k1[at] >> np.uint64(40)).astype(np.int64) % buckets)}
-    none, rows = (np.zeros(0, np.int64), np.zeros(0, bool)), []
+    sd, sa, sz = merge_spans(doc[side], np.maximum(start[side] - reach[0], 0), start[side] + reach[1])
+    sides = dict(by_bucket(doc_bucket(sd, buckets)))
+    turn = np.argsort(order[at], kind="stable")  # back to the order of the text: a document's entries together
+    at, known = at[turn], known[turn]
+    mains = dict(by_bucket((k1[at] >> np.uint64(40)).astype(np.int64) % buckets))
+    none, rows = np.zeros(0, np.int64), []
     for b in sorted(sides.keys() | mains.keys()):
-        (m, kn), s = mains.get(b, none), sides.get(b, none[0])
-        short = k1[m].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() if k2 is None else k1[m].tobytes()
-        rows.append((b, short, b"" if k2 is None else k2[m].tobytes(), kn.tobytes(), doc[m].tobytes(), start[m].astype(np.int32).tobytes(), stop[m].astype(np.int32).tobytes(), doc[s].tobytes(), start[s].astype(np.int32).tobytes(), stop[s].astype(np.int32).tobytes()))
-    return batch(rows, ["bucket", "k1", "k2", "known", "doc", "start", "stop", "side_doc", "side_start", "side_stop"])
+        i, s = mains.get(b, none), sides.get(b, none)
+        m = at[i]
+        if k2 is None:  # 40 bits beside the bucket's: a chance agreement only costs a second look
+            first, second = k1[m].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), b""
+        else:
+            first, second = k1[m].tobytes(), k2[m].astype(np.uint32).tobytes()
+        rows.append((b, first, second, np.packbits(known[i]).tobytes(), pack_places(doc[m], start[m]), pack_places(sd[s], sa[s]), pack_sizes(sz[s] - sa[s])))
+    return batch(rows, ["bucket", "k1", "k2", "known", "places", "side", "side_size"])
 
 
-def shared_spans(rows: DataFrame, buckets: int, later: bool, wide: bool) -> DataFrame:
-    """Spans of the entries whose key occurs elsewhere (``later``: occurs earlier), per document."""
+def shared_spans(rows: DataFrame, reach: tuple[int, int], buckets: int, later: bool, wide: bool) -> DataFrame:
+    """Spans of the entries whose key occurs elsewhere (``later``: occurs earlier), per document.  ``wide``: keys of 96 bits."""
 
     def settle(table: pa.Table) -> pa.Table:
         from .arrays import group_starts
 
-        doc, start, stop = column(table, "doc", np.int64), column(table, "start", np.int32), column(table, "stop", np.int32)
+        doc, start = places(table, "places")
         if wide:
-            k1, k2 = column(table, "k1", np.uint64), column(table, "k2", np.uint64)
+            k1, k2 = column(table, "k1", np.uint64), column(table, "k2", np.uint32)
         else:
             packed = column(table, "k1", np.uint8).reshape(-1, 5)
             full = np.zeros((len(packed), 8), np.uint8)
             full[:, :5] = packed
             k1 = full.view(np.uint64).ravel()
-            k2 = np.zeros(len(k1), np.uint64)
-        known = column(table, "known", bool)
-        order = np.lexsort((start, doc, k2, k1)) if wide else np.argsort(k1, kind="stable")
+            k2 = np.zeros(len(k1), np.uint32)
+        order = np.lexsort((start, doc, k2, k1)) if wide else np.argsort(k1)
         fresh = group_starts(k1[order], k2[order])
         at = np.flatnonzero(fresh)
         of = np.cumsum(fresh) - 1
-        size = np.diff(np.concatenate([at, [len(order)]]))
         if later:
             d, s = doc[order], start[order]
-            lead = at[of] if len(at) else at
+            lead = at[of]
             hit = (d != d[lead]) | (s != s[lead])
         else:
-            hit = (size[of] > 1) | known[order] if len(at) else np.zeros(0, bool)
+            bits = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(k) // 5] for x, k in zip(table.column("known").to_pylist(), table.column("k1").to_pylist(), strict=True)]
+            known = np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)
+            hit = (np.diff(np.append(at, len(order)))[of] > 1) | known[order]
         hit = order[hit]
-        spans = span_batches(np.concatenate([doc[hit], column(table, "side_doc", np.int64)]), np.concatenate([start[hit], column(table, "side_start", np.int32)]), np.concatenate([stop[hit], column(table, "side_stop", np.int32)]), buckets)
+        sd, sa = places(table, "side")
+        spans = span_batches(np.concatenate([doc[hit], sd]), np.concatenate([np.maximum(start[hit] - reach[0], 0), sa]), np.concatenate([start[hit] + reach[1], sa + sizes(table, "side_size")]), buckets)
         return pa.Table.from_batches([spans])
 
     return spans_of(rows.groupBy("bucket").applyInArrow(settle, SPAN_SCHEMA))

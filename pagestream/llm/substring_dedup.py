@@ -6,7 +6,7 @@ words there.  COVER is a perfect difference set, so for any two starts i and j
 some shift below PERIOD puts both i + shift and j + shift on anchors; two equal
 windows therefore share an aligned anchor inside them.  Anchors seen only once
 in the corpus rule out all other windows.  Around the anchors that are left,
-matches are extended to whole windows: these are hashed with 128 bits and all
+matches are extended to whole windows: these are hashed with 96 bits and all
 but the first place of each are marked.
 
 Edge cases: a null or blank text has no words; texts shorter than a window keep
@@ -29,6 +29,8 @@ from . import arrays as A
 from . import runtime as R
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
+#: An anchor at p speaks for the windows that start in [p - PERIOD + 1, p].
+ANCHOR_REACH = (PERIOD - 1, 1)
 #: Entries gathered by a task before a packed row goes out.
 FLUSH = 600_000
 
@@ -59,8 +61,7 @@ def _anchors(length: int, buckets: int):
     cover[list(COVER)] = True
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # An anchor at p speaks for the windows that start in [p - PERIOD + 1, p].
-        out = _Gather(lambda k, d, p: R.key_batch(k, None, d, np.maximum(p - PERIOD + 1, 0), p + 1, buckets, False))
+        out = _Gather(lambda k, d, p: R.key_batch(k, None, d, p, ANCHOR_REACH, buckets, False))
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = A.strings(b.column(1))
@@ -81,7 +82,7 @@ def _anchors(length: int, buckets: int):
 
 def _windows(length: int, buckets: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Gather(lambda k1, k2, d, p: R.key_batch(k1, k2, d, p, p + length, buckets, True))
+        out = _Gather(lambda k1, k2, d, p: R.key_batch(k1, k2, d, p, (0, length), buckets, True))
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = A.strings(b.column(1))
@@ -139,9 +140,9 @@ def repeated_word_spans(docs: DataFrame, length: int = 20) -> DataFrame:
     R.prepare(docs.sparkSession)
     texts = R.keyed(docs, "text")
     buckets = R.bucket_count(texts)
-    marked = R.stage(R.shared_spans(R.map_arrow(texts, _anchors(length, buckets), R.KEY_SCHEMA), buckets, False, False), "anchors")
+    marked = R.stage(R.shared_spans(R.map_arrow(texts, _anchors(length, buckets), R.KEY_SCHEMA), ANCHOR_REACH, buckets, False, False), "anchors")
     near = texts.join(marked, "doc_id").select("doc_id", "text", "spans")
-    return R.stage(R.shared_spans(R.map_arrow(near, _windows(length, buckets), R.KEY_SCHEMA), buckets, True, True), "windows")
+    return R.stage(R.shared_spans(R.map_arrow(near, _windows(length, buckets), R.KEY_SCHEMA), (0, length), buckets, True, True), "windows")
 
 
 def substring_dedup(docs: DataFrame, length: int = 20) -> DataFrame:
