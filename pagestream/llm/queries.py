@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bwt_dedup import suffix_dedup
 from .decontamination import contamination
+from .packing import Limits, digest, packed
 from .quality import quality_verdicts
 from .sharding import shard
 from .simhash import near_duplicates
@@ -45,6 +47,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), train_rows=20_000, threshold=0.3)
 
 
+def word_tokenizer() -> str:
+    """The public tokenizer's file; its place comes from the installed package, or from PAGESTREAM_TOKENIZER."""
+    if "PAGESTREAM_TOKENIZER" in os.environ:
+        return os.environ["PAGESTREAM_TOKENIZER"]
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(packed(_table(spark, sf_dir, "documents"), word_tokenizer(), Limits(tokens=2048)))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_verdicts(_table(spark, sf_dir, "documents"), keys=("lang", "source"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -60,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
+    "op6_packing": op6_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
