@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import runtime as R
 from .bwt_dedup import suffix_dedup
 from .decontamination import contamination
 from .packing import Limits, digest, packed
@@ -16,6 +17,7 @@ from .sharding import shard
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity
+from .warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +62,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(packed(_table(spark, sf_dir, "documents"), word_tokenizer(), Limits(tokens=2048)))
 
 
+def _warc_columns(records: DataFrame) -> DataFrame:
+    # A null page_id stands as its placeholder in a revisit's link: null there means that nothing is referred to.
+    return records.select(R.plain_id("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _warc_columns(round_trip(_table(spark, sf_dir, "pages"), least_bytes=100))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_verdicts(_table(spark, sf_dir, "documents"), keys=("lang", "source"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -76,8 +87,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
     "op6_packing": op6_packing,
+    "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+     d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
+     f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN f.first < d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first < d.page_id THEN f.first END AS refers_to
+FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
+""",
+}
