@@ -36,7 +36,7 @@ GRAM = 32
 POS_BITS = np.uint64(22)
 POS_MASK = np.uint64((1 << 22) - 1)
 #: Bytes of segments in one index; a minimizer's segments stay together.
-INDEX_BYTES = 4 << 20
+INDEX_BYTES = 1 << 20
 FLUSH_BYTES = 12 << 20
 SEGMENT_SCHEMA = "bucket int, gram binary, c1 binary, c2 binary, places binary, size binary, body binary, side binary, side_size binary"
 

@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -47,8 +48,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     _remove_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of the finished step
+    for _ in range(2):  # lets Spark's cleaner drop the shuffle files of the finished step
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
     return out
 
 
