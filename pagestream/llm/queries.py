@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import runtime as R
 from .bwt_dedup import suffix_dedup
 from .decontamination import contamination
+from .kneser_ney import quality
 from .packing import Limits, digest, packed
 from .quality import quality_verdicts
 from .sharding import shard
@@ -49,6 +50,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), train_rows=20_000, threshold=0.3)
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), quantile=0.999)
+
+
 def word_tokenizer() -> str:
     """The public tokenizer's file; its place comes from the installed package, or from PAGESTREAM_TOKENIZER."""
     if "PAGESTREAM_TOKENIZER" in os.environ:
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
+    "op5_kneser_ney": op5_kneser_ney,
     "op6_packing": op6_packing,
     "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,
