@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagestream.functions import text as T
-from pagestream.operators import assemble, boundary, furniture, lookahead, metrics
+from pagestream.operators import assemble, boundary, decision, furniture, layout, lookahead, metrics, model
+from pagestream.plans import pipeline, report
 from pagestream.sources import adapters as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -337,6 +338,151 @@ def neighbor_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("packet_id", "page_index", F.md5(F.concat_ws(" | ", F.lag("head").over(w), F.lead("head", 1).over(w), F.lead("head", 2).over(w))).alias("heads_md5"))
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positioned lines made from orders: an order is a packet of one page, a line item a line."""
+    rows = S.table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy(*S.LINE_ORDER)
+    n = F.row_number().over(w) - 1
+    size = F.when(F.col("l_partkey") % 11 == 0, 20.0).when(F.col("l_partkey") % 7 == 0, 12.5).when(F.col("l_partkey") % 13 == 0, 8.0).otherwise(11.0)
+    text = F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit("Item "), F.col("l_partkey"), F.lit("."))).when(F.col("l_suppkey") % 9 == 0, F.concat(F.lit("Page "), F.col("l_linenumber"))).otherwise(F.concat(F.lit("Line "), F.col("l_partkey")))
+    placed = rows.select(F.col("l_orderkey").cast("string").alias("packet_id"), F.lit(0).alias("page_index"), F.lit(792.0).alias("height"), n.alias("pos"), text.alias("text"), (50.0 + F.col("l_suppkey") % 5).alias("x0"), size.alias("size"), (F.col("l_returnflag") == "A").alias("bold"))
+    top = 30.0 + F.col("pos") * F.when(F.length("text") % 2 == 0, 14.0).otherwise(130.0)
+    return placed.withColumn("top", top).withColumns({"bottom": F.col("top") + F.col("size"), "x1": F.col("x0") + F.length("text") * 5.0})
+
+
+def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = layout.layout_blocks(_lines(spark, sf_dir))
+    return out.select("packet_id", "reading_order", "kind", "band", "heading_level", "small", F.md5("text").alias("text_md5"), F.round("x0", 3).alias("x0"), F.round("y0", 3).alias("y0"), F.round("x1", 3).alias("x1"), F.round("y1", 3).alias("y1"))
+
+
+def grounding_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tagged recognition output made from conversations."""
+    turns = S.conversation_pages(spark, sf_dir)
+    n = F.col("page_index") + 1
+    raw = F.when(F.length("text") % 3 == 0, F.concat_ws("\n\n", F.lit("# Head"), F.lit("- point"), F.lit("plain words"))).otherwise(F.concat(F.lit("lead in\n![title](900,20,-5,60)\n## Part "), n, F.lit("\n![text+](10,80,400,90) Body of the turn Page "), n, F.lit(" of "), F.col("total"), F.lit("\n![footer](0,950,1200,990) page "), n, F.lit("/"), F.col("total"), F.lit("\n![odd](1,2,3,4)\nend")))
+    pages = turns.select("packet_id", "page_index", raw.alias("raw"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    out = layout.grounding_blocks(pages)
+    return out.select("packet_id", "page_index", "reading_order", "kind", "heading_level", "text", *(F.round(c, 3).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+def ocr_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Native or recognised blocks by page class, counted."""
+    docs = S.table(spark, sf_dir, "documents").select(F.col("source").alias("packet_id"), F.col("doc_id").alias("page_index"), "text")
+    kind = F.when(F.col("page_index") % 4 == 0, "scan").when(F.col("page_index") % 4 == 1, "mixed").otherwise("text")
+    pages = docs.select("packet_id", "page_index", kind.alias("page_class"))
+    native = docs.select("packet_id", "page_index", F.lit("native").alias("origin"))
+    seen = docs.where("page_index % 3 = 0").select("packet_id", "page_index", F.lit("ocr").alias("origin"))
+    routed = layout.route(pages, native, seen).join(pages, ["packet_id", "page_index"])
+    return routed.groupBy("packet_id", "page_class", "origin").agg(F.count("*").alias("n"))
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = S.document_pages(spark, sf_dir)
+    i = F.col("page_index")
+    return pages.withColumns({"page_num": F.when(i % 3 > 0, i % 5 + 1), "page_total": F.when(i % 3 > 1, F.lit(5)), "title": F.when(i % 7 == 0, "top").when(i % 7 == 1, "lower"), "width": F.when(i % 11 == 0, 595.0).otherwise(640.0), "height": F.lit(792.0), "rotation": F.lit(0)})
+
+
+def features16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.features(_facts(spark, sf_dir)).select("packet_id", "page_index", *(F.round(f, 6).alias(f) for f in model.FEATURES))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two features of labelled documents."""
+    docs = S.table(spark, sf_dir, "documents").join(S.table(spark, sf_dir, "labels"), "doc_id")
+    marks = F.length(F.regexp_replace("text", r"[^#*$%&|]", "")) / F.greatest(F.length("text"), F.lit(1))
+    return docs.select("doc_id", F.log1p(F.length("text")).alias("log_chars"), marks.alias("marks"), F.col("quality").alias("y"))
+
+
+def logistic_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = model.train(_labelled(spark, sf_dir), names=("log_chars", "marks"), epochs=300)
+    return spark.createDataFrame([(n, round(m, 6), round(s, 6), round(c, 4), round(w.bias, 4)) for n, m, s, c in zip(w.feature_names, w.mean, w.std, w.weights, strict=True)], "feature string, mean double, std double, weight double, bias double")
+
+
+def logistic_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = model.Weights([7.0, 0.01], [1.0, 0.02], [0.3, -1.7], 0.25, ("log_chars", "marks"))
+    return _labelled(spark, sf_dir).select("doc_id", F.round(model.probability(w), 6).alias("probability"))
+
+
+def loop_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose end compresses so well that generation must have looped."""
+    docs = S.table(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.repeat(F.substring("text", 1, 6), 400))).otherwise(F.col("text"))
+    out = decision.loop_ratio(docs.select("doc_id", text.alias("text")))
+    return out.select("doc_id", decision.loop_fired(F.col("loop_ratio")).alias("fired"))
+
+
+def reply_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, k = F.format_string("%.2f", F.abs("value") % 2), F.col("event_id") % 5
+    reply = F.when(k == 0, v).when(k == 1, F.concat(F.lit('{"probability": '), v, F.lit("}"))).when(k == 2, F.concat(F.lit("probability is "), v)).when(k == 3, F.lit("NaN")).otherwise(F.lit("no idea"))
+    rows = S.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("packet_id"), F.col("event_id").alias("page_index"), decision.reply_probability(reply).alias("probability"))
+    return decision.strikes(rows).select("packet_id", "page_index", F.round("probability", 6).alias("probability"), "strike", "exhausted")
+
+
+def fewshot_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of made replies that name blocks of their own, other or no documents."""
+    blocks = S.html_blocks(spark, sf_dir)
+    docs = blocks.groupBy("packet_id", F.col("page_index").alias("doc_index")).agg(F.array_sort(F.collect_list("block_id")).alias("known"))
+    source = lambda *ids: F.struct(F.lit("v").alias("value"), F.array(*ids).alias("source_block_ids"))
+    fields = F.create_map(F.lit("own"), source(F.col("known")[0]), F.lit("other"), source(F.col("known")[0], F.concat(F.col("known")[0], F.lit("x"))), F.lit("none"), F.struct(F.lit("v").alias("value"), F.array().cast("array<string>").alias("source_block_ids")))
+    return decision.grounded_fields(docs.withColumn("fields", fields)).groupBy("packet_id", "field", "drop").agg(F.count("*").alias("n"))
+
+
+def student_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosines of each vector with the one before, and with the mean of the two before; 0 where there are none."""
+    rows = boundary.with_previous(S.embedding_pages(spark, sf_dir), ("embedding",), 2)
+    zero = F.lit(None).cast("array<float>")
+    one = boundary.embedding_cosine(F.col("embedding"), F.col("prev_embedding"), zero)
+    two = boundary.embedding_cosine(F.col("embedding"), F.col("prev_embedding"), F.col("prev2_embedding"))
+    return rows.select("packet_id", "page_index", F.round(F.coalesce(one, F.lit(0.0)), 6).alias("cos1"), F.round(F.coalesce(two, F.lit(0.0)), 6).alias("cos2"), (F.col("page_index") == 0).alias("first"))
+
+
+def streaming_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The look-ahead decisions, from a stream in several batches."""
+    import tempfile
+    import uuid
+
+    from pagestream.streaming.lookahead import replay
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    out = replay(spark, signals(spark, sf_dir), f"{shared}/replay-{uuid.uuid4().hex}")
+    return out.select("packet_id", "page_index", "split", "reason")
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagestream.streaming.lookahead import windowed_counts
+
+    return windowed_counts(S.table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagestream.streaming.lookahead import sessions
+
+    return sessions(S.table(spark, sf_dir, "events"), "12 hours").groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = report.render(_decided(spark, sf_dir), boundary_marks(spark, sf_dir))
+    return out.select("packet_id", F.length("html").alias("chars"), F.size(F.split("html", "<tr class")).alias("rows"))
+
+
+def packet_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents joined into packets of three by a seeded order, with their first pages by running sums."""
+    docs = S.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 9 + 1).alias("pages"), F.md5(F.concat(F.lit("seed-7:"), F.col("o_orderkey"))).alias("k"))
+    # The seeded order is made in parts of the key, so that no task sorts all documents.
+    part = docs.withColumn("part", F.substring("k", 1, 2))
+    w = Window.partitionBy("part").orderBy("k")
+    grouped = part.withColumn("n", F.row_number().over(w) - 1).withColumn("packet_id", F.concat_ws("-", "part", F.floor(F.col("n") / 3)))
+    inside = Window.partitionBy("packet_id").orderBy("n")
+    start = F.sum("pages").over(inside) - F.col("pages")
+    return grouped.select("packet_id", "o_orderkey", start.alias("page_start"), (start + F.col("pages") - 1).alias("page_end"))
+
+
+def parse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole parse over the conversations: documents with their ranges and titles."""
+    out = pipeline.parse(_conversation_text(spark, sf_dir))
+    return out.documents.select("packet_id", "doc_index", "page_start", "page_end", F.md5("title").alias("title_md5"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -345,6 +491,7 @@ QUERIES: dict[str, Query] = {
         document_ranges, boundary_marks, boundary_prf, gate, event_log, furniture_final, furniture_streaming, sections, doc_titles, rank_repair,
         weak_boundary_flags, unresolved_citations, citation_integrity, review_checks, ocr_cache_join, false_ocr, auroc, threshold_tune,
         percentile_nearest_rank, retrieval_metrics, grouped_folds, split_disjoint, numbering, sentence_probability, error_rates,
-        range_validation, neighbor_heads,
+        range_validation, neighbor_heads, layout_blocks, grounding_parse, ocr_routing, features16, logistic_train, logistic_predict, loop_detect,
+        reply_ladder, fewshot_grounding, student_features, streaming_parity, event_windows, event_sessions, review_report, packet_plan, parse_documents,
     )
 }
