@@ -270,4 +270,68 @@ s AS (SELECT q.id, v.id AS other, v.g = q.g AS hit, round(list_dot_product(q.e,
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS k FROM s),
 a AS (SELECT id, count(*) FILTER (hit) AS rel, coalesce(sum(1 / log2(k + 1)) FILTER (hit AND k <= 5), 0) AS dcg, min(k) FILTER (hit AND k <= 50) AS first, count(*) FILTER (hit AND k <= 10) AS in10 FROM r GROUP BY 1)
 SELECT id, round(CASE WHEN rel = 0 THEN 0 ELSE dcg / list_sum(list_transform(range(1, least(rel, 5) + 1), lambda k: 1 / log2(k + 1))) END, 6) AS ndcg5, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, round(CASE WHEN rel = 0 THEN 0 ELSE in10 / rel::DOUBLE END, 6) AS recall10 FROM a""",
+    "streaming_parity": DECISIONS + "SELECT packet_id, page_index, split, reason FROM decided",
+    "topic_shift": GUESS
+    + f"""
+, w AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]{{4,}}'), lambda x: lower(x)), lambda x: x NOT IN ({_list(T.IGNORED)}))) AS word FROM documents),
+c AS (SELECT p.source, p.page_index, word, count(*) AS c FROM w JOIN p ON w.doc_id = p.doc_id GROUP BY 1, 2, 3),
+before AS (SELECT source, page_index, word, sum(c) AS c FROM (SELECT source, page_index + 1 AS page_index, word, c FROM c UNION ALL SELECT source, page_index + 2, word, c FROM c) GROUP BY 1, 2, 3),
+n AS (SELECT source, page_index, sum(c) AS words, sum(c * c) AS norm FROM c GROUP BY 1, 2),
+m AS (SELECT source, page_index, sum(c * c) AS norm FROM before GROUP BY 1, 2),
+d AS (SELECT a.source, a.page_index, sum(a.c * b.c) AS dot FROM c a JOIN before b USING (source, page_index, word) GROUP BY 1, 2)
+SELECT p.source AS packet_id, p.page_index,
+  coalesce(n.words >= 40 AND l.words >= 40 AND p.guess IS NOT NULL AND p.before IS NOT NULL AND coalesce(d.dot, 0) / sqrt(n.norm::DOUBLE * m.norm) <= 0.01, false) AS topic_shift,
+  p.page_index > 0 AND coalesce(p.before <> p.guess, false) AS language_changed
+FROM p LEFT JOIN n ON n.source = p.source AND n.page_index = p.page_index LEFT JOIN n l ON l.source = p.source AND l.page_index = p.page_index - 1 LEFT JOIN m ON m.source = p.source AND m.page_index = p.page_index LEFT JOIN d ON d.source = p.source AND d.page_index = p.page_index""",
+    "ocr_routing": """
+WITH p AS (SELECT source AS packet_id, doc_id AS i, CASE WHEN doc_id % 4 = 0 THEN 'scan' WHEN doc_id % 4 = 1 THEN 'mixed' ELSE 'text' END AS page_class, doc_id % 3 = 0 AS seen FROM documents),
+r AS (SELECT packet_id, page_class, CASE WHEN page_class = 'text' OR (page_class = 'mixed' AND NOT seen) THEN 'native' WHEN seen THEN 'ocr' END AS origin FROM p)
+SELECT packet_id, page_class, origin, count(*) AS n FROM r WHERE origin IS NOT NULL GROUP BY 1, 2, 3""",
+    "logistic_predict": """
+WITH x AS (SELECT doc_id, ln(1 + length(text)) AS a, length(regexp_replace(text, '[^#*$%&|]', '', 'g')) / greatest(length(text), 1)::DOUBLE AS b FROM documents JOIN labels USING (doc_id))
+SELECT doc_id, round(1 / (1 + exp(-(0.25::DOUBLE + 0.3::DOUBLE * (a - 7) - 1.7::DOUBLE * (b - 0.01::DOUBLE) / 0.02::DOUBLE))), 6) AS probability FROM x""",
+    "student_features": """
+WITH p AS (SELECT label::VARCHAR AS packet_id, (row_number() OVER w - 1)::INT AS page_index, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER w AS e1, lag(embedding::DOUBLE[], 2) OVER w AS e2 FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+m AS (SELECT packet_id, page_index, e, e1, CASE WHEN e2 IS NOT NULL THEN list_transform(range(1, len(e) + 1), lambda i: (e1[i] + e2[i]) / 2) ELSE e1 END AS m FROM p)
+SELECT packet_id, page_index, round(coalesce(list_sum(list_transform(range(1, len(e) + 1), lambda i: e[i] * e1[i])) / (sqrt(list_sum(list_transform(e, lambda x: x * x))) * sqrt(list_sum(list_transform(e1, lambda x: x * x)))), 0), 6) AS cos1,
+  round(coalesce(list_sum(list_transform(range(1, len(e) + 1), lambda i: e[i] * m[i])) / (sqrt(list_sum(list_transform(e, lambda x: x * x))) * sqrt(list_sum(list_transform(m, lambda x: x * x)))), 0), 6) AS cos2, page_index = 0 AS first FROM m""",
+    "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "event_sessions": """
+WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR, true) AS opens FROM events),
+s AS (SELECT user_id, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g),
+c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY 1, 2)
+SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY 1""",
+    "packet_plan": """
+WITH d AS (SELECT o_orderkey, o_custkey % 9 + 1 AS pages, md5('seed-7:' || o_orderkey) AS k FROM orders),
+n AS (SELECT *, k[1:2] AS part, row_number() OVER (PARTITION BY k[1:2] ORDER BY k) - 1 AS n FROM d),
+g AS (SELECT *, part || '-' || (n // 3) AS packet_id FROM n),
+s AS (SELECT packet_id, o_orderkey, pages, (sum(pages) OVER (PARTITION BY packet_id ORDER BY n))::BIGINT AS upto FROM g)
+SELECT packet_id, o_orderkey, upto - pages AS page_start, upto - 1 AS page_end FROM s""",
+    "fewshot_grounding": BLOCKS
+    + """
+, d AS (SELECT DISTINCT packet_id, page_index FROM blocks)
+SELECT packet_id, unnest(['own', 'other', 'none']) AS field, unnest([NULL, 'ungrounded', 'invalid_schema']) AS "drop", count(*) AS n FROM d GROUP BY packet_id""",
+    "reply_ladder": """
+WITH t AS (SELECT user_id::VARCHAR AS packet_id, event_id AS page_index, CASE WHEN event_id % 5 IN (0, 1, 2) AND round(abs(value) % 2, 2) <= 1 THEN round(abs(value) % 2, 2) END AS probability FROM events),
+s AS (SELECT *, (sum(CASE WHEN probability IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY packet_id ORDER BY page_index))::BIGINT AS strike FROM t)
+SELECT packet_id, page_index, probability, strike, strike >= 3 AS exhausted FROM s""",
+    "layout_blocks": """
+WITH a AS (
+  SELECT l_orderkey::VARCHAR AS packet_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS pos,
+    CASE WHEN l_suppkey % 4 = 0 THEN 'Item ' || l_partkey || '.' WHEN l_suppkey % 9 = 0 THEN 'Page ' || l_linenumber ELSE 'Line ' || l_partkey END AS text, 50 + l_suppkey % 5 AS x0,
+    (CASE WHEN l_partkey % 11 = 0 THEN 20 WHEN l_partkey % 7 = 0 THEN 12.5 WHEN l_partkey % 13 = 0 THEN 8 ELSE 11 END)::DOUBLE AS size, l_returnflag = 'A' AS bold FROM lineitem),
+b AS (SELECT *, (30 + pos * CASE WHEN length(text) % 2 = 0 THEN 14 ELSE 130 END)::DOUBLE AS top FROM a),
+c AS (SELECT *, top + size AS bottom, x0 + length(text) * 5.0::DOUBLE AS x1 FROM b),
+w AS (SELECT packet_id, size, sum(length(text)) AS chars, min(pos) AS seen FROM c GROUP BY 1, 2),
+y AS (SELECT packet_id, size AS body FROM w QUALIFY row_number() OVER (PARTITION BY packet_id ORDER BY chars DESC, seen) = 1),
+d AS (SELECT c.*, body, CASE WHEN bottom <= 792 * 0.08::DOUBLE THEN 'top' WHEN top >= 792 * (1 - 0.08::DOUBLE) THEN 'bottom' END AS band FROM c JOIN y USING (packet_id)),
+e AS (SELECT *, max(CASE WHEN band IS NULL THEN size END) OVER (PARTITION BY packet_id) AS biggest, row_number() OVER (PARTITION BY packet_id ORDER BY CASE WHEN band = 'top' THEN 0 WHEN band IS NULL THEN 1 ELSE 2 END, CASE WHEN band IS NOT NULL THEN top ELSE 0 END, pos) AS n FROM d),
+f AS (SELECT *, coalesce(band IS NULL AND biggest >= body * 1.3::DOUBLE AND size = biggest AND top <= 792 * 0.45::DOUBLE, false) AS cand FROM e),
+g AS (SELECT *, min(CASE WHEN cand THEN n END) OVER (PARTITION BY packet_id) AS first FROM f),
+h AS (SELECT *, cand AND sum(CASE WHEN n >= first AND NOT cand THEN 1 ELSE 0 END) OVER (PARTITION BY packet_id ORDER BY n) = 0 AS title FROM g),
+k AS (SELECT *, CASE WHEN band IS NOT NULL THEN CASE WHEN text LIKE 'Page %' THEN 'page_number' ELSE 'paragraph' END WHEN title THEN 'title' WHEN NOT regexp_matches(text, '[.,]$') AND (size >= body * 1.12::DOUBLE OR (bold AND size >= body * 0.95::DOUBLE)) THEN 'heading' ELSE 'paragraph' END AS kind FROM h),
+j AS (SELECT *, coalesce(band IS NULL AND lag(kind) OVER v IS NOT NULL AND lag(band) OVER v IS NULL AND lag(kind) OVER v = kind AND (kind = 'title' OR (kind = 'paragraph' AND top - lag(bottom) OVER v < greatest(size, 1) * 1.2::DOUBLE)), false) AS joins FROM k WINDOW v AS (PARTITION BY packet_id ORDER BY n)),
+o AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY packet_id ORDER BY n) - 1 AS reading_order FROM j)
+SELECT packet_id, reading_order::BIGINT AS reading_order, min(kind) AS kind, min(band) AS band, CASE min(kind) WHEN 'title' THEN 0 WHEN 'heading' THEN 1 END AS heading_level, min_by(size, n) < min(body) * 0.95::DOUBLE AS small, md5(string_agg(text, chr(10) ORDER BY n)) AS text_md5,
+  round(min(x0)::DOUBLE, 3) AS x0, round(min_by(top, n), 3) AS y0, round(max(x1)::DOUBLE, 3) AS x1, round(max_by(bottom, n), 3) AS y1 FROM o GROUP BY 1, 2""",
 }
