@@ -147,15 +147,20 @@ def language_hits(words: Column) -> Column:
 
 def detect_language(text: Column) -> Column:
     """A careful guess, or null for short or mixed texts; by script first, then by stop words."""
-    letters = F.regexp_replace(text, r"[^\p{L}]", "")
+    return let(F.regexp_replace(text, r"[^\p{L}]+", ""), lambda letters: _language(text, letters))
+
+
+def _language(text: Column, letters: Column) -> Column:
     n = F.length(letters)
-    count = lambda cls: n - F.length(F.regexp_replace(letters, cls, ""))
+    count = lambda cls: n - F.length(F.regexp_replace(letters, f"{cls}+", ""))
     scripts = {"latin": "[\\x00-\\u024f]", "kana": "[\\u3040-\\u30ff]", "han": "[\\u3400-\\u9fff]", "hangul": "[\\uac00-\\ud7af]", "cyrillic": "[\\u0400-\\u04ff]", "greek": "[\\u0370-\\u03ff]", "arabic": "[\\u0600-\\u06ff]", "hebrew": "[\\u0590-\\u05ff]"}
     share = {k: count(v) for k, v in scripts.items()}
     wins = lambda k: share[k] >= 0.6 * n
     best = lambda n_words, h: F.when((n_words >= MIN_LANGUAGE_WORDS) & (h[0]["hits"] >= 0.15 * n_words) & (h[0]["hits"] >= 2 * h[1]["hits"]), h[0]["lang"])
-    latin = let(words_of(text), lambda w: let(language_hits(w), lambda h: best(F.size(w), h)))
-    guess = F.when(wins("kana") | (wins("han") & (share["kana"] >= 0.05 * n)), "ja").when(wins("latin"), latin)
+    every = sorted({w for s in STOPWORDS.values() for w in s.split()})
+    latin = let(words_of(text), lambda w: let(language_hits(F.filter(w, lambda x: x.isin(*every))), lambda h: best(F.size(w), h)))
+    # At most one script can win: the common one is asked for first.
+    guess = F.when(wins("latin"), latin).when(wins("kana") | (wins("han") & (share["kana"] >= 0.05 * n)), "ja")
     for k in ("han", "hangul", "cyrillic", "greek", "arabic", "hebrew"):
         guess = guess.when(wins(k), k)
     return F.when(n >= MIN_LETTERS, guess)

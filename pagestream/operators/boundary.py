@@ -119,9 +119,15 @@ def with_model(signals: DataFrame, probability: str) -> DataFrame:
     return signals.withColumns({"confidence": F.when(raised, p).otherwise(F.col("confidence")), "reason": F.when(raised, F.concat_ws("+", "reason", F.lit("model"))).otherwise(F.col("reason"))})
 
 
-def document_index(decisions: DataFrame, blocks: str = "n_blocks", apply: bool = True) -> DataFrame:
-    """doc_index of each page: a split takes effect if a block was seen since the split before it.  ``apply=False``: one document."""
+def document_index(decisions: DataFrame, blocks: str = "n_blocks", apply: bool = True, always_filled: bool = False) -> DataFrame:
+    """doc_index of each page: a split takes effect if a block was seen since the split before it.
+
+    ``apply=False``: one document.  ``always_filled``: all pages have blocks, so that every split but a first page's takes effect.
+    """
     w = packet_window()
+    if apply and always_filled:
+        marked = decisions.withColumn("effective", F.col("split") & (F.col("page_index") > 0))
+        return marked.withColumn("doc_index", F.sum(F.when(F.col("effective"), 1).otherwise(0)).over(w).cast("int"))
     if not apply:
         return decisions.withColumns({"effective": F.lit(False), "doc_index": F.lit(0)})
     run = decisions.withColumn("_run", F.sum(F.when(F.col("split"), 1).otherwise(0)).over(w))

@@ -36,6 +36,15 @@ def boundary_scores(packets: DataFrame, gold: DataFrame, predicted: DataFrame) -
     return rows.withColumns({"precision": p, "recall": r, "f1": f})
 
 
+def flagged_scores(pages: DataFrame, gold: str, predicted: str) -> DataFrame:
+    """The same from pages that carry both sides' starts as flags: one aggregation, no joins."""
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    g, p = F.col(gold), F.col(predicted)
+    rows = pages.groupBy("packet_id").agg(count(g & p).alias("tp"), count(~g & p).alias("fp"), count(g & ~p).alias("fn"))
+    precision, recall, f = prf(F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn"))
+    return rows.withColumns({"precision": precision, "recall": recall, "f1": f})
+
+
 def gate(scores: DataFrame, packet_floor: float, macro_floor: float) -> DataFrame:
     """One row: macro and micro scores, packets under the floor, and whether the gate is passed. NaN fails."""
     low = F.col("f1").isNull() | F.isnan("f1") | (F.col("f1") < packet_floor)

@@ -117,37 +117,36 @@ def eager_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookahead.eager(signals(spark, sf_dir)).select("packet_id", "page_index", "split", "reason", F.round("confidence", 6).alias("confidence"))
 
 
-def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookahead.decide(signals(spark, sf_dir))
+def _decided(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return lookahead.decide(signals(spark, sf_dir), keep=keep)
 
 
 def lookahead_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir).select("packet_id", "page_index", "split", "reason")
 
 
-def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boundary.document_index(_decided(spark, sf_dir).withColumn("n_blocks", F.lit(1)))
+def _indexed(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every page of these streams is one block."""
+    return boundary.document_index(_decided(spark, sf_dir, keep).withColumn("n_blocks", F.lit(1)), always_filled=True)
 
 
 def document_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundary.document_ranges(_indexed(spark, sf_dir))
 
 
-def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundary pages: those before an order's first."""
-    return S.order_pages(spark, sf_dir).where("gold_start and page_index > 0").select("packet_id", (F.col("page_index") - 1).alias("page_index"))
-
-
-def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _indexed(spark, sf_dir).where("effective").select("packet_id", (F.col("page_index") - 1).alias("page_index"))
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the starts of gold and of predicted documents; a packet's first page is neither."""
+    rows = _indexed(spark, sf_dir, ("gold_start",))
+    return rows.select("packet_id", "page_index", (F.col("gold_start") & (F.col("page_index") > 0)).alias("gold"), F.col("effective").alias("predicted"))
 
 
 def boundary_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.marks(_gold(spark, sf_dir), _predicted(spark, sf_dir))
+    mark = F.when(F.col("gold") & F.col("predicted"), "tp").when(F.col("gold"), "fn").when(F.col("predicted"), "fp")
+    return _both(spark, sf_dir).select("packet_id", (F.col("page_index") - 1).alias("page_index"), mark.alias("mark")).where("mark is not null")
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.boundary_scores(S.order_pages(spark, sf_dir), _gold(spark, sf_dir), _predicted(spark, sf_dir))
+    return metrics.flagged_scores(_both(spark, sf_dir), "gold", "predicted")
 
 
 def boundary_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,16 +160,20 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions, openings, closings and the end, in order: seq counts within the packet."""
-    rows = _indexed(spark, sf_dir)
-    decided = rows.select("packet_id", "page_index", F.lit(0).alias("phase"), F.lit("boundary_decided").alias("kind"), F.col("reason").alias("payload"))
-    opens = rows.where("effective or page_index = 0")
-    closed = opens.where("page_index > 0").select("packet_id", "page_index", F.lit(1).alias("phase"), F.lit("document_closed").alias("kind"), F.format_string("doc-%d", F.col("doc_index") - 1).alias("payload"))
-    opened = opens.select("packet_id", "page_index", F.lit(2).alias("phase"), F.lit("document_opened").alias("kind"), F.format_string("doc-%d", "doc_index").alias("payload"))
-    last = rows.groupBy("packet_id").agg(F.max("page_index").alias("page_index"), F.max("doc_index").alias("d"))
-    end = last.select("packet_id", "page_index", F.explode(F.array(F.struct(F.lit(3).alias("phase"), F.lit("document_closed").alias("kind"), F.format_string("doc-%d", "d").alias("payload")), F.struct(F.lit(4).alias("phase"), F.lit("packet_closed").alias("kind"), F.lit("").alias("payload")))).alias("e")).select("packet_id", "page_index", "e.*")
-    every = decided.unionByName(closed).unionByName(opened).unionByName(end)
-    w = Window.partitionBy("packet_id").orderBy("page_index", "phase")
-    return every.select("packet_id", (F.row_number().over(w) - 1).alias("seq"), "kind", F.col("page_index").alias("page"), "payload")
+    w = Window.partitionBy("packet_id").orderBy("page_index")
+    rows = _indexed(spark, sf_dir).withColumn("last", F.lead("page_index").over(w).isNull())
+    event = lambda when, phase, kind, payload: F.when(when, F.struct(F.lit(phase).alias("phase"), F.lit(kind).alias("kind"), payload.alias("payload")))
+    opens, document = F.col("effective") | (F.col("page_index") == 0), lambda d: F.format_string("doc-%d", d)
+    events = F.array_compact(F.array(
+        event(F.lit(True), 0, "boundary_decided", F.col("reason")),
+        event(F.col("effective"), 1, "document_closed", document(F.col("doc_index") - 1)),
+        event(opens, 2, "document_opened", document(F.col("doc_index"))),
+        event(F.col("last"), 3, "document_closed", document(F.col("doc_index"))),
+        event(F.col("last"), 4, "packet_closed", F.lit("")),
+    ))
+    every = rows.select("packet_id", "page_index", F.explode(events).alias("e"))
+    seq = F.row_number().over(Window.partitionBy("packet_id").orderBy("page_index", "e.phase")) - 1
+    return every.select("packet_id", seq.alias("seq"), "e.kind", F.col("page_index").alias("page"), "e.payload")
 
 
 def _conversation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +210,7 @@ def rank_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weak_boundary_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splits that rest on the fallback, and documents whose first pages have no number."""
-    rows = _indexed(spark, sf_dir).join(S.order_pages(spark, sf_dir).select("packet_id", "page_index", "page_num"), ["packet_id", "page_index"])
+    rows = _indexed(spark, sf_dir, ("page_num",))
     first = rows.groupBy("packet_id", "doc_index").agg(F.min_by("reason", "page_index").alias("reason"), F.count("page_num").alias("numbered"), F.min("page_index").alias("page"))
     flag = F.when(F.col("reason").isin("fallback_eager"), "fallback_decision").when(F.col("numbered") == 0, "weak_boundary")
     return first.select("packet_id", "doc_index", "page", flag.alias("flag")).where("flag is not null")
