@@ -66,33 +66,40 @@ class WordTokenizer:
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
 
-    def _of(self, words: list[str]) -> list[np.ndarray]:
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """The place of each word among those known; new ones are encoded."""
+        if len(self.known) + len(words) > MEMORY_WORDS:
+            self._forget()
         new = [w for w in words if w not in self.known]
-        fresh = {}
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.inner.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                fresh[w] = np.array(e.ids, np.uint32)
-        out = [self.known[w] if w in self.known else fresh[w] for w in words]
-        if len(self.known) + len(fresh) > MEMORY_WORDS:
-            self.known = {}
-        self.known.update(fresh if len(fresh) < MEMORY_WORDS else {})
-        return out
+        flats, sizes = [self.flat], [self.size]
+        for k in range(0, len(new), 16384):
+            part = new[k : k + 16384]
+            made = self.inner.encode(part, is_pretokenized=True, add_special_tokens=False)  # one call: word_ids tell the words apart
+            flats.append(np.array(made.ids, np.uint32))
+            sizes.append(np.bincount(np.array(made.word_ids, np.int64), minlength=len(part)))
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.flat, self.size = np.concatenate(flats), np.concatenate(sizes)
+        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by ``end``; offsets)."""
-        texts = column.fill_null("").cast(pa.large_string())
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        texts = pc.replace_substring(column.fill_null("").cast(pa.large_string()), "\n", " ")
+        # The tokenizer lower-cases, and cuts between letters and marks: both ahead make words meet that differ in these only.
+        texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,!?;:]+ )", r"\1 \2")
+        lists = pc.split_pattern(texts, " ")
         words = lists.flatten().dictionary_encode()
-        ids = self._of(words.dictionary.to_pylist())
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
-        at = np.concatenate([[0], np.cumsum(size)])
-        index = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        n = size[index]
-        body = flat[np.repeat(at[index], n) + A.spread(n)]
+        rows = self._rows(words.dictionary.to_pylist())
+        at = np.concatenate([[0], np.cumsum(self.size)])
+        index = rows[words.indices.to_numpy(zero_copy_only=False)]
+        n = self.size[index]
+        body = self.flat[np.repeat(at[index], n) + A.spread(n)]
         upto = np.concatenate([[0], np.cumsum(n)])[lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()]
         return np.insert(body, upto[1:], end), upto + np.arange(len(upto))
 
