@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; bounds the temporary arrays of one slice.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SEED = np.random.default_rng(20240607)
 _BYTE_CODE = _SEED.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -202,7 +203,7 @@ def spans_of(rows: DataFrame) -> DataFrame:
         pairs = np.stack([start, stop], 1).astype(np.int32) if len(doc) else np.zeros((0, 2), np.int32)
         return pa.table({"doc_id": pa.array(doc[at], pa.int64()), "spans": pa.array([pairs[a:b].tobytes() for a, b in runs(at, len(doc))], pa.binary())})
 
-    return rows.groupBy("bucket").applyInArrow(merge, "doc_id long, spans binary")
+    return group_arrow(rows, merge, "doc_id long, spans binary")
 
 
 def key_batch(k1: np.ndarray, k2: np.ndarray | None, doc: np.ndarray, start: np.ndarray, reach: tuple[int, int], buckets: int, later: bool) -> pa.RecordBatch:
@@ -276,8 +277,35 @@ def shared_spans(rows: DataFrame, reach: tuple[int, int], buckets: int, later: b
         spans = span_batches(np.concatenate([doc[hit], sd]), np.concatenate([np.maximum(start[hit] - reach[0], 0), sa]), np.concatenate([start[hit] + reach[1], sa + sizes(table, "side_size")]), buckets)
         return pa.Table.from_batches([spans])
 
-    return spans_of(rows.groupBy("bucket").applyInArrow(settle, SPAN_SCHEMA))
+    return spans_of(group_arrow(rows, settle, SPAN_SCHEMA))
+
+
+def release() -> None:
+    """Give freed memory back: workers live on between tasks and share their executor's limit."""
+    gc.collect()
+    with contextlib.suppress(Exception):
+        pa.default_memory_pool().release_unused()
+    with contextlib.suppress(Exception):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(whole, schema)
+
+
+def group_arrow(df: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``work`` on each bucket of ``df``."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        try:
+            return work(table)
+        finally:
+            release()
+
+    return df.groupBy("bucket").applyInArrow(whole, schema)
