@@ -226,6 +226,7 @@ def _packed(path: str, end: int, limits: Limits):
                 shard, held, size = shard + 1, [], 0
         if size:
             yield from close()
+        model._forget()  # the worker goes on to other tasks, whose memory counts too
 
     return work
 
