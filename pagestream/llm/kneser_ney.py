@@ -46,6 +46,8 @@ BOUNDARY = "\n"
 #: The model of all languages together.
 ANY = "*"
 SLICE_CHARS = 1 << 20
+#: Trusted ids that are sent to the tasks; more of them are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 BIN = 1.01
 
 
@@ -264,13 +266,14 @@ def _collected(model: DataFrame, shards: list[list[tuple[str, str]]], k: int) ->
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(n, pa.int32()), pa.array(key.view(np.int64), pa.int64()), b.column("logp"), b.column("logw")], names=["lang", "n", "key", "logp", "logw"])
 
     table = R.map_arrow(model.select("lang", "g", "logp", "logw"), keys, "lang string, n int, key long, logp double, logw double").toArrow()
-    langs = np.array(table.column("lang").to_pylist(), object)
+    coded = table.column("lang").combine_chunks().dictionary_encode()
+    code, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
     n, key, p, w = (table.column(c).to_numpy() for c in ("n", "key", "logp", "logw"))
     p, w = p.astype(np.float64), w.astype(np.float64)
     out = {}
-    for lang in sorted(set(langs.tolist())):
-        mine = np.flatnonzero((langs == lang) & (n > 0))
-        empty = np.flatnonzero((langs == lang) & (n == 0))
+    for c, lang in enumerate(names):
+        mine = np.flatnonzero((code == c) & (n > 0))
+        empty = np.flatnonzero((code == c) & (n == 0))
         named = classes if k else [c for other in shards[1:] for c in other]
         out[lang] = (Table(key[mine].view(np.uint64), p[mine], w[mine]), float(np.nansum(p[empty]) + np.nansum(w[empty])), np.array([ord(v) for x, v in named if x == lang], np.uint32), k == 0)
     return out
@@ -328,7 +331,9 @@ def thresholds(scores: DataFrame, quantile: float) -> DataFrame:
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, order: int = ORDER) -> DataFrame:
     """doc_id, lang, chars, perplexity, limit, kept; trusted text: documents whose label says quality 1."""
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    good = R.stage(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct(), "trusted")
+    if good.count() <= BROADCAST_IDS:
+        good = F.broadcast(good)  # its size is known: the texts needn't move
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     trusted = known.join(good, F.col("doc_id") == F.col("_id"), "left_semi")
     covered = trusted.select("lang").distinct().where("lang is not null")
