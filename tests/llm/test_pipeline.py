@@ -56,6 +56,50 @@ def test_large_group_stays_whole(spark):
     assert N.near_dedup(df).count() <= 2
 
 
+def star(r, copies):
+    """An original and copies with two words changed, which are similar to it and not to one another."""
+    base = [f"s{k}" for k in range(100)]
+    rows = []
+    for k in range(copies):
+        at = sorted(r.sample(range(4, 96), 2))
+        while at[1] - at[0] < 5:
+            at = sorted(r.sample(range(4, 96), 2))
+        w = list(base)
+        for x in at:
+            w[x] = f"edit{r.randrange(10**9)}"
+        rows.append(" ".join(w))
+    return " ".join(base), rows
+
+
+def test_star_of_copies_around_one_original(spark):
+    original, copies = star(random.Random(8), 1000)
+    rows = list(enumerate(copies[:500])) + [(500, original)] + [(501 + k, t) for k, t in enumerate(copies[500:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert [x.doc_id for x in N.near_dedup(df).collect()] == [0]
+
+
+def test_blocks_of_a_large_group_link_all_pairs(spark, monkeypatch):
+    # Chains of copies whose links no hub and no neighbour by id shows: each is similar to the one before it only.
+    monkeypatch.setattr(N, "BLOCK_DOCS", 16)
+    r = random.Random(9)
+    common = [f"c{k}" for k in range(60)]
+    words, rows = [f"d{k}" for k in range(60)], []
+    for k in range(60):
+        words[k] = f"new{k}"
+        rows.append(" ".join(common + words))
+    ids = list(range(60))
+    r.shuffle(ids)
+    df = spark.createDataFrame(list(zip(ids, rows, strict=True)), "doc_id long, text string").repartition(4)
+    sets = {i: shingles(t) for i, t in zip(ids, rows, strict=True)}
+    root = {i: i for i in ids}
+    for i in ids:
+        for j in ids:
+            if jaccard(sets[i], sets[j]) >= 0.8 and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = {k: new if v == old else v for k, v in root.items()}
+    assert {x.doc_id for x in N.near_dedup(df).collect()} == set(root.values())
+
+
 def test_stages_and_their_contract(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
