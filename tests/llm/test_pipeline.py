@@ -56,6 +56,27 @@ def test_large_group_stays_whole(spark):
     assert N.near_dedup(df).count() <= 2
 
 
+def test_no_similar_pair_is_missed(spark):
+    # Pairs of all lengths at or just above 0.8, short ones too.
+    r = random.Random(10)
+    rows, want = [], set()
+    for i in range(0, 800, 2):
+        base = [f"w{r.randrange(10**9)}" for _ in range(13 + i % 90)]
+        near = list(base)
+        n = len(base) - 4
+        for at in (0, len(base) - 1, 1, len(base) - 2, 2, len(base) - 3):  # each changes one shingle more
+            w = list(near)
+            w[at] = f"edit{r.randrange(10**9)}"
+            if jaccard(shingles(" ".join(base)), shingles(" ".join(w))) < 0.8:
+                break
+            near = w
+        rows += [(i, " ".join(base)), (i + 1, " ".join(near))]
+        assert near != base or n < 9
+        want.add(i)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x.doc_id for x in N.near_dedup(df).collect()} == want | {i + 1 for (i, a), (_, b) in zip(rows[::2], rows[1::2], strict=True) if jaccard(shingles(a), shingles(b)) < 0.8}
+
+
 def star(r, copies):
     """An original and copies with two words changed, which are similar to it and not to one another."""
     base = [f"s{k}" for k in range(100)]
