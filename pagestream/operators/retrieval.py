@@ -13,6 +13,15 @@ from pagestream.shipping import ship
 
 #: Query vectors sent to the tasks at once.
 BLOCK = 4096
+#: Scores held at once in a task.
+CELLS = 1 << 20
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], queries: int) -> Iterator[pa.RecordBatch]:
+    step = max(1, CELLS // max(1, queries))
+    for b in batches:
+        for lo in range(0, b.num_rows, step):
+            yield b.slice(lo, step)
 
 
 def _block_hits(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, gold: np.ndarray, depth: int) -> DataFrame:
@@ -22,32 +31,56 @@ def _block_hits(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, gold: n
         best_score = np.full((len(ids), depth), -np.inf)
         best_id = np.full((len(ids), depth), np.iinfo(np.int64).max)
         best_hit = np.zeros((len(ids), depth), bool)
+        own_score, own_id = np.full(len(ids), -np.inf), np.full(len(ids), np.iinfo(np.int64).max)
         relevant = np.zeros(len(ids), np.int64)
-        for b in batches:
+        for b in _pieces(batches, len(ids)):
             v = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
             own = b.column(0).to_numpy(zero_copy_only=False)
             hit = np.asarray(b.column(2))[None, :] == gold[:, None]
             same = own[None, :] == ids[:, None]
             score = np.where(same, -np.inf, np.round(matrix @ v.T, 9))
             relevant += (hit & ~same).sum(1)
+            of_gold = np.where(hit, score, -np.inf)
+            top = of_gold.max(1)
+            top_id = np.where(np.isfinite(of_gold) & (of_gold == top[:, None]), own, np.iinfo(np.int64).max).min(1)
+            better = (top > own_score) | ((top == own_score) & (top_id < own_id))
+            own_score, own_id = np.where(better, top, own_score), np.where(better, top_id, own_id)
             score, other = np.hstack([best_score, score]), np.hstack([best_id, np.broadcast_to(own, (len(ids), len(own)))])
             hits = np.hstack([best_hit, hit])
             order = np.lexsort((other, -score), axis=1)[:, :depth]
             best_score, best_id, best_hit = (np.take_along_axis(x, order, 1) for x in (score, other, hits))
         q, k = np.nonzero(np.isfinite(best_score))
-        rows = [ids[q], best_id[q, k], best_score[q, k], best_hit[q, k], np.where(k == 0, relevant[q], 0)]
+        far = np.flatnonzero(np.isfinite(own_score) & ~(best_hit & np.isfinite(best_score)).any(1))
+        rows = [np.append(ids[q], ids[far]), np.append(best_id[q, k], own_id[far]), np.append(best_score[q, k], own_score[far]), np.append(best_hit[q, k], np.ones(len(far), bool)), np.append(np.where(k == 0, relevant[q], 0), np.zeros(len(far), np.int64))]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["id", "other", "score", "hit", "relevant"])
 
     return vectors.mapInArrow(work, "id long, other long, score double, hit boolean, relevant long")
 
 
+def _before(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, score: np.ndarray, other: np.ndarray) -> DataFrame:
+    """For each task and query: how many vectors rank before the one of id ``other`` with ``score``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(ids), np.int64)
+        for b in _pieces(batches, len(ids)):
+            v = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
+            own = b.column(0).to_numpy(zero_copy_only=False)[None, :]
+            found = np.round(matrix @ v.T, 9)
+            ahead = (found > score[:, None]) | ((found == score[:, None]) & (own < other[:, None]))
+            n += (ahead & (own != ids[:, None]) & (own != other[:, None])).sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["id", "before"])
+
+    return vectors.mapInArrow(work, "id long, before long")
+
+
 def retrieval(queries: DataFrame, vectors: DataFrame, depth: int = 50) -> DataFrame:
     """id, ndcg5, mrr, recall10 of each query (id, embedding, gold) among all other vectors; relevant: those of its gold.
 
-    Queries go out in blocks of ``BLOCK``; tasks keep the best ``depth`` a query, which are merged by query.  mrr
-    counts ranks up to ``depth``, as a top-k report.
+    Queries go out in blocks of ``BLOCK``; tasks keep the best ``depth`` a query (10 at least), which are merged by
+    query.  Where the first relevant vector ranks beyond them, a second pass counts the vectors before it.
     """
     ship(vectors.sparkSession)
+    depth = max(depth, 10)
     parts: list[DataFrame] = []
     held: list = []
 
@@ -70,9 +103,34 @@ def retrieval(queries: DataFrame, vectors: DataFrame, depth: int = 50) -> DataFr
         found = found.unionByName(p)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
     total = found.groupBy("id").agg(F.sum("relevant").alias("relevant"))
-    ranked = found.withColumn("rank", rank).where((F.col("rank") <= depth) & F.col("hit"))
+    relevant = found.withColumn("rank", rank).where("hit")
+    ranked = relevant.where(F.col("rank") <= depth)
     gain = F.sum(F.when(F.col("rank") <= 5, 1 / F.log2(F.col("rank") + 1)))
     hits = ranked.groupBy("id").agg(gain.alias("dcg"), F.min("rank").alias("first"), F.count_if(F.col("rank") <= 10).alias("in10"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("relevant"), F.lit(5)).cast("int")), F.lit(0.0), lambda s, k: s + 1 / F.log2(k + 1))
+    # Beyond the depth the merged ranks lack vectors that no task kept: there the place is counted.
+    beyond = relevant.groupBy("id").agg(F.min("rank").alias("first"), F.min_by(F.struct("score", "other"), "rank").alias("best")).where(F.col("first") > depth)
+    counted: list[DataFrame] = []
+    far: list = []
+
+    def count() -> None:
+        ids, score, other = (np.array([r[c] for r in far]) for c in ("id", "score", "other"))
+        counted.append(_before(vectors.select("id", "embedding"), ids, np.array([r.embedding for r in far], np.float64), score, other))
+        far.clear()
+
+    for r in queries.select("id", "embedding").join(beyond, "id").select("id", "embedding", "best.score", "best.other").toLocalIterator():
+        far.append(r)
+        if len(far) == BLOCK:
+            count()
+    if far:
+        count()
+    first = F.col("first")
+    out = total.join(hits, "id", "left")
+    if counted:
+        before = counted[0]
+        for p in counted[1:]:
+            before = before.unionByName(p)
+        out = out.join(before.groupBy("id").agg(F.sum("before").alias("before")), "id", "left")
+        first = F.coalesce(first, F.col("before") + 1)
     none = F.col("relevant") == 0
-    return total.join(hits, "id", "left").select("id", F.when(none, 0.0).otherwise(F.coalesce(F.col("dcg") / ideal, F.lit(0.0))).alias("ndcg5"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), F.when(none, 0.0).otherwise(F.coalesce(F.col("in10") / F.col("relevant"), F.lit(0.0))).alias("recall10"))
+    return out.select("id", F.when(none, 0.0).otherwise(F.coalesce(F.col("dcg") / ideal, F.lit(0.0))).alias("ndcg5"), F.coalesce(1 / first, F.lit(0.0)).alias("mrr"), F.when(none, 0.0).otherwise(F.coalesce(F.col("in10") / F.col("relevant"), F.lit(0.0))).alias("recall10"))
