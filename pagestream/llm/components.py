@@ -34,9 +34,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = R.stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     while True:
-        edges = R.stage(_star(_star(edges, True), False), "edges")
+        edges = R.stage(_star(_star(edges, True), False), "edges", (edges,))
         # Done when a round changes nothing: all that are linked hang on roots, and the sums of both ends stay.
         now = edges.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).head()
         if now == before:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
+            hung = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+            return R.stage(hung.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()), "roots", (edges,))
         before = now

@@ -7,7 +7,6 @@ import contextlib
 import ctypes
 import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,48 +21,82 @@ from pagestream.shipping import ship
 NULL_ID = -(2**63)
 #: Bytes of (stored) input for each bucket of a packed exchange.
 BUCKET_BYTES = 8 << 20
+#: Ids that may be broadcast: about 64 MB in a hashed relation. Beyond, tables meet in a shuffle.
+BROADCAST_IDS = 1 << 21
 
 
 def prepare(spark: SparkSession) -> None:
-    """Send the package to the executors, and keep Arrow batches small: documents may be long."""
+    """Send the package to the executors, keep Arrow batches small (documents may be long), and have shuffle files go with their query."""
     ship(spark)
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))):
+    settings = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    }
+    for key, value in settings.items():
         with contextlib.suppress(Exception):
             spark.conf.set(key, value)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all nodes share, from spark.checkpoint.dir; a local one only if that is unset."""
+    """The folder all nodes share, from spark.checkpoint.dir; a local one only if that is unset and all runs in this process."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
+#: Staged tables that still exist, and what removes them.
+_STAGED: dict[str, SparkSession] = {}
+
+
+def stage(df: DataFrame, label: str, done: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation.
+
+    ``done``: staged tables that ``df`` was the last to read; they go.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _remove_at_exit(spark, path)
+    _STAGED[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
-    del df
-    for _ in range(2):  # lets Spark's cleaner drop the shuffle files of the finished step
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+    out.staged_path = path
+    drop(*done)
     return out
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    def remove() -> None:
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def _delete(path: str) -> None:
+    spark = _STAGED.pop(path, None)
+    with contextlib.suppress(Exception):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "staged_path", None):
+            _delete(path)
+
 
-    atexit.register(remove)
+@atexit.register
+def _drop_all() -> None:
+    for path in list(_STAGED):
+        _delete(path)
+
+
+def small_side(ids: DataFrame) -> DataFrame:
+    """A staged table of ids, to be broadcast if its counted rows stay within ``BROADCAST_IDS``."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all columns, whatever their names) whose id isn't in the staged table ``gone`` (gone_id; null ids: NULL_ID)."""
+    gone = small_side(gone)
+    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == gone["gone_id"], "left_anti")
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -145,6 +178,21 @@ def places(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(starts)
 
 
+def pack_docs(doc: np.ndarray) -> bytes:
+    """Document numbers as runs."""
+    return pack_places(doc, np.zeros(0, np.int64)) if len(doc) else b""
+
+
+def docs_of(table: pa.Table, name: str) -> np.ndarray:
+    out = [np.zeros(0, np.int64)]
+    for blob in table.column(name).to_pylist():
+        if blob:
+            wide, base, n = np.frombuffer(blob, np.int64, 3).tolist()
+            ids, at = (np.frombuffer(blob, np.int64, n, 24), 24 + 8 * n) if wide else _take(blob, 24)
+            out.append(np.repeat(ids if wide else ids + base, _take(blob, at)[0]))
+    return np.concatenate(out)
+
+
 def pack_sizes(size: np.ndarray) -> bytes:
     return _part(size) if len(size) else b""
 
