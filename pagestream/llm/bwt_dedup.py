@@ -27,13 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import arrays as A
 from . import runtime as R
 
-GRAM = 32
-POS_BITS = np.uint64(22)
+#: Long enough that equal grams by chance, whose number grows with the square of the corpus, hardly count beside true repeats.
+GRAM = 48
 POS_MASK = np.uint64((1 << 22) - 1)
 #: Bytes of segments in one index; a minimizer's segments stay together.
 INDEX_BYTES = 1 << 20
@@ -308,35 +310,57 @@ def repeated_byte_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     marked = R.stage(R.shared_spans(R.map_arrow(texts, _minimizers(length, buckets), R.KEY_SCHEMA), (0, 1), buckets, False, False), "minimizers")
     near = texts.join(marked, "doc_id").select("doc_id", "text", "spans")
     rows = R.map_arrow(near, _segments(length, buckets), SEGMENT_SCHEMA)
-    return R.stage(R.spans_of(R.group_arrow(rows, _mark(length, buckets), R.SPAN_SCHEMA)), "repeats")
+    return R.stage(R.spans_of(R.group_arrow(rows, _mark(length, buckets), R.SPAN_SCHEMA)), "repeats", (marked,))
+
+
+def _cut(text: pa.Array, spans: pa.Array, whole_characters: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(bytes, removed bytes, removed spans, what is kept) of each text."""
+    data, offsets = A.strings(text)
+    marks, where = A.strings(spans)
+    pairs = marks.view(np.int32).reshape(-1, 2).astype(np.int64)
+    of = np.repeat(np.arange(len(offsets) - 1), np.diff(where) // 8)
+    a, z = offsets[of] + pairs[:, 0], offsets[of] + pairs[:, 1]
+    if whole_characters:  # a removed run keeps the parts of characters at its ends
+        inner = lambda x: (x < offsets[of + 1]) & ((np.append(data, np.uint8(0))[np.minimum(x, len(data))] & 0xC0) == 0x80)
+        for _ in range(3):
+            a = np.where((a < z) & inner(a), a + 1, a)
+            z = np.where((a < z) & inner(z), z - 1, z)
+    gone = A.covered(a, z, len(data))
+    left = np.concatenate([[0], np.cumsum(~gone)])[offsets]
+    kept = pa.Array.from_buffers(pa.large_binary(), len(left) - 1, [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[~gone]))])
+    n = np.diff(offsets)
+    return n, n - np.diff(left), np.diff(where) // 8, kept
+
+
+def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (bytes)."""
 
-
-def _kept(whole_characters: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = A.strings(b.column(1))
-            marks, where = A.strings(b.column(2))
-            pairs = marks.view(np.int32).reshape(-1, 2).astype(np.int64)
-            of = np.repeat(np.arange(len(offsets) - 1), np.diff(where) // 8)
-            a, z = offsets[of] + pairs[:, 0], offsets[of] + pairs[:, 1]
-            if whole_characters:  # a removed run keeps the parts of characters at its ends
-                inner = lambda x: (x < offsets[of + 1]) & ((np.append(data, np.uint8(0))[np.minimum(x, len(data))] & 0xC0) == 0x80)
-                for _ in range(3):
-                    a = np.where((a < z) & inner(a), a + 1, a)
-                    z = np.where((a < z) & inner(z), z - 1, z)
-            gone = A.covered(a, z, len(data))
-            left = np.concatenate([[0], np.cumsum(~gone)])[offsets]
-            raw = data[~gone].tobytes()
-            kept = [raw[x:y] for x, y in zip(left[:-1], left[1:], strict=True)]
-            n = np.diff(offsets)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(n - np.diff(left), pa.int64()), pa.array(np.diff(where) // 8, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            n, removed, spans, kept = _cut(b.column(1), b.column(2), False)
+            whole = lambda x: pa.array(x, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), whole(n), whole(removed), whole(spans), kept.cast(pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return work
+    joined = R.keyed(docs, "text").join(repeated_byte_spans(docs, length), "doc_id", "left").select("doc_id", "text", "spans")
+    out = R.map_arrow(joined, work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.select(R.plain_id(), "n_bytes", "n_removed", "n_spans", "kept")
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, whole_characters: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (bytes). ``whole_characters``: never cut a character, so that ``kept`` stays UTF-8."""
+def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    """The documents (all columns) without repeated byte strings; characters stay whole, and a text of which nothing stays goes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = b.column("text")
+            _, removed, _, kept = _cut(text, b.column("spans"), True)
+            kept = pc.if_else(pc.is_null(text), pa.scalar(None, pa.string()), kept.cast(pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rest"), kept, pa.array(removed > 0)], names=["doc_id", "rest", "kept", "cut"])
+
     spans = repeated_byte_spans(docs, length)
-    joined = R.keyed(docs, "text").join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    out = R.map_arrow(joined, _kept(whole_characters), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.select(R.plain_id(), "n_bytes", "n_removed", "n_spans", "kept")
+    # The columns travel inside a struct, where their names can't clash.
+    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(R.NULL_ID)).alias("doc_id"), docs["text"], F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("rest"))
+    joined = rows.join(spans, "doc_id", "left")
+    kind = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    out = R.map_arrow(joined, work, f"doc_id long, rest struct<{kind}>, kept string, cut boolean").where("not cut or trim(kept) <> ''")
+    columns = {"text": F.col("kept"), "n_chars": F.when(F.col("cut"), F.length("kept").cast("long")).otherwise(F.col("rest.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*((columns[c] if c in columns else F.col("rest")[c]).alias(c) for c in docs.columns))

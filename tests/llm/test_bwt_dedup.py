@@ -69,7 +69,7 @@ def test_edge_cases(spark):
     rows = [(5, t), (5, t), (None, t), (7, "ÄÖ" + t)]
     got = sorted((r.doc_id or -1, r.n_removed) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got[0][0] == -1 and got[-1] == (7, 260)
-    same = {r.doc_id: bytes(r.kept).decode() for r in suffix_dedup(spark.createDataFrame([(1, "é" * 80), (2, "x" + "é" * 80)], "doc_id long, text string"), whole_characters=True).collect()}
+    same = {r.doc_id: bytes(r.kept).decode() for r in suffix_dedup(spark.createDataFrame([(1, "é" * 80), (2, "x" + "é" * 80)], "doc_id long, text string")).collect()}
     assert same[2] == "x"
 
 
