@@ -5,13 +5,18 @@ metric a quantile sketch is kept: logarithmic bins with their counts (relative
 error ``GAMMA - 1``), which merge by adding, whatever the order, so that the
 same input always gives the same thresholds.  A group's upper fence is
 
-    q50 + reach * (q50 - q10) + slack
-
-from the half of the group that bad documents don't inflate; the lower fence of
-two-sided rules mirrors it with q90.  Groups below ``least_rows`` documents
-take the sketch of their language, then that of all documents, both merged
-from the groups' own.  The fences are joined to the documents, which fail if
-any metric lies outside.
+    q50 + reach * (q(tail) - q50) + floor
+
+with the median and a tail quantile of the group's own sketch, so that it
+follows each group's habits: documents of a source that uses many symbols or
+repeats its lines are held against that source.  A tail of 0.75 stands for
+metrics in which bad documents may be a large minority; 0.99 for metrics that
+only the odd document has at all.  ``floor`` is a resolution, not a cutoff: it
+is what single words or lines of a short text can make.  The lower fence of
+two-sided rules mirrors the upper one with q(1 - tail).  Groups below
+``least_rows`` documents take the sketch of their language, then that of all
+documents, both merged from the groups' own.  The fences are joined to the
+documents, which fail if any metric lies outside.
 
 Base rules come first and are fixed: too few words, or too many words in
 windows found twice.  Documents that fail them don't enter the sketches.
@@ -40,21 +45,22 @@ GAMMA = 1.02
 
 @dataclass(frozen=True)
 class Rule:
-    """A ratio of two metrics, how far its fence reaches, and what it allows on top."""
+    """A ratio of two metrics, the tail quantile and reach of its fence, and its resolution."""
 
     name: str
     top: str
     bottom: str
+    tail: float
     reach: float
-    slack: float
+    floor: float
     two_sided: bool = False
 
 
 RULES = (
-    Rule("symbol_ratio", "n_symbols", "word_chars", 8.0, 0.03),
-    Rule("dup_line_ratio", "n_dup_lines", "n_lines", 8.0, 0.5),
-    Rule("repeat_ratio", "n_repeat_words", "n_words", 8.0, 0.2),
-    Rule("mean_word_chars", "word_chars", "n_words", 24.0, 2.0, two_sided=True),
+    Rule("symbol_ratio", "n_symbols", "word_chars", 0.75, 8.0, 0.01),
+    Rule("dup_line_ratio", "n_dup_lines", "n_lines", 0.99, 2.0, 0.1),
+    Rule("repeat_ratio", "n_repeat_words", "n_words", 0.99, 2.0, 0.03),
+    Rule("mean_word_chars", "word_chars", "n_words", 0.75, 10.0, 0.5, two_sided=True),
 )
 BASE_WORDS, BASE_REPEAT_PERCENT = 10, 20
 
@@ -106,10 +112,12 @@ def fences(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     whole = Window.partitionBy(*keys, "rule")  # a sketch has a few thousand bins at most
     ranked = sketch.withColumns({"total": F.sum("n").over(whole), "upto": F.sum("n").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))})
     at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("total")), _value(F.col("bin"))))
-    quantiles = ranked.groupBy(*keys, "rule").agg(F.max("total").alias("total"), at(0.1).alias("q10"), at(0.5).alias("q50"), at(0.9).alias("q90"))
-    by_rule = lambda f: F.coalesce(*(F.when(F.col("rule") == r.name, F.lit(f(r))) for r in RULES))
-    high = F.col("q50") + by_rule(lambda r: r.reach) * (F.col("q50") - F.col("q10")) + by_rule(lambda r: r.slack)
-    low = F.when(by_rule(lambda r: r.two_sided), F.col("q50") - by_rule(lambda r: r.reach) * (F.col("q90") - F.col("q50")) - by_rule(lambda r: r.slack))
+    by_rule = lambda f: F.coalesce(*(F.when(F.col("rule") == r.name, f(r)) for r in RULES))
+    upper = F.coalesce(*(F.when(F.first("rule") == r.name, at(r.tail)) for r in RULES))
+    lower = F.coalesce(*(F.when(F.first("rule") == r.name, at(1 - r.tail)) for r in RULES if r.two_sided))
+    quantiles = ranked.groupBy(*keys, "rule").agg(F.max("total").alias("total"), at(0.5).alias("q50"), upper.alias("upper"), lower.alias("lower"))
+    high = F.col("q50") + by_rule(lambda r: F.lit(r.reach)) * (F.col("upper") - F.col("q50")) + by_rule(lambda r: F.lit(r.floor))
+    low = F.col("q50") - by_rule(lambda r: F.lit(r.reach)) * (F.col("q50") - F.col("lower")) - by_rule(lambda r: F.lit(r.floor))
     return quantiles.groupBy(*keys).agg(F.max("total").alias("n"), F.map_from_entries(F.collect_list(F.struct("rule", F.struct(low.alias("low"), high.alias("high")).alias("fence")))).alias("fences"))
 
 
@@ -147,5 +155,5 @@ def quality_verdicts(docs: DataFrame, keys: tuple[str, ...] = ("lang", "source")
 
 def quality_filter(docs: DataFrame, keys: tuple[str, ...] = ("lang", "source"), least_rows: int = 100) -> DataFrame:
     """The documents (all columns) that are kept; ids are taken as unique."""
-    bad = quality_verdicts(docs, keys, least_rows).where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(R.NULL_ID)).alias("bad_doc_id")).distinct()
-    return docs.join(bad, F.coalesce(docs["doc_id"].cast("long"), F.lit(R.NULL_ID)) == F.col("bad_doc_id"), "left_anti")
+    bad = quality_verdicts(docs, keys, least_rows).where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(R.NULL_ID)).alias("gone_id")).distinct()
+    return R.without(docs, R.stage(bad, "bad"))

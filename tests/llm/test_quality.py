@@ -47,10 +47,10 @@ def brute(rows, least):
         for r in Q.RULES:
             v = [ratio(x, r) for x in group]
             if v and kept:
-                q10, q50, q90 = (quantile(v, q) for q in (0.1, 0.5, 0.9))
-                kept &= ratio(m[i], r) <= q50 + r.reach * (q50 - q10) + r.slack
+                q50, upper, lower = (quantile(v, q) for q in (0.5, r.tail, 1 - r.tail))
+                kept &= ratio(m[i], r) <= q50 + r.reach * (upper - q50) + r.floor
                 if r.two_sided:
-                    kept &= ratio(m[i], r) >= q50 - r.reach * (q90 - q50) - r.slack
+                    kept &= ratio(m[i], r) >= q50 - r.reach * (q50 - lower) - r.floor
         out[i] = (*(m[i][k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed(m[i]), bool(kept))
     return out
 
@@ -75,6 +75,37 @@ def test_matches_brute_force(spark):
     assert kept == {i for i, v in got.items() if v[-1]}
 
 
+def test_fences_follow_each_group(spark):
+    # The same mark in every tenth or every other word, the same lines repeated or not: each source is held against itself.
+    r = random.Random(3)
+    words = [f"{a}{b}" for a in "bcdfgh" for b in ("a", "eo", "iou", "oua")]
+
+    def text(symbols, long, again):
+        w = [r.choice(words) * long for _ in range(r.randrange(60, 120))]
+        w = [x + "#" * (r.random() < symbols) for x in w]
+        lines = [" ".join(w[k : k + 8]) for k in range(0, len(w), 8)]
+        return "\n".join(lines + [lines[0]] * (r.random() < again))
+
+    kinds = {"plain": (0.0, 1, 0.0), "code": (0.5, 1, 0.0), "long": (0.0, 3, 0.0), "headed": (0.0, 1, 0.2)}
+    rows = [(1000 * g + k, text(*kinds[s]), "en", s) for g, s in enumerate(kinds) for k in range(150)]
+    shifted = [(9000, text(0.5, 1, 0.0), "en", "plain"), (9001, text(0.5, 1, 0.0), "en", "code"), (9002, text(0.0, 3, 0.0), "en", "plain"), (9003, text(0.0, 3, 0.0), "en", "long")]
+    df = spark.createDataFrame(rows + shifted, "doc_id long, text string, lang string, source string")
+    found = {x.source: {k: (v.low, v.high) for k, v in x.fences.items()} for x in Q.fences(Q.sketches(Q.with_metrics(df, "lang", "source"), ("lang", "source")), ("lang", "source")).collect()}
+    for s in found:
+        print(s, {k: tuple(None if x is None else round(x, 3) for x in v) for k, v in found[s].items()})
+    assert found["code"]["symbol_ratio"][1] > 10 * found["plain"]["symbol_ratio"][1]
+    assert found["long"]["mean_word_chars"][0] > found["plain"]["mean_word_chars"][1]
+    assert found["headed"]["dup_line_ratio"][1] > found["plain"]["dup_line_ratio"][1]
+    kept = {x.doc_id: x.kept for x in Q.quality_verdicts(df).collect()}
+    assert [kept[k] for k in (9000, 9001, 9002, 9003)] == [False, True, False, True]
+
+
+def test_clashing_columns_of_the_filter(spark):
+    rows = [(k, "some words that stand here for a while and go on " + str(k), "en", "s", 1, 2, 3) for k in range(20)] + [(99, "short", "en", "s", 4, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, gone_id long, kept long, n_words long")
+    assert sorted(x.doc_id for x in Q.quality_filter(df).collect()) == list(range(20))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert Q.quality_verdicts(df).collect() == [] and Q.quality_filter(df).collect() == []
