@@ -70,11 +70,11 @@ def is_heading(text: Column) -> Column:
     return text.rlike(NAMED_HEADING) | text.rlike(NUMBERED_HEADING) | text.rlike(SIMPLE_NUMBERED) | text.rlike(ROMAN_HEADING) | text.rlike(ALL_CAPS)
 
 
-def block_kind(text: Column, first_of_packet: Column) -> Column:
+def block_kind(text: Column, first_of_bundle: Column) -> Column:
     """kind and heading level of a stripped block."""
     one_line = ~text.contains("\n")
     dots = F.length(text) - F.length(F.replace(text, F.lit("."), F.lit("")))
-    title = first_of_packet & (F.length(text) < 140) & one_line
+    title = first_of_bundle & (F.length(text) < 140) & one_line
     heading = one_line & is_heading(text)
     level = F.least(F.when(text.rlike(r"^\d"), dots + 1).otherwise(F.lit(1)), F.lit(6))
     return F.struct(

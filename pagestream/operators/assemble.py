@@ -19,7 +19,7 @@ def _order(key: str):
     return Window.partitionBy(key).orderBy("page_index", "reading_order")
 
 
-def sections(blocks: DataFrame, key: str = "packet_id") -> DataFrame:
+def sections(blocks: DataFrame, key: str = "bundle_id") -> DataFrame:
     """One row a section: ord, section_id, level, heading, parent_ord, page_start, page_end, n_blocks.
 
     A heading's parent is the nearest one before it with a lower level; blocks
@@ -49,7 +49,7 @@ def sections(blocks: DataFrame, key: str = "packet_id") -> DataFrame:
     return listed.withColumn("page_end", stop["page"]).drop("following", "last_page")
 
 
-def titles(blocks: DataFrame, key: str = "packet_id") -> DataFrame:
+def titles(blocks: DataFrame, key: str = "bundle_id") -> DataFrame:
     """The first title or heading among the first eight body blocks, else the first block; its first line."""
     rows = body(blocks).withColumn("pos", F.row_number().over(_order(key)))
     line = F.substring(F.split("text", "\n")[0], 1, 200)
@@ -58,7 +58,7 @@ def titles(blocks: DataFrame, key: str = "packet_id") -> DataFrame:
     return rows.groupBy(key).agg(F.coalesce(head["line"], first["line"]).alias("title"))
 
 
-def numbered_parents(sections_: DataFrame, key: str = "packet_id") -> DataFrame:
+def numbered_parents(sections_: DataFrame, key: str = "bundle_id") -> DataFrame:
     """For each section with an outline number: the nearest one before it whose number is its number without the last part."""
     number = T.decimal_numbering(F.col("heading"))
     rows = sections_.withColumn("number", number).where("number is not null").withColumns({"depth": F.size("number"), "own": F.array_join("number", "."), "want": F.when(F.size("number") > 1, F.array_join(F.slice("number", F.lit(1), F.size("number") - 1), "."))})
@@ -69,7 +69,7 @@ def numbered_parents(sections_: DataFrame, key: str = "packet_id") -> DataFrame:
     return rows.select(key, "ord", "own", "depth").join(found, [key, "ord"], "left")
 
 
-def repaired(sections_: DataFrame, key: str = "packet_id") -> DataFrame:
+def repaired(sections_: DataFrame, key: str = "bundle_id") -> DataFrame:
     """Sections whose outline number puts them elsewhere: level becomes the depth, the parent the numbered one; one row a move."""
     moves = numbered_parents(sections_, key).where("number_parent is not null")
     joined = sections_.join(moves, [key, "ord"])
@@ -77,15 +77,15 @@ def repaired(sections_: DataFrame, key: str = "packet_id") -> DataFrame:
 
 
 def citations(documents: DataFrame, blocks: DataFrame) -> DataFrame:
-    """documents(packet_id, doc_index, cited array<string>), blocks(packet_id, doc_index, block_id): cited ids with a resolved flag; ids of the same and earlier documents are known."""
-    cited = documents.select("packet_id", "doc_index", F.explode("cited").alias("block_id"))
-    known = blocks.groupBy("packet_id", "block_id").agg(F.min("doc_index").alias("known_from"))
-    return cited.join(known, ["packet_id", "block_id"], "left").withColumn("resolved", F.coalesce(F.col("known_from") <= F.col("doc_index"), F.lit(False)))
+    """documents(bundle_id, doc_index, cited array<string>), blocks(bundle_id, doc_index, block_id): cited ids with a resolved flag; ids of the same and earlier documents are known."""
+    cited = documents.select("bundle_id", "doc_index", F.explode("cited").alias("block_id"))
+    known = blocks.groupBy("bundle_id", "block_id").agg(F.min("doc_index").alias("known_from"))
+    return cited.join(known, ["bundle_id", "block_id"], "left").withColumn("resolved", F.coalesce(F.col("known_from") <= F.col("doc_index"), F.lit(False)))
 
 
 def citation_integrity(documents: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Share of citations that some block of the packet resolves; 1 without citations."""
-    cited = documents.select("packet_id", F.explode_outer("cited").alias("block_id"))
-    ids = blocks.select("packet_id", "block_id").distinct().withColumn("known", F.lit(1))
+    """Share of citations that some block of the bundle resolves; 1 without citations."""
+    cited = documents.select("bundle_id", F.explode_outer("cited").alias("block_id"))
+    ids = blocks.select("bundle_id", "block_id").distinct().withColumn("known", F.lit(1))
     share = F.avg(F.when(F.col("block_id").isNotNull(), F.coalesce("known", F.lit(0))))
-    return cited.join(ids, ["packet_id", "block_id"], "left").groupBy("packet_id").agg(F.coalesce(share, F.lit(1.0)).alias("integrity"))
+    return cited.join(ids, ["bundle_id", "block_id"], "left").groupBy("bundle_id").agg(F.coalesce(share, F.lit(1.0)).alias("integrity"))

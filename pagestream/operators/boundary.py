@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagestream.functions import text as T
-from pagestream.sources.adapters import packet_window, size_jump
+from pagestream.sources.adapters import bundle_window, size_jump
 
 # --- fixed values: weights and levels of the signals, in the order they are added ---
 WEIGHTS = {"page_number_reset": 0.45, "sequence_completed": 0.2, "header_changed": 0.25, "media_box_changed": 0.2, "title_top": 0.45, "title_block": 0.25, "topic_shift": 0.2, "language_changed": 0.25, "embed_shift": 0.15}
@@ -19,7 +19,7 @@ TOPIC_SHIFT_MAX, EMBED_SHIFT_MAX = 0.01, 0.5
 
 def with_previous(pages: DataFrame, columns: Iterable[str], steps: int = 1) -> DataFrame:
     """Adds prev_<column> (and prev2_<column>), all over one sort."""
-    w = packet_window()
+    w = bundle_window()
     made = {f"prev_{c}": F.lag(c, 1).over(w) for c in columns}
     if steps > 1:
         made |= {f"prev2_{c}": F.lag(c, 2).over(w) for c in columns}
@@ -43,17 +43,17 @@ def number_signals(pages: DataFrame) -> DataFrame:
 def topic_dots(pages: DataFrame) -> DataFrame:
     """Pages with n_words, norm (of their content-word counts) and dot1, dot2 (products with the page before and the one before that).
 
-    Counts are made per (packet, page, word) and meet their neighbours per (packet, word): no page's words are
-    compared with another's one by one, and a packet of any length is spread over its words.
+    Counts are made per (bundle, page, word) and meet their neighbours per (bundle, word): no page's words are
+    compared with another's one by one, and a bundle of any length is spread over its words.
     """
-    words = pages.select("packet_id", "page_index", F.explode(T.content_words(F.col("text"))).alias("word"))
-    counted = words.groupBy("packet_id", "page_index", "word").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("packet_id", "word").orderBy("page_index")
+    words = pages.select("bundle_id", "page_index", F.explode(T.content_words(F.col("text"))).alias("word"))
+    counted = words.groupBy("bundle_id", "page_index", "word").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("bundle_id", "word").orderBy("page_index")
     back = lambda k: F.sum("c").over(w.rangeBetween(-k, -k))
     near = counted.withColumns({"c1": back(1), "c2": back(2)})
     total = lambda c: F.coalesce(F.sum(F.col("c") * F.col(c)), F.lit(0))
-    sums = near.groupBy("packet_id", "page_index").agg(F.sum("c").alias("n_words"), total("c").alias("norm"), total("c1").alias("dot1"), total("c2").alias("dot2"))
-    return pages.join(sums, ["packet_id", "page_index"], "left").na.fill(0, ["n_words", "norm", "dot1", "dot2"])
+    sums = near.groupBy("bundle_id", "page_index").agg(F.sum("c").alias("n_words"), total("c").alias("norm"), total("c1").alias("dot1"), total("c2").alias("dot2"))
+    return pages.join(sums, ["bundle_id", "page_index"], "left").na.fill(0, ["n_words", "norm", "dot1", "dot2"])
 
 
 def adjacent_similarity(pages: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def embedding_cosine(current: Column, one: Column, two: Column) -> Column:
 
 
 def combine(flags: DataFrame) -> DataFrame:
-    """confidence and reason from the flags among ``WEIGHTS`` that are columns; null on a packet's first page and below the level to propose."""
+    """confidence and reason from the flags among ``WEIGHTS`` that are columns; null on a bundle's first page and below the level to propose."""
     present = [r for r in WEIGHTS if r in flags.columns]
     on = {r: F.coalesce(F.col(r), F.lit(False)) for r in present}
     score = F.lit(0.0)
@@ -124,21 +124,21 @@ def document_index(decisions: DataFrame, blocks: str = "n_blocks", apply: bool =
 
     ``apply=False``: one document.  ``always_filled``: all pages have blocks, so that every split but a first page's takes effect.
     """
-    w = packet_window()
+    w = bundle_window()
     if apply and always_filled:
         marked = decisions.withColumn("effective", F.col("split") & (F.col("page_index") > 0))
         return marked.withColumn("doc_index", F.sum(F.when(F.col("effective"), 1).otherwise(0)).over(w).cast("int"))
     if not apply:
         return decisions.withColumns({"effective": F.lit(False), "doc_index": F.lit(0)})
     run = decisions.withColumn("_run", F.sum(F.when(F.col("split"), 1).otherwise(0)).over(w))
-    filled = run.groupBy("packet_id", "_run").agg(F.sum(blocks).alias("_blocks"))
-    before = Window.partitionBy("packet_id").orderBy("_run")
-    prior = filled.withColumn("_prior", F.lag("_blocks").over(before)).select("packet_id", "_run", "_prior")
-    joined = run.join(prior, ["packet_id", "_run"])
+    filled = run.groupBy("bundle_id", "_run").agg(F.sum(blocks).alias("_blocks"))
+    before = Window.partitionBy("bundle_id").orderBy("_run")
+    prior = filled.withColumn("_prior", F.lag("_blocks").over(before)).select("bundle_id", "_run", "_prior")
+    joined = run.join(prior, ["bundle_id", "_run"])
     effective = F.col("split") & (F.coalesce("_prior", F.lit(0)) > 0) & (F.col("page_index") > 0)
     marked = joined.withColumn("effective", effective)
     return marked.withColumn("doc_index", F.sum(F.when(F.col("effective"), 1).otherwise(0)).over(w).cast("int")).drop("_run", "_prior")
 
 
 def document_ranges(indexed: DataFrame) -> DataFrame:
-    return indexed.groupBy("packet_id", "doc_index").agg(F.min("page_index").alias("page_start"), F.max("page_index").alias("page_end"))
+    return indexed.groupBy("bundle_id", "doc_index").agg(F.min("page_index").alias("page_start"), F.max("page_index").alias("page_end"))

@@ -56,14 +56,14 @@ def loop_fired(ratio: Column, limit: float = LOOP_RATIO) -> Column:
 
 
 def strikes(replies: DataFrame, limit: int = MAX_STRIKES) -> DataFrame:
-    """replies(packet_id, page_index, probability): strike counts unparseable replies so far; from the ``limit``-th on the packet is exhausted."""
-    w = Window.partitionBy("packet_id").orderBy("page_index")
+    """replies(bundle_id, page_index, probability): strike counts unparseable replies so far; from the ``limit``-th on the bundle is exhausted."""
+    w = Window.partitionBy("bundle_id").orderBy("page_index")
     counted = replies.withColumn("strike", F.sum(F.when(F.col("probability").isNull(), 1).otherwise(0)).over(w))
     return counted.withColumn("exhausted", F.col("strike") >= limit)
 
 
 def fewshot_prompts(documents: DataFrame, examples: list[tuple[str, str]], limit: int = MAX_PROMPT) -> DataFrame:
-    """documents(packet_id, doc_index, lines array<struct<block_id, text>>): prompt, or the drop prompt_too_long."""
+    """documents(bundle_id, doc_index, lines array<struct<block_id, text>>): prompt, or the drop prompt_too_long."""
     shots = "\n\n".join(f"INPUT\n{i}\nOUTPUT\n{o}" for i, o in examples)
     body = F.array_join(F.transform("lines", lambda x: F.concat(x["block_id"], F.lit("\t"), T.fold(x["text"], 400))), "\n")
     prompt = F.concat(F.lit(shots + "\n\nINPUT\n"), body, F.lit("\nOUTPUT\n"))
@@ -71,15 +71,15 @@ def fewshot_prompts(documents: DataFrame, examples: list[tuple[str, str]], limit
 
 
 def grounded_fields(replies: DataFrame) -> DataFrame:
-    """replies(packet_id, doc_index, known array<string>, fields map<string, struct<value, source_block_ids>>): one row a field.
+    """replies(bundle_id, doc_index, known array<string>, fields map<string, struct<value, source_block_ids>>): one row a field.
 
     A field stays if it names at least one block and all are blocks of the document.
     """
-    rows = replies.select("packet_id", "doc_index", "known", F.explode("fields").alias("field", "f"))
+    rows = replies.select("bundle_id", "doc_index", "known", F.explode("fields").alias("field", "f"))
     ids = F.coalesce("f.source_block_ids", F.array().cast("array<string>"))
     valid = (F.size(ids) > 0) & F.col("f.value").isNotNull()
     ok = valid & (F.size(F.array_except(ids, "known")) == 0)
-    return rows.select("packet_id", "doc_index", "field", F.when(ok, F.col("f.value")).alias("value"), F.when(~valid, "invalid_schema").when(~ok, "ungrounded").alias("drop"))
+    return rows.select("bundle_id", "doc_index", "field", F.when(ok, F.col("f.value")).alias("value"), F.when(~valid, "invalid_schema").when(~ok, "ungrounded").alias("drop"))
 
 
 def complete(prompts: DataFrame, completion: Callable[[list[str]], list[str]], column: str = "prompt") -> DataFrame:

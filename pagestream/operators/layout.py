@@ -30,13 +30,13 @@ def labelled(label: Column, names: dict[str, str]) -> Column:
 
 
 def layout_blocks(lines: DataFrame) -> DataFrame:
-    """lines(packet_id, page_index, height, pos, text, x0, top, x1, bottom, size, bold) to blocks.
+    """lines(bundle_id, page_index, height, pos, text, x0, top, x1, bottom, size, bold) to blocks.
 
     Bands come first and last; the biggest content lines in the upper part are
     the title, up to the first line that isn't; neighbouring paragraph lines
     join where the gap is small.
     """
-    key = ["packet_id", "page_index"]
+    key = ["bundle_id", "page_index"]
     weight = lines.groupBy(*key, "size").agg(F.sum(F.length("text")).alias("chars"), F.min("pos").alias("seen"))
     body = weight.groupBy(*key).agg(F.max_by("size", F.struct("chars", -F.col("seen"))).alias("body"))
     height = F.coalesce("height", F.lit(DEFAULT_HEIGHT))
@@ -67,7 +67,7 @@ def layout_blocks(lines: DataFrame) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n")
     out = rows.groupBy(*key, "reading_order").agg(text.alias("text"), F.min("x0").alias("x0"), by(F.min_by, "top").alias("y0"), F.max("x1").alias("x1"), by(F.max_by, "bottom").alias("y1"), F.first("kind").alias("kind"), F.first("band").alias("band"), by(F.min_by, "size").alias("size"), F.first("body").alias("body"))
     return out.withColumns({
-        "block_id": F.format_string("%s-p%d-b%d", "packet_id", "page_index", "reading_order"),
+        "block_id": F.format_string("%s-p%d-b%d", "bundle_id", "page_index", "reading_order"),
         "heading_level": F.when(F.col("kind") == "title", 0).when(F.col("kind") == "heading", 1),
         "small": (F.col("body") > 0) & (F.col("size") < F.col("body") * BOLD_RATIO),
         "confidence": F.lit(0.8),
@@ -87,14 +87,14 @@ def markdown_blocks(raw: Column) -> Column:
 
 
 def grounding_blocks(pages: DataFrame) -> DataFrame:
-    """pages(packet_id, page_index, raw, width, height) of tagged recognition output to blocks with boxes in points.
+    """pages(bundle_id, page_index, raw, width, height) of tagged recognition output to blocks with boxes in points.
 
     Without tags the output is read as marked-up text.  A title's marks give its
     level; a head or foot that is a page label as a whole is a page number; a
     trailing page label of a text block becomes a block of its own.
     """
     found = pages.withColumns({"tags": F.regexp_extract_all("raw", F.lit(f"({TAG})"), F.lit(1)), "bodies": F.split("raw", TAG)})
-    tagged = found.where(F.size("tags") > 0).select("packet_id", "page_index", "width", "height", F.posexplode(F.arrays_zip("tags", F.slice("bodies", F.lit(2), F.size("tags")).alias("bodies"))).alias("i", "z"), T.strip(F.col("bodies")[0]).alias("lead"))
+    tagged = found.where(F.size("tags") > 0).select("bundle_id", "page_index", "width", "height", F.posexplode(F.arrays_zip("tags", F.slice("bodies", F.lit(2), F.size("tags")).alias("bodies"))).alias("i", "z"), T.strip(F.col("bodies")[0]).alias("lead"))
     part = lambda k: F.regexp_extract("z.tags", TAG, k)
     box = lambda k: F.least(F.greatest(part(k).try_cast("int"), F.lit(0)), F.lit(1000))
     text, label = T.strip(F.col("z.bodies")), part(1)
@@ -103,9 +103,9 @@ def grounding_blocks(pages: DataFrame) -> DataFrame:
     clean = F.when(label == "title", F.regexp_replace(text, r"^#+\s*", "")).otherwise(text)
     kind = F.when(level == 1, "title").when(label.isin("header", "footer") & T.keyword_fraction(clean).isNotNull(), "page_number").otherwise(labelled(label, GROUNDING_LABELS))
     w, h = F.coalesce("width", F.lit(DEFAULT_WIDTH)), F.coalesce("height", F.lit(DEFAULT_HEIGHT))
-    blocks = tagged.select("packet_id", "page_index", F.lit(1).alias("part"), "i", kind.alias("kind"), level.alias("level"), clean.alias("text"), label.alias("label"), (F.least(box(3), box(5)) / 1000 * w).alias("x0"), (F.least(box(4), box(6)) / 1000 * h).alias("y0"), (F.greatest(box(3), box(5)) / 1000 * w).alias("x1"), (F.greatest(box(4), box(6)) / 1000 * h).alias("y1"))
+    blocks = tagged.select("bundle_id", "page_index", F.lit(1).alias("part"), "i", kind.alias("kind"), level.alias("level"), clean.alias("text"), label.alias("label"), (F.least(box(3), box(5)) / 1000 * w).alias("x0"), (F.least(box(4), box(6)) / 1000 * h).alias("y0"), (F.greatest(box(3), box(5)) / 1000 * w).alias("x1"), (F.greatest(box(4), box(6)) / 1000 * h).alias("y1"))
     # Marked-up text: all of it without tags, or what comes before the first tag.
-    loose = found.select("packet_id", "page_index", F.posexplode(markdown_blocks(F.col("bodies")[0])).alias("i", "m")).select("packet_id", "page_index", F.lit(0).alias("part"), "i", "m.kind", "m.level", "m.text", F.lit(None).cast("string").alias("label"), *(F.lit(None).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    loose = found.select("bundle_id", "page_index", F.posexplode(markdown_blocks(F.col("bodies")[0])).alias("i", "m")).select("bundle_id", "page_index", F.lit(0).alias("part"), "i", "m.kind", "m.level", "m.text", F.lit(None).cast("string").alias("label"), *(F.lit(None).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
     every = blocks.unionByName(loose)
     # Trailing labels: the block as it is, or its body and the label behind it.
     may = F.col("kind").isin("paragraph", "title", "heading", "list_item", "unknown") & (F.col("label").isNull() | (F.col("label") == "text"))
@@ -117,22 +117,22 @@ def grounding_blocks(pages: DataFrame) -> DataFrame:
         .when(may & T.trailing_label(F.col("text")).isNotNull(), F.array(piece(F.col("kind"), F.col("level"), T.trailing_label(F.col("text"))["body"]), piece(F.lit("page_number"), none, T.trailing_label(F.col("text"))["label"])))
         .otherwise(F.array(piece(F.col("kind"), F.col("level"), F.col("text"))))
     )
-    flat = every.select("packet_id", "page_index", "part", "i", "label", "x0", "y0", "x1", "y1", F.posexplode(pieces).alias("k", "p"))
-    order = Window.partitionBy("packet_id", "page_index").orderBy("part", "i", "k")
-    return flat.select("packet_id", "page_index", (F.row_number().over(order) - 1).alias("reading_order"), "p.kind", F.col("p.level").alias("heading_level"), "p.text", "label", "x0", "y0", "x1", "y1")
+    flat = every.select("bundle_id", "page_index", "part", "i", "label", "x0", "y0", "x1", "y1", F.posexplode(pieces).alias("k", "p"))
+    order = Window.partitionBy("bundle_id", "page_index").orderBy("part", "i", "k")
+    return flat.select("bundle_id", "page_index", (F.row_number().over(order) - 1).alias("reading_order"), "p.kind", F.col("p.level").alias("heading_level"), "p.text", "label", "x0", "y0", "x1", "y1")
 
 
 def region_blocks(pages: DataFrame, dpi: float) -> DataFrame:
-    """pages(packet_id, page_index, regions array<struct<label, bbox array<double>, text>>) to blocks; boxes from pixels to points."""
+    """pages(bundle_id, page_index, regions array<struct<label, bbox array<double>, text>>) to blocks; boxes from pixels to points."""
     s = 72.0 / dpi
-    rows = pages.select("packet_id", "page_index", F.posexplode("regions").alias("reading_order", "r"))
+    rows = pages.select("bundle_id", "page_index", F.posexplode("regions").alias("reading_order", "r"))
     at = lambda k: F.try_element_at("r.bbox", F.lit(k + 1)) * s
-    return rows.select("packet_id", "page_index", "reading_order", labelled(F.coalesce("r.label", F.lit("")), REGION_LABELS).alias("kind"), T.strip(F.coalesce("r.text", F.lit(""))).alias("text"), at(0).alias("x0"), at(1).alias("y0"), at(2).alias("x1"), at(3).alias("y1"))
+    return rows.select("bundle_id", "page_index", "reading_order", labelled(F.coalesce("r.label", F.lit("")), REGION_LABELS).alias("kind"), T.strip(F.coalesce("r.text", F.lit(""))).alias("text"), at(0).alias("x0"), at(1).alias("y0"), at(2).alias("x1"), at(3).alias("y1"))
 
 
 def route(pages: DataFrame, native: DataFrame, recognised: DataFrame) -> DataFrame:
     """Blocks by page class: text and unknown pages native; scans and suspect pages recognised, even if that is empty; mixed pages recognised, native where that is empty."""
-    key = ["packet_id", "page_index"]
+    key = ["bundle_id", "page_index"]
     kinds = pages.select(*key, "page_class")
     has = recognised.select(*key).distinct().withColumn("_seen", F.lit(True))
     use = kinds.join(has, key, "left").withColumn("_ocr", F.col("page_class").isin("scan", "suspect_encoding") | ((F.col("page_class") == "mixed") & F.col("_seen").isNotNull())).select(*key, "_ocr")

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 
 def boundaries(ranges: DataFrame) -> DataFrame:
-    """The last page of every document but a packet's last."""
-    w = Window.partitionBy("packet_id").orderBy("page_start")
-    return ranges.withColumn("next", F.lead("page_start").over(w)).where("next is not null").select("packet_id", F.col("page_end").alias("page_index"))
+    """The last page of every document but a bundle's last."""
+    w = Window.partitionBy("bundle_id").orderBy("page_start")
+    return ranges.withColumn("next", F.lead("page_start").over(w)).where("next is not null").select("bundle_id", F.col("page_end").alias("page_index"))
 
 
 def marks(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Each boundary as tp, fp or fn."""
-    g, p = gold.select("packet_id", "page_index", F.lit(1).alias("g")), predicted.select("packet_id", "page_index", F.lit(1).alias("p"))
+    g, p = gold.select("bundle_id", "page_index", F.lit(1).alias("g")), predicted.select("bundle_id", "page_index", F.lit(1).alias("p"))
     mark = F.when(F.col("g").isNull(), "fp").when(F.col("p").isNull(), "fn").otherwise("tp")
-    return g.join(p, ["packet_id", "page_index"], "full").select("packet_id", "page_index", mark.alias("mark"))
+    return g.join(p, ["bundle_id", "page_index"], "full").select("bundle_id", "page_index", mark.alias("mark"))
 
 
 def prf(tp: Column, n_pred: Column, n_gold: Column) -> tuple[Column, Column, Column]:
@@ -27,11 +27,11 @@ def prf(tp: Column, n_pred: Column, n_gold: Column) -> tuple[Column, Column, Col
     return p, r, F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
 
 
-def boundary_scores(packets: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """One row a packet of ``packets``: counts and scores."""
+def boundary_scores(bundles: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """One row a bundle of ``bundles``: counts and scores."""
     count = lambda m: F.coalesce(F.sum(F.when(F.col("mark") == m, 1)), F.lit(0))
-    counted = marks(gold, predicted).groupBy("packet_id").agg(count("tp").alias("tp"), count("fp").alias("fp"), count("fn").alias("fn"))
-    rows = packets.select("packet_id").distinct().join(counted, "packet_id", "left").na.fill(0, ["tp", "fp", "fn"])
+    counted = marks(gold, predicted).groupBy("bundle_id").agg(count("tp").alias("tp"), count("fp").alias("fp"), count("fn").alias("fn"))
+    rows = bundles.select("bundle_id").distinct().join(counted, "bundle_id", "left").na.fill(0, ["tp", "fp", "fn"])
     p, r, f = prf(F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn"))
     return rows.withColumns({"precision": p, "recall": r, "f1": f})
 
@@ -40,17 +40,17 @@ def flagged_scores(pages: DataFrame, gold: str, predicted: str) -> DataFrame:
     """The same from pages that carry both sides' starts as flags: one aggregation, no joins."""
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     g, p = F.col(gold), F.col(predicted)
-    rows = pages.groupBy("packet_id").agg(count(g & p).alias("tp"), count(~g & p).alias("fp"), count(g & ~p).alias("fn"))
+    rows = pages.groupBy("bundle_id").agg(count(g & p).alias("tp"), count(~g & p).alias("fp"), count(g & ~p).alias("fn"))
     precision, recall, f = prf(F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn"))
     return rows.withColumns({"precision": precision, "recall": recall, "f1": f})
 
 
-def gate(scores: DataFrame, packet_floor: float, macro_floor: float) -> DataFrame:
-    """One row: macro and micro scores, packets under the floor, and whether the gate is passed. NaN fails."""
-    low = F.col("f1").isNull() | F.isnan("f1") | (F.col("f1") < packet_floor)
-    out = scores.agg(F.count("*").alias("packets"), F.avg("f1").alias("macro_f1"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.count_if(low).alias("failed"))
+def gate(scores: DataFrame, bundle_floor: float, macro_floor: float) -> DataFrame:
+    """One row: macro and micro scores, bundles under the floor, and whether the gate is passed. NaN fails."""
+    low = F.col("f1").isNull() | F.isnan("f1") | (F.col("f1") < bundle_floor)
+    out = scores.agg(F.count("*").alias("bundles"), F.avg("f1").alias("macro_f1"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.count_if(low).alias("failed"))
     p, r, f = prf(F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn"))
-    return out.withColumns({"micro_precision": p, "micro_recall": r, "micro_f1": f}).withColumn("passed", (F.col("packets") > 0) & (F.col("failed") == 0) & F.coalesce(~F.isnan("macro_f1") & (F.col("macro_f1") >= macro_floor), F.lit(False)))
+    return out.withColumns({"micro_precision": p, "micro_recall": r, "micro_f1": f}).withColumn("passed", (F.col("bundles") > 0) & (F.col("failed") == 0) & F.coalesce(~F.isnan("macro_f1") & (F.col("macro_f1") >= macro_floor), F.lit(False)))
 
 
 def auroc(rows: DataFrame, score: str, label: str) -> DataFrame:

@@ -29,7 +29,7 @@ DRIVER_ROWS = 100_000
 
 
 def features(pages: DataFrame) -> DataFrame:
-    """pages(packet_id, page_index, page_num, page_total, title, text, width, height, rotation) to FEATURES; a packet's first page has none."""
+    """pages(bundle_id, page_index, page_num, page_total, title, text, width, height, rotation) to FEATURES; a bundle's first page has none."""
     rows = topic_dots(pages).withColumn("guess", T.detect_language(F.col("text")))
     rows = with_previous(rows, ("page_num", "text", "guess", "n_words", "norm", "width", "height", "rotation"))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
@@ -53,7 +53,7 @@ def features(pages: DataFrame) -> DataFrame:
         "lang_change": flag(~T.same_language(F.col("prev_guess"), F.col("guess"))),
         "topic_sim": F.when(both, F.when((F.col("norm") > 0) & (F.col("prev_norm") > 0), F.col("dot1") / F.sqrt(F.col("norm").cast("double") * F.col("prev_norm"))).otherwise(0.0)).otherwise(1.0),
     }
-    return rows.where("page_index > 0").select("packet_id", "page_index", *(made[f].alias(f) for f in FEATURES))
+    return rows.where("page_index > 0").select("bundle_id", "page_index", *(made[f].alias(f) for f in FEATURES))
 
 
 @dataclass

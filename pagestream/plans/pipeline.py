@@ -39,28 +39,28 @@ class Result:
 def page_blocks(pages: DataFrame) -> DataFrame:
     """Typed blocks of plain text pages; edge lines that repeat or number pages are tagged."""
     kinds = T.block_kind(F.col("text"), (F.col("page_index") == 0) & (F.col("reading_order") == 0))
-    split = pages.select("packet_id", "page_index", F.posexplode(T.split_blocks(F.col("text"))).alias("reading_order", "text"))
-    typed = split.withColumn("k", kinds).select("packet_id", "page_index", "reading_order", "text", "k.kind", "k.heading_level")
-    tags = furniture.tags(pages).select("packet_id", "page_index", "top", "bottom", "is_page_number", "is_footer", "is_header")
-    rows = typed.join(tags, ["packet_id", "page_index"], "left")
+    split = pages.select("bundle_id", "page_index", F.posexplode(T.split_blocks(F.col("text"))).alias("reading_order", "text"))
+    typed = split.withColumn("k", kinds).select("bundle_id", "page_index", "reading_order", "text", "k.kind", "k.heading_level")
+    tags = furniture.tags(pages).select("bundle_id", "page_index", "top", "bottom", "is_page_number", "is_footer", "is_header")
+    rows = typed.join(tags, ["bundle_id", "page_index"], "left")
     # A block that is an edge line as a whole takes its tag; an edge line inside a block is left to the text.
     one = F.when((F.col("text") == F.col("bottom")) & F.col("is_page_number"), "page_number").when((F.col("text") == F.col("bottom")) & F.col("is_footer"), "footer").when((F.col("text") == F.col("top")) & F.col("is_header"), "header")
     kind = F.coalesce(one, F.col("kind"))
-    return rows.select("packet_id", "page_index", "reading_order", "text", kind.alias("kind"), F.when(one.isNull(), F.col("heading_level")).alias("heading_level"), F.format_string("%s-p%d-b%d", "packet_id", "page_index", "reading_order").alias("block_id"))
+    return rows.select("bundle_id", "page_index", "reading_order", "text", kind.alias("kind"), F.when(one.isNull(), F.col("heading_level")).alias("heading_level"), F.format_string("%s-p%d-b%d", "bundle_id", "page_index", "reading_order").alias("block_id"))
 
 
 def page_facts(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """Pages with n_blocks, page_num, page_total and title from their blocks."""
-    listed = blocks.groupBy("packet_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("reading_order", "kind", "text"))).alias("b"))
+    listed = blocks.groupBy("bundle_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("reading_order", "kind", "text"))).alias("b"))
     body = F.filter("b", lambda x: ~x["kind"].isin(*assemble.FURNITURE))
     title = F.when(F.try_element_at(body, F.lit(1))["kind"] == "title", "top").when(F.exists(body, lambda x: x["kind"] == "title"), "lower")
     number = T.page_number(F.col("b"))
-    facts = listed.select("packet_id", "page_index", F.size("b").alias("n_blocks"), number["num"].alias("page_num"), number["total"].alias("page_total"), title.alias("title"))
-    return pages.join(facts, ["packet_id", "page_index"], "left").na.fill(0, ["n_blocks"])
+    facts = listed.select("bundle_id", "page_index", F.size("b").alias("n_blocks"), number["num"].alias("page_num"), number["total"].alias("page_total"), title.alias("title"))
+    return pages.join(facts, ["bundle_id", "page_index"], "left").na.fill(0, ["n_blocks"])
 
 
 def parse(pages: DataFrame, config: PipelineConfig = PipelineConfig()) -> Result:
-    """pages(packet_id, page_index, text[, width, height, rotation]) to blocks, decisions, documents and sections."""
+    """pages(bundle_id, page_index, text[, width, height, rotation]) to blocks, decisions, documents and sections."""
     for name, value in (("width", F.lit(None).cast("double")), ("height", F.lit(None).cast("double")), ("rotation", F.lit(0))):
         if name not in pages.columns:
             pages = pages.withColumn(name, value)
@@ -70,23 +70,23 @@ def parse(pages: DataFrame, config: PipelineConfig = PipelineConfig()) -> Result
     flags = flags.withColumns({"title_top": (F.col("title") == "top") & (F.col("page_index") > 0), "title_block": (F.col("title") == "lower") & (F.col("page_index") > 0)})
     signals = boundary.combine(flags)
     if config.weights is not None:
-        scored = features(facts).withColumn("p", probability(config.weights)).select("packet_id", "page_index", "p")
-        signals = boundary.with_model(signals.join(scored, ["packet_id", "page_index"], "left"), "p")
+        scored = features(facts).withColumn("p", probability(config.weights)).select("bundle_id", "page_index", "p")
+        signals = boundary.with_model(signals.join(scored, ["bundle_id", "page_index"], "left"), "p")
     decided = lookahead.decide(signals, lookahead.SplitConfig(config.window, config.commit_confidence, config.min_boundary_confidence))
-    counted = decided.join(facts.select("packet_id", "page_index", "n_blocks"), ["packet_id", "page_index"])
+    counted = decided.join(facts.select("bundle_id", "page_index", "n_blocks"), ["bundle_id", "page_index"])
     indexed = boundary.document_index(counted, apply=config.split_on_boundary)
-    placed = blocks.join(indexed.select("packet_id", "page_index", "doc_index"), ["packet_id", "page_index"]).withColumn("document_id", F.format_string("%s-doc-%d", "packet_id", "doc_index"))
-    documents = boundary.document_ranges(indexed).withColumn("document_id", F.format_string("%s-doc-%d", "packet_id", "doc_index")).join(assemble.titles(placed, "document_id"), "document_id", "left")
+    placed = blocks.join(indexed.select("bundle_id", "page_index", "doc_index"), ["bundle_id", "page_index"]).withColumn("document_id", F.format_string("%s-doc-%d", "bundle_id", "doc_index"))
+    documents = boundary.document_ranges(indexed).withColumn("document_id", F.format_string("%s-doc-%d", "bundle_id", "doc_index")).join(assemble.titles(placed, "document_id"), "document_id", "left")
     return Result(signals, placed, indexed, documents, assemble.sections(placed, "document_id"))
 
 
 def inspect(pages: DataFrame) -> DataFrame:
     """One line an event, shortened."""
-    c = pages.select("packet_id", "page_index", T.page_class(F.col("text")).alias("c"))
+    c = pages.select("bundle_id", "page_index", T.page_class(F.col("text")).alias("c"))
     return c.select(F.format_string("%-20s page=%d %s", F.lit("page_classified"), "page_index", F.substring(F.to_json("c"), 1, 180)).alias("line"))
 
 
-def evaluate(gold: DataFrame, predicted: DataFrame, packet_floor: float, macro_floor: float) -> tuple[DataFrame, DataFrame]:
-    """Ranges(packet_id, doc_index, page_start, page_end) of both sides to (scores, gate)."""
+def evaluate(gold: DataFrame, predicted: DataFrame, bundle_floor: float, macro_floor: float) -> tuple[DataFrame, DataFrame]:
+    """Ranges(bundle_id, doc_index, page_start, page_end) of both sides to (scores, gate)."""
     scores = metrics.boundary_scores(gold, metrics.boundaries(gold), metrics.boundaries(predicted))
-    return scores, metrics.gate(scores, packet_floor, macro_floor)
+    return scores, metrics.gate(scores, bundle_floor, macro_floor)

@@ -77,32 +77,32 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topic_similarity_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = boundary.adjacent_similarity(S.document_pages(spark, sf_dir))
-    return rows.where("page_index > 0").select("packet_id", "page_index", F.round("similarity", 6).alias("similarity"))
+    return rows.where("page_index > 0").select("bundle_id", "page_index", F.round("similarity", 6).alias("similarity"))
 
 
 def language_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = boundary.with_previous(S.document_pages(spark, sf_dir).withColumn("guess", T.detect_language(F.col("text"))), ("guess",))
-    return rows.where("page_index > 0").select("packet_id", "page_index", (~T.same_language(F.col("prev_guess"), F.col("guess"))).alias("changed"))
+    return rows.where("page_index > 0").select("bundle_id", "page_index", (~T.same_language(F.col("prev_guess"), F.col("guess"))).alias("changed"))
 
 
 def topic_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boundary.topic_signals(S.document_pages(spark, sf_dir)).select("packet_id", "page_index", "topic_shift", "language_changed")
+    return boundary.topic_signals(S.document_pages(spark, sf_dir)).select("bundle_id", "page_index", "topic_shift", "language_changed")
 
 
 def page_number_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boundary.number_signals(S.order_pages(spark, sf_dir)).select("packet_id", "page_index", "page_number_reset", "sequence_completed")
+    return boundary.number_signals(S.order_pages(spark, sf_dir)).select("bundle_id", "page_index", "page_number_reset", "sequence_completed")
 
 
 def media_box_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes as line items give them: quantities for widths, so that jumps of more than 20 and unknown sizes occur."""
     pages = S.order_pages(spark, sf_dir).withColumns({"width": F.when(F.col("page_num").isNotNull(), 600.0 + (F.col("page_index") * 7) % 45), "rotation": F.when(F.col("page_index") % 17 == 0, 90).otherwise(0)})
-    return boundary.number_signals(pages).select("packet_id", "page_index", "media_box_changed")
+    return boundary.number_signals(pages).select("bundle_id", "page_index", "media_box_changed")
 
 
 def embed_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = boundary.with_previous(S.embedding_pages(spark, sf_dir), ("embedding",), 2)
     cosine = boundary.embedding_cosine(F.col("embedding"), F.col("prev_embedding"), F.col("prev2_embedding"))
-    return rows.select("packet_id", "page_index", cosine.alias("c")).select("packet_id", "page_index", F.round("c", 6).alias("cosine"), F.coalesce(F.col("c") <= boundary.EMBED_SHIFT_MAX, F.lit(False)).alias("embed_shift"))
+    return rows.select("bundle_id", "page_index", cosine.alias("c")).select("bundle_id", "page_index", F.round("c", 6).alias("cosine"), F.coalesce(F.col("c") <= boundary.EMBED_SHIFT_MAX, F.lit(False)).alias("embed_shift"))
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,11 +110,11 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boundary_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals(spark, sf_dir).select("packet_id", "page_index", F.round("confidence", 6).alias("confidence"), "reason")
+    return signals(spark, sf_dir).select("bundle_id", "page_index", F.round("confidence", 6).alias("confidence"), "reason")
 
 
 def eager_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookahead.eager(signals(spark, sf_dir)).select("packet_id", "page_index", "split", "reason", F.round("confidence", 6).alias("confidence"))
+    return lookahead.eager(signals(spark, sf_dir)).select("bundle_id", "page_index", "split", "reason", F.round("confidence", 6).alias("confidence"))
 
 
 def _decided(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -122,7 +122,7 @@ def _decided(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> Da
 
 
 def lookahead_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decided(spark, sf_dir).select("packet_id", "page_index", "split", "reason")
+    return _decided(spark, sf_dir).select("bundle_id", "page_index", "split", "reason")
 
 
 def _indexed(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -135,14 +135,14 @@ def document_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with the starts of gold and of predicted documents; a packet's first page is neither."""
+    """Pages with the starts of gold and of predicted documents; a bundle's first page is neither."""
     rows = _indexed(spark, sf_dir, ("gold_start",))
-    return rows.select("packet_id", "page_index", (F.col("gold_start") & (F.col("page_index") > 0)).alias("gold"), F.col("effective").alias("predicted"))
+    return rows.select("bundle_id", "page_index", (F.col("gold_start") & (F.col("page_index") > 0)).alias("gold"), F.col("effective").alias("predicted"))
 
 
 def boundary_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.when(F.col("gold") & F.col("predicted"), "tp").when(F.col("gold"), "fn").when(F.col("predicted"), "fp")
-    return _both(spark, sf_dir).select("packet_id", (F.col("page_index") - 1).alias("page_index"), mark.alias("mark")).where("mark is not null")
+    return _both(spark, sf_dir).select("bundle_id", (F.col("page_index") - 1).alias("page_index"), mark.alias("mark")).where("mark is not null")
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,17 +150,17 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boundary_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir).select("packet_id", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+    return _scores(spark, sf_dir).select("bundle_id", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
 def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = metrics.gate(_scores(spark, sf_dir), packet_floor=0.0, macro_floor=0.6)
-    return out.select("packets", "failed", "passed", F.round("macro_f1", 6).alias("macro_f1"), F.round("micro_f1", 6).alias("micro_f1"))
+    out = metrics.gate(_scores(spark, sf_dir), bundle_floor=0.0, macro_floor=0.6)
+    return out.select("bundles", "failed", "passed", F.round("macro_f1", 6).alias("macro_f1"), F.round("micro_f1", 6).alias("micro_f1"))
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions, openings, closings and the end, in order: seq counts within the packet."""
-    w = Window.partitionBy("packet_id").orderBy("page_index")
+    """Decisions, openings, closings and the end, in order: seq counts within the bundle."""
+    w = Window.partitionBy("bundle_id").orderBy("page_index")
     rows = _indexed(spark, sf_dir).withColumn("last", F.lead("page_index").over(w).isNull())
     event = lambda when, phase, kind, payload: F.when(when, F.struct(F.lit(phase).alias("phase"), F.lit(kind).alias("kind"), payload.alias("payload")))
     opens, document = F.col("effective") | (F.col("page_index") == 0), lambda d: F.format_string("doc-%d", d)
@@ -169,31 +169,31 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         event(F.col("effective"), 1, "document_closed", document(F.col("doc_index") - 1)),
         event(opens, 2, "document_opened", document(F.col("doc_index"))),
         event(F.col("last"), 3, "document_closed", document(F.col("doc_index"))),
-        event(F.col("last"), 4, "packet_closed", F.lit("")),
+        event(F.col("last"), 4, "bundle_closed", F.lit("")),
     ))
-    every = rows.select("packet_id", "page_index", F.explode(events).alias("e"))
-    seq = F.row_number().over(Window.partitionBy("packet_id").orderBy("page_index", "e.phase")) - 1
-    return every.select("packet_id", seq.alias("seq"), "e.kind", F.col("page_index").alias("page"), "e.payload")
+    every = rows.select("bundle_id", "page_index", F.explode(events).alias("e"))
+    seq = F.row_number().over(Window.partitionBy("bundle_id").orderBy("page_index", "e.phase")) - 1
+    return every.select("bundle_id", seq.alias("seq"), "e.kind", F.col("page_index").alias("page"), "e.payload")
 
 
 def _conversation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = S.conversation_pages(spark, sf_dir)
     foot = F.when(F.col("total") % 2 == 0, F.format_string("Page %d of %d", F.col("page_index") + 1, "total")).otherwise(F.format_string("%d", F.col("page_index") + 1))
     head = F.concat(F.lit("Log of "), "role")
-    return turns.select("packet_id", "page_index", F.concat_ws("\n", head, F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("Kept by the office 2024"), foot).alias("text"))
+    return turns.select("bundle_id", "page_index", F.concat_ws("\n", head, F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("Kept by the office 2024"), foot).alias("text"))
 
 
 def furniture_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return furniture.tags(_conversation_text(spark, sf_dir)).select("packet_id", "page_index", "is_page_number", "is_footer", "is_header")
+    return furniture.tags(_conversation_text(spark, sf_dir)).select("bundle_id", "page_index", "is_page_number", "is_footer", "is_header")
 
 
 def furniture_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return furniture.tags(_conversation_text(spark, sf_dir), final=False).select("packet_id", "page_index", "is_page_number", "is_footer", "is_header")
+    return furniture.tags(_conversation_text(spark, sf_dir), final=False).select("bundle_id", "page_index", "is_page_number", "is_footer", "is_header")
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = assemble.sections(S.html_blocks(spark, sf_dir))
-    return out.select("packet_id", "ord", "section_id", "level", "parent_ord", "page_start", "page_end", "n_blocks", F.md5("heading").alias("heading_md5"))
+    return out.select("bundle_id", "ord", "section_id", "level", "parent_ord", "page_start", "page_end", "n_blocks", F.md5("heading").alias("heading_md5"))
 
 
 def doc_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,39 +204,39 @@ def rank_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of line items with outline numbers for headings."""
     rows = S.order_pages(spark, sf_dir).where("page_num is not null")
     heading = F.when(F.col("page_num") == 1, F.format_string("%d Part", F.col("gold_id") % 90)).when(F.col("page_num") % 2 == 0, F.format_string("%d.%d Item", F.col("gold_id") % 90, "page_num")).otherwise(F.format_string("%d.%d.%d Detail", F.col("gold_id") % 90, F.col("page_num") - 1, "page_num"))
-    blocks = rows.select("packet_id", "page_index", F.lit(0).alias("reading_order"), F.lit("heading").alias("kind"), F.lit(1).alias("heading_level"), heading.alias("text"), F.format_string("%s-p%d-b0", "packet_id", "page_index").alias("block_id"))
+    blocks = rows.select("bundle_id", "page_index", F.lit(0).alias("reading_order"), F.lit("heading").alias("kind"), F.lit(1).alias("heading_level"), heading.alias("text"), F.format_string("%s-p%d-b0", "bundle_id", "page_index").alias("block_id"))
     return assemble.repaired(assemble.sections(blocks))
 
 
 def weak_boundary_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splits that rest on the fallback, and documents whose first pages have no number."""
     rows = _indexed(spark, sf_dir, ("page_num",))
-    first = rows.groupBy("packet_id", "doc_index").agg(F.min_by("reason", "page_index").alias("reason"), F.count("page_num").alias("numbered"), F.min("page_index").alias("page"))
+    first = rows.groupBy("bundle_id", "doc_index").agg(F.min_by("reason", "page_index").alias("reason"), F.count("page_num").alias("numbered"), F.min("page_index").alias("page"))
     flag = F.when(F.col("reason").isin("fallback_eager"), "fallback_decision").when(F.col("numbered") == 0, "weak_boundary")
-    return first.select("packet_id", "doc_index", "page", flag.alias("flag")).where("flag is not null")
+    return first.select("bundle_id", "doc_index", "page", flag.alias("flag")).where("flag is not null")
 
 
 def _cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    blocks = S.html_blocks(spark, sf_dir).select("packet_id", F.col("page_index").alias("doc_index"), "block_id", "reading_order")
-    near = F.when(F.col("reading_order") % 5 == 0, F.concat("block_id", F.lit("x"))).when(F.col("reading_order") % 3 == 0, F.format_string("%s-p%d-b0", "packet_id", F.col("doc_index") + 1)).otherwise(F.col("block_id"))
-    return blocks.groupBy("packet_id", "doc_index").agg(F.collect_list(near).alias("cited")), blocks
+    blocks = S.html_blocks(spark, sf_dir).select("bundle_id", F.col("page_index").alias("doc_index"), "block_id", "reading_order")
+    near = F.when(F.col("reading_order") % 5 == 0, F.concat("block_id", F.lit("x"))).when(F.col("reading_order") % 3 == 0, F.format_string("%s-p%d-b0", "bundle_id", F.col("doc_index") + 1)).otherwise(F.col("block_id"))
+    return blocks.groupBy("bundle_id", "doc_index").agg(F.collect_list(near).alias("cited")), blocks
 
 
 def unresolved_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, blocks = _cited(spark, sf_dir)
-    return assemble.citations(docs, blocks).where("not resolved").groupBy("packet_id", "doc_index", "block_id").agg(F.count("*").alias("n"))
+    return assemble.citations(docs, blocks).where("not resolved").groupBy("bundle_id", "doc_index", "block_id").agg(F.count("*").alias("n"))
 
 
 def citation_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble.citation_integrity(*_cited(spark, sf_dir)).select("packet_id", F.round("integrity", 6).alias("integrity"))
+    return assemble.citation_integrity(*_cited(spark, sf_dir)).select("bundle_id", F.round("integrity", 6).alias("integrity"))
 
 
 def review_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Body blocks that repeat a running foot of their host as a whole or as a line."""
     blocks = S.html_blocks(spark, sf_dir)
-    feet = blocks.where("kind = 'footer'").select("packet_id", T.edge_key(F.col("text")).alias("k")).distinct()
-    lines = blocks.where("kind <> 'footer'").select("packet_id", "kind", F.explode(F.split("text", "\n")).alias("line")).withColumn("k", T.edge_key(F.col("line")))
-    return lines.join(feet, ["packet_id", "k"], "left_semi").groupBy("packet_id", "kind").agg(F.count("*").alias("n"))
+    feet = blocks.where("kind = 'footer'").select("bundle_id", T.edge_key(F.col("text")).alias("k")).distinct()
+    lines = blocks.where("kind <> 'footer'").select("bundle_id", "kind", F.explode(F.split("text", "\n")).alias("line")).withColumn("k", T.edge_key(F.col("line")))
+    return lines.join(feet, ["bundle_id", "k"], "left_semi").groupBy("bundle_id", "kind").agg(F.count("*").alias("n"))
 
 
 def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,36 +326,36 @@ def error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def range_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold ranges of each packet have to tile its pages: gaps, overlaps and wrong ends are counted."""
+    """Gold ranges of each bundle have to tile its pages: gaps, overlaps and wrong ends are counted."""
     pages = S.order_pages(spark, sf_dir)
-    ranges = pages.groupBy("packet_id", "gold_id").agg(F.min("page_index").alias("start"), F.max("page_index").alias("end"))
-    w = Window.partitionBy("packet_id").orderBy("start")
+    ranges = pages.groupBy("bundle_id", "gold_id").agg(F.min("page_index").alias("start"), F.max("page_index").alias("end"))
+    w = Window.partitionBy("bundle_id").orderBy("start")
     checked = ranges.withColumn("step", F.lead("start").over(w) - F.col("end"))
-    return checked.groupBy("packet_id").agg(F.count("*").alias("documents"), F.count_if(F.col("step") > 1).alias("gaps"), F.count_if(F.col("step") < 1).alias("overlaps"), F.min("start").alias("first_page"), F.max("end").alias("last_page"))
+    return checked.groupBy("bundle_id").agg(F.count("*").alias("documents"), F.count_if(F.col("step") > 1).alias("gaps"), F.count_if(F.col("step") < 1).alias("overlaps"), F.min("start").alias("first_page"), F.max("end").alias("last_page"))
 
 
 def neighbor_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = S.packet_window()
+    w = S.bundle_window()
     head = T.fold(F.col("text"), 40)
     rows = S.conversation_pages(spark, sf_dir).withColumn("head", head)
-    return rows.select("packet_id", "page_index", F.md5(F.concat_ws(" | ", F.lag("head").over(w), F.lead("head", 1).over(w), F.lead("head", 2).over(w))).alias("heads_md5"))
+    return rows.select("bundle_id", "page_index", F.md5(F.concat_ws(" | ", F.lag("head").over(w), F.lead("head", 1).over(w), F.lead("head", 2).over(w))).alias("heads_md5"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positioned lines made from orders: an order is a packet of one page, a line item a line."""
+    """Positioned lines made from orders: an order is a bundle of one page, a line item a line."""
     rows = S.table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy(*S.LINE_ORDER)
     n = F.row_number().over(w) - 1
     size = F.when(F.col("l_partkey") % 11 == 0, 20.0).when(F.col("l_partkey") % 7 == 0, 12.5).when(F.col("l_partkey") % 13 == 0, 8.0).otherwise(11.0)
     text = F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit("Item "), F.col("l_partkey"), F.lit("."))).when(F.col("l_suppkey") % 9 == 0, F.concat(F.lit("Page "), F.col("l_linenumber"))).otherwise(F.concat(F.lit("Line "), F.col("l_partkey")))
-    placed = rows.select(F.col("l_orderkey").cast("string").alias("packet_id"), F.lit(0).alias("page_index"), F.lit(792.0).alias("height"), n.alias("pos"), text.alias("text"), (50.0 + F.col("l_suppkey") % 5).alias("x0"), size.alias("size"), (F.col("l_returnflag") == "A").alias("bold"))
+    placed = rows.select(F.col("l_orderkey").cast("string").alias("bundle_id"), F.lit(0).alias("page_index"), F.lit(792.0).alias("height"), n.alias("pos"), text.alias("text"), (50.0 + F.col("l_suppkey") % 5).alias("x0"), size.alias("size"), (F.col("l_returnflag") == "A").alias("bold"))
     top = 30.0 + F.col("pos") * F.when(F.length("text") % 2 == 0, 14.0).otherwise(130.0)
     return placed.withColumn("top", top).withColumns({"bottom": F.col("top") + F.col("size"), "x1": F.col("x0") + F.length("text") * 5.0})
 
 
 def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = layout.layout_blocks(_lines(spark, sf_dir))
-    return out.select("packet_id", "reading_order", "kind", "band", "heading_level", "small", F.md5("text").alias("text_md5"), F.round("x0", 3).alias("x0"), F.round("y0", 3).alias("y0"), F.round("x1", 3).alias("x1"), F.round("y1", 3).alias("y1"))
+    return out.select("bundle_id", "reading_order", "kind", "band", "heading_level", "small", F.md5("text").alias("text_md5"), F.round("x0", 3).alias("x0"), F.round("y0", 3).alias("y0"), F.round("x1", 3).alias("x1"), F.round("y1", 3).alias("y1"))
 
 
 def grounding_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,20 +363,20 @@ def grounding_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = S.conversation_pages(spark, sf_dir)
     n = F.col("page_index") + 1
     raw = F.when(F.length("text") % 3 == 0, F.concat_ws("\n\n", F.lit("# Head"), F.lit("- point"), F.lit("plain words"))).otherwise(F.concat(F.lit("lead in\n![title](900,20,-5,60)\n## Part "), n, F.lit("\n![text+](10,80,400,90) Body of the turn Page "), n, F.lit(" of "), F.col("total"), F.lit("\n![footer](0,950,1200,990) page "), n, F.lit("/"), F.col("total"), F.lit("\n![odd](1,2,3,4)\nend")))
-    pages = turns.select("packet_id", "page_index", raw.alias("raw"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    pages = turns.select("bundle_id", "page_index", raw.alias("raw"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
     out = layout.grounding_blocks(pages)
-    return out.select("packet_id", "page_index", "reading_order", "kind", "heading_level", "text", *(F.round(c, 3).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    return out.select("bundle_id", "page_index", "reading_order", "kind", "heading_level", "text", *(F.round(c, 3).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
 def ocr_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Native or recognised blocks by page class, counted."""
-    docs = S.table(spark, sf_dir, "documents").select(F.col("source").alias("packet_id"), F.col("doc_id").alias("page_index"), "text")
+    docs = S.table(spark, sf_dir, "documents").select(F.col("source").alias("bundle_id"), F.col("doc_id").alias("page_index"), "text")
     kind = F.when(F.col("page_index") % 4 == 0, "scan").when(F.col("page_index") % 4 == 1, "mixed").otherwise("text")
-    pages = docs.select("packet_id", "page_index", kind.alias("page_class"))
-    native = docs.select("packet_id", "page_index", F.lit("native").alias("origin"))
-    seen = docs.where("page_index % 3 = 0").select("packet_id", "page_index", F.lit("ocr").alias("origin"))
-    routed = layout.route(pages, native, seen).join(pages, ["packet_id", "page_index"])
-    return routed.groupBy("packet_id", "page_class", "origin").agg(F.count("*").alias("n"))
+    pages = docs.select("bundle_id", "page_index", kind.alias("page_class"))
+    native = docs.select("bundle_id", "page_index", F.lit("native").alias("origin"))
+    seen = docs.where("page_index % 3 = 0").select("bundle_id", "page_index", F.lit("ocr").alias("origin"))
+    routed = layout.route(pages, native, seen).join(pages, ["bundle_id", "page_index"])
+    return routed.groupBy("bundle_id", "page_class", "origin").agg(F.count("*").alias("n"))
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,7 +386,7 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.features(_facts(spark, sf_dir)).select("packet_id", "page_index", *(F.round(f, 6).alias(f) for f in model.FEATURES))
+    return model.features(_facts(spark, sf_dir)).select("bundle_id", "page_index", *(F.round(f, 6).alias(f) for f in model.FEATURES))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,17 +417,17 @@ def loop_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reply_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, k = F.format_string("%.2f", F.abs("value") % 2), F.col("event_id") % 5
     reply = F.when(k == 0, v).when(k == 1, F.concat(F.lit('{"probability": '), v, F.lit("}"))).when(k == 2, F.concat(F.lit("probability is "), v)).when(k == 3, F.lit("NaN")).otherwise(F.lit("no idea"))
-    rows = S.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("packet_id"), F.col("event_id").alias("page_index"), decision.reply_probability(reply).alias("probability"))
-    return decision.strikes(rows).select("packet_id", "page_index", F.round("probability", 6).alias("probability"), "strike", "exhausted")
+    rows = S.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("bundle_id"), F.col("event_id").alias("page_index"), decision.reply_probability(reply).alias("probability"))
+    return decision.strikes(rows).select("bundle_id", "page_index", F.round("probability", 6).alias("probability"), "strike", "exhausted")
 
 
 def fewshot_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of made replies that name blocks of their own, other or no documents."""
     blocks = S.html_blocks(spark, sf_dir)
-    docs = blocks.groupBy("packet_id", F.col("page_index").alias("doc_index")).agg(F.array_sort(F.collect_list("block_id")).alias("known"))
+    docs = blocks.groupBy("bundle_id", F.col("page_index").alias("doc_index")).agg(F.array_sort(F.collect_list("block_id")).alias("known"))
     source = lambda *ids: F.struct(F.lit("v").alias("value"), F.array(*ids).alias("source_block_ids"))
     fields = F.create_map(F.lit("own"), source(F.col("known")[0]), F.lit("other"), source(F.col("known")[0], F.concat(F.col("known")[0], F.lit("x"))), F.lit("none"), F.struct(F.lit("v").alias("value"), F.array().cast("array<string>").alias("source_block_ids")))
-    return decision.grounded_fields(docs.withColumn("fields", fields)).groupBy("packet_id", "field", "drop").agg(F.count("*").alias("n"))
+    return decision.grounded_fields(docs.withColumn("fields", fields)).groupBy("bundle_id", "field", "drop").agg(F.count("*").alias("n"))
 
 
 def student_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,7 +436,7 @@ def student_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.lit(None).cast("array<float>")
     one = boundary.embedding_cosine(F.col("embedding"), F.col("prev_embedding"), zero)
     two = boundary.embedding_cosine(F.col("embedding"), F.col("prev_embedding"), F.col("prev2_embedding"))
-    return rows.select("packet_id", "page_index", F.round(F.coalesce(one, F.lit(0.0)), 6).alias("cos1"), F.round(F.coalesce(two, F.lit(0.0)), 6).alias("cos2"), (F.col("page_index") == 0).alias("first"))
+    return rows.select("bundle_id", "page_index", F.round(F.coalesce(one, F.lit(0.0)), 6).alias("cos1"), F.round(F.coalesce(two, F.lit(0.0)), 6).alias("cos2"), (F.col("page_index") == 0).alias("first"))
 
 
 def streaming_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,7 +448,7 @@ def streaming_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
     out = replay(spark, signals(spark, sf_dir), f"{shared}/replay-{uuid.uuid4().hex}")
-    return out.select("packet_id", "page_index", "split", "reason")
+    return out.select("bundle_id", "page_index", "split", "reason")
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -465,25 +465,25 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = report.render(_decided(spark, sf_dir), boundary_marks(spark, sf_dir))
-    return out.select("packet_id", F.length("html").alias("chars"), F.size(F.split("html", "<tr class")).alias("rows"))
+    return out.select("bundle_id", F.length("html").alias("chars"), F.size(F.split("html", "<tr class")).alias("rows"))
 
 
-def packet_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents joined into packets of three by a seeded order, with their first pages by running sums."""
+def bundle_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents joined into bundles of three by a seeded order, with their first pages by running sums."""
     docs = S.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 9 + 1).alias("pages"), F.md5(F.concat(F.lit("seed-7:"), F.col("o_orderkey"))).alias("k"))
     # The seeded order is made in parts of the key, so that no task sorts all documents.
     part = docs.withColumn("part", F.substring("k", 1, 2))
     w = Window.partitionBy("part").orderBy("k")
-    grouped = part.withColumn("n", F.row_number().over(w) - 1).withColumn("packet_id", F.concat_ws("-", "part", F.floor(F.col("n") / 3)))
-    inside = Window.partitionBy("packet_id").orderBy("n")
+    grouped = part.withColumn("n", F.row_number().over(w) - 1).withColumn("bundle_id", F.concat_ws("-", "part", F.floor(F.col("n") / 3)))
+    inside = Window.partitionBy("bundle_id").orderBy("n")
     start = F.sum("pages").over(inside) - F.col("pages")
-    return grouped.select("packet_id", "o_orderkey", start.alias("page_start"), (start + F.col("pages") - 1).alias("page_end"))
+    return grouped.select("bundle_id", "o_orderkey", start.alias("page_start"), (start + F.col("pages") - 1).alias("page_end"))
 
 
 def parse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole parse over the conversations: documents with their ranges and titles."""
     out = pipeline.parse(_conversation_text(spark, sf_dir))
-    return out.documents.select("packet_id", "doc_index", "page_start", "page_end", F.md5("title").alias("title_md5"))
+    return out.documents.select("bundle_id", "doc_index", "page_start", "page_end", F.md5("title").alias("title_md5"))
 
 
 QUERIES: dict[str, Query] = {
@@ -495,6 +495,6 @@ QUERIES: dict[str, Query] = {
         weak_boundary_flags, unresolved_citations, citation_integrity, review_checks, ocr_cache_join, false_ocr, auroc, threshold_tune,
         percentile_nearest_rank, retrieval_metrics, grouped_folds, split_disjoint, numbering, sentence_probability, error_rates,
         range_validation, neighbor_heads, layout_blocks, grounding_parse, ocr_routing, features16, logistic_train, logistic_predict, loop_detect,
-        reply_ladder, fewshot_grounding, student_features, streaming_parity, event_windows, event_sessions, review_report, packet_plan, parse_documents,
+        reply_ladder, fewshot_grounding, student_features, streaming_parity, event_windows, event_sessions, review_report, bundle_plan, parse_documents,
     )
 }

@@ -1,4 +1,4 @@
-"""An HTML review of a packet: pages, decisions and boundary marks, rendered in the tasks, one string a packet."""
+"""An HTML review of a bundle: pages, decisions and boundary marks, rendered in the tasks, one string a bundle."""
 
 from __future__ import annotations
 
@@ -13,12 +13,12 @@ def escape(c: Column) -> Column:
 
 
 def render(decisions: DataFrame, marks: DataFrame | None = None) -> DataFrame:
-    """decisions(packet_id, page_index, split, reason, confidence) to packet_id, html."""
+    """decisions(bundle_id, page_index, split, reason, confidence) to bundle_id, html."""
     rows = decisions
     if marks is not None:
-        rows = rows.join(marks.select("packet_id", (F.col("page_index") + 1).alias("page_index"), "mark"), ["packet_id", "page_index"], "left")
+        rows = rows.join(marks.select("bundle_id", (F.col("page_index") + 1).alias("page_index"), "mark"), ["bundle_id", "page_index"], "left")
     else:
         rows = rows.withColumn("mark", F.lit(None).cast("string"))
     line = F.concat(F.lit('<tr class="'), F.coalesce("mark", F.lit("")), F.lit('"><td>'), F.col("page_index"), F.lit("</td><td>"), F.when(F.col("split"), "split").otherwise(""), F.lit("</td><td>"), escape(F.col("reason")), F.format_string("</td><td>%.2f</td></tr>", "confidence"))
-    listed = rows.groupBy("packet_id").agg(F.array_sort(F.collect_list(F.struct("page_index", line.alias("line")))).alias("l"))
-    return listed.select("packet_id", F.concat(F.lit('<!doctype html><meta charset="utf-8"><title>'), escape(F.col("packet_id")), F.lit("</title><table>"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("</table>")).alias("html"))
+    listed = rows.groupBy("bundle_id").agg(F.array_sort(F.collect_list(F.struct("page_index", line.alias("line")))).alias("l"))
+    return listed.select("bundle_id", F.concat(F.lit('<!doctype html><meta charset="utf-8"><title>'), escape(F.col("bundle_id")), F.lit("</title><table>"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("</table>")).alias("html"))

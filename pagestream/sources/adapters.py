@@ -1,6 +1,6 @@
 """Page streams over the driver's tables, and scans of page files.
 
-A page stream has packet_id, page_index (0-based, gapless in a packet) and what
+A page stream has bundle_id, page_index (0-based, gapless in a bundle) and what
 is known of the page.  The total orders make the numbering deterministic.
 """
 
@@ -17,18 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A packet is a customer's line items; each order in it is a document. Some numbers and totals are hidden.
+    """A bundle is a customer's line items; each order in it is a document. Some numbers and totals are hidden.
 
     One shuffle by customer serves all windows: an order belongs to one customer.
     """
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    packet = Window.partitionBy("o_custkey").orderBy(*LINE_ORDER)
+    bundle = Window.partitionBy("o_custkey").orderBy(*LINE_ORDER)
     document = Window.partitionBy("o_custkey", "l_orderkey")
     shown = F.col("l_partkey") % 5 != 0
-    numbered = rows.withColumns({"page_index": (F.row_number().over(packet) - 1).cast("int"), "num": F.row_number().over(document.orderBy(*LINE_ORDER)), "total": F.count("*").over(document)})
+    numbered = rows.withColumns({"page_index": (F.row_number().over(bundle) - 1).cast("int"), "num": F.row_number().over(document.orderBy(*LINE_ORDER)), "total": F.count("*").over(document)})
     return numbered.select(
-        F.col("o_custkey").cast("string").alias("packet_id"),
+        F.col("o_custkey").cast("string").alias("bundle_id"),
         "page_index",
         F.when(shown, F.col("num")).cast("int").alias("page_num"),
         F.when(shown & (F.col("l_suppkey") % 3 != 0), F.col("total")).cast("int").alias("page_total"),
@@ -41,60 +41,60 @@ def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A packet is a source, a page one document."""
+    """A bundle is a source, a page one document."""
     docs = table(spark, sf_dir, "documents")
     order = Window.partitionBy("source").orderBy("doc_id")
-    return docs.select(F.col("source").alias("packet_id"), (F.row_number().over(order) - 1).cast("int").alias("page_index"), "doc_id", "text", "lang")
+    return docs.select(F.col("source").alias("bundle_id"), (F.row_number().over(order) - 1).cast("int").alias("page_index"), "doc_id", "text", "lang")
 
 
 def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A packet is a conversation, a page one turn, between lines that repeat: a head, and a numbered foot."""
+    """A bundle is a conversation, a page one turn, between lines that repeat: a head, and a numbered foot."""
     turns = table(spark, sf_dir, "conversations")
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = turns.select(F.col("conv_id").cast("string").alias("packet_id"), (F.row_number().over(order) - 1).cast("int").alias("page_index"), "role", "text")
-    return rows.withColumn("total", F.count("*").over(Window.partitionBy("packet_id")).cast("int"))
+    rows = turns.select(F.col("conv_id").cast("string").alias("bundle_id"), (F.row_number().over(order) - 1).cast("int").alias("page_index"), "role", "text")
+    return rows.withColumn("total", F.count("*").over(Window.partitionBy("bundle_id")).cast("int"))
 
 
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed blocks of the html pages: a packet is a host; kinds come from the tags."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("packet_id"), "html")
-    order = Window.partitionBy("packet_id").orderBy("page_id")
+    """Typed blocks of the html pages: a bundle is a host; kinds come from the tags."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("bundle_id"), "html")
+    order = Window.partitionBy("bundle_id").orderBy("page_id")
     numbered = pages.withColumn("page_index", (F.row_number().over(order) - 1).cast("int"))
     found = F.regexp_extract_all("html", F.lit(r"(?is)(<(?:title|h1|h2|h3|p|li|footer)[^>]*>.*?</(?:title|h1|h2|h3|p|li|footer)>)"), F.lit(1))
-    each = numbered.select("packet_id", "page_index", F.posexplode(found).alias("reading_order", "raw"))
+    each = numbered.select("bundle_id", "page_index", F.posexplode(found).alias("reading_order", "raw"))
     tag = F.lower(F.regexp_extract("raw", r"(?i)^<(\w+)", 1))
     text = F.trim(F.regexp_replace(F.regexp_replace("raw", r"(?s)<[^>]*>", " "), r"\s+", " "))
     kind = F.when(tag == "title", "title").when(tag.isin("h1", "h2", "h3"), "heading").when(tag == "li", "list_item").when(tag == "footer", "footer").otherwise("paragraph")
     level = F.when(tag == "title", 0).when(tag.isin("h1", "h2", "h3"), F.substring(tag, 2, 1).try_cast("int"))
-    blocks = each.select("packet_id", "page_index", "reading_order", kind.alias("kind"), level.alias("heading_level"), text.alias("text")).where("text <> ''")
-    return blocks.withColumn("block_id", F.format_string("%s-p%d-b%d", "packet_id", "page_index", "reading_order"))
+    blocks = each.select("bundle_id", "page_index", "reading_order", kind.alias("kind"), level.alias("heading_level"), text.alias("text")).where("text <> ''")
+    return blocks.withColumn("block_id", F.format_string("%s-p%d-b%d", "bundle_id", "page_index", "reading_order"))
 
 
 def embedding_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A packet is a label, a page one vector."""
+    """A bundle is a label, a page one vector."""
     order = Window.partitionBy("label").orderBy("vec_id")
-    return table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("packet_id"), (F.row_number().over(order) - 1).cast("int").alias("page_index"), "vec_id", "embedding")
+    return table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("bundle_id"), (F.row_number().over(order) - 1).cast("int").alias("page_index"), "vec_id", "embedding")
 
 
 def origins(spark: SparkSession, path: str) -> DataFrame:
     """Provenance of the files under a path: name, size and SHA-256."""
     files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("packet_id"), "path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    return files.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("bundle_id"), "path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
     """Events of a JSONL trace; a malformed line fails the read."""
-    return spark.read.schema("packet_id string, seq long, kind string, page int, payload string").json(path, mode="FAILFAST")
+    return spark.read.schema("bundle_id string, seq long, kind string, page int, payload string").json(path, mode="FAILFAST")
 
 
 def write_trace(events: DataFrame, path: str) -> None:
-    """JSONL, one folder a packet; Spark's commit makes it whole or nothing."""
-    events.write.mode("overwrite").partitionBy("packet_id").json(path)
+    """JSONL, one folder a bundle; Spark's commit makes it whole or nothing."""
+    events.write.mode("overwrite").partitionBy("bundle_id").json(path)
 
 
-def packet_window(order: str = "page_index"):
-    return Window.partitionBy("packet_id").orderBy(order)
+def bundle_window(order: str = "page_index"):
+    return Window.partitionBy("bundle_id").orderBy(order)
 
 
 def size_jump(prefix: str = "prev_") -> Column:

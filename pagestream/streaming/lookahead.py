@@ -1,8 +1,9 @@
-"""Look-ahead splitting on a stream of pages, with the batch operator's state machine per packet.
+"""Look-ahead splitting on a stream of pages, with the batch operator's fold per bundle.
 
-A packet ends with a marker row (``page_index`` null); its state is dropped
-then, so that the state store holds open packets only: at most the window's
-pages and the anchor each.  Pages of a packet have to arrive in order.
+A bundle ends with a marker row (``page_index`` null), or after ``idle`` without
+rows; its state is dropped then, so that the state store holds open bundles
+only: at most the window's pages and the anchor each.  Pages of a bundle have to
+arrive in order.
 """
 
 from __future__ import annotations
@@ -11,40 +12,45 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pagestream.operators.lookahead import DECISION_SCHEMA, SplitConfig, Splitter
+from pagestream.operators.lookahead import DECISION_SCHEMA, Fold, SplitConfig
 from pagestream.shipping import ship
 
-PAGE_SCHEMA = "packet_id string, page_index int, confidence double, page_num int, page_total int"
+PAGE_SCHEMA = "bundle_id string, page_index int, confidence double, page_num int, page_total int"
+_PAGES = pa.schema([("bundle_id", pa.string()), ("page_index", pa.int32()), ("confidence", pa.float64()), ("page_num", pa.int32()), ("page_total", pa.int32())])
 
 
-def decide_stream(pages: DataFrame, config: SplitConfig = SplitConfig()) -> DataFrame:
-    """A streaming DataFrame of PAGE_SCHEMA to decisions."""
+def decide_stream(pages: DataFrame, config: SplitConfig = SplitConfig(), idle_ms: int | None = None) -> DataFrame:
+    """A streaming DataFrame of PAGE_SCHEMA to decisions. ``idle_ms``: a bundle without rows for so long has ended."""
     ship(pages.sparkSession)
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        splitter = Splitter(config)
+        fold = Fold(config)
         if state.exists:
-            waiting, anchor, previous = json.loads(state.get[0])
-            splitter.restore(([tuple(x) for x in waiting], anchor and tuple(anchor), previous and tuple(previous)))
-        frame = pd.concat(list(batches), ignore_index=True)
-        ended = bool(frame["page_index"].isna().any())
-        out = []
-        for row in frame.dropna(subset=["page_index"]).sort_values("page_index").itertuples(index=False):
-            whole = lambda v: None if pd.isna(v) else int(v)
-            out += splitter.feed((int(row.page_index), None if pd.isna(row.confidence) else float(row.confidence), whole(row.page_num), whole(row.page_total)))
+            anchor, before, waiting = json.loads(state.get[0])
+            fold = Fold(config, None, anchor and tuple(anchor), before and tuple(before), pa.Table.from_pylist(waiting, _PAGES))
+        ended = state.hasTimedOut
+        frames = [pa.Table.from_pandas(f, _PAGES, preserve_index=False) for f in batches] if not ended else []
+        table = pa.concat_tables([_PAGES.empty_table(), *frames])
+        marks = table.column("page_index").is_null()
+        ended |= bool(marks.to_numpy().any())
+        table = table.filter(table.column("page_index").is_valid()).sort_by("page_index")
+        out = fold.push(table, ended)
         if ended:
-            out += splitter.finish()
             state.remove()
         else:
-            state.update((json.dumps(splitter.snapshot()),))
-        if out:
-            yield pd.DataFrame([(key[0], *x) for x in out], columns=["packet_id", "page_index", "split", "reason", "confidence"]).astype({"page_index": "int32"})
+            state.update((json.dumps([fold.anchor, fold.before, fold.waiting.to_pylist()]),))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
+        if out.num_rows:
+            yield out.select(["bundle_id", "page_index", "split", "reason", "confidence"]).to_pandas()
 
-    return pages.groupBy("packet_id").applyInPandasWithState(advance, DECISION_SCHEMA, "snapshot string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return pages.groupBy("bundle_id").applyInPandasWithState(advance, DECISION_SCHEMA, "snapshot string", "append", timeout)
 
 
 def replay(spark: SparkSession, pages: DataFrame, where: str, config: SplitConfig = SplitConfig(), cuts: tuple[int, ...] = (7, 20)) -> DataFrame:
@@ -55,7 +61,7 @@ def replay(spark: SparkSession, pages: DataFrame, where: str, config: SplitConfi
     for cut in (*cuts, None):
         part = rows.where((F.col("page_index") >= low) & ((F.col("page_index") < cut) if cut else F.lit(True)))
         if cut is None:
-            ends = rows.select("packet_id").distinct().select("packet_id", *(F.lit(None).cast(t).alias(c) for c, t in (("page_index", "int"), ("confidence", "double"), ("page_num", "int"), ("page_total", "int"))))
+            ends = rows.select("bundle_id").distinct().select("bundle_id", *(F.lit(None).cast(t).alias(c) for c, t in (("page_index", "int"), ("confidence", "double"), ("page_num", "int"), ("page_total", "int"))))
             part = part.unionByName(ends)
         part.coalesce(1).write.mode("append").parquet(f"{where}/pages")
         low = cut

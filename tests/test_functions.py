@@ -61,7 +61,7 @@ def test_reply_ladder_and_secrets(spark):
 
 def test_furniture_both_ways(spark):
     pages = [("b", k, f"Binder Header\nbody {k}\nACME Corp confidential 2026-0{k}\nPage {k + 1} of 2") for k in range(2)]
-    df = spark.createDataFrame(pages, "packet_id string, page_index int, text string")
+    df = spark.createDataFrame(pages, "bundle_id string, page_index int, text string")
     final = {x.page_index: x for x in furniture.tags(df).collect()}
     stream = {x.page_index: x for x in furniture.tags(df, final=False).collect()}
     assert all(final[k].is_header and final[k].is_footer and final[k].is_page_number for k in range(2))
@@ -70,7 +70,7 @@ def test_furniture_both_ways(spark):
 
 def test_shared_header_signal(spark):
     rows = [("s", 0, 1, 2), ("s", 1, 2, 2), ("s", 2, 1, 2), ("s", 3, 2, 2)]
-    df = spark.createDataFrame(rows, "packet_id string, page_index int, page_num int, page_total int").withColumns({"width": F.lit(612.0), "height": F.lit(792.0), "rotation": F.lit(0)})
+    df = spark.createDataFrame(rows, "bundle_id string, page_index int, page_num int, page_total int").withColumns({"width": F.lit(612.0), "height": F.lit(792.0), "rotation": F.lit(0)})
     got = {x.page_index: x for x in boundary.combine(boundary.number_signals(df)).collect()}
     assert got[2].confidence == pytest.approx(0.65) and got[2].reason == "page_number_reset+sequence_completed"
     assert got[0].confidence is None and got[1].confidence is None
@@ -85,42 +85,42 @@ BUILTIN = {
 }
 
 
-def test_builtin_packets_are_parsed_whole(spark):
+def test_builtin_bundles_are_parsed_whole(spark):
     """Lines stand as blocks of their own, as a text layer's lines do."""
     pages = [(name, k, t.replace("\n", "\n\n")) for name, (texts, _) in BUILTIN.items() for k, t in enumerate(texts)]
-    df = spark.createDataFrame(pages, "packet_id string, page_index int, text string")
+    df = spark.createDataFrame(pages, "bundle_id string, page_index int, text string")
     out = parse(df, PipelineConfig())
     ranges = {}
     for x in out.documents.collect():
-        ranges.setdefault(x.packet_id, []).append((x.page_start, x.page_end))
+        ranges.setdefault(x.bundle_id, []).append((x.page_start, x.page_end))
     assert {k: sorted(v) for k, v in ranges.items()} == {k: g for k, (_, g) in BUILTIN.items()}
-    gold = spark.createDataFrame([(n, i, a, b) for n, (_, g) in BUILTIN.items() for i, (a, b) in enumerate(g)], "packet_id string, doc_index int, page_start int, page_end int")
+    gold = spark.createDataFrame([(n, i, a, b) for n, (_, g) in BUILTIN.items() for i, (a, b) in enumerate(g)], "bundle_id string, doc_index int, page_start int, page_end int")
     scores, gate = evaluate(gold, out.documents, 1.0, 1.0)
     assert gate.head().passed and scores.count() == 5
 
 
 def test_no_split_keeps_one_document(spark):
     pages = [("m", k, t.replace("\n", "\n\n")) for k, t in enumerate(BUILTIN["multi-doc"][0])]
-    out = parse(spark.createDataFrame(pages, "packet_id string, page_index int, text string"), PipelineConfig(split_on_boundary=False))
+    out = parse(spark.createDataFrame(pages, "bundle_id string, page_index int, text string"), PipelineConfig(split_on_boundary=False))
     assert out.documents.count() == 1 and out.decisions.where("split").count() == 1
 
 
 def test_gate_rejects_nan_and_nothing(spark):
-    rows = spark.createDataFrame([("a", 1, 0, 0, float("nan"))], "packet_id string, tp int, fp int, fn int, f1 double")
+    rows = spark.createDataFrame([("a", 1, 0, 0, float("nan"))], "bundle_id string, tp int, fp int, fn int, f1 double")
     assert not metrics.gate(rows, 0.0, 0.0).head().passed
     assert not metrics.gate(rows.limit(0), 0.0, 0.0).head().passed
 
 
 def test_sections_nest_and_extend(spark):
     rows = [(0, 0, "paragraph", None, "before"), (0, 1, "heading", 1, "1 A"), (0, 2, "heading", 2, "1.1 B"), (1, 0, "paragraph", None, "x"), (2, 0, "heading", 2, "1.2 C"), (3, 0, "heading", 1, "2 D")]
-    df = spark.createDataFrame([("p", *r, f"b{i}") for i, r in enumerate(rows)], "packet_id string, page_index int, reading_order int, kind string, heading_level int, text string, block_id string")
+    df = spark.createDataFrame([("p", *r, f"b{i}") for i, r in enumerate(rows)], "bundle_id string, page_index int, reading_order int, kind string, heading_level int, text string, block_id string")
     got = {x.section_id: (x.level, x.parent_ord, x.page_start, x.page_end) for x in assemble.sections(df).collect()}
     assert got == {"anon-1": (1, None, 0, 0), "b1-sec": (1, None, 0, 2), "b2-sec": (2, 2, 0, 1), "b4-sec": (2, 2, 2, 2), "b5-sec": (1, None, 3, 3)}
 
 
 def test_grounding_tags(spark):
     raw = "![text](75,49,246,110) Northwind Invoice Amount due: 12.00 Page 1 of 2"
-    df = spark.createDataFrame([("p", 0, raw, None, None)], "packet_id string, page_index int, raw string, width double, height double")
+    df = spark.createDataFrame([("p", 0, raw, None, None)], "bundle_id string, page_index int, raw string, width double, height double")
     got = layout.grounding_blocks(df).orderBy("reading_order").collect()
     assert [(x.kind, x.text) for x in got] == [("paragraph", "Northwind Invoice Amount due: 12.00"), ("page_number", "Page 1 of 2")]
 

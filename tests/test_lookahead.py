@@ -5,21 +5,28 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pagestream.operators.lookahead import SplitConfig, Splitter, decide
+import pyarrow as pa
+
+from pagestream.operators.lookahead import Fold, SplitConfig, decide
 from pagestream.streaming.lookahead import replay
 
 N = None
 
 
-def run(rows, **config):
-    s = Splitter(SplitConfig(**config), config.pop("confirm", None)) if "confirm" not in config else Splitter(SplitConfig(), config["confirm"])
-    out = []
-    for i, (c, n, t) in enumerate(rows):
-        out += s.feed((i, c, n, t))
-        assert len(s.waiting) <= s.config.window + 1
-    out += s.finish()
-    assert [x[0] for x in out] == list(range(len(rows)))
-    return out
+def table(rows, first=0):
+    columns = list(zip(*rows, strict=True)) or [(), (), ()]
+    return pa.table({"bundle_id": pa.array(["p"] * len(rows), pa.string()), "page_index": pa.array(range(first, first + len(rows)), pa.int32()), "confidence": pa.array(columns[0], pa.float64()), "page_num": pa.array(columns[1], pa.int32()), "page_total": pa.array(columns[2], pa.int32())})
+
+
+def run(rows, confirm=None, step=1, **config):
+    """Feeds ``step`` rows at a time."""
+    fold, out = Fold(SplitConfig(**config), confirm), []
+    for k in range(0, len(rows), step):
+        out += fold.push(table(rows[k : k + step], k)).to_pylist()
+        assert fold.waiting.num_rows <= fold.config.window
+    out += fold.push(table([]), True).to_pylist()
+    assert [x["page_index"] for x in out] == list(range(len(rows)))
+    return [(x["page_index"], x["split"], x["reason"], x["confidence"]) for x in out]
 
 
 def splits(rows, **config):
@@ -61,24 +68,24 @@ def test_no_window_is_eager(c, fallback):
 def test_confirmer_settles_only_what_is_open():
     rows = [(N, N, N), (0.5, N, N), (0.9, N, N)]
     for verdict, r in ((True, "confirmed_split"), (False, "confirmed_continue"), (None, "fallback_below")):
-        s, out = Splitter(confirm=lambda p, page, ahead: verdict), []
-        for i, (c, n, t) in enumerate(rows):
-            out += s.feed((i, c, n, t))
-        out += s.finish()
+        out = run(rows, confirm=lambda before, page, ahead: verdict)
         assert out[1][2] == r and out[2][2] == "high_confidence"
 
 
-def random_pages(seed, packets=12):
+def random_pages(seed, bundles=12):
     r = random.Random(seed)
-    return [(f"p{p}", i, r.choice([None, 0.3, 0.45, 0.6, 0.74, 0.9]), r.choice([None, 1, 2, 3, i + 1]), r.choice([None, 3, 5])) for p in range(packets) for i in range(r.randrange(1, 40))]
+    return [(f"p{p}", i, r.choice([None, 0.3, 0.45, 0.6, 0.74, 0.9]), r.choice([None, 1, 2, 3, i + 1]), r.choice([None, 3, 5])) for p in range(bundles) for i in range(r.randrange(1, 40))]
 
 
 def test_batch_equals_state_machine_equals_stream(spark, tmp_path):
     rows = random_pages(3)
-    df = spark.createDataFrame(rows, "packet_id string, page_index int, confidence double, page_num int, page_total int")
+    df = spark.createDataFrame(rows, "bundle_id string, page_index int, confidence double, page_num int, page_total int")
     want = []
+    for p in sorted({x[0] for x in rows}):
+        own = [x[2:] for x in rows if x[0] == p]
+        assert run(own) == run(own, step=7) == run(own, step=1000)
     for p in sorted({x[0] for x in rows}):
         want += [(p, i, s, r) for i, s, r, _ in run([x[2:] for x in rows if x[0] == p])]
-    key = lambda d: sorted((x.packet_id, x.page_index, x.split, x.reason) for x in d.collect())
+    key = lambda d: sorted((x.bundle_id, x.page_index, x.split, x.reason) for x in d.collect())
     assert key(decide(df.orderBy(F.rand(1)))) == sorted(want)
     assert key(replay(spark, df, str(tmp_path), cuts=(5, 11))) == sorted(want)
