@@ -28,6 +28,12 @@ STOPWORDS = {
     "pt": "o a os as de e do da em um uma para com não que se no na por mais dos das é",
 }
 GENERIC = "that this with from have were been their they will would there these which other into more such than when also some only about over under after before between through each most being both same where while because could should does upon within without total year years page pages table figure note notes section shall article chapter part"
+ARTICLE = r"(?i)^(article)\s+([IVXLCDM]+|\d{1,3})\.?(?:\s+|$)"
+SECTION_NUMBER = r"(?i)^section\s+(\d{1,3}(?:\.\d{1,3})*)\.?(?:\s+|$)"
+OUTLINE = r"^(\d{1,3}(?:\.\d{1,3})*)\.?(?:\s+|$)"
+NUMBER = r"\d+(?:\.\d+)?|\.\d+"
+CUE = r"(?i)\b(?:probability|chance|likelihood|score|p)\b"
+BAND_LABEL = r"(?i)^\s*(?:(?:page|p\.)\s*\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?|\d{1,4}\s*(?:of|/)\s*\d{1,4}|[-–—]\s*\d{1,4}\s*[-–—])\s*$"
 MIN_CHARS, MIN_WORDS, MIN_LANGUAGE_WORDS, MIN_LETTERS = 40, 40, 20, 30
 # --- end of fixed values ---
 
@@ -198,19 +204,31 @@ def roman(text: Column) -> Column:
     return F.when(t.rlike(r"^(?=[CDILVXM])(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"), total)
 
 
-def decimal_numbering(text: Column) -> Column:
-    """Components of an outline number at the start ("1.2.3 Title"); the first below 100, each of at most 3 digits; else null."""
-    head = F.regexp_extract(text, r"(?i)^(?:section\s+)?(\d+(?:\.\d+)*)\.?(?:\s|$)", 1)
-    parts = F.split(head, r"\.")
-    ok = (head != "") & F.forall(parts, lambda p: F.length(p) <= 3) & (parts[0].try_cast("int") <= 99) & F.forall(F.slice(parts, 2, 20), lambda p: ~p.rlike("^0\\d"))
-    return F.when(ok, F.transform(parts, lambda p: p.try_cast("int")))
+def numbering(heading: Column) -> Column:
+    """(depth, parts, token) of an outline number at the start of a heading's first line; null without one.
+
+    Decimal outlines keep their digits as written ("1.01" isn't "1.1"); a first part above 99 is a year or an amount.
+    Articles count 1 to 999, arabic or roman, are of depth 1 and have no parts.
+    """
+    line = F.split(heading, "\n")[0]
+    word, value = (F.regexp_extract(line, ARTICLE, k) for k in (1, 2))
+    counts = F.coalesce(value.try_cast("int"), roman(value)).between(1, 999)
+    article = F.when(counts, F.struct(F.lit(1).alias("depth"), F.lit(None).cast("array<string>").alias("parts"), F.concat(word, F.lit(" "), value).alias("token")))
+    number = F.coalesce(F.nullif(F.regexp_extract(line, SECTION_NUMBER, 1), F.lit("")), F.nullif(F.regexp_extract(line, OUTLINE, 1), F.lit("")))
+    parts = F.split(number, r"\.")
+    decimal = F.when(parts[0].try_cast("int") <= 99, F.struct(F.size(parts).alias("depth"), parts.alias("parts"), number.alias("token")))
+    return F.when(line.rlike(ARTICLE), article).otherwise(decimal)
 
 
 def sentence_probability(text: Column) -> Column:
-    """The one number in a sentence as a probability: no sign, no percent; a bare 0 or 1 needs a cue word."""
-    numbers = F.regexp_extract_all(text, F.lit(r"((?<![\w.])-?\d+(?:\.\d+)?(?![\w.]*\d))"), F.lit(1))
-    one = F.when(F.size(numbers) == 1, numbers[0])
-    value = one.try_cast("double")
-    cue = text.rlike(r"(?i)\b(probability|confidence|score|likelihood|chance)\b")
-    ok = ~one.startswith("-") & ~text.rlike(r"(?i)\d\s*(?:%|percent)") & (one.contains(".") | cue) & value.between(0, 1)
-    return F.when(ok, value)
+    """The one number in a sentence as a probability: no minus, no percent; without a point it needs a cue word."""
+    one = F.size(F.regexp_extract_all(text, F.lit(f"({NUMBER})"), F.lit(1))) == 1
+    before, token, after = (F.regexp_extract(text, f"(?s)^(.*?)({NUMBER})(.*)$", k) for k in (1, 2, 3))
+    refused = before.rlike(r"(?U)[-\u2212]\s*$") | after.rlike(r"(?iU)^\s*(?:%|percent\b|per cent\b)")
+    value = token.try_cast("double")
+    return F.when(one & ~refused & (token.contains(".") | text.rlike(CUE)) & value.between(0, 1), value)
+
+
+def one_space(text: Column) -> Column:
+    """Words joined by one space."""
+    return strip(F.regexp_replace(text, r"(?U)\s+", " "))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +43,13 @@ def sections(blocks: DataFrame, key: str = "bundle_id") -> DataFrame:
     heads = rows.where("opens").select(key, "ord", F.when(F.col("head"), F.concat("block_id", F.lit("-sec"))).otherwise(F.lit("anon-1")).alias("section_id"), F.col("opened").alias("level"), F.when(F.col("head"), F.substring(F.split("text", "\n")[0], 1, 200)).alias("heading"), parent.alias("parent_ord"), F.col("page_index").alias("page_start"))
     extents = rows.groupBy(key, "ord").agg(F.max("page_index").alias("last_page"), F.count("*").alias("n_blocks"))
     joined = heads.join(extents, [key, "ord"])
-    # A subtree is contiguous: it ends before the next section whose level is not above its own.
-    later = Window.partitionBy(key).orderBy("ord")
-    listed = joined.withColumn("following", F.collect_list(F.struct("ord", "level", "last_page")).over(later.rowsBetween(1, Window.unboundedFollowing)))
-    stop = F.aggregate("following", F.struct(F.lit(False).alias("done"), F.col("last_page").alias("page")), lambda s, x: F.when(s["done"] | (x["level"] <= F.col("level")), F.struct(F.lit(True).alias("done"), s["page"].alias("page"))).otherwise(F.struct(F.lit(False).alias("done"), F.greatest(s["page"], x["last_page"]).alias("page"))))
-    return listed.withColumn("page_end", stop["page"]).drop("following", "last_page")
+    # A subtree is contiguous: it ends before the next section whose level is not above its own, and pages only grow.
+    ahead = Window.partitionBy(key).orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
+    after = F.least(*(F.when(F.col("level") >= k, F.min(F.when(F.col("level") == k, F.col("ord"))).over(ahead)) for k in range(LEVELS)))
+    last = Window.partitionBy(key)
+    closed = joined.withColumn("stop", F.coalesce(after, F.max("ord").over(last) + 1) - 1)
+    ends = joined.select(key, F.col("ord").alias("stop"), F.col("last_page").alias("page_end"))
+    return closed.join(ends, [key, "stop"]).drop("stop").withColumnRenamed("last_page", "own_end")
 
 
 def titles(blocks: DataFrame, key: str = "bundle_id") -> DataFrame:
@@ -60,20 +63,52 @@ def titles(blocks: DataFrame, key: str = "bundle_id") -> DataFrame:
 
 def numbered_parents(sections_: DataFrame, key: str = "bundle_id") -> DataFrame:
     """For each section with an outline number: the nearest one before it whose number is its number without the last part."""
-    number = T.decimal_numbering(F.col("heading"))
-    rows = sections_.withColumn("number", number).where("number is not null").withColumns({"depth": F.size("number"), "own": F.array_join("number", "."), "want": F.when(F.size("number") > 1, F.array_join(F.slice("number", F.lit(1), F.size("number") - 1), "."))})
+    rows = sections_.withColumn("number", T.numbering(F.col("heading"))).where("number is not null").select(key, "ord", "level", "section_id", F.col("number.depth").alias("depth"), F.col("number.token").alias("token"), F.col("number.parts").alias("parts"))
+    rows = rows.withColumns({"own": F.array_join("parts", "."), "want": F.when(F.size("parts") > 1, F.array_join(F.slice("parts", F.lit(1), F.size("parts") - 1), "."))})
     # An as-of join: parents and children in one order, the latest parent carried on.
-    sides = rows.select(key, "ord", F.col("own").alias("match"), F.col("ord").alias("parent")).unionByName(rows.where("want is not null").select(key, "ord", F.col("want").alias("match"), F.lit(None).cast("long").alias("parent")))
+    sides = rows.where("parts is not null").select(key, "ord", F.col("own").alias("match"), F.col("ord").alias("parent")).unionByName(rows.where("want is not null").select(key, "ord", F.col("want").alias("match"), F.lit(None).cast("long").alias("parent")))
     w = Window.partitionBy(key, "match").orderBy("ord", F.col("parent").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
     found = sides.withColumn("asof", F.last("parent", ignorenulls=True).over(w)).where("parent is null").select(key, "ord", F.col("asof").alias("number_parent"))
-    return rows.select(key, "ord", "own", "depth").join(found, [key, "ord"], "left")
+    # A title (level 0) is never moved.
+    return rows.select(key, "ord", "depth", "token").join(found, [key, "ord"], "left").withColumn("number_parent", F.col("number_parent"))
+
+
+def _ends(sections_: DataFrame, key: str) -> DataFrame:
+    """page_end of each section from its own last page and its children's, whatever their order; parents stand before children."""
+    schema = f"{key} string, ord long, page_end int"
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ord", ascending=False)
+        end = dict(zip(frame["ord"], frame["own_end"], strict=True))
+        for o, p in zip(frame["ord"], frame["parent_ord"], strict=True):
+            if not pd.isna(p):
+                end[int(p)] = max(end[int(p)], end[o])
+        return pd.DataFrame({key: frame[key], "ord": frame["ord"], "page_end": [end[o] for o in frame["ord"]]})
+
+    return sections_.select(F.col(key).cast("string").alias(key), "ord", "parent_ord", "own_end").groupBy(key).applyInPandas(work, schema)
+
+
+def repaired_sections(sections_: DataFrame, key: str = "bundle_id") -> DataFrame:
+    """Sections whose outline number disagrees with their level, put right: level, parent_ord and page_end, and from_parent if moved.
+
+    The level becomes the number's depth; the parent the section that bears the number without its last part, if
+    there is one.  Titles keep their level and place.
+    """
+    joined = sections_.join(numbered_parents(sections_, key), [key, "ord"], "left")
+    movable = F.col("level") != 0
+    moved = movable & F.col("number_parent").isNotNull() & ~F.col("parent_ord").eqNullSafe(F.col("number_parent"))
+    out = joined.withColumns({"moved": F.coalesce(moved, F.lit(False)), "new_level": F.when(movable & F.col("depth").isNotNull(), F.col("depth")).otherwise(F.col("level"))})
+    out = out.withColumns({"from_parent": F.when(F.col("moved"), F.col("parent_ord")), "parent_ord": F.when(F.col("moved"), F.col("number_parent")).otherwise(F.col("parent_ord")), "own_end": F.coalesce("own_end", "page_start")})
+    ends = _ends(out, key)
+    return out.drop("page_end", "level", "depth", "number_parent").withColumnRenamed("new_level", "level").join(ends, [key, "ord"])
 
 
 def repaired(sections_: DataFrame, key: str = "bundle_id") -> DataFrame:
-    """Sections whose outline number puts them elsewhere: level becomes the depth, the parent the numbered one; one row a move."""
-    moves = numbered_parents(sections_, key).where("number_parent is not null")
-    joined = sections_.join(moves, [key, "ord"])
-    return joined.where((F.col("level") != F.col("depth")) | ~F.col("parent_ord").eqNullSafe(F.col("number_parent"))).select(key, "ord", "heading", F.col("level").alias("old_level"), F.col("depth").alias("new_level"), F.col("parent_ord").alias("old_parent"), F.col("number_parent").alias("new_parent"))
+    """One flag a moved section: its page and id, the ids of its old and new parent, and the number."""
+    rows = repaired_sections(sections_, key).where("moved")
+    names = sections_.select(key, F.col("ord").alias("o"), F.col("section_id").alias("name"))
+    old, new = names.select(key, F.col("o").alias("from_parent"), F.col("name").alias("from_id")), names.select(key, F.col("o").alias("parent_ord"), F.col("name").alias("to_id"))
+    return rows.join(old, [key, "from_parent"], "left").join(new, [key, "parent_ord"]).select(key, F.col("page_start").alias("page"), F.col("section_id").alias("ref"), "from_id", "to_id", F.col("token").alias("numbering"))
 
 
 def citations(documents: DataFrame, blocks: DataFrame) -> DataFrame:

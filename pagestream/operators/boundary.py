@@ -79,6 +79,49 @@ def topic_signals(pages: DataFrame) -> DataFrame:
     })
 
 
+def title_position(blocks: Column) -> Column:
+    """top if the first body block of a page is its title, lower if a later one is; small lines of the top band are no body."""
+    small_head = lambda x: F.coalesce((x["layout"]) & (x["band"] == "top") & x["small"], F.lit(False))
+    body = F.filter(blocks, lambda x: ~x["kind"].isin("header", "footer", "page_number") & ~small_head(x))
+    return F.when(F.try_element_at(body, F.lit(1))["kind"] == "title", "top").when(F.exists(body, lambda x: x["kind"] == "title"), "lower")
+
+
+def head_facts(blocks: DataFrame) -> DataFrame:
+    """By page: the head's fingerprint, whether it is tagged, its style (layout pages), whether the page has a layout, and the title's position.
+
+    blocks(bundle_id, page_index, reading_order, kind, text[, layout, band, small, size, top]).
+    """
+    given = {"layout": "boolean", "band": "string", "small": "boolean", "size": "double", "top": "double"}
+    blocks = blocks.select("bundle_id", "page_index", "reading_order", "kind", "text", *((F.col(c) if c in blocks.columns else F.lit(None)).cast(t).alias(c) for c, t in given.items()))
+    listed = blocks.groupBy("bundle_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("reading_order", "kind", "text", *given))).alias("b"))
+    b = F.col("b")
+    lead = F.substring(F.split(F.lower(T.strip(b[0]["text"])), "\n")[0], 1, 80)
+    tagged = F.exists(b, lambda x: (x["kind"] == "header") & (T.strip(x["text"]) != ""))
+    is_head = lambda x: F.coalesce(x["layout"] & ((x["kind"] == "header") | ((x["band"] == "top") & x["small"])), F.lit(False))
+    style = F.transform(F.filter(b, is_head), lambda x: F.struct(x["size"].alias("size"), F.bround(F.coalesce(x["top"], F.lit(0.0)) / 4).alias("at"), F.coalesce(x["small"], F.lit(False)).alias("small")))
+    return listed.select("bundle_id", "page_index", F.coalesce(lead, F.lit("")).alias("head"), tagged.alias("head_tagged"), F.try_element_at(style, F.lit(1)).alias("head_style"), F.exists(b, lambda x: F.coalesce(x["layout"], F.lit(False))).alias("is_layout"), title_position(b).alias("title"))
+
+
+def header_changed() -> Column:
+    """A tagged running head stops or changes, unless its template stays, or a chapter opener only drops it.
+
+    Needs head_facts with the page before's as prev_ columns, and sizes for ``size_jump``.
+    """
+    before, now = F.col("prev_head_style"), F.col("head_style")
+    same = before.isNotNull() & before.eqNullSafe(now)
+    dropped = before.isNotNull() & F.coalesce(before["small"], F.lit(False)) & now.isNull() & F.col("is_layout") & F.coalesce(F.col("title") == "top", F.lit(False)) & ~size_jump()
+    changed = F.col("prev_head_tagged") & (F.col("head") != "") & (F.col("prev_head") != "") & (F.col("head") != F.col("prev_head"))
+    return F.coalesce(changed, F.lit(False)) & ~same & ~dropped
+
+
+def head_signals(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """pages(bundle_id, page_index, width, height, rotation) with header_changed, title_top and title_block."""
+    facts = pages.join(head_facts(blocks), ["bundle_id", "page_index"], "left").na.fill({"head": "", "head_tagged": False, "is_layout": False})
+    rows = with_previous(facts, ("head", "head_tagged", "head_style", "width", "height", "rotation"))
+    later = F.col("page_index") > 0
+    return rows.withColumns({"header_changed": header_changed() & later, "title_top": F.coalesce(F.col("title") == "top", F.lit(False)) & later, "title_block": F.coalesce(F.col("title") == "lower", F.lit(False)) & later}).drop(*(c for c in rows.columns if c.startswith("prev_")), "head", "head_tagged", "head_style", "is_layout", "title")
+
+
 def embedding_cosine(current: Column, one: Column, two: Column) -> Column:
     """Cosine of a vector with the mean of the known ones of the two before it; null if none is known."""
     zero = lambda a: F.coalesce(a, F.transform(current, lambda _: F.lit(0.0).cast("float")))
@@ -109,14 +152,14 @@ def combine(flags: DataFrame) -> DataFrame:
     capped = F.when(has("page_number_reset"), lifted).otherwise(F.least(lifted, F.lit(CAP_WITHOUT_RESET)))
     fires = (F.col("page_index") > 0) & (lifted >= PROPOSE)
     reason = F.concat_ws("+", *(F.when(on[r], r) for r in present))
-    return flags.withColumns({"confidence": F.when(fires, F.least(capped, F.lit(CAP))), "reason": F.when(fires, F.when(reason == "", "boundary").otherwise(reason))})
+    return flags.withColumns({"confidence": F.when(fires, F.least(capped, F.lit(CAP))), "reason": F.when(fires, F.when(reason == "", "boundary").otherwise(reason))}).withColumn("signal", F.col("reason"))
 
 
 def with_model(signals: DataFrame, probability: str) -> DataFrame:
     """Raises the confidence to a model's probability (at most 0.74; ignored below the level to propose); never lowers it."""
     p = F.when(F.col(probability) >= PROPOSE, F.least(F.col(probability), F.lit(CAP_WITHOUT_RESET)))
     raised = (F.col("page_index") > 0) & p.isNotNull() & (F.col("confidence").isNull() | (p > F.col("confidence")))
-    return signals.withColumns({"confidence": F.when(raised, p).otherwise(F.col("confidence")), "reason": F.when(raised, F.concat_ws("+", "reason", F.lit("model"))).otherwise(F.col("reason"))})
+    return signals.withColumns({"confidence": F.when(raised, p).otherwise(F.col("confidence")), "reason": F.when(raised, F.concat_ws("+", "reason", F.lit("model"))).otherwise(F.col("reason"))}).withColumn("signal", F.col("reason"))
 
 
 def document_index(decisions: DataFrame, blocks: str = "n_blocks", apply: bool = True, always_filled: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import urllib.parse
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -17,7 +19,8 @@ from pagestream.shipping import ship
 # --- fixed values ---
 LOOP_CHARS, LOOP_RATIO, LOOP_LEVEL = 1500, 0.02, 9
 MAX_PROMPT, MAX_STRIKES = 8000, 3
-SECRET_FIELDS = ("api_key", "authorization", "token")
+SECRET_FIELD = r"(?i)^(api[_-]?key|authorization|token)$"
+SECRET_QUERY = ("api_key", "token", "authorization")
 # --- end of fixed values ---
 
 
@@ -107,12 +110,55 @@ def complete(prompts: DataFrame, completion: Callable[[list[str]], list[str]], c
 
 
 def reject_secrets(config: object) -> None:
-    """Raises if a field of a configuration, at any depth, is named like a secret."""
+    """Raises if a field of a configuration, at any depth, is named like a secret, or if an address carries one."""
     if isinstance(config, dict):
         for k, v in config.items():
-            if str(k).lower() in SECRET_FIELDS:
+            if re.match(SECRET_FIELD, str(k)):
                 raise ValueError(f"secrets don't belong in a configuration: {k}")
             reject_secrets(v)
     elif isinstance(config, list):
         for v in config:
             reject_secrets(v)
+    elif isinstance(config, str) and "://" in config:
+        url = urllib.parse.urlsplit(config)
+        if url.username or url.password:
+            raise ValueError("an address in a configuration may not name a user")
+        if found := {k.lower() for k, _ in urllib.parse.parse_qsl(url.query, keep_blank_values=True)} & set(SECRET_QUERY):
+            raise ValueError(f"an address in a configuration may not carry {sorted(found)[0]}")
+
+
+def in_band(confidence: Column, low: float, high: float) -> Column:
+    """Confidences that a confirmer is asked about, both ends included."""
+    return F.coalesce(confidence.between(low, high), F.lit(False))
+
+
+def with_fallback(pages: DataFrame, engines: list[tuple[str, frozenset[str], Callable[[list[str]], list[str]]]], column: str = "raw") -> DataFrame:
+    """pages(page_class, <column>) with ``reply``, ``engine`` and ``error`` by the first engine that answers.
+
+    Engines (name, classes, batch function) that name a page's class are asked in order, or all if none does.  An
+    exception passes the batch on; an empty reply is final.
+    """
+    ship(pages.sparkSession)
+    from pyspark.sql import types as S
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, kinds = b.column(b.schema.get_field_index(column)).to_pylist(), b.column(b.schema.get_field_index("page_class")).to_pylist()
+            replies, used, errors = [None] * len(texts), [None] * len(texts), [None] * len(texts)
+            own = {k: [e for e in engines if k in e[1]] or list(engines) for k in set(kinds)}
+            for k, candidates in own.items():
+                todo = [i for i, x in enumerate(kinds) if x == k]
+                for name, _, engine in candidates:
+                    try:
+                        answers = engine([texts[i] for i in todo])
+                    except Exception as e:  # the next engine gets the batch
+                        for i in todo:
+                            errors[i] = f"{name}: {type(e).__name__}"
+                        continue
+                    for i, r in zip(todo, answers, strict=True):
+                        replies[i], used[i], errors[i] = r, name, None
+                    break
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.string()) for x in (replies, used, errors))], names=[*b.schema.names, "reply", "engine", "error"])
+
+    schema = S.StructType([*pages.schema.fields, *(S.StructField(c, S.StringType()) for c in ("reply", "engine", "error"))])
+    return pages.mapInArrow(work, schema)

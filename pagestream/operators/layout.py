@@ -56,7 +56,7 @@ def layout_blocks(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("is_title", F.col("candidate") & (broken == 0))
     short = (F.length("text") <= 80) & ~F.col("text").rlike(r"(?U)[.,]\s*$")
     heading = short & (F.col("body") > 0) & ((F.col("size") >= F.col("body") * HEADING_RATIO) | (F.col("bold") & (F.col("size") >= F.col("body") * BOLD_RATIO)))
-    kind = F.when(F.col("band").isNotNull(), F.when(F.col("text").rlike(T.LABELLED_NUMBER), "page_number").otherwise("paragraph")).when(F.col("is_title"), "title").when(heading, "heading").otherwise("paragraph")
+    kind = F.when(F.col("band").isNotNull(), F.when(F.col("text").rlike(T.BAND_LABEL), "page_number").otherwise("paragraph")).when(F.col("is_title"), "title").when(heading, "heading").otherwise("paragraph")
     rows = rows.withColumn("kind", kind)
     lag = lambda c: F.lag(c).over(flow)
     same = F.col("band").isNull() & lag("band").isNull() & lag("kind").isNotNull() & (lag("kind") == F.col("kind"))

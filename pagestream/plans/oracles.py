@@ -220,10 +220,6 @@ o AS (SELECT *, sum(CASE WHEN head OR pos = 1 THEN 1 ELSE 0 END) OVER (PARTITION
 s AS (SELECT bundle_id, ord, min_by(CASE WHEN head THEN block_id || '-sec' ELSE 'anon-1' END, pos) AS section_id, min_by(coalesce(level, 1), pos) AS level, min_by(page_index, pos) AS page_start, max(page_index) AS last_page, count(*) AS n_blocks, min_by(CASE WHEN head THEN md5(text[1:200]) ELSE '' END, pos) AS heading_md5 FROM o GROUP BY 1, 2)
 SELECT bundle_id, ord::BIGINT AS ord, section_id, level::INT AS level, (SELECT max(x.ord) FROM s x WHERE x.bundle_id = s.bundle_id AND x.ord < s.ord AND x.level < s.level)::BIGINT AS parent_ord, page_start,
   (SELECT max(x.last_page) FROM s x WHERE x.bundle_id = s.bundle_id AND x.ord >= s.ord AND x.ord < coalesce((SELECT min(y.ord) FROM s y WHERE y.bundle_id = s.bundle_id AND y.ord > s.ord AND y.level <= s.level), 1e18)) AS page_end, n_blocks, nullif(heading_md5, '') AS heading_md5 FROM s""",
-    "weak_boundary_flags": DECISIONS
-    + """
-, d AS (SELECT i.bundle_id, doc_index, min_by(reason, i.page_index) AS reason, count(page_num) AS numbered, min(i.page_index) AS page FROM indexed i JOIN pages p ON p.bundle_id = i.bundle_id AND p.page_index = i.page_index GROUP BY 1, 2)
-SELECT bundle_id, doc_index, page, CASE WHEN reason = 'fallback_eager' THEN 'fallback_decision' ELSE 'weak_boundary' END AS flag FROM d WHERE reason = 'fallback_eager' OR numbered = 0""",
     "unresolved_citations": CITED + "SELECT c.bundle_id, c.doc_index, c.block_id, count(*) AS n FROM cited c LEFT JOIN known k ON c.bundle_id = k.bundle_id AND c.block_id = k.block_id WHERE NOT coalesce(known_from <= doc_index, false) GROUP BY 1, 2, 3",
     "citation_integrity": CITED + "SELECT c.bundle_id, round(avg(CASE WHEN known_from IS NULL THEN 0 ELSE 1 END), 6) AS integrity FROM cited c LEFT JOIN known k ON c.bundle_id = k.bundle_id AND c.block_id = k.block_id GROUP BY 1",
     "review_checks": BLOCKS
@@ -249,12 +245,6 @@ WITH r AS (SELECT event_type, round(value, 2) AS v, row_number() OVER (PARTITION
 SELECT event_type, min(v) FILTER (k >= greatest(ceil(0.5::DOUBLE * n), 1)) AS p50, min(v) FILTER (k >= greatest(ceil(0.95::DOUBLE * n), 1)) AS p95 FROM r GROUP BY 1""",
     "split_disjoint": "SELECT md5(text) AS text_md5 FROM documents WHERE source IN ('src1', 'src3', 'src5') INTERSECT SELECT md5(text) FROM documents WHERE source NOT IN ('src1', 'src3', 'src5')",
     "grouped_folds": "SELECT source, count(*) AS n, 1::BIGINT AS folds FROM documents GROUP BY 1",
-    "numbering": r"""
-WITH t AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_size || '.' || (p_size + 1) WHEN 1 THEN p_size || '.' || p_size WHEN 2 THEN CASE WHEN p_size * 50 <= 99 THEN (p_size * 50)::VARCHAR END END AS number FROM part)
-SELECT p_partkey, number, len(string_split(number, '.'))::INT AS depth FROM t""",
-    "sentence_probability": """
-WITH t AS (SELECT event_id, event_id % 6 AS k, round(abs(value) % 2, 2) AS v FROM events)
-SELECT event_id, (CASE WHEN k = 0 AND v <= 1 THEN v WHEN k = 3 THEN 1.0 END)::DOUBLE AS probability FROM t""",
     "error_rates": "SELECT p_partkey, round(levenshtein(p_name, replace(replace(replace(p_name, 'a', '@'), 'e', '3'), 'o', '')) / greatest(length(p_name), 1)::DOUBLE, 6) AS cer FROM part",
     "range_validation": PAGES
     + """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagestream.functions import text as T
-from pagestream.operators import assemble, boundary, furniture, lookahead, metrics
+from pagestream.operators import assemble, boundary, furniture, lookahead, metrics, review
 from pagestream.operators.model import Weights, features, probability
 
 
@@ -34,50 +34,60 @@ class Result:
     decisions: DataFrame
     documents: DataFrame
     sections: DataFrame
+    flags: DataFrame
+    events: DataFrame
 
 
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """Typed blocks of plain text pages; edge lines that repeat or number pages are tagged."""
+def raw_blocks(pages: DataFrame) -> DataFrame:
+    """Typed blocks of plain text pages, before anything is known of running heads and feet."""
     kinds = T.block_kind(F.col("text"), (F.col("page_index") == 0) & (F.col("reading_order") == 0))
     split = pages.select("bundle_id", "page_index", F.posexplode(T.split_blocks(F.col("text"))).alias("reading_order", "text"))
-    typed = split.withColumn("k", kinds).select("bundle_id", "page_index", "reading_order", "text", "k.kind", "k.heading_level")
-    tags = furniture.tags(pages).select("bundle_id", "page_index", "top", "bottom", "is_page_number", "is_footer", "is_header")
-    rows = typed.join(tags, ["bundle_id", "page_index"], "left")
-    # A block that is an edge line as a whole takes its tag; an edge line inside a block is left to the text.
-    one = F.when((F.col("text") == F.col("bottom")) & F.col("is_page_number"), "page_number").when((F.col("text") == F.col("bottom")) & F.col("is_footer"), "footer").when((F.col("text") == F.col("top")) & F.col("is_header"), "header")
-    kind = F.coalesce(one, F.col("kind"))
-    return rows.select("bundle_id", "page_index", "reading_order", "text", kind.alias("kind"), F.when(one.isNull(), F.col("heading_level")).alias("heading_level"), F.format_string("%s-p%d-b%d", "bundle_id", "page_index", "reading_order").alias("block_id"))
+    return split.withColumn("k", kinds).select("bundle_id", "page_index", "reading_order", F.format_string("%s-p%d-b%d", "bundle_id", "page_index", "reading_order").alias("block_id"), "k.kind", "k.heading_level", "text")
+
+
+def page_blocks(pages: DataFrame, final: bool = True) -> DataFrame:
+    """Typed blocks; edge lines that repeat or number pages are cut out and tagged. ``final``: seen from both sides."""
+    return furniture.tag_blocks(raw_blocks(pages), pages, final)
 
 
 def page_facts(pages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Pages with n_blocks, page_num, page_total and title from their blocks."""
+    """Pages with n_blocks, page_num, page_total, title and body_text (all blocks but heads, feet and page numbers)."""
     listed = blocks.groupBy("bundle_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("reading_order", "kind", "text"))).alias("b"))
     body = F.filter("b", lambda x: ~x["kind"].isin(*assemble.FURNITURE))
     title = F.when(F.try_element_at(body, F.lit(1))["kind"] == "title", "top").when(F.exists(body, lambda x: x["kind"] == "title"), "lower")
     number = T.page_number(F.col("b"))
-    facts = listed.select("bundle_id", "page_index", F.size("b").alias("n_blocks"), number["num"].alias("page_num"), number["total"].alias("page_total"), title.alias("title"))
+    facts = listed.select("bundle_id", "page_index", F.size("b").alias("n_blocks"), number["num"].alias("page_num"), number["total"].alias("page_total"), title.alias("title"), F.array_join(F.transform(body, lambda x: x["text"]), " ").alias("body_text"))
     return pages.join(facts, ["bundle_id", "page_index"], "left").na.fill(0, ["n_blocks"])
 
 
 def parse(pages: DataFrame, config: PipelineConfig = PipelineConfig()) -> Result:
-    """pages(bundle_id, page_index, text[, width, height, rotation]) to blocks, decisions, documents and sections."""
+    """pages(bundle_id, page_index, text[, width, height, rotation]) to blocks, decisions, documents, sections, flags and events.
+
+    Signals see a page's edges as a reader who comes from the front; blocks are tagged from both sides.
+    """
     for name, value in (("width", F.lit(None).cast("double")), ("height", F.lit(None).cast("double")), ("rotation", F.lit(0))):
         if name not in pages.columns:
             pages = pages.withColumn(name, value)
-    blocks = page_blocks(pages)
-    facts = page_facts(pages, blocks)
-    flags = boundary.topic_signals(boundary.number_signals(facts).drop(*(c for c in boundary.number_signals(facts).columns if c.startswith("prev_"))))
-    flags = flags.withColumns({"title_top": (F.col("title") == "top") & (F.col("page_index") > 0), "title_block": (F.col("title") == "lower") & (F.col("page_index") > 0)})
-    signals = boundary.combine(flags)
+    blocks, seen = page_blocks(pages), page_blocks(pages, final=False)
+    facts = page_facts(pages, seen)
+    size = ("width", "height", "rotation")
+    number = boundary.number_signals(facts.select("bundle_id", "page_index", "page_num", "page_total", "n_blocks", *size)).select("bundle_id", "page_index", "page_num", "page_total", "n_blocks", "page_number_reset", "sequence_completed", "media_box_changed")
+    heads = boundary.head_signals(pages.select("bundle_id", "page_index", *size), seen).select("bundle_id", "page_index", "header_changed", "title_top", "title_block")
+    topics = boundary.topic_signals(facts.select("bundle_id", "page_index", F.coalesce("body_text", F.lit("")).alias("text"))).select("bundle_id", "page_index", "topic_shift", "language_changed")
+    key = ["bundle_id", "page_index"]
+    signals = boundary.combine(number.join(heads, key).join(topics, key))
     if config.weights is not None:
-        scored = features(facts).withColumn("p", probability(config.weights)).select("bundle_id", "page_index", "p")
-        signals = boundary.with_model(signals.join(scored, ["bundle_id", "page_index"], "left"), "p")
-    decided = lookahead.decide(signals, lookahead.SplitConfig(config.window, config.commit_confidence, config.min_boundary_confidence))
-    counted = decided.join(facts.select("bundle_id", "page_index", "n_blocks"), ["bundle_id", "page_index"])
-    indexed = boundary.document_index(counted, apply=config.split_on_boundary)
-    placed = blocks.join(indexed.select("bundle_id", "page_index", "doc_index"), ["bundle_id", "page_index"]).withColumn("document_id", F.format_string("%s-doc-%d", "bundle_id", "doc_index"))
-    documents = boundary.document_ranges(indexed).withColumn("document_id", F.format_string("%s-doc-%d", "bundle_id", "doc_index")).join(assemble.titles(placed, "document_id"), "document_id", "left")
-    return Result(signals, placed, indexed, documents, assemble.sections(placed, "document_id"))
+        scored = features(facts).withColumn("p", probability(config.weights)).select(*key, "p")
+        signals = boundary.with_model(signals.join(scored, key, "left"), "p")
+    decided = lookahead.decide(signals, lookahead.SplitConfig(config.window, config.commit_confidence, config.min_boundary_confidence), keep=("n_blocks", "page_num", "page_total", "signal"))
+    indexed = boundary.document_index(decided, apply=config.split_on_boundary)
+    name = F.format_string("%s-doc-%d", "bundle_id", "doc_index")
+    placed = blocks.join(indexed.select(*key, "doc_index"), key).withColumn("document_id", name)
+    documents = boundary.document_ranges(indexed).withColumn("document_id", name).join(assemble.titles(placed, "document_id"), "document_id", "left")
+    sections = assemble.repaired_sections(assemble.sections(placed, "document_id"), "document_id")
+    flags = review.uncertainty_flags(indexed)
+    events = review.event_log(pages.select(*key, T.page_class(F.col("text"))["page_class"].alias("page_class")), seen, signals, indexed)
+    return Result(signals, placed, indexed, documents, sections, flags, events)
 
 
 def inspect(pages: DataFrame) -> DataFrame:

@@ -200,22 +200,6 @@ def doc_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.titles(S.html_blocks(spark, sf_dir))
 
 
-def rank_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of line items with outline numbers for headings."""
-    rows = S.order_pages(spark, sf_dir).where("page_num is not null")
-    heading = F.when(F.col("page_num") == 1, F.format_string("%d Part", F.col("gold_id") % 90)).when(F.col("page_num") % 2 == 0, F.format_string("%d.%d Item", F.col("gold_id") % 90, "page_num")).otherwise(F.format_string("%d.%d.%d Detail", F.col("gold_id") % 90, F.col("page_num") - 1, "page_num"))
-    blocks = rows.select("bundle_id", "page_index", F.lit(0).alias("reading_order"), F.lit("heading").alias("kind"), F.lit(1).alias("heading_level"), heading.alias("text"), F.format_string("%s-p%d-b0", "bundle_id", "page_index").alias("block_id"))
-    return assemble.repaired(assemble.sections(blocks))
-
-
-def weak_boundary_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Splits that rest on the fallback, and documents whose first pages have no number."""
-    rows = _indexed(spark, sf_dir, ("page_num",))
-    first = rows.groupBy("bundle_id", "doc_index").agg(F.min_by("reason", "page_index").alias("reason"), F.count("page_num").alias("numbered"), F.min("page_index").alias("page"))
-    flag = F.when(F.col("reason").isin("fallback_eager"), "fallback_decision").when(F.col("numbered") == 0, "weak_boundary")
-    return first.select("bundle_id", "doc_index", "page", flag.alias("flag")).where("flag is not null")
-
-
 def _cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     blocks = S.html_blocks(spark, sf_dir).select("bundle_id", F.col("page_index").alias("doc_index"), "block_id", "reading_order")
     near = F.when(F.col("reading_order") % 5 == 0, F.concat("block_id", F.lit("x"))).when(F.col("reading_order") % 3 == 0, F.format_string("%s-p%d-b0", "bundle_id", F.col("doc_index") + 1)).otherwise(F.col("block_id"))
@@ -305,19 +289,6 @@ def split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where(held).select("text_md5").intersect(docs.where(~held).select("text_md5"))
 
 
-def numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("p_size")
-    text = F.when(n % 4 == 0, F.format_string("%d.%d %s", n, n + 1, "p_name")).when(n % 4 == 1, F.format_string("Section %d.%d", n, n)).when(n % 4 == 2, F.format_string("%d Budget", n * 50)).otherwise(F.format_string("%d.0%d x", n, n))
-    parts = S.table(spark, sf_dir, "part").select("p_partkey", T.decimal_numbering(text).alias("number"))
-    return parts.select("p_partkey", F.array_join("number", ".").alias("number"), F.size("number").alias("depth"))
-
-
-def sentence_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, k = F.format_string("%.2f", F.abs("value") % 2), F.col("event_id") % 6
-    text = F.when(k == 0, F.concat(F.lit("The probability is "), v)).when(k == 1, F.concat(F.lit("about "), v, F.lit(" percent"))).when(k == 2, F.concat(F.lit("-"), v)).when(k == 3, F.lit("score 1")).when(k == 4, F.lit("page 1")).otherwise(F.concat(v, F.lit(" or "), v))
-    return S.table(spark, sf_dir, "events").select("event_id", F.round(T.sentence_probability(text), 6).alias("probability"))
-
-
 def error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character error rates of part names read with a confusion of letters."""
     parts = S.table(spark, sf_dir, "part")
@@ -491,9 +462,9 @@ QUERIES: dict[str, Query] = {
     for f in (
         classify_pages, text_layer_census, block_split, block_kinds, page_label_parse, content_words, detect_language, topic_similarity_adjacent,
         language_changed, topic_shift, page_number_reset, media_box_jump, embed_shift, boundary_score, eager_split, lookahead_split,
-        document_ranges, boundary_marks, boundary_prf, gate, event_log, furniture_final, furniture_streaming, sections, doc_titles, rank_repair,
-        weak_boundary_flags, unresolved_citations, citation_integrity, review_checks, ocr_cache_join, false_ocr, auroc, threshold_tune,
-        percentile_nearest_rank, retrieval_metrics, grouped_folds, split_disjoint, numbering, sentence_probability, error_rates,
+        document_ranges, boundary_marks, boundary_prf, gate, event_log, furniture_final, furniture_streaming, sections, doc_titles,
+        unresolved_citations, citation_integrity, review_checks, ocr_cache_join, false_ocr, auroc, threshold_tune,
+        percentile_nearest_rank, retrieval_metrics, grouped_folds, split_disjoint, error_rates,
         range_validation, neighbor_heads, layout_blocks, grounding_parse, ocr_routing, features16, logistic_train, logistic_predict, loop_detect,
         reply_ladder, fewshot_grounding, student_features, streaming_parity, event_windows, event_sessions, review_report, bundle_plan, parse_documents,
     )

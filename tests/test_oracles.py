@@ -3,8 +3,9 @@
 import pytest
 from oracle import compare, connect
 
-from pagestream.plans.oracles import ORACLES
-from pagestream.plans.queries import QUERIES
+from pagestream.plans import more_queries, oracles, queries
+
+QUERIES, ORACLES = queries.QUERIES | more_queries.QUERIES, oracles.ORACLES | more_queries.ORACLES
 
 SF = "/root/testdata/sf0.001"
 
