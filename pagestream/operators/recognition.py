@@ -203,9 +203,10 @@ def done_keys(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Keys of a JSONL log that a broken run may have cut: a bad last line is left out, a bad one before fails."""
     lines = spark.read.option("wholetext", True).text(path).select(F.split("value", "\n").alias("l"))
     each = lines.select(F.size("l").alias("n"), F.posexplode("l").alias("at", "line")).where(F.trim("line") != "")
-    value = F.get_json_object("line", f"$.{key}")
-    bad = value.isNull() & (F.col("at") < F.col("n") - 1)
-    return each.select(F.when(bad, F.raise_error(F.lit("a line in the middle of the log is broken"))).otherwise(value).alias(key)).where(f"{key} is not null").distinct()
+    value = F.coalesce(F.get_json_object("line", f"$.{key}"), F.lit(""))
+    broken = (value == "") & (F.col("at") < F.col("n") - 1)
+    keys = each.select(F.when(broken, F.raise_error(F.lit("a line in the middle of the log is broken"))).otherwise(value).alias(key))
+    return keys.distinct().where(F.col(key) != "")
 
 
 def pinned(files: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -75,19 +75,21 @@ def parse(pages: DataFrame, config: PipelineConfig = PipelineConfig()) -> Result
     heads = boundary.head_signals(pages.select("bundle_id", "page_index", *size), seen).select("bundle_id", "page_index", "header_changed", "title_top", "title_block")
     topics = boundary.topic_signals(facts.select("bundle_id", "page_index", F.coalesce("body_text", F.lit("")).alias("text"))).select("bundle_id", "page_index", "topic_shift", "language_changed")
     key = ["bundle_id", "page_index"]
-    signals = boundary.combine(number.join(heads, key).join(topics, key))
+    # The exchange by bundle, which the windows of the decisions need too, keeps Catalyst from copying each flag's whole expression into the score.
+    flags = number.join(heads, key).join(topics, key).repartition("bundle_id")
+    signals = boundary.combine(flags).persist()  # read by decisions and events; so are the decisions by all that follows
     if config.weights is not None:
         scored = features(facts).withColumn("p", probability(config.weights)).select(*key, "p")
         signals = boundary.with_model(signals.join(scored, key, "left"), "p")
-    decided = lookahead.decide(signals, lookahead.SplitConfig(config.window, config.commit_confidence, config.min_boundary_confidence), keep=("n_blocks", "page_num", "page_total", "signal"))
+    decided = lookahead.decide(signals, lookahead.SplitConfig(config.window, config.commit_confidence, config.min_boundary_confidence), keep=("n_blocks", "page_num", "page_total", "signal")).persist()
     indexed = boundary.document_index(decided, apply=config.split_on_boundary)
     name = F.format_string("%s-doc-%d", "bundle_id", "doc_index")
     placed = blocks.join(indexed.select(*key, "doc_index"), key).withColumn("document_id", name)
     documents = boundary.document_ranges(indexed).withColumn("document_id", name).join(assemble.titles(placed, "document_id"), "document_id", "left")
     sections = assemble.repaired_sections(assemble.sections(placed, "document_id"), "document_id")
-    flags = review.uncertainty_flags(indexed)
+    doubts = review.uncertainty_flags(indexed)
     events = review.event_log(pages.select(*key, T.page_class(F.col("text"))["page_class"].alias("page_class")), seen, signals, indexed)
-    return Result(signals, placed, indexed, documents, sections, flags, events)
+    return Result(signals, placed, indexed, documents, sections, doubts, events)
 
 
 def inspect(pages: DataFrame) -> DataFrame:
