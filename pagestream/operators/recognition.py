@@ -201,7 +201,7 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
 
 def done_keys(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Keys of a JSONL log that a broken run may have cut: a bad last line is left out, a bad one before fails."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.split("value", "\n").alias("l"))
+    lines = spark.read.text(path, wholetext=True).select(F.split("value", "\n").alias("l"))
     each = lines.select(F.size("l").alias("n"), F.posexplode("l").alias("at", "line")).where(F.trim("line") != "")
     value = F.coalesce(F.get_json_object("line", f"$.{key}"), F.lit(""))
     broken = (value == "") & (F.col("at") < F.col("n") - 1)
