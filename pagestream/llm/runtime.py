@@ -65,6 +65,9 @@ def stage(df: DataFrame, label: str, done: tuple[DataFrame, ...] = ()) -> DataFr
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     drop(*done)
+    # The plans of many small steps pile up in a driver of bounded memory until the finished ones are let go.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 
