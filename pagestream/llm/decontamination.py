@@ -232,5 +232,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents (all columns) without those that hold a test window."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select(F.coalesce("doc_id", F.lit(R.NULL_ID)).alias("bad_doc_id")).distinct()
-    return docs.join(bad, F.coalesce(docs["doc_id"].cast("long"), F.lit(R.NULL_ID)) == F.col("bad_doc_id"), "left_anti")
+    bad = contamination(docs, benchmark, window).where("contaminated").select(F.coalesce("doc_id", F.lit(R.NULL_ID)).alias("gone_id")).distinct()
+    return R.without(docs, R.stage(bad, "contaminated"))

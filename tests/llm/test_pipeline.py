@@ -149,6 +149,22 @@ def test_stages_and_their_contract(spark):
     assert sum(p.length for p in pieces) == total
 
 
+def test_extra_columns_of_any_name_and_null_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    item = " ".join(words[20:32])
+    rows = [(1, " ".join(words), "a"), (2, " ".join(words[:55]) + " x y", "b"), (None, "z " * 40, "c"), (4, item, "d"), (5, None, "e"), (6, "other words " * 20, "f")]
+    extra = ("bad", "gone_id", "candidate", "spans", "rest", "kept", "cut", "_id", "node", "root")
+    df = spark.createDataFrame([(*r, *([r[2]] * len(extra))) for r in rows], "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in extra))
+    assert sorted(r.lang for r in N.near_dedup(df).collect()) == ["a", "c", "d", "e", "f"]
+    from pagestream.llm.bwt_dedup import cut_repeats
+    from pagestream.llm.decontamination import decontaminate
+
+    out = {r.lang: r.text for r in cut_repeats(df).collect()}
+    assert out["a"] == rows[0][1] and out["e"] is None and out["b"].endswith("x y") and len(out["b"]) < 20
+    benchmark = spark.createDataFrame([("q", item)], "item_id string, text string")
+    assert sorted(r.lang for r in decontaminate(df, benchmark).collect()) == ["c", "e", "f"]
+
+
 def test_empty_documents(spark):
     empty = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     for _, f in C.STAGES:
