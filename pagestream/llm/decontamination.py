@@ -179,7 +179,8 @@ def _report(test: TestWindows):
                 spans += [x.tobytes() for x in s]
                 items += i
                 longest.append(best)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(words), pa.int64()), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(np.concatenate(longest), pa.int64())], names=["doc_id", "n_words", "spans", "items", "longest"])
+            beside = {"row": b.column("row")} if "row" in b.schema.names else {}
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(words), pa.int64()), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(np.concatenate(longest), pa.int64()), *beside.values()], names=["doc_id", "n_words", "spans", "items", "longest", *beside])
 
     return work
 
@@ -214,18 +215,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     """doc_id, n_words, n_hit, n_items, items_sha256, items, longest (words of the longest verbatim match), contaminated."""
     R.prepare(docs.sparkSession)
     texts = R.keyed(docs, "text")
+    marked = R.keyed(docs, "text", F.xxhash64("text").alias("row"))
     parts: list[DataFrame] = []
     for k, items in enumerate(blocks := list(_blocks(benchmark)) if R.plan_bytes(benchmark) <= BLOCK_BYTES else _blocks(benchmark)):
-        part = R.map_arrow(texts, _report(TestWindows(items, window)), REPORT_SCHEMA)
-        parts.append(part if isinstance(blocks, list) and len(blocks) == 1 else R.stage(part.withColumn("row", F.monotonically_increasing_id()), f"block{k}"))
-    if len(parts) == 1 and "row" not in parts[0].columns:
+        if isinstance(blocks, list) and len(blocks) == 1:
+            parts.append(R.map_arrow(texts, _report(TestWindows(items, window)), REPORT_SCHEMA))
+        else:
+            parts.append(R.stage(R.map_arrow(marked, _report(TestWindows(items, window)), f"{REPORT_SCHEMA}, row long"), f"block{k}"))
+    if len(parts) == 1:
         whole = parts[0].select("doc_id", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"), "longest")
     else:
         whole = parts[0]
         for p in parts[1:]:
             whole = whole.unionByName(p)
-        # Blocks read the same splits in the same order, so that repeated rows stay apart by their number.
-        whole = whole.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"), F.max("longest").alias("longest")).drop("row")
+        # Rows of one id are told apart by their text, whatever order the blocks read them in; equal rows come out as often as they went in.
+        copies = (F.count("*") / len(parts)).cast("int").alias("copies")
+        whole = whole.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.collect_set("spans").alias("spans"), F.collect_set("items").alias("items"), F.max("longest").alias("longest"), copies)
+        whole = whole.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("row", "copies", "copy")
     out = R.map_arrow(whole, _finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, longest long")
     return out.select(R.plain_id(), "n_words", "n_hit", "n_items", "items_sha256", "items", "longest", (F.col("n_hit") > 0).alias("contaminated"))
 

@@ -163,15 +163,17 @@ def train(trusted: DataFrame, languages: DataFrame | None = None, order: int = O
     for n in range(order - 1, 0, -1):  # distinct left extensions
         tables.append(R.stage(tables[-1].groupBy("lang", F.substring("g", 2, n).alias("g")).agg(F.count("*").alias("c")), f"order{n}"))
     tables.reverse()
-    size = tables[0].groupBy("lang").agg((1.0 / (F.count("*") + 1)).alias("lower"))
+    size = R.stage(tables[0].groupBy("lang").agg((1.0 / (F.count("*") + 1)).alias("lower")), "languages")
+    # One row a language: joined by a shuffle, a common language's rows would all meet in one task.
+    spread = F.broadcast if size.count() <= R.BROADCAST_IDS else lambda t: t
     rows = size.select("lang", F.lit(0).alias("n"), F.lit("").alias("g"), F.log("lower").alias("logp"), F.lit(None).cast("double").alias("logw"))
     below = None
     for n, counts in enumerate(tables, 1):
-        c = counts.join(_discounts(counts), "lang").withColumn("ctx", F.substring("g", 1, n - 1) if n > 1 else F.lit(""))
+        c = counts.join(spread(_discounts(counts)), "lang").withColumn("ctx", F.substring("g", 1, n - 1) if n > 1 else F.lit(""))
         context = c.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.sum(_discount()).alias("left")).withColumn("weight", F.col("left") / F.col("total"))
         rows = rows.unionByName(context.select("lang", F.lit(n - 1).alias("n"), F.col("ctx").alias("g"), F.lit(None).cast("double").alias("logp"), F.log("weight").alias("logw")))
-        own = c.join(context, ["lang", "ctx"]).select("lang", "g", ((F.col("c") - _discount()) / F.col("total")).alias("alpha"), "weight", (F.substring("g", 2, n - 1) if n > 1 else F.lit("")).alias("suffix"))
-        under = size.select("lang", F.lit("").alias("suffix"), "lower") if below is None else below.select("lang", F.col("g").alias("suffix"), F.col("p").alias("lower"))
+        own = c.join(spread(context) if n == 1 else context, ["lang", "ctx"]).select("lang", "g", ((F.col("c") - _discount()) / F.col("total")).alias("alpha"), "weight", (F.substring("g", 2, n - 1) if n > 1 else F.lit("")).alias("suffix"))
+        under = spread(size.select("lang", F.lit("").alias("suffix"), "lower")) if below is None else below.select("lang", F.col("g").alias("suffix"), F.col("p").alias("lower"))
         below = R.stage(own.join(under, ["lang", "suffix"]).select("lang", "g", (F.col("alpha") + F.col("weight") * F.col("lower")).alias("p")), f"p{n}")
         rows = rows.unionByName(below.select("lang", F.lit(n).alias("n"), "g", F.log("p").alias("logp"), F.lit(None).cast("double").alias("logw")))
     return R.stage(rows.groupBy("lang", "n", "g").agg(F.max("logp").alias("logp"), F.max("logw").alias("logw")), "model")
@@ -301,11 +303,13 @@ def _score(shard, order: int):
 
 
 def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id (null: NULL_ID), row, lang, blank, chars, perplexity."""
+    """doc_id (null: NULL_ID), lang, blank, chars, perplexity."""
     spark = docs.sparkSession
     R.prepare(spark)
-    texts = R.keyed(docs, F.col("lang").cast("string").alias("lang"), "text").withColumn("row", F.monotonically_increasing_id())
+    texts = R.keyed(docs, F.col("lang").cast("string").alias("lang"), "text")
     shards = _shards(model)
+    # Rows of one id are told apart by their text, whatever order the passes read them in.
+    texts = texts.withColumn("row", F.xxhash64("text") if len(shards) > 1 else F.lit(0).cast("long"))
     passes = []
     for k in range(len(shards)):
         held = spark.sparkContext.broadcast(_collected(model, shards, k))
@@ -315,8 +319,10 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataF
     if len(passes) > 1:
         for p in passes[1:]:
             whole = whole.unionByName(p)
-        whole = whole.groupBy("doc_id", "row", "lang", "blank").agg(F.sum("logp").alias("logp"), F.sum("chars").alias("chars"))
-    return whole.select("doc_id", "row", "lang", "blank", "chars", F.when(F.col("chars") > 0, F.exp(-F.col("logp") / F.col("chars"))).alias("perplexity"))
+        copies = (F.count("*") / len(passes)).cast("int")
+        whole = whole.groupBy("doc_id", "row", "lang", "blank").agg((F.sum("logp") / copies).alias("logp"), (F.sum("chars") / copies).cast("long").alias("chars"), copies.alias("copies"))
+        whole = whole.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return whole.select("doc_id", "lang", "blank", "chars", F.when(F.col("chars") > 0, F.exp(-F.col("logp") / F.col("chars"))).alias("perplexity"))
 
 
 def thresholds(scores: DataFrame, quantile: float) -> DataFrame:
@@ -340,7 +346,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, order:
     lacking = known.select("lang").distinct().join(covered, "lang", "left_anti").limit(1)
     model = train(trusted, lacking if lacking.head() is not None else None, order)
     scores = perplexities(docs, model, order)
-    limits = thresholds(scores.join(good, F.col("doc_id") == F.col("_id"), "left_semi"), quantile)
+    limits = R.small_side(R.stage(thresholds(scores.join(good, F.col("doc_id") == F.col("_id"), "left_semi"), quantile), "limits"))
     every = thresholds(scores.join(good, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("lang", F.lit(ANY)), quantile).select(F.col("limit").alias("any_limit"))
     out = scores.join(limits.select(F.col("lang").alias("_lang"), "limit"), F.col("lang") == F.col("_lang"), "left").join(F.broadcast(every.limit(1)), F.lit(True), "left")
     out = out.withColumn("limit", F.coalesce("limit", "any_limit"))

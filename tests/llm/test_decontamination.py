@@ -61,6 +61,7 @@ def test_matches_brute_force(spark):
 
 def test_blocks_agree_with_one_pass(spark, monkeypatch):
     docs, items = case(2)
+    docs += [docs[4], docs[4], (docs[8][0], docs[0][1]), (200, None)]  # repeated rows, and one id with another text
     monkeypatch.setattr(D, "BLOCK_BYTES", 400)
     assert run(spark, docs, items) == brute(docs, items)
 

@@ -78,6 +78,21 @@ def test_perplexity_matches_brute_force(spark, monkeypatch, rows):
     assert all(got[k].kept for k in range(60) if k % 2) and not got[None].kept
 
 
+def test_shards_agree_on_repeated_rows_and_ids(spark, monkeypatch):
+    docs = corpus()
+    docs += [docs[1], docs[1], (2, docs[3][1], docs[3][2]), (None, None, None), (None, None, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+
+    def scored():
+        rows = K.quality(d, labels, quantile=1.0, order=3).collect()
+        return sorted((-1 if r.doc_id is None else r.doc_id, r.chars, round(r.perplexity or 0, 6), r.kept) for r in rows)
+
+    whole = scored()
+    monkeypatch.setattr(K, "SHARD_ROWS", 200)
+    assert len(whole) == len(docs) and scored() == whole
+
+
 def test_probabilities_sum_to_one():
     b = Brute([t for _, t, lang in corpus() if lang == "en"], 3)
     letters = list(b.c[1])
