@@ -180,35 +180,42 @@ def train(trusted: DataFrame, languages: DataFrame | None = None, order: int = O
 
 
 class Table:
-    """Keys to (logp, logw) by open addressing; NaN: none."""
+    """Keys to (logp, logw) by open addressing; NaN: none.  The slots are made where they are first used, so that only the rows travel."""
 
     def __init__(self, keys: np.ndarray, logp: np.ndarray, logw: np.ndarray):
-        size = 1 << max(4, int(4 * len(keys) - 1).bit_length() if len(keys) else 4)
+        self.given, self.slots = keys, None
+        self.logp, self.logw = np.append(logp, np.nan).astype(np.float64), np.append(logw, np.nan).astype(np.float64)
+
+    def _fill(self) -> None:
+        keys, n = self.given, len(self.given)
+        size = 1 << max(4, int(4 * n - 1).bit_length() if n else 4)
         self.mask = np.uint64(size - 1)
-        self.keys = np.zeros(size, np.uint64)
+        self.slots = np.zeros(size, np.uint64)
         self.row = np.zeros(size, np.int32)
-        self.logp, self.logw = np.append(logp, np.nan).astype(np.float64), np.append(logw, np.nan).astype(np.float64)
-        at, todo = keys & self.mask, np.arange(len(keys))
+        at, todo = keys & self.mask, np.arange(n)
         while len(todo):
-            free = self.keys[at[todo]] == 0
+            free = self.slots[at[todo]] == 0
             put = todo[free]
-            self.keys[at[put]] = keys[put]
+            self.slots[at[put]] = keys[put]
             self.row[at[put]] = put
-            won = (self.keys[at[todo]] == keys[todo]) & (self.row[at[todo]] == todo)
+            won = (self.slots[at[todo]] == keys[todo]) & (self.row[at[todo]] == todo)
             todo = todo[~won]
             at[todo] = (at[todo] + np.uint64(1)) & self.mask
+        self.given = keys[:0]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key; the last row where there is none."""
+        if self.slots is None:
+            self._fill()
         out = np.full(len(keys), len(self.logp) - 1, np.int64)
         at = keys & self.mask
-        here = self.keys[at]
+        here = self.slots[at]
         hit = here == keys
         out[hit] = self.row[at[hit]]
         todo = np.flatnonzero(~hit & (here != 0))
         while len(todo):
             at[todo] = (at[todo] + np.uint64(1)) & self.mask
-            here = self.keys[at[todo]]
+            here = self.slots[at[todo]]
             hit = here == keys[todo]
             out[todo[hit]] = self.row[at[todo[hit]]]
             todo = todo[~hit & (here != 0)]
