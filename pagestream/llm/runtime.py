@@ -44,8 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = f"{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = f"{tempfile.gettempdir()}/checkpoints"  # the setting itself can't be changed in a running session
     return where.rstrip("/")
 
 
