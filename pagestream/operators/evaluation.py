@@ -6,11 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagestream.functions import text as T
-from pagestream.operators.metrics import prf
+from pagestream.operators.metrics import prf, running
 
 
 @dataclass(frozen=True)
@@ -109,8 +109,7 @@ def best_threshold(rows: DataFrame, score: str, ok: str) -> DataFrame:
     Thresholds lie just above each observed score, so a flag is a score at or below it; counts by distinct score.
     """
     counted = rows.groupBy(score).agg(F.count_if(~F.col(ok)).alias("bad"), F.count_if(F.col(ok)).alias("good"))
-    upto = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)  # distinct scores only
-    run = counted.withColumns({"tp": F.sum("bad").over(upto), "fp": F.sum("good").over(upto)})
+    run = running(counted, score, ("bad", "good")).withColumns({"tp": F.col("below_bad") + F.col("bad"), "fp": F.col("below_good") + F.col("good")})
     total = counted.agg(F.sum("bad").alias("errors"), F.sum(F.col("bad") + F.col("good")).alias("n"))
     none = rows.sparkSession.createDataFrame([(None, 0, 0)], f"{score} double, tp long, fp long")
     grid = run.select(F.col(score).cast("double").alias(score), "tp", "fp").unionByName(none).join(F.broadcast(total), F.lit(True))  # one row

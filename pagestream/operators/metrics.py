@@ -53,12 +53,26 @@ def gate(scores: DataFrame, bundle_floor: float, macro_floor: float) -> DataFram
     return out.withColumns({"micro_precision": p, "micro_recall": r, "micro_f1": f}).withColumn("passed", (F.col("bundles") > 0) & (F.col("failed") == 0) & F.coalesce(~F.isnan("macro_f1") & (F.col("macro_f1") >= macro_floor), F.lit(False)))
 
 
+def running(counted: DataFrame, key: str, values: tuple[str, ...], parts: int = 200) -> DataFrame:
+    """``counted`` (one row a key) with below_<value>, the sum over all smaller keys (nulls first).
+
+    Keys are cut at approximate quantiles, so that no task orders them all: sums of the parts before, then within.
+    """
+    cuts = counted.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 10_000).alias("_cuts"))  # one row
+    dealt = counted.join(F.broadcast(cuts), F.lit(True)).withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(key))), F.lit(0))).drop("_cuts")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a part
+    sums = dealt.groupBy("_part").agg(*(F.sum(v).alias(v) for v in values))
+    earlier = sums.select("_part", *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_{v}") for v in values))
+    inside = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    own = dealt.withColumns({f"below_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
+    return own.join(F.broadcast(earlier), "_part").withColumns({f"below_{v}": F.col(f"below_{v}") + F.col(f"_{v}") for v in values}).drop("_part", *(f"_{v}" for v in values))
+
+
 def auroc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve by rank sums, ties half: counts by distinct score, so that no task ranks all rows."""
     by_score = rows.groupBy(score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("neg"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)  # distinct scores only
-    ranked = by_score.withColumn("lower", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    total = ranked.agg(F.sum(F.col("pos") * (F.col("lower") + F.col("neg") * 0.5)).alias("wins"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    ranked = running(by_score, score, ("neg",))
+    total = ranked.agg(F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") * 0.5)).alias("wins"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return total.select("n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("wins") / (F.col("n_pos") * F.col("n_neg"))).alias("auroc"))
 
 

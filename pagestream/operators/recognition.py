@@ -16,6 +16,7 @@ from pagestream.shipping import ship
 # --- fixed values: formats ---
 SCHEMA = 1
 TAG = r"!\[([a-z_]+\+?)\]\((\d+),(\d+),(\d+),(\d+)\)"
+BOX_TAG = r"!\[([a-z_]+)\+?\]\((-?\d+),(-?\d+),(-?\d+),(-?\d+)\)"
 CHECK_EVERY = 64
 ENGINES = ("off", "on", "auto", "lighton", "mlx", "paddle")
 # --- end of fixed values ---
@@ -95,18 +96,31 @@ def word_error(texts: DataFrame, reference: str = "reference", read: str = "read
 
     @F.pandas_udf("double")
     def wer(one: pd.Series, two: pd.Series) -> pd.Series:
+        def within(p: np.ndarray, q: np.ndarray, k: int) -> int:
+            """Edits of words if these are at most ``k``, else a number above: only the diagonals up to ``k`` away are filled."""
+            shift = np.arange(-k, k + 1)
+            far = len(p) + len(q) + 1
+            padded = np.concatenate([np.full(k + 1, -1), q, np.full(len(p) + k + 1, -1)])
+            row = np.where(shift >= 0, shift, far)
+            step = np.arange(2 * k + 1)
+            for i in range(len(p)):  # one row of the table at a time; insertions by a running minimum
+                at = i + shift + 1
+                best = np.minimum(row + (padded[i + 1 : i + 2 * k + 2] != p[i]), np.append(row[1:], far) + 1)
+                best = np.where((at < 0) | (at > len(q)), far, np.where(at == 0, i + 1, best))
+                row = np.minimum.accumulate(best - step) + step
+                row = np.where((at < 0) | (at > len(q)), far, row)
+            return int(row[len(q) - len(p) + k])
+
         def distance(a: str | None, b: str | None) -> float | None:
             x, y = (a or "").split(), (b or "").split()
             if not x:
                 return None
             code: dict[str, int] = {}
             p, q = (np.array([code.setdefault(w, len(code)) for w in s], np.int64) for s in (x, y))
-            row = np.arange(len(q) + 1)
-            step = np.arange(len(q) + 1)
-            for k in range(len(p)):  # one row of the table at a time; insertions by a running minimum
-                best = np.minimum(row[1:] + 1, row[:-1] + (q != p[k]))
-                row = np.minimum.accumulate(np.concatenate([[k + 1], best]) - step) + step
-            return float(row[-1]) / len(p)
+            k = max(8, abs(len(p) - len(q)))
+            while (d := within(p, q, k)) > k:
+                k *= 2
+            return d / len(p)
 
         return pd.Series([distance(a, b) for a, b in zip(one, two, strict=True)])
 
@@ -121,9 +135,9 @@ def line_recall(reference: Column, read: Column) -> Column:
 
 def regions(raw: Column) -> Column:
     """Array of (label, x0, y0, x1, y1, text) from a tagged reading."""
-    parts = F.regexp_extract_all(raw, F.lit(rf"(?s)({TAG}.*?)(?=!\[[a-z_]+\+?\]\(|$(?![\r\n]))"), F.lit(1))
-    number = lambda x, k: F.regexp_extract(x, TAG, k).try_cast("int")
-    return F.transform(parts, lambda x: F.struct(F.regexp_replace(F.regexp_extract(x, TAG, 1), r"\+$", "").alias("label"), *(number(x, k + 2).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))), untag(x).alias("text")))
+    parts = F.regexp_extract_all(raw, F.lit(rf"(?s)({BOX_TAG}.*?)(?={BOX_TAG}|\z)"), F.lit(1))
+    number = lambda x, k: F.regexp_extract(x, BOX_TAG, k).try_cast("int")
+    return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, BOX_TAG, 1).alias("label"), *(number(x, k + 2).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))), T.strip(F.regexp_replace(x, BOX_TAG, "")).alias("text")))
 
 
 def kept_regions(regions_: Column, probabilities: Column, threshold: float) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagestream.functions import text as T
@@ -18,14 +18,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
+def registrar(queries: dict, oracles: dict):
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                oracles[f.__name__] = sql
+            return f
 
-    return add
+        return add
+
+    return query
+
+
+query = registrar(QUERIES, ORACLES)
 
 
 _FINAL = TEXTS + ", tags AS (" + _TAGS.format(3).strip() + ")"
@@ -312,21 +318,28 @@ def recognition_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "pages").select("page_id", F.md5(recognition.normal(recognition.plain_text(F.col("html")))).alias("text_md5"))
 
 
+def _damaged(text: Column) -> Column:
+    return F.replace(F.replace(F.substring(text, 11, 1 << 30), F.lit("the "), F.lit("")), F.lit("an"), F.lit("a n"))
 
 
-@query(r"""
-WITH t AS (SELECT doc_id, string_split_regex(trim(regexp_replace(substr(text, 1, 250), '[ \t\n\r\f\v]+', ' ', 'g')), ' ') AS a, string_split_regex(trim(regexp_replace(replace(replace(substr(text, 11, 240), 'the ', ''), 'an', 'a n'), '[ \t\n\r\f\v]+', ' ', 'g')), ' ') AS b FROM documents),
-u AS (SELECT doc_id, list_filter(a, lambda x: x <> '') AS a, list_filter(b, lambda x: x <> '') AS b FROM t),
-v AS (SELECT doc_id, a, b, list_distinct(a || b) AS d FROM u)
-SELECT doc_id, CASE WHEN len(a) > 0 THEN round(levenshtein(array_to_string(list_transform(a, lambda x: chr((10 + list_position(d, x))::INT)), ''), array_to_string(list_transform(b, lambda x: chr((10 + list_position(d, x))::INT)), '')) / len(a)::DOUBLE, 6) END AS wer FROM v""")
+@query()
 def word_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text's beginning against a damaged copy of it."""
-    read = F.replace(F.replace(F.substring("text", 11, 240), F.lit("the "), F.lit("")), F.lit("an"), F.lit("a n"))
-    plain = lambda c: F.regexp_replace(c, r"[ \t\n\r\f\x0b]+", " ")
-    rows = S.table(spark, sf_dir, "documents").select("doc_id", plain(F.substring("text", 1, 250)).alias("reference"), plain(read).alias("read"))
+    """Each whole text against a damaged copy of it; tested against a full table of edits."""
+    rows = S.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("reference"), _damaged(F.col("text")).alias("read"))
     return recognition.word_error(rows).select("doc_id", F.round("wer", 6).alias("wer"))
 
 
+@query(r"""
+WITH t AS (SELECT p_partkey, string_split(p_name, ' ') AS a, string_split(replace(p_name, 'e', 'e e'), ' ') AS b FROM part),
+v AS (SELECT p_partkey, list_filter(a, lambda x: x <> '') AS a, list_filter(b, lambda x: x <> '') AS b FROM t),
+w AS (SELECT p_partkey, a, b, list_distinct(a || b) AS d FROM v)
+SELECT p_partkey, CASE WHEN len(a) > 0 THEN round(levenshtein(array_to_string(list_transform(a, lambda x: chr((10 + list_position(d, x))::INT)), ''), array_to_string(list_transform(b, lambda x: chr((10 + list_position(d, x))::INT)), '')) / len(a)::DOUBLE, 6) END AS wer FROM w""")
+def word_error_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of part names, which are short enough for the statement's edits of characters."""
+    rows = S.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("reference"), F.replace("p_name", F.lit("e"), F.lit("e e")).alias("read"))
+    return recognition.word_error(rows).select("p_partkey", F.round("wer", 6).alias("wer"))
+
+
 @query("""
 WITH t AS (SELECT p_partkey, p_size % 10 / 10.0::DOUBLE AS p0, p_size % 7 / 7.0::DOUBLE AS p1 FROM part)
 SELECT p_partkey, ((CASE WHEN p0 >= 0.5 THEN 1 ELSE 0 END) + (CASE WHEN p1 >= 0.5 OR p_partkey % 3 = 0 THEN 1 ELSE 0 END) + 1)::INT AS kept, (p_partkey % 900 + 1)::INT AS x1, 'Name ' || p_partkey AS first_text FROM part JOIN t USING (p_partkey)""")
