@@ -17,6 +17,7 @@ from .quality import quality_verdicts
 from .sharding import shard
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
+from .token_records import read_records, write_records
 from .toxicity import toxicity
 from .warc import round_trip
 
@@ -86,6 +87,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.col("longest").alias("longest_match"))
 
 
+def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = R.folder(spark, "records")
+    write_records(_table(spark, sf_dir, "documents"), folder, word_tokenizer(), end_id=1)
+    out = read_records(spark, folder)
+    return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sharding": op2_sharding,
@@ -97,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_token_records": op13_token_records,
 }
 ORACLES: dict[str, str] = {
     "op7_warc": """

@@ -70,6 +70,13 @@ def stage(df: DataFrame, label: str, done: tuple[DataFrame, ...] = ()) -> DataFr
     return out
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder below the shared one, for files that tasks write; it goes at the end of the application."""
+    path = f"{shared_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
+    _STAGED[path] = spark
+    return path
+
+
 def _delete(path: str) -> None:
     spark = _STAGED.pop(path, None)
     with contextlib.suppress(Exception):
