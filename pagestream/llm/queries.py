@@ -13,6 +13,7 @@ from .bwt_dedup import suffix_dedup
 from .decontamination import contamination
 from .kneser_ney import quality
 from .packing import Limits, digest, packed
+from .phrases import phrases
 from .quality import quality_verdicts
 from .sharding import shard
 from .simhash import near_duplicates
@@ -87,6 +88,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.col("longest").alias("longest_match"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases(_table(spark, sf_dir, "documents"), longest=5, least=100, absorb=100, limit=2000)
+
+
 def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = R.folder(spark, "records")
     write_records(_table(spark, sf_dir, "documents"), folder, word_tokenizer(), end_id=1)
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_phrases": op12_phrases,
     "op13_token_records": op13_token_records,
 }
 ORACLES: dict[str, str] = {
@@ -116,5 +122,25 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
        CASE WHEN f.first < d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN f.first < d.page_id THEN f.first END AS refers_to
 FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
+""",
+    "op12_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i : i + m - 1])) AS p FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, p, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+longer AS (SELECT lang, unnest([p[1 : m - 1], p[2 : m]]) AS p, a FROM f WHERE m > 2),
+over AS (SELECT lang, p, max(a) AS b FROM longer GROUP BY ALL),
+kept AS (SELECT f.* FROM f LEFT JOIN over USING (lang, p) WHERE m > 1 AND (b IS NULL OR 100 * b < 100 * a)),
+cuts AS (SELECT lang, m, p, a, unnest(range(1, m)) AS k FROM kept),
+scored AS (
+  SELECT c.lang, c.p, c.a, c.k, x.a AS l, y.a AS r, n, (1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1 : c.m] JOIN total t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(p, ' '))) AS rank, array_to_string(p, ' ') AS phrase, a, l, r, n, score::BIGINT AS score FROM best)
+SELECT * FROM ranked WHERE rank <= 2000
 """,
 }
