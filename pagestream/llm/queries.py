@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import runtime as R
 from .bwt_dedup import suffix_dedup
 from .decontamination import contamination
+from .hard_negatives import hard_negatives
 from .kneser_ney import quality
 from .packing import Limits, digest, packed
 from .phrases import phrases
@@ -88,6 +89,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.col("longest").alias("longest_match"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows, anchors=F.col("vec_id") % 100 == 0, label=label, positives=5, negatives=10, least_share=30, most_share=90, scale=256)
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases(_table(spark, sf_dir, "documents"), longest=5, least=100, absorb=100, limit=2000)
 
@@ -110,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_phrases": op12_phrases,
     "op13_token_records": op13_token_records,
 }
@@ -122,6 +130,21 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
        CASE WHEN f.first < d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN f.first < d.page_id THEN f.first END AS refers_to
 FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
+""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS anchor, b.id AS other, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5)
+SELECT p.anchor AS anchor_id, p.other AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other)::INTEGER AS rank,
+       n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other) <= 10
 """,
     "op12_phrases": r"""
 WITH pieces AS (
