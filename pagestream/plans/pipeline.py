@@ -8,19 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagestream.functions import text as T
-from pagestream.operators import assemble, boundary, furniture, lookahead, metrics, review
+from pagestream.operators import assemble, boundary, confirm, furniture, lookahead, metrics, review
 from pagestream.operators.model import Weights, features, probability
 
 
 @dataclass(frozen=True)
 class PipelineConfig:
-    """``split_on_boundary=False`` makes and reports decisions, but applies none."""
+    """``split_on_boundary=False`` makes and reports decisions, but applies none; ``confirmer`` is asked about what look-ahead leaves open."""
 
     split_on_boundary: bool = True
     min_boundary_confidence: float = 0.55
     commit_confidence: float = 0.75
     window: int = 2
     weights: Weights | None = None
+    confirmer: confirm.Confirmer | None = None
 
     def __post_init__(self):
         if not 0 <= self.min_boundary_confidence <= 1 or not 0 <= self.commit_confidence <= 1 or self.window < 0:
@@ -36,6 +37,12 @@ class Result:
     sections: DataFrame
     flags: DataFrame
     events: DataFrame
+    held: tuple[DataFrame, ...] = ()
+
+    def close(self) -> None:
+        """Release what the parse keeps persisted: signals and decisions."""
+        for df in self.held:
+            df.unpersist()
 
 
 def raw_blocks(pages: DataFrame) -> DataFrame:
@@ -61,9 +68,10 @@ def page_facts(pages: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def parse(pages: DataFrame, config: PipelineConfig = PipelineConfig()) -> Result:
-    """pages(bundle_id, page_index, text[, width, height, rotation]) to blocks, decisions, documents, sections, flags and events.
+    """pages(bundle_id, page_index, text[, width, height, rotation, message, replies]) to blocks, decisions, documents, sections, flags and events.
 
-    Signals see a page's edges as a reader who comes from the front; blocks are tagged from both sides.
+    Signals see a page's edges as a reader who comes from the front; blocks are tagged from both sides.  A confirmer is
+    sent a page's ``message``, or its text where there is none; decisions then have ``outcome`` and ``attempts``.
     """
     for name, value in (("width", F.lit(None).cast("double")), ("height", F.lit(None).cast("double")), ("rotation", F.lit(0))):
         if name not in pages.columns:
@@ -81,7 +89,13 @@ def parse(pages: DataFrame, config: PipelineConfig = PipelineConfig()) -> Result
     if config.weights is not None:
         scored = features(facts).withColumn("p", probability(config.weights)).select(*key, "p")
         signals = boundary.with_model(signals.join(scored, key, "left"), "p")
-    decided = lookahead.decide(signals, lookahead.SplitConfig(config.window, config.commit_confidence, config.min_boundary_confidence), keep=("n_blocks", "page_num", "page_total", "signal")).persist()
+    split, keep = lookahead.SplitConfig(config.window, config.commit_confidence, config.min_boundary_confidence), ("n_blocks", "page_num", "page_total", "signal")
+    if config.confirmer is None:
+        decided = lookahead.decide(signals, split, keep=keep).persist()
+    else:
+        message = F.col("message") if "message" in pages.columns else F.col("text")
+        sent = pages.select(*key, F.left(message, F.lit(config.confirmer.config.calls.max_chars)).alias("message"), *(["replies"] if "replies" in pages.columns else []))
+        decided = confirm.decide(signals.join(sent, key), config.confirmer, split, keep).persist()
     indexed = boundary.document_index(decided, apply=config.split_on_boundary)
     name = F.format_string("%s-doc-%d", "bundle_id", "doc_index")
     placed = blocks.join(indexed.select(*key, "doc_index"), key).withColumn("document_id", name)
@@ -89,7 +103,7 @@ def parse(pages: DataFrame, config: PipelineConfig = PipelineConfig()) -> Result
     sections = assemble.repaired_sections(assemble.sections(placed, "document_id"), "document_id")
     doubts = review.uncertainty_flags(indexed)
     events = review.event_log(pages.select(*key, T.page_class(F.col("text"))["page_class"].alias("page_class")), seen, signals, indexed)
-    return Result(signals, placed, indexed, documents, sections, doubts, events)
+    return Result(signals, placed, indexed, documents, sections, doubts, events, (signals, decided))
 
 
 def inspect(pages: DataFrame) -> DataFrame:

@@ -412,13 +412,10 @@ def student_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streaming_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The look-ahead decisions, from a stream in several batches."""
-    import tempfile
-    import uuid
-
+    from pagestream.shipping import shared_folder
     from pagestream.streaming.lookahead import replay
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    out = replay(spark, signals(spark, sf_dir), f"{shared}/replay-{uuid.uuid4().hex}")
+    out = replay(spark, signals(spark, sf_dir), shared_folder(spark, "replay"))
     return out.select("bundle_id", "page_index", "split", "reason")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +25,13 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             out.write(p, f"{root.name}/{p.relative_to(root)}")
     context.addPyFile(target)
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that all nodes share, below spark.checkpoint.dir; a local one only if that is unset and all runs in this process."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.gettempdir()
+    return f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -3,9 +3,9 @@
 import pytest
 from oracle import compare, connect
 
-from pagestream.plans import more_queries, oracles, queries, study_queries
+from pagestream.plans import more_queries, oracles, queries, stage_queries, study_queries
 
-QUERIES, ORACLES = queries.QUERIES | more_queries.QUERIES | study_queries.QUERIES, oracles.ORACLES | more_queries.ORACLES | study_queries.ORACLES
+QUERIES, ORACLES = queries.QUERIES | more_queries.QUERIES | study_queries.QUERIES | stage_queries.QUERIES, oracles.ORACLES | more_queries.ORACLES | study_queries.ORACLES | stage_queries.ORACLES
 
 SF = "/root/testdata/sf0.001"
 
