@@ -98,7 +98,9 @@ def decide_stream(pages: DataFrame, confirmer: Confirmer, split: SplitConfig = S
 
     A bundle's pages have to arrive in order; it ends with a row whose page_index
     is null, or after ``idle_ms`` without rows.  The state store has to be RocksDB:
-    set ``spark.sql.streaming.stateStore.providerClass`` to ``PROVIDER``.
+    set ``spark.sql.streaming.stateStore.providerClass`` to ``PROVIDER``.  With
+    ``idle_ms`` Spark makes batches without rows, so that timers fire; a stream
+    that shall end by itself needs ``noDataMicroBatches`` off.
     """
     spark = pages.sparkSession
     ship(spark)

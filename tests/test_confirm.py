@@ -177,6 +177,7 @@ def test_a_long_bundle_in_many_batches(spark):
 
 def test_an_idle_bundle_ends_and_state_goes(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else a stream with timers never runs out of batches
     schema = "bundle_id string, page_index int, confidence double, page_num int, page_total int, replies " + C.REPLIES
     (tmp_path / "in").mkdir()
     source = spark.readStream.schema(schema).json(f"{tmp_path}/in")
@@ -188,6 +189,7 @@ def test_an_idle_bundle_ends_and_state_goes(spark, tmp_path):
         got.append(sorted((r["bundle_id"], r["page_index"], r["reason"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()))
     a = [("a", 0, "fallback_below"), ("a", 1, "confirmed_split"), ("a", 2, "high_confidence")]
     assert got[0] == a[:1] and got[1] == a
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert got[2] == sorted([*a, ("b", 0, "fallback_below")])  # the new bundle a waits for followers again
 
 
