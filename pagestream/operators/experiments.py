@@ -31,13 +31,14 @@ LINE = "struct<text:string,x0:double,top:double,x1:double,bottom:double,size:dou
 def page_files(spark: SparkSession, path: str) -> DataFrame:
     """Pages of JSONL files, one file a bundle: bundle_id, page_index, width, height, rotation, text, lines, has_text.
 
-    Rows are (index, width, height, rotation, text, lines); rotated pages have no lines.  A bad line fails the read.
+    A bundle is named by its file's path below ``path``; rotated pages have no lines.  A bad line fails the read.
     """
-    rows = spark.read.schema(f"index int, width double, height double, rotation int, text string, lines array<{LINE}>").json(path, mode="FAILFAST")
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    from pagestream.sources.page_source import read_pages
+
+    rows = read_pages(spark, path)
     upright = F.coalesce(F.col("rotation") % 360 == 0, F.lit(True))
     lines = F.when(upright, F.coalesce("lines", F.array().cast(f"array<{LINE}>"))).otherwise(F.array().cast(f"array<{LINE}>"))
-    return rows.select(name.alias("bundle_id"), F.col("index").alias("page_index"), "width", "height", F.coalesce("rotation", F.lit(0)).alias("rotation"), F.coalesce("text", F.lit("")).alias("text"), lines.alias("lines"), (T.strip(F.coalesce("text", F.lit(""))) != "").alias("has_text"))
+    return rows.select("bundle_id", "page_index", "width", "height", F.coalesce("rotation", F.lit(0)).alias("rotation"), F.coalesce("text", F.lit("")).alias("text"), lines.alias("lines"), (T.strip(F.coalesce("text", F.lit(""))) != "").alias("has_text"))
 
 
 def _page_lines(chars: list[str], geometry: np.ndarray, weights: list[int | None], fonts: list[str | None]) -> Iterator[dict]:

@@ -11,6 +11,7 @@ from pagestream.operators import confirm
 from pagestream.plans.more_queries import registrar
 from pagestream.shipping import shared_folder
 from pagestream.sources import adapters as S
+from pagestream.sources import page_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +72,17 @@ SELECT bundle_id, count(*) FILTER (outcome IN ('split', 'continue', 'strike', 'e
 def confirm_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = confirm.usage(confirm.decide(_asked_pages(spark, sf_dir), CONFIRMER))
     return out.withColumn("degraded", F.array_join("degraded", ","))
+
+
+@query(r"""
+WITH h AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS bundle_id, page_id, html FROM pages)
+SELECT bundle_id, (row_number() OVER (PARTITION BY bundle_id ORDER BY page_id) - 1)::INT AS page_index, md5(html) AS text_md5, octet_length(encode(html))::DOUBLE AS width FROM h""")
+def page_source_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The web pages as page files, one host a file, read back through the data source."""
+    pages = S.table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("bundle_id"), "page_id", "html")
+    order = Window.partitionBy("bundle_id").orderBy("page_id")
+    made = pages.select("bundle_id", (F.row_number().over(order) - 1).cast("int").alias("page_index"), F.octet_length("html").cast("double").alias("width"), F.lit(0).alias("rotation"), F.col("html").alias("text"))
+    where = shared_folder(spark, "pages")
+    page_source.write_pages(made, where)
+    back = page_source.read_pages(spark, where, columns="page_index,text,width")
+    return back.select(F.regexp_extract("bundle_id", "^bundle=([^/]*)/", 1).alias("bundle_id"), "page_index", F.md5("text").alias("text_md5"), "width")
