@@ -15,20 +15,51 @@ def weak_boundary() -> Column:
     return F.col("split") & ((F.col("reason") == "fallback_eager") | ((F.col("reason") == "high_confidence") & ~reset))
 
 
+#: Levels of the dyadic intervals that hold any number of 32 bits.
+LEVELS = 32
+
+
+def _cover(low: Column, high: Column) -> Column:
+    """[low, high] as the fewest dyadic intervals (level, node), two a level at most."""
+    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+
+    def nodes(k: Column) -> Column:
+        size = F.pow(F.lit(2.0), k).cast("long")
+        first, last = F.ceil(low / size), F.floor((high + 1) / size) - 1
+        left, right = F.when((first <= last) & (first % 2 != 0), first), F.when((first <= last) & (last % 2 == 0), last)
+        return F.transform(F.array_distinct(F.array_compact(F.array(left, right))), lambda n: F.struct(k.alias("level"), n.cast("long").alias("node")))
+
+    return F.flatten(F.transform(levels, nodes))
+
+
 def number_support(pages: DataFrame) -> DataFrame:
     """bundle_id, doc_index, supported: some page's number carries on from an earlier page of the document.
 
     pages(bundle_id, doc_index, page_index, page_num, page_total).  Anchors are the numbered pages and the first one.
     A document of one page has to be page 1.
+
+    A number carries on from an anchor if it is above the anchor's, and its lead over the page index isn't above the
+    anchor's lead; both together imply that the anchor is the earlier page.  So no pages are paired: in the order of
+    numbers, the largest lead so far is compared, among anchors without a total and among those of the same total.  A
+    page without a total may carry on from anchors of any, as long as its number is within it: anchors' ranges of
+    numbers are cut into dyadic intervals, which a number meets once a level.
     """
     key = ["bundle_id", "doc_index"]
-    shape = pages.groupBy(*key).agg(F.count("*").alias("n"), F.min("page_index").alias("first"), F.min_by("page_num", "page_index").alias("first_num"))
-    a = pages.join(shape.select(*key, "first"), key).where("page_num is not null or page_index = first").select(*key, F.col("page_index").alias("at"), F.col("page_num").alias("num"), F.col("page_total").alias("of"))
-    later = pages.where("page_num is not null").join(a, key).where("page_index > at")
-    gap = F.col("page_index") - F.col("at")
-    agrees = F.col("of").isNull() | ((F.col("page_num") <= F.col("of")) & (F.col("page_total").isNull() | (F.col("page_total") == F.col("of"))))
-    counts = F.when(F.col("num").isNull(), F.col("page_num").between(1, gap + 1)).otherwise((F.col("page_num") > F.col("num")) & (F.col("page_num") <= F.col("num") + gap))
-    carried = later.where(agrees & counts).select(*key).distinct().withColumn("carried", F.lit(True))
+    shape = pages.groupBy(*key).agg(F.count("*").alias("n"), F.min("page_index").alias("first"), F.min_by("page_num", "page_index").alias("first_num"), F.min_by("page_total", "page_index").alias("first_total"))
+    num, of = F.col("num"), F.col("of")
+    rows = pages.where("page_num is not null").select(*key, "page_index", F.col("page_num").cast("long").alias("num"), F.col("page_total").cast("long").alias("of"))
+    rows = rows.withColumn("lead", num - F.col("page_index"))
+    below = lambda *by: Window.partitionBy(*by).orderBy("num").rangeBetween(Window.unboundedPreceding, -1)
+    open_ = F.max(F.when(of.isNull(), F.col("lead"))).over(below(*key)) >= F.col("lead")
+    same = of.isNotNull() & (num <= of) & (F.max("lead").over(below(*key, "of")) >= F.col("lead"))
+    counted = rows.withColumn("hit", F.coalesce(open_, F.lit(False)) | F.coalesce(same, F.lit(False))).where("hit").select(*key)
+    # An unnumbered first page may or may not have been counted.
+    opening = rows.join(shape.where("first_num is null"), key).where((num >= 1) & (F.col("lead") <= 1 - F.col("first")) & (F.col("first_total").isNull() | ((num <= F.col("first_total")) & (of.isNull() | (of == F.col("first_total")))))).select(*key)
+    ranges = rows.where(of.isNotNull() & (num < of)).select(*key, "lead", F.explode(_cover(num + 1, of)).alias("d")).groupBy(*key, "d.level", "d.node").agg(F.max("lead").alias("most"))
+    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    loose = rows.where(of.isNull()).select(*key, "lead", F.explode(F.transform(levels, lambda k: F.struct(k.alias("level"), F.floor(num / F.pow(F.lit(2.0), k)).cast("long").alias("node")))).alias("d")).groupBy(*key, "d.level", "d.node").agg(F.min("lead").alias("least"))
+    met = ranges.join(loose, [*key, "level", "node"]).where("least <= most").select(*key)
+    carried = counted.unionByName(opening).unionByName(met).distinct().withColumn("carried", F.lit(True))
     one = F.coalesce(F.col("first_num") == 1, F.lit(False))
     return shape.join(carried, key, "left").select(*key, F.when(F.col("n") == 1, one).otherwise(F.coalesce("carried", F.lit(False))).alias("supported"))
 

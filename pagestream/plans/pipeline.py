@@ -52,9 +52,9 @@ def raw_blocks(pages: DataFrame) -> DataFrame:
     return split.withColumn("k", kinds).select("bundle_id", "page_index", "reading_order", F.format_string("%s-p%d-b%d", "bundle_id", "page_index", "reading_order").alias("block_id"), "k.kind", "k.heading_level", "text")
 
 
-def page_blocks(pages: DataFrame, final: bool = True) -> DataFrame:
-    """Typed blocks; edge lines that repeat or number pages are cut out and tagged. ``final``: seen from both sides."""
-    return furniture.tag_blocks(raw_blocks(pages), pages, final)
+def page_blocks(pages: DataFrame, final: bool = True, bounds: DataFrame | None = None) -> DataFrame:
+    """Typed blocks; edge lines that repeat or number pages are cut out and tagged. ``final``: seen from both sides, up to ``bounds``."""
+    return furniture.tag_blocks(raw_blocks(pages), pages, final, bounds)
 
 
 def page_facts(pages: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -70,13 +70,14 @@ def page_facts(pages: DataFrame, blocks: DataFrame) -> DataFrame:
 def parse(pages: DataFrame, config: PipelineConfig = PipelineConfig()) -> Result:
     """pages(bundle_id, page_index, text[, width, height, rotation, message, replies]) to blocks, decisions, documents, sections, flags and events.
 
-    Signals see a page's edges as a reader who comes from the front; blocks are tagged from both sides.  A confirmer is
+    Signals see a page's edges as a reader who comes from the front; blocks are tagged from both
+    sides, with what was read when their document closed.  A confirmer is
     sent a page's ``message``, or its text where there is none; decisions then have ``outcome`` and ``attempts``.
     """
     for name, value in (("width", F.lit(None).cast("double")), ("height", F.lit(None).cast("double")), ("rotation", F.lit(0))):
         if name not in pages.columns:
             pages = pages.withColumn(name, value)
-    blocks, seen = page_blocks(pages), page_blocks(pages, final=False)
+    seen = page_blocks(pages, final=False)
     facts = page_facts(pages, seen)
     size = ("width", "height", "rotation")
     number = boundary.number_signals(facts.select("bundle_id", "page_index", "page_num", "page_total", "n_blocks", *size)).select("bundle_id", "page_index", "page_num", "page_total", "n_blocks", "page_number_reset", "sequence_completed", "media_box_changed")
@@ -97,6 +98,8 @@ def parse(pages: DataFrame, config: PipelineConfig = PipelineConfig()) -> Result
         sent = pages.select(*key, F.left(message, F.lit(config.confirmer.config.calls.max_chars)).alias("message"), *(["replies"] if "replies" in pages.columns else []))
         decided = confirm.decide(signals.join(sent, key), config.confirmer, split, keep).persist()
     indexed = boundary.document_index(decided, apply=config.split_on_boundary)
+    bounds = furniture.read_bounds(indexed, split.window, max(split.commit, split.fallback), split.propose)
+    blocks = page_blocks(pages, bounds=bounds)
     name = F.format_string("%s-doc-%d", "bundle_id", "doc_index")
     placed = blocks.join(indexed.select(*key, "doc_index"), key).withColumn("document_id", name)
     documents = boundary.document_ranges(indexed).withColumn("document_id", name).join(assemble.titles(placed, "document_id"), "document_id", "left")

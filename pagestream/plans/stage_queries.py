@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagestream.operators import confirm
+from pagestream.operators import confirm, furniture, review
+from pagestream.plans import queries as Q
 from pagestream.plans.more_queries import registrar
+from pagestream.plans.oracles import PAGES, TEXTS
 from pagestream.shipping import shared_folder
 from pagestream.sources import adapters as S
 from pagestream.sources import page_source
@@ -86,3 +88,33 @@ def page_source_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     page_source.write_pages(made, where)
     back = page_source.read_pages(spark, where, columns="page_index,text,width")
     return back.select(F.regexp_extract("bundle_id", "^bundle=([^/]*)/", 1).alias("bundle_id"), "page_index", F.md5("text").alias("text_md5"), "width")
+
+
+@query(PAGES + """
+, d AS (SELECT *, (page_index // 9)::INT AS doc_index FROM pages),
+s AS (SELECT bundle_id, doc_index, count(*) AS n, min(page_index) AS first, min_by(coalesce(page_num, -1), page_index) AS first_num FROM d GROUP BY 1, 2),
+a AS (SELECT d.*, first FROM d JOIN s USING (bundle_id, doc_index) WHERE page_num IS NOT NULL OR page_index = first),
+c AS (
+  SELECT DISTINCT a.bundle_id, a.doc_index FROM a JOIN d q ON q.bundle_id = a.bundle_id AND q.doc_index = a.doc_index AND q.page_index > a.page_index AND q.page_num IS NOT NULL
+  WHERE (a.page_total IS NULL OR (q.page_num <= a.page_total AND (q.page_total IS NULL OR q.page_total = a.page_total)))
+    AND CASE WHEN a.page_num IS NULL THEN q.page_num BETWEEN 1 AND q.page_index - a.page_index + 1 ELSE q.page_num > a.page_num AND q.page_num <= a.page_num + q.page_index - a.page_index END)
+SELECT s.bundle_id, s.doc_index, CASE WHEN n = 1 THEN first_num = 1 ELSE c.bundle_id IS NOT NULL END AS supported FROM s LEFT JOIN c USING (bundle_id, doc_index)""")
+def number_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine line items a document, so that documents mix the counts of several orders."""
+    pages = S.order_pages(spark, sf_dir).withColumn("doc_index", F.floor(F.col("page_index") / 9).cast("int"))
+    return review.number_support(pages)
+
+
+@query(TEXTS + """
+, r AS (SELECT *, CASE WHEN (page_index // 3 + 1) * 3 <= total - 1 THEN least((page_index // 3 + 1) * 3 + 2, total - 1) ELSE total - 1 END AS read_to FROM l)
+SELECT a.bundle_id, a.page_index, a.read_to::INT AS read_to,
+  EXISTS (SELECT 1 FROM l b WHERE b.bundle_id = a.bundle_id AND b.page_index <> a.page_index AND b.page_index BETWEEN a.page_index - 3 AND least(a.page_index + 3, a.read_to)) AS is_footer,
+  EXISTS (SELECT 1 FROM l b WHERE b.bundle_id = a.bundle_id AND b.page_index <> a.page_index AND b.page_index BETWEEN a.page_index - 3 AND least(a.page_index + 3, a.read_to) AND b.top = a.top) AS is_header
+FROM r a""")
+def furniture_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads and feet of documents of three turns, with what was read when each closed: its next page takes look-ahead."""
+    texts = Q._conversation_text(spark, sf_dir)
+    opens = F.col("page_index") % 3 == 0
+    decided = texts.select("bundle_id", "page_index", F.floor(F.col("page_index") / 3).cast("int").alias("doc_index"), F.when(opens, 0.6).otherwise(0.0).alias("confidence"), F.when(~opens, F.col("page_index") + 1).alias("page_num"), (opens & (F.col("page_index") > 0)).alias("effective"))
+    bounds = furniture.read_bounds(decided, window=2)
+    return furniture.tags(texts, bounds=bounds).join(bounds, ["bundle_id", "page_index"]).select("bundle_id", "page_index", "read_to", "is_footer", "is_header")
