@@ -76,20 +76,22 @@ def holdout_scorecard(scores: DataFrame, holdout: DataFrame) -> DataFrame:
     return out.select("bundles", "macro_f1", p.alias("micro_precision"), r.alias("micro_recall"), f.alias("micro_f1"), T.truncate_two_places(F.col("macro_f1")).alias("proposed_floor"))
 
 
-def ship_checks(before: DataFrame, after: DataFrame, saturated: DataFrame, residual_positives: int = 0, always_open: bool = False) -> DataFrame:
-    """One row of the rule for a new scorer: bundle scores (f1, tp, fp, fn) of both arms; ``saturated`` are the bundles that were at 1.
+def ship_checks(before: DataFrame, after: DataFrame, saturated: DataFrame, missed: DataFrame, residual_positives: int = 0, always_open: bool = False) -> DataFrame:
+    """One row of the rule for a new scorer: bundle scores (f1, tp, fp, fn) of both arms, over the bundles of two roles.
 
-    Saturated bundles stay as they are, every other one rises, and so do the mean and the pooled F1.
+    ``saturated`` bundles stay as they are, every one of ``missed`` (one at least) rises, and so do the mean and the
+    pooled F1 of both; other bundles, such as those that the scorer was trained on, have no say.
     """
+    roles = saturated.select("bundle_id", F.lit(True).alias("full")).distinct().unionByName(missed.select("bundle_id", F.lit(False).alias("full")).distinct())
     arm = lambda df, x: df.select("bundle_id", *(F.col(c).alias(f"{c}_{x}") for c in ("f1", "tp", "fp", "fn")))
-    rows = arm(before, "a").join(arm(after, "b"), "bundle_id").join(saturated.select("bundle_id", F.lit(True).alias("full")).distinct(), "bundle_id", "left")
-    full = F.coalesce("full", F.lit(False))
+    rows = arm(before, "a").join(arm(after, "b"), "bundle_id").join(roles, "bundle_id")
+    full = F.col("full")
     pooled = lambda x: F.when(F.sum(F.col(f"tp_{x}") + F.col(f"fp_{x}") + F.col(f"fn_{x}")) == 0, 1.0).otherwise(2 * F.sum(f"tp_{x}") / F.sum(2 * F.col(f"tp_{x}") + F.col(f"fp_{x}") + F.col(f"fn_{x}")))
     out = rows.agg(
         F.coalesce(F.bool_and(F.when(full, F.col("f1_a") == F.col("f1_b"))), F.lit(True)).alias("saturated_unchanged"),
         F.coalesce(F.bool_and(F.when(~full, F.col("f1_b") > F.col("f1_a"))), F.lit(False)).alias("every_miss_up"),
-        (F.avg("f1_b") > F.avg("f1_a")).alias("macro_up"),
-        (pooled("b") > pooled("a")).alias("micro_up"),
+        F.coalesce(F.avg("f1_b") > F.avg("f1_a"), F.lit(False)).alias("macro_up"),
+        F.coalesce(pooled("b") > pooled("a"), F.lit(False)).alias("micro_up"),
         F.lit(residual_positives > 0 or always_open).alias("residual_open"),
         F.count_if(F.col("f1_b") < F.col("f1_a")).alias("falls"),
     )
@@ -103,10 +105,14 @@ def changed_bundles(one: DataFrame, two: DataFrame) -> DataFrame:
     return differ.groupBy("bundle_id").agg(F.count("a").alias("only_first"), F.count("b").alias("only_second"))
 
 
+#: How far above a score the threshold that flags it lies (fixed value).
+ABOVE = 1e-9
+
+
 def best_threshold(rows: DataFrame, score: str, ok: str) -> DataFrame:
     """The threshold with the best F1 of finding errors (score below it, ``ok`` false); of equals the one with fewer flags.
 
-    Thresholds lie just above each observed score, so a flag is a score at or below it; counts by distinct score.
+    Thresholds lie just above each observed score: a score at ``threshold`` or above is accepted; counts by distinct score.
     """
     counted = rows.groupBy(score).agg(F.count_if(~F.col(ok)).alias("bad"), F.count_if(F.col(ok)).alias("good"))
     run = running(counted, score, ("bad", "good")).withColumns({"tp": F.col("below_bad") + F.col("bad"), "fp": F.col("below_good") + F.col("good")})
@@ -117,7 +123,7 @@ def best_threshold(rows: DataFrame, score: str, ok: str) -> DataFrame:
     f1 = F.when((F.col("tp") > 0), 2 * p * r / (p + r)).otherwise(0.0)
     scored = grid.withColumns({"f1": f1, "flagged": F.col("tp") + F.col("fp")})
     best = scored.agg(F.max_by(F.struct(F.coalesce(F.col(score), F.lit(0.0)).alias("at"), "flagged", "n", "tp", "f1"), F.struct("f1", (-F.col("flagged")).alias("few"))).alias("b"))
-    return best.select(F.col("b.at").alias("threshold"), "b.flagged", "b.n", "b.tp", "b.f1")
+    return best.select(F.when(F.col("b.flagged") > 0, F.col("b.at") + ABOVE).otherwise(0.0).alias("threshold"), "b.flagged", "b.n", "b.tp", "b.f1")
 
 
 def accepted_error(pages: DataFrame, threshold: float) -> DataFrame:

@@ -204,14 +204,20 @@ def choose_threshold(grid: DataFrame, false_splits: int) -> DataFrame:
     return grid.agg(F.max_by("t", allowed).alias("t"), F.max(allowed)["macro_f1"].alias("macro_f1"))
 
 
-def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
+def compare_runs(before: DataFrame, after: DataFrame, marks_before: DataFrame, marks_after: DataFrame) -> DataFrame:
     """One row a band of after(band, bundle_id, f1, tp, fp, fn) against before(bundle_id, ...): scores, changed bundles, eligible.
 
-    A band is eligible if it makes no more false splits than the run before.
+    A bundle is changed if its predicted boundaries (marks(bundle_id, page_index), after with band) are others, however
+    many they are.  A band is eligible if it makes no more false splits than the run before.
     """
-    side = lambda df, x: df.select(*(["band"] if "band" in df.columns else []), "bundle_id", *(F.col(c).alias(f"{c}_{x}") for c in ("f1", "tp", "fp")))
+    side = lambda df, x: df.select(*(["band"] if "band" in df.columns else []), "bundle_id", *(F.col(c).alias(f"{c}_{x}") for c in ("f1", "fp")))
     rows = side(after, "b").join(side(before, "a"), "bundle_id")
-    differs = (F.col("tp_a") != F.col("tp_b")) | (F.col("fp_a") != F.col("fp_b"))
+    old = marks_before.select("bundle_id", "page_index").distinct()
+    met = marks_after.select("band", "bundle_id", "page_index").distinct().join(old.withColumn("old", F.lit(1)), ["bundle_id", "page_index"], "left")
+    mine = met.groupBy("band", "bundle_id").agg(F.count("*").alias("marks"), F.count("old").alias("shared"))
+    rows = rows.join(mine, ["band", "bundle_id"], "left").join(old.groupBy("bundle_id").agg(F.count("*").alias("old_marks")), "bundle_id", "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    differs = (n("shared") != n("marks")) | (n("shared") != n("old_marks"))
     out = rows.groupBy("band").agg(F.avg("f1_b").alias("macro_f1"), F.sum("fp_b").alias("false_splits"), F.avg("f1_a").alias("baseline_macro_f1"), F.sum("fp_a").alias("baseline_false_splits"), F.count_if(differs).alias("changed"))
     return out.withColumn("eligible", F.col("false_splits") <= F.col("baseline_false_splits"))
 
@@ -242,8 +248,8 @@ def document_trees(documents: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def write_trees(trees: DataFrame, path: str) -> None:
-    """One JSON line a bundle, by bundle; bundles that come are written anew, whole or not at all."""
-    trees.select("bundle_id", F.col("tree").alias("value")).write.mode("overwrite").partitionBy("bundle_id").text(path)
+    """One JSON line a bundle, by bundle; bundles that come are written anew, whole or not at all, others stay."""
+    trees.select("bundle_id", F.col("tree").alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bundle_id").text(path)
 
 
 def append_timings(timings: DataFrame, path: str) -> None:
@@ -266,7 +272,7 @@ def positive_int(value: object, name: str) -> int:
 
 def gold_pages(text: str) -> list[int]:
     """"3, 7" to pages, in order, each once."""
-    parts = [p.strip() for p in text.split(",") if p.strip()]
+    parts = [p.strip() for p in text.split(",")]
     if any(not re.fullmatch(r"\d+", p) for p in parts):
         raise ValueError(f"not a list of pages: {text}")
     return sorted({int(p) for p in parts})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 from collections.abc import Iterator
 
@@ -19,7 +20,11 @@ TAG = r"!\[([a-z_]+\+?)\]\((\d+),(\d+),(\d+),(\d+)\)"
 BOX_TAG = r"!\[([a-z_]+)\+?\]\((-?\d+),(-?\d+),(-?\d+),(-?\d+)\)"
 CHECK_EVERY = 64
 ENGINES = ("off", "on", "auto", "lighton", "mlx", "paddle")
+NOTHING = ("", "empty", "n/a", "none", "null")
+PAGE_FIELDS = (("header", ""), ("title", "# "), ("body_text", ""), ("tables", ""), ("footer", ""), ("page_number", ""))
 # --- end of fixed values ---
+#: Stands between cells; no character reference makes it.
+CELL = "\u001e"
 RECORD = "struct<schema:int,pdf_sha256:string,page:int,raw:string,engine:string,truncated:boolean>"
 
 
@@ -44,13 +49,7 @@ def work_plan(stated: DataFrame, limit: int | None = None, force: bool = False)
 
 def write_records(records: DataFrame, path: str) -> None:
     """records(sha, page, record) by sha: those of the files that come are written anew, whole or not at all; others stay."""
-    spark = records.sparkSession
-    old_mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        records.write.mode("overwrite").partitionBy("sha").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old_mode)
+    records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sha").parquet(path)
 
 
 def run_summary(runs: DataFrame) -> DataFrame:
@@ -63,13 +62,23 @@ def untag(raw: Column) -> Column:
     return T.strip(F.regexp_replace(raw, TAG + r"\s*", ""))
 
 
+def unescaped(text: Column) -> Column:
+    """Character references by name and number become characters, once. Only texts with one go to Python."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf("string")
+    def unescape(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    return F.coalesce(unescape(F.when(text.contains("&"), text)), text)
+
+
 def plain_text(raw: Column) -> Column:
     """Without tags, cell borders, entities, heading marks, emphasis and rules of lines."""
     t = F.regexp_replace(raw, TAG, " ")
     t = F.regexp_replace(t, r"</t[dh]>", " ")
     t = F.regexp_replace(t, r"<[^>]+>", " ")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(char))
+    t = unescaped(t)
     t = F.regexp_replace(t, r"(?m)^\s*#+\s*", "")
     t = F.replace(F.replace(t, F.lit("**"), F.lit("")), F.lit("|"), F.lit(" "))
     return F.regexp_replace(t, r"(?m)^[\s:-]+$", "")
@@ -81,7 +90,10 @@ def normal(text: Column) -> Column:
 
 def table_cells(raw: Column) -> Column:
     """Cells of html tables, then of piped lines; rules and empty cells are left out."""
-    tagged = F.transform(F.regexp_extract_all(raw, F.lit(r"(?s)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: normal(F.regexp_replace(c, r"<[^>]+>", "")))
+    inside = F.transform(F.regexp_extract_all(raw, F.lit(r"(?s)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: F.replace(F.regexp_replace(c, r"<[^>]+>", ""), F.lit(CELL), F.lit(" ")))
+    # All cells of a text are unescaped at once, between marks that no reference makes.
+    tagged = F.transform(F.split(unescaped(F.nullif(F.concat(F.array_join(inside, CELL), F.lit(CELL)), F.lit(CELL))), CELL), normal)
+    tagged = F.coalesce(tagged, F.array().cast("array<string>"))
     piped = F.flatten(F.transform(F.filter(F.transform(F.split(raw, "\n"), T.strip), lambda x: x.startswith("|")), lambda x: F.transform(F.split(F.regexp_replace(x, r"^\|+|\|+$", ""), r"\|"), normal)))
     return F.filter(F.concat(tagged, piped), lambda c: (c != "") & ~c.rlike(r"^:?-+:?$"))
 
@@ -146,7 +158,11 @@ def kept_regions(regions_: Column, probabilities: Column, threshold: float) -> C
 
 
 def first_key_json(text: str) -> object:
-    """JSON in which the first of equal keys wins."""
+    """JSON, in a code fence or not, in which the first of equal keys wins."""
+    text = text.strip()
+    if text.startswith("```"):
+        text = text.strip("`")
+        text = text[max(text.find("{"), 0) :]
 
     def first(pairs: list[tuple[str, object]]) -> dict:
         out: dict[str, object] = {}
@@ -157,13 +173,23 @@ def first_key_json(text: str) -> object:
     return json.loads(text, object_pairs_hook=first)
 
 
-def json_markdown(value: object, level: int = 1) -> str:
-    """Objects as headings or "key: value" lines, arrays as lists."""
-    if isinstance(value, dict):
-        return "\n".join(f"{'#' * min(level, 6)} {k}\n{json_markdown(v, level + 1)}" if isinstance(v, (dict, list)) else f"{k}: {'' if v is None else v}" for k, v in value.items())
-    if isinstance(value, list):
-        return "\n".join(f"- {json_markdown(v, level + 1)}" if not isinstance(v, (dict, list)) else json_markdown(v, level + 1) for v in value)
-    return "" if value is None else str(value)
+def _flat(value: object) -> str:
+    """A field as text: list items as paragraphs, objects as "key: value" lines; words for nothing are nothing."""
+    match value:
+        case list():
+            return "\n\n".join(map(_flat, value))
+        case dict():
+            return "\n".join(f"{k}: {_flat(v)}" for k, v in value.items())
+    text = "" if value is None else str(value).strip()
+    return "" if text.lower() in NOTHING else text
+
+
+def json_markdown(page: object) -> str:
+    """A page read as an object to Markdown in the order of the page; other fields and blank ones are left out."""
+    if not isinstance(page, dict):
+        return ""
+    texts = ((mark, _flat(page.get(name))) for name, mark in PAGE_FIELDS)
+    return "\n\n".join(mark + text for mark, text in texts if text)
 
 
 def drain(chunks: Iterator[str], fires, most: int, every: int = CHECK_EVERY) -> tuple[str, str]:

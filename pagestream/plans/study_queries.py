@@ -163,11 +163,11 @@ def threshold_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(SIGNALS + f"""
-, z AS (SELECT bundle_id, gold_start AND page_index > 0 AS g, page_index > 0 AS later, coalesce(confidence, 0) AS c, {_P} AS p FROM sig),
-e AS (SELECT bundle_id, -1 AS band, g, later AND c >= 0.55 AS y FROM z UNION ALL SELECT bundle_id, 0, g, later AND c >= 0.4 FROM z UNION ALL SELECT bundle_id, 1, g, later AND c >= 0.4 AND p >= 0.85 FROM z UNION ALL SELECT bundle_id, 2, g, later AND c >= 0.6 FROM z),
-m AS (SELECT band, bundle_id, count(*) FILTER (g AND y) AS tp, count(*) FILTER (y AND NOT g) AS fp, count(*) FILTER (g AND NOT y) AS fn FROM e GROUP BY 1, 2),
+, z AS (SELECT bundle_id, page_index, gold_start AND page_index > 0 AS g, page_index > 0 AS later, coalesce(confidence, 0) AS c, {_P} AS p FROM sig),
+e AS (SELECT bundle_id, page_index, -1 AS band, g, later AND c >= 0.55 AS y FROM z UNION ALL SELECT bundle_id, page_index, 0, g, later AND c >= 0.4 FROM z UNION ALL SELECT bundle_id, page_index, 1, g, later AND c >= 0.4 AND p >= 0.85 FROM z UNION ALL SELECT bundle_id, page_index, 2, g, later AND c >= 0.6 FROM z),
+m AS (SELECT band, bundle_id, list(page_index ORDER BY page_index) FILTER (y) AS pages, count(*) FILTER (g AND y) AS tp, count(*) FILTER (y AND NOT g) AS fp, count(*) FILTER (g AND NOT y) AS fn FROM e GROUP BY 1, 2),
 fb AS (SELECT *, CASE WHEN tp + fp + fn = 0 THEN 1 ELSE 2 * tp / (2 * tp + fp + fn)::DOUBLE END AS f1 FROM m),
-r AS (SELECT b.band, round(avg(b.f1), 6) AS macro_f1, sum(b.fp)::BIGINT AS false_splits, round(avg(a.f1), 6) AS baseline_macro_f1, sum(a.fp)::BIGINT AS baseline_false_splits, count(*) FILTER (a.tp <> b.tp OR a.fp <> b.fp) AS changed FROM fb a JOIN fb b ON a.bundle_id = b.bundle_id AND a.band = -1 AND b.band >= 0 GROUP BY 1),
+r AS (SELECT b.band, round(avg(b.f1), 6) AS macro_f1, sum(b.fp)::BIGINT AS false_splits, round(avg(a.f1), 6) AS baseline_macro_f1, sum(a.fp)::BIGINT AS baseline_false_splits, count(*) FILTER (a.pages IS DISTINCT FROM b.pages) AS changed FROM fb a JOIN fb b ON a.bundle_id = b.bundle_id AND a.band = -1 AND b.band >= 0 GROUP BY 1),
 x AS (SELECT *, false_splits <= baseline_false_splits AS eligible FROM r)
 SELECT *, band = (SELECT band FROM x WHERE eligible ORDER BY macro_f1 DESC, band LIMIT 1) AS best FROM x""")
 def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,8 +175,11 @@ def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _student(spark, sf_dir).withColumn("c", F.coalesce("confidence", F.lit(0.0)))
     later, c = F.col("page_index") > 0, F.col("c")
     run = lambda yes: metrics.flagged_scores(rows.select("bundle_id", (F.col("gold_start") & later).alias("gold"), (later & yes).alias("predicted")), "gold", "predicted")
-    bands = [run(y).withColumn("band", F.lit(k)) for k, y in enumerate((c >= 0.4, (c >= 0.4) & (F.col("p") >= 0.85), c >= 0.6))]
-    out = X.compare_runs(run(c >= 0.55), bands[0].unionByName(bands[1]).unionByName(bands[2])).withColumns({k: F.round(k, 6) for k in ("macro_f1", "baseline_macro_f1")})
+    rules = (c >= 0.4, (c >= 0.4) & (F.col("p") >= 0.85), c >= 0.6)
+    bands = [run(y).withColumn("band", F.lit(k)) for k, y in enumerate(rules)]
+    marks = lambda yes: rows.where(later & yes).select("bundle_id", "page_index")
+    after = [marks(y).withColumn("band", F.lit(k)) for k, y in enumerate(rules)]
+    out = X.compare_runs(run(c >= 0.55), bands[0].unionByName(bands[1]).unionByName(bands[2]), marks(c >= 0.55), after[0].unionByName(after[1]).unionByName(after[2])).withColumns({k: F.round(k, 6) for k in ("macro_f1", "baseline_macro_f1")})
     best = X.best_eligible(out).select(F.col("band").alias("_best"))
     return out.join(F.broadcast(best), F.lit(True)).withColumn("best", F.col("band") == F.col("_best")).drop("_best")  # one row
 

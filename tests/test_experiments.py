@@ -101,6 +101,8 @@ def test_trees_and_timings_are_kept(spark, tmp_path):
     trees = lambda *rows: X.write_trees(spark.createDataFrame(rows, "bundle_id string, tree string"), str(tmp_path / "trees"))
     trees(("a", '{"x":1}'), ("b", "{}"))
     assert {(r.bundle_id, r.value) for r in spark.read.text(str(tmp_path / "trees")).collect()} == {("a", '{"x":1}'), ("b", "{}")}
+    trees(("b", "{2}"), ("c", "{}"))
+    assert {(r.bundle_id, r.value) for r in spark.read.text(str(tmp_path / "trees")).collect()} == {("a", '{"x":1}'), ("b", "{2}"), ("c", "{}")}
     for s in (1.0, 2.0):
         X.append_timings(spark.createDataFrame([("f", s)], "file string, seconds double"), str(tmp_path / "t"))
     assert spark.read.json(str(tmp_path / "t")).count() == 2
@@ -111,8 +113,18 @@ def test_strict_values():
     for f, bad in ((X.unit_interval, True), (X.unit_interval, 1.1), (X.unit_interval, float("nan")), (X.positive_int, True), (X.positive_int, 0), (X.positive_int, 1.0)):
         with pytest.raises(ValueError):
             f(bad, "x")
-    with pytest.raises(ValueError):
-        X.gold_pages("3, x")
+    for bad in ("3, x", "3,,7", "", "-1"):
+        with pytest.raises(ValueError):
+            X.gold_pages(bad)
+
+
+def test_a_false_split_that_moves_is_a_change(spark):
+    score = lambda *rows: spark.createDataFrame(rows, "band int, bundle_id string, f1 double, tp long, fp long, fn long")
+    marks = lambda *rows: spark.createDataFrame(rows, "band int, bundle_id string, page_index int")
+    after = score((1, "a", 0.5, 1, 1, 1), (1, "b", 1.0, 1, 0, 0), (2, "a", 0.5, 1, 1, 1), (2, "b", 0.0, 0, 0, 1))
+    before, old = after.where("band = 1").drop("band"), marks((0, "a", 3), (0, "a", 5), (0, "b", 2)).drop("band")
+    out = X.compare_runs(before, after, old, marks((1, "a", 3), (1, "a", 6), (1, "b", 2), (2, "a", 3), (2, "a", 5)))
+    assert {r["band"]: r["changed"] for r in out.collect()} == {1: 1, 2: 1}
 
 
 def test_vectors_of_common_and_blank_texts(spark):

@@ -133,7 +133,10 @@ def test_small_helpers():
         with pytest.raises(ValueError):
             recognition.choose_engine(*bad)
     assert recognition.first_key_json('{"a": 1, "a": 2}') == {"a": 1}
-    assert recognition.json_markdown({"a": {"b": 1}, "c": [1, 2]}) == "# a\nb: 1\n# c\n- 1\n- 2"
+    assert recognition.first_key_json('```json\n{"a": 1}\n```') == {"a": 1}
+    page = {"footer": "f", "title": "T", "header": " None ", "body_text": ["a", None, {"k": 1, "l": "n/a"}], "tables": [], "page_number": 3, "other": "x"}
+    assert recognition.json_markdown(page) == "# T\n\na\n\n\n\nk: 1\nl: \n\nf\n\n3"
+    assert recognition.json_markdown({"title": "empty"}) == "" and recognition.json_markdown([1]) == ""
     assert recognition.drain(iter("ab" * 100), lambda t: len(t) > 100, 1000) == ("ab" * 64, "loop")
     assert recognition.drain(iter("abc"), lambda t: True, 1000) == ("abc", "eos") and recognition.drain(iter("abc"), lambda t: True, 2) == ("ab", "max_tokens")
 
@@ -144,3 +147,31 @@ def test_flag_report_refuses_unscored_items(spark):
     assert share.head().flagged == 0.4 and [r.item for r in low.collect()] == ["i0", "i1", "i2"]
     with pytest.raises(Exception):
         evaluation.flag_report(rows.withColumn("probability", F.when(F.col("item") != "i3", F.col("probability"))), 0.35)[0].collect()
+
+
+def test_references_in_texts_and_cells(spark):
+    rows = spark.createDataFrame([(0, "caf&eacute; &#8217;x &amp;lt; <b>y</b>"), (1, "<td>a &amp; b</td><th>\u001e<i>c</i>&nbsp;&lt;d&gt;</th><td></td>\n| e &amp; f | :-: ||"), (2, None), (3, "plain")], "k int, t string")
+    out = rows.select("k", recognition.normal(recognition.plain_text(F.col("t"))).alias("p"), recognition.table_cells(F.col("t")).alias("c")).orderBy("k").collect()
+    assert out[0]["p"] == "caf\u00e9 \u2019x &lt; y" and out[3]["p"] == "plain" and out[2]["p"] is None
+    assert out[1]["c"] == ["a & b", "c <d>", "e &amp; f"] and out[3]["c"] == []
+
+
+def test_ship_rule_by_roles(spark):
+    scores = lambda *rows: spark.createDataFrame(rows, "bundle_id string, f1 double, tp long, fp long, fn long")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "bundle_id string")
+    before = scores(("full", 1.0, 3, 0, 0), ("miss", 0.5, 1, 1, 1), ("train", 1.0, 2, 0, 0))
+    after = scores(("full", 1.0, 3, 0, 0), ("miss", 0.8, 2, 1, 0), ("train", 0.5, 1, 1, 1))
+    rule = lambda a, m, **k: evaluation.ship_checks(before, after, a, m, **k).head()
+    assert rule(ids("full"), ids("miss"), residual_positives=2)["ship"]  # the training bundle has no say
+    assert not rule(ids("full"), ids("miss"))["ship"] and rule(ids("full"), ids("miss"), always_open=True)["ship"]
+    assert not rule(ids("full", "train"), ids("miss"), always_open=True)["saturated_unchanged"]
+    assert not rule(ids("full"), ids(), always_open=True)["every_miss_up"]
+
+
+def test_a_page_is_flagged_or_accepted(spark):
+    rows = spark.createDataFrame([(0.2, False), (0.4, False), (0.6, True)], "score double, ok boolean")
+    t = evaluation.best_threshold(rows, "score", "ok").head()
+    assert t["flagged"] == 2 and 0.4 < t["threshold"] < 0.4001
+    taken = evaluation.accepted_error(rows.select(F.col("score").alias("probability"), F.lit(0.1).alias("cer")), t["threshold"]).head()
+    assert taken["accepted"] + t["flagged"] == 3
+    assert evaluation.best_threshold(rows.where("ok"), "score", "ok").head()["threshold"] == 0.0
