@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagestream.operators import confirm, furniture, review
+from pagestream.operators import confirm, crossval, furniture, review
 from pagestream.plans import queries as Q
 from pagestream.plans.more_queries import registrar
 from pagestream.plans.oracles import PAGES, TEXTS
@@ -118,3 +118,15 @@ def furniture_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = texts.select("bundle_id", "page_index", F.floor(F.col("page_index") / 3).cast("int").alias("doc_index"), F.when(opens, 0.6).otherwise(0.0).alias("confidence"), F.when(~opens, F.col("page_index") + 1).alias("page_num"), (opens & (F.col("page_index") > 0)).alias("effective"))
     bounds = furniture.read_bounds(decided, window=2)
     return furniture.tags(texts, bounds=bounds).join(bounds, ["bundle_id", "page_index"]).select("bundle_id", "page_index", "read_to", "is_footer", "is_header")
+
+
+@query()
+def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality labels from two features of the text, in folds by source: out-of-fold scores and a model for each fold."""
+    rows = Q._labelled(spark, sf_dir).join(S.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    rows = crossval.group_folds(rows, "source")
+    fitted = crossval.cross_validate(rows, names=("log_chars", "marks"))
+    area = crossval.out_of_fold(rows, fitted)
+    models = [(k, n, *(round(x, 6) for x in (w.bias, *w.weights))) for k, (n, w) in enumerate(zip(fitted.rows, [*fitted.folds, fitted.whole], strict=True))]
+    made = spark.createDataFrame(models, "fold int, train_rows long, bias double, log_chars double, marks double")
+    return made.join(F.broadcast(area.select(F.round("auroc", 6).alias("auroc"), "threshold", F.round("f1", 6).alias("f1"))), F.lit(True))  # one row
