@@ -7,11 +7,19 @@ same input always gives the same thresholds.  A group's upper fence is
 
     q50 + reach * (q(tail) - q50) + floor
 
-with the median and a tail quantile of the group's own sketch, so that it
+or, for ratios of rare marks that most documents don't have at all,
+
+    q50 * (q(tail) / q50) ** reach
+
+of smoothed ratios (half a mark more, one character more), so that groups whose
+documents have none differ by what their lengths can show; against that fence a
+document counts without one of its marks, so that a single one is never held
+against a short text.  Fences are made with the median and a tail quantile of the group's own sketch, so that it
 follows each group's habits: documents of a source that uses many symbols or
 repeats its lines are held against that source.  A tail of 0.75 stands for
 metrics in which bad documents may be a large minority; 0.99 for metrics that
-only the odd document has at all.  ``floor`` is a resolution, not a cutoff: it
+only the odd document has at all.  Where a fence of ``repeat_ratio`` exceeds the
+base rule's limit, it rejects nothing more.  ``floor`` is a resolution, not a cutoff: it
 is what single words or lines of a short text can make.  The lower fence of
 two-sided rules mirrors the upper one with q(1 - tail).  Groups below
 ``least_rows`` documents take the sketch of their language, then that of all
@@ -45,7 +53,7 @@ GAMMA = 1.02
 
 @dataclass(frozen=True)
 class Rule:
-    """A ratio of two metrics, the tail quantile and reach of its fence, and its resolution."""
+    """A ratio of two metrics, the tail quantile and reach of its fence, and its resolution; ``marks``: a ratio of rare marks."""
 
     name: str
     top: str
@@ -54,10 +62,11 @@ class Rule:
     reach: float
     floor: float
     two_sided: bool = False
+    marks: bool = False
 
 
 RULES = (
-    Rule("symbol_ratio", "n_symbols", "word_chars", 0.75, 8.0, 0.01),
+    Rule("symbol_ratio", "n_symbols", "word_chars", 0.75, 4.0, 0.0, marks=True),
     Rule("dup_line_ratio", "n_dup_lines", "n_lines", 0.99, 2.0, 0.1),
     Rule("repeat_ratio", "n_repeat_words", "n_words", 0.99, 2.0, 0.03),
     Rule("mean_word_chars", "word_chars", "n_words", 0.75, 10.0, 0.5, two_sided=True),
@@ -87,6 +96,16 @@ def _ratio(rule: Rule) -> Column:
     return F.when(F.col(rule.bottom) > 0, F.col(rule.top) / F.col(rule.bottom)).otherwise(F.lit(0.0))
 
 
+def _sketched(rule: Rule) -> Column:
+    """The value that enters the sketch."""
+    return (F.col(rule.top) + 0.5) / (F.col(rule.bottom) + 1) if rule.marks else _ratio(rule)
+
+
+def _held(rule: Rule) -> Column:
+    """The value that is held against the fence."""
+    return F.when(F.col(rule.bottom) > 0, F.greatest(F.col(rule.top) - 1, F.lit(0)) / F.col(rule.bottom)).otherwise(F.lit(0.0)) if rule.marks else _ratio(rule)
+
+
 def _bin(value: Column) -> Column:
     """Bin 0 holds zero, bin k (k > 0) values in (GAMMA^(k-1), GAMMA^k] times 1e-6."""
     return F.when(value <= 1e-6, F.lit(0)).otherwise(F.ceil(F.log(value * 1e6) / F.log(F.lit(GAMMA))).cast("int"))
@@ -99,7 +118,7 @@ def _value(bin_: Column) -> Column:
 
 def sketches(measured: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """keys, rule, bin, n: one mergeable sketch for each group and rule."""
-    bins = F.explode(F.array(*(F.struct(F.lit(r.name).alias("rule"), _bin(_ratio(r)).alias("bin")) for r in RULES)))
+    bins = F.explode(F.array(*(F.struct(F.lit(r.name).alias("rule"), _bin(_sketched(r)).alias("bin")) for r in RULES)))
     return measured.where(~base_failed()).select(*keys, bins.alias("s")).groupBy(*keys, "s.rule", "s.bin").agg(F.count("*").alias("n"))
 
 
@@ -116,7 +135,8 @@ def fences(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     upper = F.coalesce(*(F.when(F.first("rule") == r.name, at(r.tail)) for r in RULES))
     lower = F.coalesce(*(F.when(F.first("rule") == r.name, at(1 - r.tail)) for r in RULES if r.two_sided))
     quantiles = ranked.groupBy(*keys, "rule").agg(F.max("total").alias("total"), at(0.5).alias("q50"), upper.alias("upper"), lower.alias("lower"))
-    high = F.col("q50") + by_rule(lambda r: F.lit(r.reach)) * (F.col("upper") - F.col("q50")) + by_rule(lambda r: F.lit(r.floor))
+    above = lambda r: F.col("q50") * F.pow(F.col("upper") / F.col("q50"), r.reach) if r.marks else F.col("q50") + r.reach * (F.col("upper") - F.col("q50")) + r.floor
+    high = by_rule(above)
     low = F.col("q50") - by_rule(lambda r: F.lit(r.reach)) * (F.col("q50") - F.col("lower")) - by_rule(lambda r: F.lit(r.floor))
     return quantiles.groupBy(*keys).agg(F.max("total").alias("n"), F.map_from_entries(F.collect_list(F.struct("rule", F.struct(low.alias("low"), high.alias("high")).alias("fence")))).alias("fences"))
 
@@ -142,7 +162,7 @@ def judged(measured: DataFrame, keys: tuple[str, ...] = ("lang", "source"), leas
     inside = F.lit(True)
     for r in RULES:
         f = fence[r.name]
-        inside &= F.coalesce(_ratio(r) <= f["high"], F.lit(True)) & F.coalesce(_ratio(r) >= f["low"], F.lit(True))
+        inside &= F.coalesce(_held(r) <= f["high"], F.lit(True)) & F.coalesce(_held(r) >= f["low"], F.lit(True))
     return out.select(*measured.columns, base_failed().alias("base_failed"), *(_ratio(r).alias(r.name) for r in RULES), (~base_failed() & inside).alias("kept"))
 
 

@@ -46,7 +46,12 @@ def brute(rows, least):
         kept = not failed(m[i])
         for r in Q.RULES:
             v = [ratio(x, r) for x in group]
-            if v and kept:
+            if r.marks:
+                v = [(x[r.top] + 0.5) / (x[r.bottom] + 1) for x in group]
+                if v and kept:
+                    q50, upper = quantile(v, 0.5), quantile(v, r.tail)
+                    kept &= max(m[i][r.top] - 1, 0) / m[i][r.bottom] <= q50 * (upper / q50) ** r.reach
+            elif v and kept:
                 q50, upper, lower = (quantile(v, q) for q in (0.5, r.tail, 1 - r.tail))
                 kept &= ratio(m[i], r) <= q50 + r.reach * (upper - q50) + r.floor
                 if r.two_sided:
@@ -106,6 +111,31 @@ def test_clashing_columns_of_the_filter(spark):
     assert sorted(x.doc_id for x in Q.quality_filter(df).collect()) == list(range(20))
 
 
+def test_fences_reject_by_what_differs_between_groups(spark):
+    """sf0.1: no symbol fence is a constant, and most of what goes goes by it."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    measured = Q.with_metrics(docs, "lang", "source").persist()
+    table = Q.fences(Q.sketches(measured, ("lang", "source")), ("lang", "source")).where("n >= 100").collect()
+    symbols = [r.fences["symbol_ratio"].high for r in table]
+    assert len(symbols) >= 20 and len({round(x, 6) for x in symbols}) > len(symbols) / 2 and max(symbols) > 1.5 * min(symbols)
+    out = Q.judged(measured).where(~F.col("base_failed")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left").persist()
+    gone = out.where(~F.col("kept"))
+    by_symbols = gone.where("symbol_ratio > 0").count()
+    assert by_symbols > 0.2 * gone.count()
+    kept = {r.quality: (r.kept, r.n) for r in out.groupBy("quality").agg(F.count_if("kept").alias("kept"), F.count("*").alias("n")).collect()}
+    print(gone.count(), by_symbols, kept)
+    assert kept[1][0] >= 3321 and kept[0][0] <= 5
+    measured.unpersist()
+    out.unpersist()
+
+
+def test_a_single_mark_is_never_held_against_a_text(spark):
+    rows = [(k, "ten plain words of one length stand here every time now", "en", "s") for k in range(150)] + [(900, "ten plain words of one length stand here every time #ow", "en", "s"), (901, "ten #la## words of one len##h stand here every time #ow", "en", "s")]
+    got = {x.doc_id: x.kept for x in Q.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[0] and got[900] and not got[901]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert Q.quality_verdicts(df).collect() == [] and Q.quality_filter(df).collect() == []
