@@ -41,8 +41,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     body = F.coalesce("text", F.lit(""))
-    sized = docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"))
-    return shard(sized, "doc_id", [1.0] * 16).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    sized = docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"), F.xxhash64(body).alias("tie"))
+    return shard(sized, "doc_id", [1.0] * 16, ties=("text_crc32", "tie")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ at most, a fixed bound, and may be broadcast.
 
 DataFrame functions only.  Edge cases: a null text has no bytes (size 1, CRC
 of the empty string); a null key hashes like the number 0 under another salt;
-repeated rows go to the same shard with slots of their own; extra columns are
-kept; an empty table gives no rows.
+repeated rows go to the same shard with slots of their own, rows of one key in
+the order of ``ties``; extra columns of any names are kept; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -45,16 +46,21 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return (-top["shard"]).cast("int")
 
 
-def shard(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float] | None = None) -> DataFrame:
-    """``df`` with ``shard``, ``slot`` and ``grown_shard`` (the shard under ``grown`` weights; by default one more shard of weight 1)."""
+def shard(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float] | None = None, ties: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``shard``, ``slot`` and ``grown_shard`` (the shard under ``grown`` weights; by default one more shard of weight 1).
+
+    ``ties`` are columns that order the slots of rows of one key.  Columns of these three names are replaced.
+    """
     grown = [*weights, 1.0] if grown is None else list(grown)
     # A null key takes its own constant: xxhash64 skips nulls.
     k = F.when(F.col(key).isNull(), F.xxhash64(F.lit("null key"))).otherwise(F.xxhash64(F.col(key)))
-    placed = df.withColumns({"shard": rendezvous(k, weights), "grown_shard": rendezvous(k, grown), "_chunk": F.pmod(F.xxhash64(F.lit("chunk"), k), F.lit(CHUNKS)).cast("int")})
-    counts = placed.groupBy(F.col("shard").alias("_s"), F.col("_chunk").alias("_c")).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_s").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_s", "_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("shard", "_chunk").orderBy(F.col(key), *(F.col(c) for c in df.columns if c == "text"))
-    numbered = placed.withColumn("_row", F.row_number().over(within) - 1)
-    joined = numbered.join(F.broadcast(starts), (F.col("shard") == F.col("_s")) & (F.col("_chunk") == F.col("_c")))
-    return joined.withColumn("slot", F.col("_start") + F.col("_row")).drop("_s", "_c", "_chunk", "_start", "_row")
+    # The row travels as one struct: its columns may have any names.
+    placed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), rendezvous(k, weights).alias("shard"), rendezvous(k, grown).alias("grown_shard"), F.pmod(F.xxhash64(F.lit("chunk"), k), F.lit(CHUNKS)).cast("int").alias("chunk"))
+    counts = placed.groupBy(F.col("shard").alias("s"), F.col("chunk").alias("c")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("s").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("s", "c", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("shard", "chunk").orderBy(*(F.col("row")[c] for c in (key, *ties)))
+    numbered = placed.withColumn("at", F.row_number().over(within) - 1)
+    joined = numbered.join(F.broadcast(starts), (F.col("shard") == F.col("s")) & (F.col("chunk") == F.col("c")))
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c not in ("shard", "slot", "grown_shard")]
+    return joined.select(*kept, "shard", "grown_shard", (F.col("start") + F.col("at")).alias("slot"))

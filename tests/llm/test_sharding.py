@@ -65,3 +65,17 @@ def test_edge_cases(spark):
         pass
     else:
         raise AssertionError
+
+
+def test_columns_of_any_name_and_ties(spark):
+    rows = [(7, "b", 1), (7, "a", 2), (7, "a", 2), (None, "x", 3), (8, None, 4)]
+    df = spark.createDataFrame(rows, "id long, text string, n int")
+    for name in ("_s", "_c", "_n", "_chunk", "_row", "s", "c", "chunk", "start", "row", "at", "a.b"):
+        named = df.withColumnRenamed("n", name)
+        out = shard(named, "id", [1.0, 2.0], ties=("text",))
+        assert set(out.columns) == {*named.columns, "shard", "slot", "grown_shard"}
+        assert sorted(((r["id"], r["text"], r[name]) for r in out.collect()), key=repr) == sorted(rows, key=repr)
+    out = shard(df.withColumnRenamed("n", "slot"), "id", [1.0], ties=("text",)).collect()
+    assert sorted(r["slot"] for r in out) == list(range(5))
+    same = sorted((r["slot"], r["text"]) for r in out if r["id"] == 7)
+    assert [t for _, t in same] == ["a", "a", "b"]
