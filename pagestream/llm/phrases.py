@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +49,9 @@ from . import arrays as A
 from . import runtime as R
 
 #: Words of one trie: bounds what a task holds.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
+#: Bytes of text whose words are counted at once.
+COUNT_BYTES = 2 << 20
 #: Frequent words that may be broadcast (8 bytes each).
 FILTER_WORDS = 1 << 20
 #: Sampled sequences for each range, and of all ranges together.
@@ -95,13 +98,13 @@ def _langs(column: pa.Array) -> tuple[list[str], np.ndarray]:
     return codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False)
 
 
-def _texts(b: pa.RecordBatch, base: int) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _texts(b: pa.RecordBatch, base: int, limit: int = A.SLICE_BYTES) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(lang, lowered bytes, keys, starts, ends, piece mask) of each language of each slice."""
     names, code = _langs(b.column("lang"))
     for k, lang in enumerate(names):
         column = b.column("text").take(pa.array(np.flatnonzero(code == k))) if len(names) > 1 else b.column("text")
         data, offsets = A.strings(column)
-        for lo, hi in A.slices(offsets):
+        for lo, hi in A.slices(offsets, limit):
             part = LOWER[data[offsets[lo] : offsets[hi]]]
             keys, starts, ends, _, fresh = tokens(part, offsets[lo : hi + 1] - offsets[lo], base)
             if len(keys):
@@ -113,9 +116,11 @@ def _with_breaks(keys: np.ndarray, fresh: np.ndarray) -> np.ndarray:
 
 
 def _word_counts(base: int, depth: int):
+    """Counts of each slice; the JVM sums them before the shuffle."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lang, data, keys, starts, ends, fresh in _texts(b, base):
+            for lang, data, keys, starts, ends, fresh in _texts(b, base, COUNT_BYTES):
                 known, at, n = np.unique(keys, return_index=True, return_counts=True)
                 where = np.concatenate([[0], np.cumsum(ends[at] - starts[at])])
                 body = data[np.repeat(starts[at], np.diff(where)) + A.spread(np.diff(where))]
@@ -183,8 +188,11 @@ def _place(columns: list[np.ndarray], words: np.ndarray, boundary: tuple[int, ..
     return lo
 
 
-def encode(columns: list[np.ndarray], counts: np.ndarray, words: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
-    """(words, codes, tails, counts): the sorted trie; a row is a code (shared * 8 + depth) and its words beyond the shared ones."""
+def encode(columns: list[np.ndarray], counts: np.ndarray, words: np.ndarray, known: np.ndarray | None = None) -> tuple[bytes, bytes, bytes, bytes]:
+    """(words, codes, tails, counts): the sorted trie; a row is a code (shared * 8 + depth) and its words beyond the shared ones.
+
+    Words are keys, or steps between their places in ``known``, the sorted keys that all tasks have.
+    """
     depth = sum((c != 0).astype(np.int64) for c in columns)
     shared, equal = np.zeros(len(depth), np.int64), np.ones(len(depth), bool)
     equal[:1] = False
@@ -198,29 +206,34 @@ def encode(columns: list[np.ndarray], counts: np.ndarray, words: np.ndarray) ->
     number = np.cumsum(used)
     level = np.arange(len(columns))
     tails = number[table[(level >= shared[:, None]) & (level < depth[:, None])]] - 1
-    return words[used[1:]].tobytes(), (shared << 3 | depth).astype(np.uint8).tobytes(), R._part(tails), R._part(counts)
+    pack = zstandard.ZstdCompressor(level=1).compress
+    words = words[used[1:]]
+    names = words.tobytes() if known is None else pack(R._part(np.diff(np.searchsorted(known, words), prepend=0)))
+    return names, pack((shared << 3 | depth).astype(np.uint8).tobytes()), pack(R._part(tails)), pack(R._part(counts))
 
 
-def decode(words: bytes, codes: bytes, tails: bytes, counts: bytes, depth: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def decode(words: bytes, codes: bytes, tails: bytes, counts: bytes, depth: int, known: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """(words, columns with places in words from 1 on, counts)."""
-    code = np.frombuffer(codes, np.uint8).astype(np.int64)
+    unpack = zstandard.ZstdDecompressor().decompress
+    code = np.frombuffer(unpack(codes), np.uint8).astype(np.int32)
     shared, own = code >> 3, code & 7
-    tail = R._take(tails, 0)[0] + 1
+    tail = R._take(unpack(tails), 0)[0].astype(np.int32) + 1
     at = np.cumsum(own - shared) - (own - shared)
-    rows, columns = np.arange(len(code)), []
+    rows, columns = np.arange(len(code), dtype=np.int32), []
     for d in range(depth):
         source = np.maximum.accumulate(np.where(shared <= d, rows, -1))
         has = own > d
         columns.append(np.where(has, tail[np.where(has, at[source] + d - shared[source], 0)], 0))
-    return np.frombuffer(words, np.uint64), columns, R._take(counts, 0)[0]
+    names = np.frombuffer(words, np.uint64) if known is None else known[np.cumsum(R._take(unpack(words), 0)[0])]
+    return names, columns, R._take(unpack(counts), 0)[0]
 
 
 def _tries(base: int, depth: int, frequent, boundaries: dict[str, list[tuple[int, ...]]]):
     """Texts to packed tries, one row for each range that a shard reaches."""
 
     def shard(lang: str, keys: np.ndarray) -> Iterator[tuple]:
-        if frequent is not None:
-            own = frequent.value.get(lang, np.zeros(0, np.uint64))
+        own = _known(frequent, lang)
+        if own is not None:
             at = np.minimum(np.searchsorted(own, keys), max(len(own) - 1, 0))
             keys = np.where(own[at] == keys, keys, np.uint64(0)) if len(own) else np.zeros(0, np.uint64)
         words, number = np.unique(keys, return_inverse=True)
@@ -228,14 +241,14 @@ def _tries(base: int, depth: int, frequent, boundaries: dict[str, list[tuple[int
             number = number + 1
         else:
             words = words[1:]
-        columns, rows = sequences(number.ravel().astype(np.int64), depth)
+        columns, rows = sequences(number.ravel().astype(np.int32), depth)
         if not len(rows):
             return
         columns, counts = _collapse([c[rows] for c in columns], None, len(words))
         cuts = [0, *(_place(columns, words, x) for x in boundaries.get(lang, [])), len(counts)]
         for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if a < b:
-                yield lang, bucket, *encode([c[a:b] for c in columns], counts[a:b], words)
+                yield lang, bucket, *encode([c[a:b] for c in columns], counts[a:b], words, own)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "bucket", "words", "codes", "tails", "counts"]
@@ -261,15 +274,15 @@ def _tries(base: int, depth: int, frequent, boundaries: dict[str, list[tuple[int
     return work
 
 
-def merge(rows: list[tuple[bytes, bytes, bytes, bytes]], depth: int, least: int, border: set[tuple[int, ...]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def merge(rows: list[tuple[bytes, bytes, bytes, bytes]], depth: int, least: int, border: set[tuple[int, ...]], known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """The merged trie of one range, by depth from 2 on: (depth, paths, counts, ancestors' counts, on the border).
 
     Nodes below ``least`` go, but for those on the border, whose other part lies
     in another range.  Counts of ancestors on the border are -1.
     """
-    parts = [decode(*r, depth) for r in rows]
+    parts = [decode(*r, depth, known) for r in rows]
     words = np.unique(np.concatenate([p[0] for p in parts]))
-    maps = [np.concatenate([[0], np.searchsorted(words, p[0]) + 1]) for p in parts]
+    maps = [np.concatenate([[0], np.searchsorted(words, p[0]) + 1]).astype(np.int32) for p in parts]
     columns = [np.concatenate([m[p[1][d]] for m, p in zip(maps, parts, strict=True)]) for d in range(depth)]
     columns, counts = _collapse(columns, np.concatenate([p[2] for p in parts]), len(words))
     del parts
@@ -304,12 +317,16 @@ def _borders(boundaries: list[tuple[int, ...]], bucket: int) -> set[tuple[int, .
     return {edge[:d] for edge in near for d in range(2, len(edge) + 1) if all(edge[:d])}
 
 
-def _merged(depth: int, least: int, boundaries: dict[str, list[tuple[int, ...]]]):
+def _known(frequent, lang: str) -> np.ndarray | None:
+    return None if frequent is None else frequent.value.get(lang, np.zeros(0, np.uint64))
+
+
+def _merged(depth: int, least: int, frequent, boundaries: dict[str, list[tuple[int, ...]]]):
     def work(table: pa.Table) -> pa.Table:
         lang, bucket = table.column("lang")[0].as_py(), table.column("bucket")[0].as_py()
         rows = list(zip(*(table.column(k).to_pylist() for k in ("words", "codes", "tails", "counts")), strict=True))
         out = []
-        for d, paths, total, lefts, open_ in merge(rows, depth, least, _borders(boundaries.get(lang, []), bucket)):
+        for d, paths, total, lefts, open_ in merge(rows, depth, least, _borders(boundaries.get(lang, []), bucket), _known(frequent, lang)):
             n = len(total)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).view(np.int64).ravel()))
             out.append(pa.table({"lang": pa.array([lang] * n, pa.string()), "path": lists(paths), "a": pa.array(total.astype(np.int64)), "lefts": lists(lefts.astype(np.int64)), "open": pa.array(open_)}))
@@ -360,8 +377,9 @@ def _frequent(counts: DataFrame):
 def _nodes(docs: DataFrame, counts: DataFrame, base: int, depth: int, least: int) -> DataFrame:
     """Staged: lang, path, a, lefts (counts of the first 2, 3, ... words) of all phrases with ``least`` occurrences."""
     boundaries = _boundaries(counts, R.bucket_count(docs))
-    tries = R.map_arrow(docs, _tries(base, depth, _frequent(counts), boundaries), TRIE_SCHEMA)
-    merged = tries.groupBy("lang", "bucket").applyInArrow(_merged(depth, least, boundaries), "lang string, path array<long>, a long, lefts array<long>, open boolean")
+    frequent = _frequent(counts)
+    tries = R.map_arrow(docs, _tries(base, depth, frequent, boundaries), TRIE_SCHEMA)
+    merged = tries.groupBy("lang", "bucket").applyInArrow(_merged(depth, least, frequent, boundaries), "lang string, path array<long>, a long, lefts array<long>, open boolean")
     # Only nodes on a range's border have several rows here; their ancestors are on it too.
     nodes = merged.groupBy("lang", "path").agg(F.sum("a").alias("a"), F.max("lefts").alias("lefts"), F.max("open").alias("open"))
     nodes = R.stage(nodes.where(F.col("a") >= least), "phrase-nodes")

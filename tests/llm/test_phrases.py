@@ -69,10 +69,11 @@ def test_a_trie_is_read_as_it_was_written():
     columns, counts = P._collapse([c[rows] for c in columns], None, 9)
     words = np.sort(rng.integers(1, 2**63, 9).astype(np.uint64))
     for lo, hi in ((0, len(counts)), (10, 11), (17, 400)):
-        own, back, n = P.decode(*P.encode([c[lo:hi] for c in columns], counts[lo:hi], words), 5)
-        names = lambda w, c: np.concatenate([[0], w])[c].tolist()
-        assert n.tolist() == counts[lo:hi].tolist()
-        assert [names(own, c) for c in back] == [names(words, c[lo:hi]) for c in columns]
+        for known in (None, np.sort(np.concatenate([words, words + np.uint64(1)]))):
+            own, back, n = P.decode(*P.encode([c[lo:hi] for c in columns], counts[lo:hi], words, known), 5, known)
+            names = lambda w, c: [int(x) for x in np.concatenate([np.zeros(1, np.uint64), w])[c]]
+            assert n.tolist() == counts[lo:hi].tolist()
+            assert [names(own, c) for c in back] == [names(words, c[lo:hi]) for c in columns]
 
 
 def test_a_boundary_lies_before_the_first_row_that_reaches_it():
