@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagestream.functions import text as T
 from pagestream.operators.metrics import prf, running
+from pagestream.shipping import ship
 
 
 @dataclass(frozen=True)
@@ -26,32 +29,71 @@ FLOORS = {"builtin": Floors(1.0, 1.0), "whole_documents": Floors(0.0, 0.6), "mix
 # --- end of fixed values ---
 
 
-def _matched(gold: np.ndarray, predicted: np.ndarray, tolerance: int) -> int:
-    """Gold boundaries in order take the nearest free prediction within the tolerance; of equals the earlier one."""
-    free = np.ones(len(predicted), bool)
-    found = 0
-    for g in gold:
-        away = np.where(free, np.abs(predicted - g), tolerance + 1)
-        k = int(away.argmin()) if len(away) else 0
-        if len(away) and away[k] <= tolerance:
-            free[k] = False
-            found += 1
-    return found
+def _fold(batches: Iterator[pa.RecordBatch], tolerance: int) -> Iterator[pa.RecordBatch]:
+    """Matches of sorted islands, streamed: only boundaries within the tolerance of the page at hand are held."""
+    key, gold, free = None, deque(), deque()
+
+    def settle(before: float) -> int:
+        """Gold boundaries whose reach ends ``before`` take the nearest free prediction; of equals the earlier one."""
+        found = 0
+        while gold and gold[0] + tolerance < before:
+            g = gold.popleft()
+            while free and free[0] < g - tolerance:
+                free.popleft()
+            near = min((p for p in free if p <= g + tolerance), key=lambda p: (abs(p - g), p), default=None)
+            if near is not None:
+                free.remove(near)
+                found += 1
+        return found
+
+    for b in batches:
+        matched: dict[str, int] = {}
+        for bundle, island, page, g, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if key != (bundle, island):
+                if key is not None:
+                    matched[key[0]] = matched.get(key[0], 0) + settle(np.inf)
+                key = (bundle, island)
+                free.clear()
+            matched[bundle] = matched.get(bundle, 0) + settle(page)
+            if g:
+                gold.append(page)
+            if p:
+                free.append(page)
+        yield pa.RecordBatch.from_pydict({"bundle_id": pa.array(matched.keys(), pa.string()), "matched": pa.array(matched.values(), pa.int64())})
+    if key is not None:
+        yield pa.RecordBatch.from_pydict({"bundle_id": pa.array([key[0]], pa.string()), "matched": pa.array([settle(np.inf)], pa.int64())})
+
+
+def _islands(pages: DataFrame, tolerance: int) -> DataFrame:
+    """pages(bundle_id, page_index, g, p) with their island and its counts; boundaries of two islands never match."""
+    order = Window.partitionBy("bundle_id").orderBy("page_index")
+    opens = F.coalesce(F.col("page_index") - F.lag("page_index").over(order) > tolerance, F.lit(True))
+    island = Window.partitionBy("bundle_id", "island")
+    numbered = pages.withColumn("opens", opens).withColumn("island", F.sum(F.col("opens").cast("long")).over(order))
+    return numbered.withColumns({"n_g": F.sum("g").over(island), "n_p": F.sum("p").over(island)})
 
 
 def tolerant_scores(gold: DataFrame, predicted: DataFrame, tolerance: int) -> DataFrame:
-    """Sets of boundaries(bundle_id, page_index) to matched, n_gold, n_pred, precision, recall and f1 by bundle."""
+    """Sets of boundaries(bundle_id, page_index) to matched, n_gold, n_pred, precision, recall and f1 by bundle.
+
+    Gold boundaries in order take the nearest free prediction within the tolerance.  A bundle's boundaries fall into
+    islands, further apart than the tolerance: one with at most one boundary of a kind is settled by its counts, the
+    rest goes island by island through a fold whose state the tolerance bounds, so that one bundle may hold any number
+    of boundaries.  Repeated rows count once, rows without a page not at all; bundles without boundaries have no row.
+    """
+    sides = gold.select("bundle_id", "page_index", F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(predicted.select("bundle_id", "page_index", F.lit(0).alias("g"), F.lit(1).alias("p"))).where("page_index is not null")
     if tolerance == 0:
-        both = gold.select("bundle_id", "page_index", F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(predicted.select("bundle_id", "page_index", F.lit(0).alias("g"), F.lit(1).alias("p")))
-        counted = both.groupBy("bundle_id", "page_index").agg(F.max("g").alias("g"), F.max("p").alias("p")).groupBy("bundle_id").agg(F.sum(F.col("g") * F.col("p")).alias("matched"), F.sum("g").alias("n_gold"), F.sum("p").alias("n_pred"))
+        counted = sides.groupBy("bundle_id", "page_index").agg(F.max("g").alias("g"), F.max("p").alias("p")).groupBy("bundle_id").agg(F.sum(F.col("g") * F.col("p")).alias("matched"), F.sum("g").alias("n_gold"), F.sum("p").alias("n_pred"))
     else:
-        sides = gold.select("bundle_id", "page_index", F.lit(True).alias("g")).unionByName(predicted.select("bundle_id", "page_index", F.lit(False).alias("g")))
-
-        def match(frame: pd.DataFrame) -> pd.DataFrame:
-            g, p = (np.sort(frame["page_index"][frame["g"] == side].to_numpy()) for side in (True, False))
-            return pd.DataFrame({"bundle_id": frame["bundle_id"].iloc[:1], "matched": [_matched(g, p, tolerance)], "n_gold": [len(g)], "n_pred": [len(p)]})
-
-        counted = sides.groupBy("bundle_id").applyInPandas(match, "bundle_id string, matched long, n_gold long, n_pred long")
+        ship(gold.sparkSession)
+        # One shuffle by bundle serves the sets, the islands and their counts.
+        pages = _islands(sides.repartition("bundle_id").groupBy("bundle_id", "page_index").agg(F.max("g").alias("g"), F.max("p").alias("p")), tolerance)
+        plain = F.least("n_g", "n_p") <= 1
+        settled = pages.groupBy("bundle_id").agg(F.sum(F.when(plain & F.col("opens"), F.least("n_g", "n_p")).otherwise(0)).alias("matched"), F.sum("g").alias("n_gold"), F.sum("p").alias("n_pred"))
+        rest = pages.where(~plain).select("bundle_id", "island", "page_index", "g", "p").repartition("bundle_id", "island").sortWithinPartitions("bundle_id", "island", "page_index")
+        folded = rest.mapInArrow(lambda batches: _fold(batches, tolerance), "bundle_id string, matched long")
+        none = F.lit(0).cast("long")
+        counted = settled.unionByName(folded.select("bundle_id", "matched", none.alias("n_gold"), none.alias("n_pred"))).groupBy("bundle_id").agg(*(F.sum(c).alias(c) for c in ("matched", "n_gold", "n_pred")))
     p, r, f = prf(F.col("matched"), F.col("n_pred"), F.col("n_gold"))
     return counted.withColumns({"precision": p, "recall": r, "f1": f, "false_splits": F.col("n_pred") - F.col("matched")})
 

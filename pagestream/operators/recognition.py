@@ -6,12 +6,12 @@ import html
 import json
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagestream.functions import text as T
+from pagestream.functions.edits import edits
 from pagestream.shipping import ship
 
 # --- fixed values: formats ---
@@ -98,8 +98,23 @@ def table_cells(raw: Column) -> Column:
     return F.filter(F.concat(tagged, piped), lambda c: (c != "") & ~c.rlike(r"^:?-+:?$"))
 
 
-def char_error(reference: Column, read: Column) -> Column:
-    return F.when(F.length(reference) > 0, F.levenshtein(reference, read) / F.length(reference))
+def reading_errors(texts: DataFrame, reference: str = "reference", read: str = "read") -> DataFrame:
+    """``texts`` with cer and wer: edits of characters and of words by those of the reference, over whole texts.
+
+    A missing or empty reading loses all (1.0); a reference without characters or words has no such error (null).
+    Characters are code points as they come; see ``normal`` and ``plain_text`` for clean ones.
+    """
+    ship(texts.sparkSession)
+
+    @F.pandas_udf("cer double, wer double")
+    def errors(one: pd.Series, two: pd.Series) -> pd.DataFrame:
+        def share(a: str | list[str], b: str | list[str]) -> float | None:
+            return edits(a, b) / len(a) if a else None
+
+        pairs = [(a or "", b or "") for a, b in zip(one, two, strict=True)]
+        return pd.DataFrame({"cer": [share(a, b) for a, b in pairs], "wer": [share(a.split(), b.split()) for a, b in pairs]}, dtype="float64")
+
+    return texts.withColumn("_errors", errors(F.col(reference), F.col(read))).select(*texts.columns, "_errors.cer", "_errors.wer")
 
 
 def word_error(texts: DataFrame, reference: str = "reference", read: str = "read") -> DataFrame:
@@ -108,41 +123,32 @@ def word_error(texts: DataFrame, reference: str = "reference", read: str = "read
 
     @F.pandas_udf("double")
     def wer(one: pd.Series, two: pd.Series) -> pd.Series:
-        def within(p: np.ndarray, q: np.ndarray, k: int) -> int:
-            """Edits of words if these are at most ``k``, else a number above: only the diagonals up to ``k`` away are filled."""
-            shift = np.arange(-k, k + 1)
-            far = len(p) + len(q) + 1
-            padded = np.concatenate([np.full(k + 1, -1), q, np.full(len(p) + k + 1, -1)])
-            row = np.where(shift >= 0, shift, far)
-            step = np.arange(2 * k + 1)
-            for i in range(len(p)):  # one row of the table at a time; insertions by a running minimum
-                at = i + shift + 1
-                best = np.minimum(row + (padded[i + 1 : i + 2 * k + 2] != p[i]), np.append(row[1:], far) + 1)
-                best = np.where((at < 0) | (at > len(q)), far, np.where(at == 0, i + 1, best))
-                row = np.minimum.accumulate(best - step) + step
-                row = np.where((at < 0) | (at > len(q)), far, row)
-            return int(row[len(q) - len(p) + k])
-
-        def distance(a: str | None, b: str | None) -> float | None:
-            x, y = (a or "").split(), (b or "").split()
-            if not x:
-                return None
-            code: dict[str, int] = {}
-            p, q = (np.array([code.setdefault(w, len(code)) for w in s], np.int64) for s in (x, y))
-            k = max(8, abs(len(p) - len(q)))
-            while (d := within(p, q, k)) > k:
-                k *= 2
-            return d / len(p)
-
-        return pd.Series([distance(a, b) for a, b in zip(one, two, strict=True)])
+        words = (((a or "").split(), (b or "").split()) for a, b in zip(one, two, strict=True))
+        return pd.Series([edits(a, b) / len(a) if a else None for a, b in words], dtype="float64")
 
     return texts.withColumn("wer", wer(F.col(reference), F.col(read)))
 
 
+def cell_recall(cells: Column, raw: Column) -> Column:
+    """The share of the reference's table cells (an array; empty ones don't count) that the reading has as cells."""
+    wanted = F.transform(F.filter(cells, lambda c: c != ""), normal)
+    # The cells come as an argument, as Spark allows no Python function inside a lambda's body.
+    found = F.array_repeat(table_cells(F.coalesce(raw, F.lit(""))), F.size(wanted))
+    return F.when(F.size(wanted) > 0, F.size(F.filter(F.zip_with(wanted, found, lambda c, cells: F.array_contains(cells, c)), lambda x: x)) / F.size(wanted))
+
+
+def furniture_recall(items: Column, read: Column) -> Column:
+    """The share of heads, feet and page numbers (an array; null and empty ones don't count) that the reading holds anywhere."""
+    wanted = F.filter(items, lambda c: c != "")
+    text = normal(F.coalesce(read, F.lit("")))
+    return F.when(F.size(wanted) > 0, F.size(F.filter(wanted, lambda c: F.contains(text, normal(c)))) / F.size(wanted))
+
+
 def line_recall(reference: Column, read: Column) -> Column:
     """The share of the reference's lines that the reading holds."""
     lines = F.filter(F.transform(F.split(reference, "\n"), normal), lambda x: x != "")
-    return F.when(F.size(lines) > 0, F.size(F.filter(lines, lambda x: F.contains(read, x))) / F.size(lines))
+    text = F.coalesce(read, F.lit(""))
+    return F.when(F.size(lines) > 0, F.size(F.filter(lines, lambda x: F.contains(text, x))) / F.size(lines))
 
 
 def regions(raw: Column) -> Column:

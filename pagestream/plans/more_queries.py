@@ -236,9 +236,19 @@ def exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.tolerant_scores(rows.where("gold_start and page_index > 0"), predicted, 0).select("bundle_id", "matched", "n_gold", "n_pred")
 
 
-@query()
+@query(SIGNALS + """
+, g AS (SELECT bundle_id, page_index, row_number() OVER (PARTITION BY bundle_id ORDER BY page_index) AS k FROM pages WHERE gold_start AND page_index > 0),
+p AS (SELECT DISTINCT bundle_id, page_index + page_index % 3 AS page_index FROM sig WHERE confidence IS NOT NULL),
+near AS (SELECT g.bundle_id, g.k, list(p.page_index ORDER BY abs(p.page_index - g.page_index), p.page_index) AS c FROM g JOIN p ON p.bundle_id = g.bundle_id AND p.page_index BETWEEN g.page_index - 2 AND g.page_index + 2 GROUP BY 1, 2),
+turn AS (SELECT bundle_id, row_number() OVER (PARTITION BY bundle_id ORDER BY k) AS k, c FROM near),
+m AS (SELECT bundle_id, 0::BIGINT AS k, []::INTEGER[] AS used, 0::BIGINT AS matched FROM (SELECT DISTINCT bundle_id FROM turn)
+  UNION ALL SELECT bundle_id, k, CASE WHEN len(f) > 0 THEN list_append(used, f[1]) ELSE used END, matched + CASE WHEN len(f) > 0 THEN 1 ELSE 0 END
+  FROM (SELECT m.bundle_id, t.k, m.used, m.matched, list_filter(t.c, lambda x: NOT list_contains(m.used, x)) AS f FROM m JOIN turn t ON t.bundle_id = m.bundle_id AND t.k = m.k + 1)),
+z AS (SELECT bundle_id, max(matched) AS matched FROM m GROUP BY 1), b AS (SELECT bundle_id, count(*) AS n_gold FROM g GROUP BY 1), c AS (SELECT bundle_id, count(*) AS n_pred FROM p GROUP BY 1),
+r AS (SELECT bundle_id, coalesce(matched, 0)::BIGINT AS matched, coalesce(n_gold, 0)::BIGINT AS n_gold, coalesce(n_pred, 0)::BIGINT AS n_pred FROM b FULL JOIN c USING (bundle_id) LEFT JOIN z USING (bundle_id))
+SELECT *, round(CASE WHEN matched > 0 THEN 2 * matched / (n_gold + n_pred)::DOUBLE ELSE 0 END, 6) AS f1, n_pred - matched AS false_splits FROM r""")
 def tolerant_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundaries within two pages; the fold by bundle is tested against brute force."""
+    """Boundaries within two pages."""
     rows = Q.signals(spark, sf_dir)
     out = evaluation.tolerant_scores(rows.where("gold_start and page_index > 0"), rows.where("confidence is not null").withColumn("page_index", F.col("page_index") + F.col("page_index") % 3), 2)
     return out.select("bundle_id", "matched", "n_gold", "n_pred", F.round("f1", 6).alias("f1"), "false_splits")
@@ -345,6 +355,26 @@ def word_error_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.word_error(rows).select("p_partkey", F.round("wer", 6).alias("wer"))
 
 
+@query(r"""
+WITH t AS (SELECT p_partkey, p_name, p_type, CASE WHEN p_partkey % 5 > 0 THEN CASE WHEN p_partkey % 7 > 0 THEN replace(p_name, 'e', 'ee ') ELSE '' END END AS r, 'Part ' || p_partkey AS head, p_size::VARCHAR AS number FROM part),
+v AS (SELECT *, coalesce(r, '') AS s, trim(regexp_replace(coalesce(r, '') || ' ' || CASE WHEN p_partkey % 3 > 0 THEN head ELSE '' END, '\s+', ' ', 'g')) AS page FROM t)
+SELECT p_partkey, round(levenshtein(p_name, s) / length(p_name)::DOUBLE, 6) AS cer, (CASE WHEN p_partkey % 3 > 0 OR contains(page, head) THEN 1 ELSE 0 END + CASE WHEN contains(page, number) THEN 1 ELSE 0 END) / 2.0::DOUBLE AS furniture,
+  round((CASE WHEN p_partkey % 2 > 0 THEN 1 ELSE 0 END + 1) / 2.0::DOUBLE, 6) AS cells, CASE WHEN contains(s, trim(regexp_replace(p_name, '\s+', ' ', 'g'))) THEN 1 ELSE 0 END::DOUBLE AS lines FROM v""")
+def reading_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of part names, some missing or empty: characters, heads and numbers, cells, lines."""
+    key = F.col("p_partkey")
+    rows = S.table(spark, sf_dir, "part").withColumns({
+        "read": F.when(key % 5 > 0, F.when(key % 7 > 0, F.replace("p_name", F.lit("e"), F.lit("ee "))).otherwise("")),
+        "head": F.concat(F.lit("Part "), key.cast("string")),
+        "raw": F.concat(F.lit("<table><tr><td>"), F.col("p_type"), F.lit("</td><td>"), F.when(key % 2 > 0, "a &amp; b").otherwise("a"), F.lit("</td></tr></table>")),
+    })
+    page = F.concat_ws(" ", F.coalesce("read", F.lit("")), F.when(key % 3 > 0, F.col("head")))
+    furniture = recognition.furniture_recall(F.array("head", F.col("p_size").cast("string"), F.lit("")), page)
+    cells = recognition.cell_recall(F.array("p_type", F.lit("a & b"), F.lit("")), F.col("raw"))
+    out = recognition.reading_errors(rows.withColumns({"furniture": furniture, "cells": cells, "lines": recognition.line_recall(F.col("p_name"), F.col("read"))}), "p_name")
+    return out.select("p_partkey", F.round("cer", 6).alias("cer"), "furniture", F.round("cells", 6).alias("cells"), F.col("lines").cast("double").alias("lines"))
+
+
 @query("""
 WITH t AS (SELECT p_partkey, p_size % 10 / 10.0::DOUBLE AS p0, p_size % 7 / 7.0::DOUBLE AS p1 FROM part)
 SELECT p_partkey, ((CASE WHEN p0 >= 0.5 THEN 1 ELSE 0 END) + (CASE WHEN p1 >= 0.5 OR p_partkey % 3 = 0 THEN 1 ELSE 0 END) + 1)::INT AS kept, (p_partkey % 900 + 1)::INT AS x1, 'Name ' || p_partkey AS first_text FROM part JOIN t USING (p_partkey)""")

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pagestream.functions import edits as edits_module
 from pagestream.operators import experiments as X
 from pagestream.operators import lookahead, metrics, recognition
 
@@ -35,6 +36,25 @@ def test_word_error_equals_a_full_table(spark):
         assert got[k] == (table_of_edits(x, y) / len(x) if x else None), (k, a, b)
 
 
+def test_edits_within_narrow_and_wide_bands(monkeypatch):
+    rng = random.Random(6)
+    for band in (1, 2, 32):
+        monkeypatch.setattr(edits_module, "FIRST_BAND", band)
+        for _ in range(300):
+            x = [rng.choice("abc") for _ in range(rng.randrange(40))]
+            y = [c for c in x if rng.random() > 0.1] + [rng.choice("abd") for _ in range(rng.choice([0, 0, 5, 30]))]
+            assert edits_module.edits(x, y) == table_of_edits(x, y) == edits_module.edits(y, x)
+    long = [k % 4999 for k in range(120_000)]
+    assert edits_module.edits(long, long[7:60_000] + [-1] * 20 + long[60_010:]) == 27
+
+
+def test_reading_errors(spark):
+    rows = [(1, "abc d", "abd d", ["a", "", "x & y"], "<td>a</td><td> x  &amp; y</td>"), (2, "ab", None, None, None), (3, "", "x", [""], ""), (4, None, None, ["q"], "|q|r|"), (5, "héß", "", ["q"], None)]
+    df = spark.createDataFrame(rows, "k int, reference string, read string, cells array<string>, raw string")
+    got = {r.k: (r.cer, r.wer, r.c, r.f) for r in recognition.reading_errors(df.withColumns({"c": recognition.cell_recall(F.col("cells"), F.col("raw")), "f": recognition.furniture_recall(F.array("reference", F.lit("d")), F.col("read"))})).collect()}
+    assert got == {1: (0.2, 0.5, 1.0, 0.5), 2: (1.0, 1.0, None, 0.0), 3: (None, None, None, 0.0), 4: (None, None, 1.0, 0.0), 5: (1.0, 1.0, 0.0, 0.0)}
+
+
 def test_running_sums_equal_a_plain_count(spark):
     rng = random.Random(5)
     rows = [(float(v) if v % 11 else None, rng.randint(0, 4)) for v in range(500)]

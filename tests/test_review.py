@@ -67,6 +67,21 @@ def test_tolerant_match(spark):
         assert got == {k: (brute_match(gold[k], predicted[k], tolerance), len(gold[k]), len(predicted[k])) for k in gold if gold[k] or predicted[k]}
 
 
+def test_tolerant_match_of_dense_islands_and_repeated_rows(spark):
+    r = random.Random(8)
+    gold = {f"p{k}": r.sample(range(400), r.choice([0, 5, 60, 200])) for k in range(12)} | {"gold only": [3], "long": list(range(0, 60000, 2))}
+    predicted = {k: r.sample(range(400), r.choice([0, 5, 60, 200])) for k in gold} | {"predicted only": [4, 9], "gold only": [], "long": list(range(1, 60001, 2))}
+    rows = lambda d: [(k, x) for k, v in d.items() for x in v]
+    frame = lambda d: spark.createDataFrame(rows(d) + rows(d)[:40] + [("p0", None)], "bundle_id string, page_index int").repartition(3)
+    for tolerance in (1, 2, 5):
+        got = {x.bundle_id: (x.matched, x.n_gold, x.n_pred) for x in evaluation.tolerant_scores(frame(gold), frame(predicted), tolerance).collect()}
+        assert got.pop("long") == (30000, 30000, 30000)
+        want = {k: (brute_match(gold.get(k, []), predicted.get(k, []), tolerance), len(gold.get(k, [])), len(predicted.get(k, []))) for k in (gold | predicted).keys() - {"long"}}
+        assert got == {k: v for k, v in want.items() if v[1] + v[2]}
+    empty = frame({}).where("false")
+    assert evaluation.tolerant_scores(empty, empty, 2).collect() == []
+
+
 def test_header_template_and_dropped_heads(spark):
     rows = []
 
