@@ -6,131 +6,176 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, ByteType, DoubleType, IntegerType, LongType, ShortType, StructField, StructType
 
 from pagestream.shipping import ship
 
-#: Query vectors sent to the tasks at once.
-BLOCK = 4096
-#: Scores held at once in a task.
+#: Queries of a block, about; blocks are made by a hash of the id.
+BLOCK = 1024
+#: Numbers of a piece of vectors, and scores held at once in a task.
 CELLS = 1 << 20
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], queries: int) -> Iterator[pa.RecordBatch]:
-    step = max(1, CELLS // max(1, queries))
+LAST = np.iinfo(np.int64).max
+
+
+def _label(df: DataFrame) -> Column:
+    """A gold as a number or text that compares exactly, null included: nobody's number is beyond what an int holds."""
+    if isinstance(df.schema["gold"].dataType, (ByteType, ShortType, IntegerType)):
+        return F.coalesce(F.col("gold").cast("long"), F.lit(LAST))
+    return F.col("gold").cast("string")
+
+
+def _pieces(vectors: DataFrame) -> DataFrame:
+    """Vectors packed by partition, in rows of at most ``CELLS`` numbers, with the greatest norm of each row; no shuffle."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lo = 0
+            while lo < b.num_rows:
+                wide = max(1, len(b.column(2)[lo]))
+                part = b.slice(lo, max(1, min(CELLS // wide, CELLS // BLOCK)))
+                lo += part.num_rows
+                flat = part.column(2).flatten().cast(pa.float64())
+                norm = np.sqrt((flat.to_numpy(zero_copy_only=False).reshape(part.num_rows, -1) ** 2).sum(1)).max()
+                one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (part.column(0), part.column(1), flat)]
+                yield pa.RecordBatch.from_arrays([*one, pa.array([float(norm)])], names=["ids", "golds", "flat", "reach"])
+
+    rows = vectors.select(F.col("id").cast("long"), _label(vectors).alias("gold"), "embedding")
+    gold = rows.schema["gold"].dataType
+    out = StructType([StructField("ids", ArrayType(LongType())), StructField("golds", ArrayType(gold)), StructField("flat", ArrayType(DoubleType())), StructField("reach", DoubleType())])
+    return rows.mapInArrow(pack, out)
+
+
+def _blocks(queries: DataFrame, blocks: int, *more: str) -> DataFrame:
+    """Queries packed into rows (block, queries), one partition a block, about."""
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    each = F.struct(F.col("id").cast("long").alias("id"), _label(queries).alias("gold"), F.col("embedding").cast("array<double>").alias("embedding"), *more)
+    return queries.where("gold is not null").select(block.alias("block"), each.alias("q")).repartition(blocks, "block").groupBy("block").agg(F.collect_list("q").alias("queries"))
+
+
+def _meet(pieces: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Each piece with each block, partition by partition in the tasks: vectors stream past one partition's blocks at a time."""
+    return pieces.crossJoin(blocks.hint("shuffle_replicate_nl")).select("block", "queries", "ids", "golds", "flat", "reach")
+
+
+class _Queries:
+    """A block's queries as arrays."""
+
+    def __init__(self, rows: pa.StructArray):
+        self.ids = rows.field("id").to_numpy(zero_copy_only=False)
+        self.gold = rows.field("gold").to_numpy(zero_copy_only=False)
+        self.matrix = rows.field("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        self.rows = rows
+
+    def scores(self, ids: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        return np.round(self.matrix @ flat.reshape(len(ids), -1).T, 9)
+
+
+class _Best(_Queries):
+    """The best ``depth`` vectors of each query so far, the best of its own label, and how many of that label there are."""
+
+    def __init__(self, rows: pa.StructArray, depth: int):
+        super().__init__(rows)
+        n = len(self.ids)
+        self.norms = np.sqrt((self.matrix**2).sum(1))
+        self.score, self.other, self.hit = np.full((n, depth), -np.inf), np.full((n, depth), LAST), np.zeros((n, depth), bool)
+        self.own_score, self.own_id, self.relevant = np.full(n, -np.inf), np.full(n, LAST), np.zeros(n, np.int64)
+
+    def add(self, ids: np.ndarray, golds: np.ndarray, flat: np.ndarray, reach: float) -> None:
+        same = ids[None, :] == self.ids[:, None]
+        hit = golds[None, :] == self.gold[:, None]
+        self.relevant += (hit & ~same).sum(1)
+        # By Cauchy-Schwarz no vector here scores above this; what is below all that is kept can't change it.
+        bound = self.norms * reach * (1 + 1e-9) + 1e-6
+        if (bound < np.minimum(self.score[:, -1], self.own_score)).all():
+            return
+        score = np.where(same, -np.inf, self.scores(ids, flat))
+        of_gold = np.where(hit, score, -np.inf)
+        top = of_gold.max(1)
+        top_id = np.where(np.isfinite(of_gold) & (of_gold == top[:, None]), ids, LAST).min(1)
+        better = (top > self.own_score) | ((top == self.own_score) & (top_id < self.own_id))
+        self.own_score, self.own_id = np.where(better, top, self.own_score), np.where(better, top_id, self.own_id)
+        score, other = np.hstack([self.score, score]), np.hstack([self.other, np.broadcast_to(ids, (len(self.ids), len(ids)))])
+        order = np.lexsort((other, -score), axis=1)[:, : self.score.shape[1]]
+        self.score, self.other, self.hit = (np.take_along_axis(x, order, 1) for x in (score, other, np.hstack([self.hit, hit])))
+
+    def out(self) -> pa.RecordBatch:
+        q, k = np.nonzero(np.isfinite(self.score))
+        far = np.flatnonzero(np.isfinite(self.own_score) & ~(self.hit & np.isfinite(self.score)).any(1))
+        columns = [
+            np.append(self.ids[q], self.ids[far]),
+            np.append(self.other[q, k], self.own_id[far]),
+            np.append(self.score[q, k], self.own_score[far]),
+            np.append(self.hit[q, k], np.ones(len(far), bool)),
+            np.append(np.where(k == 0, self.relevant[q], 0), np.zeros(len(far), np.int64)),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "other", "score", "hit", "relevant"])
+
+
+class _Before(_Queries):
+    """How many vectors rank before the one of id ``other`` with ``score``, for each query."""
+
+    def __init__(self, rows: pa.StructArray):
+        super().__init__(rows)
+        self.score, self.other = (rows.field(c).to_numpy(zero_copy_only=False)[:, None] for c in ("score", "other"))
+        self.n = np.zeros(len(self.ids), np.int64)
+
+    def add(self, ids: np.ndarray, golds: np.ndarray, flat: np.ndarray, reach: float) -> None:
+        found, own = self.scores(ids, flat), ids[None, :]
+        ahead = (found > self.score) | ((found == self.score) & (own < self.other))
+        self.n += (ahead & (own != self.ids[:, None]) & (own != self.other)).sum(1)
+
+    def out(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids), pa.array(self.n)], names=["id", "before"])
+
+
+def _stream(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
+    """Feeds the pieces of a task to the states of the blocks it holds."""
+    held: dict[int, _Best | _Before] = {}
     for b in batches:
-        for lo in range(0, b.num_rows, step):
-            yield b.slice(lo, step)
-
-
-def _block_hits(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, gold: np.ndarray, depth: int) -> DataFrame:
-    """For each task and query: its best ``depth`` vectors, the best of the query's own label, and how many of that label there are."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_score = np.full((len(ids), depth), -np.inf)
-        best_id = np.full((len(ids), depth), np.iinfo(np.int64).max)
-        best_hit = np.zeros((len(ids), depth), bool)
-        own_score, own_id = np.full(len(ids), -np.inf), np.full(len(ids), np.iinfo(np.int64).max)
-        relevant = np.zeros(len(ids), np.int64)
-        for b in _pieces(batches, len(ids)):
-            v = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
-            own = b.column(0).to_numpy(zero_copy_only=False)
-            hit = np.asarray(b.column(2))[None, :] == gold[:, None]
-            same = own[None, :] == ids[:, None]
-            score = np.where(same, -np.inf, np.round(matrix @ v.T, 9))
-            relevant += (hit & ~same).sum(1)
-            of_gold = np.where(hit, score, -np.inf)
-            top = of_gold.max(1)
-            top_id = np.where(np.isfinite(of_gold) & (of_gold == top[:, None]), own, np.iinfo(np.int64).max).min(1)
-            better = (top > own_score) | ((top == own_score) & (top_id < own_id))
-            own_score, own_id = np.where(better, top, own_score), np.where(better, top_id, own_id)
-            score, other = np.hstack([best_score, score]), np.hstack([best_id, np.broadcast_to(own, (len(ids), len(own)))])
-            hits = np.hstack([best_hit, hit])
-            order = np.lexsort((other, -score), axis=1)[:, :depth]
-            best_score, best_id, best_hit = (np.take_along_axis(x, order, 1) for x in (score, other, hits))
-        q, k = np.nonzero(np.isfinite(best_score))
-        far = np.flatnonzero(np.isfinite(own_score) & ~(best_hit & np.isfinite(best_score)).any(1))
-        rows = [np.append(ids[q], ids[far]), np.append(best_id[q, k], own_id[far]), np.append(best_score[q, k], own_score[far]), np.append(best_hit[q, k], np.ones(len(far), bool)), np.append(np.where(k == 0, relevant[q], 0), np.zeros(len(far), np.int64))]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["id", "other", "score", "hit", "relevant"])
-
-    return vectors.mapInArrow(work, "id long, other long, score double, hit boolean, relevant long")
-
-
-def _before(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, score: np.ndarray, other: np.ndarray) -> DataFrame:
-    """For each task and query: how many vectors rank before the one of id ``other`` with ``score``."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(ids), np.int64)
-        for b in _pieces(batches, len(ids)):
-            v = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
-            own = b.column(0).to_numpy(zero_copy_only=False)[None, :]
-            found = np.round(matrix @ v.T, 9)
-            ahead = (found > score[:, None]) | ((found == score[:, None]) & (own < other[:, None]))
-            n += (ahead & (own != ids[:, None]) & (own != other[:, None])).sum(1)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["id", "before"])
-
-    return vectors.mapInArrow(work, "id long, before long")
+        for k in range(b.num_rows):
+            block = b.column(0)[k].as_py()
+            if block not in held:
+                held[block] = make(b.column(1)[k].values)
+            ids, golds, flat = (b.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (2, 3, 4))
+            held[block].add(ids, golds, flat, b.column(5)[k].as_py())
+    for state in held.values():
+        yield state.out()
 
 
 def retrieval(queries: DataFrame, vectors: DataFrame, depth: int = 50) -> DataFrame:
     """id, ndcg5, mrr, recall10 of each query (id, embedding, gold) among all other vectors; relevant: those of its gold.
 
-    Queries go out in blocks of ``BLOCK``; tasks keep the best ``depth`` a query (10 at least), which are merged by
-    query.  Where the first relevant vector ranks beyond them, a second pass counts the vectors before it.
+    Queries are packed into blocks and vectors into pieces, and every block meets every piece in the tasks: a task holds
+    one piece, its blocks and their best ``depth`` vectors a query (10 at least), which are merged by query; no vector
+    goes through the driver.  Pieces whose norms can't reach what a block holds are skipped.  Where the first relevant
+    vector ranks beyond the depth, a second pass counts the vectors before it.  Rows without an embedding take no part;
+    a null gold is nobody's, queries and vectors have golds of one type; a query without relevant vectors has zeros.  Ids are taken as unique, all vectors as long
+    as each other.
     """
     ship(vectors.sparkSession)
     depth = max(depth, 10)
-    parts: list[DataFrame] = []
-    held: list = []
-
-    def send() -> None:
-        ids = np.array([r.id for r in held])
-        matrix = np.array([r.embedding for r in held], np.float64)
-        parts.append(_block_hits(vectors.select("id", "embedding", "gold"), ids, matrix, np.array([r.gold for r in held]), depth))
-        held.clear()
-
-    for r in queries.select("id", "embedding", "gold").toLocalIterator():
-        held.append(r)
-        if len(held) == BLOCK:
-            send()
-    if held or not parts:
-        if not held:
-            return queries.select("id", *(F.lit(0.0).alias(c) for c in ("ndcg5", "mrr", "recall10")))
-        send()
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    queries, vectors = (df.select("id", "embedding", "gold").where("embedding is not null") for df in (queries, vectors))
+    blocks = max(1, -(-queries.count() // BLOCK))
+    pieces = _pieces(vectors)
+    best = lambda batches: _stream(batches, lambda rows: _Best(rows, depth))
+    found = _meet(pieces, _blocks(queries, blocks)).mapInArrow(best, "id long, other long, score double, hit boolean, relevant long")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
-    total = found.groupBy("id").agg(F.sum("relevant").alias("relevant"))
-    relevant = found.withColumn("rank", rank).where("hit")
-    ranked = relevant.where(F.col("rank") <= depth)
-    gain = F.sum(F.when(F.col("rank") <= 5, 1 / F.log2(F.col("rank") + 1)))
-    hits = ranked.groupBy("id").agg(gain.alias("dcg"), F.min("rank").alias("first"), F.count_if(F.col("rank") <= 10).alias("in10"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("relevant"), F.lit(5)).cast("int")), F.lit(0.0), lambda s, k: s + 1 / F.log2(k + 1))
+    hit = lambda x, upto=None: F.when(F.col("hit") & (F.lit(True) if upto is None else F.col("rank") <= upto), x)
+    merged = found.withColumn("rank", rank).groupBy("id").agg(
+        F.sum("relevant").alias("relevant"),
+        F.sum(hit(1 / F.log2(F.col("rank") + 1), 5)).alias("dcg"),
+        F.count(hit(F.lit(1), 10)).alias("in10"),
+        F.min(hit(F.col("rank"))).alias("first"),
+        F.min_by(F.struct("score", "other"), hit(F.col("rank"))).alias("best"),
+    )
     # Beyond the depth the merged ranks lack vectors that no task kept: there the place is counted.
-    beyond = relevant.groupBy("id").agg(F.min("rank").alias("first"), F.min_by(F.struct("score", "other"), "rank").alias("best")).where(F.col("first") > depth)
-    counted: list[DataFrame] = []
-    far: list = []
-
-    def count() -> None:
-        ids, score, other = (np.array([r[c] for r in far]) for c in ("id", "score", "other"))
-        counted.append(_before(vectors.select("id", "embedding"), ids, np.array([r.embedding for r in far], np.float64), score, other))
-        far.clear()
-
-    for r in queries.select("id", "embedding").join(beyond, "id").select("id", "embedding", "best.score", "best.other").toLocalIterator():
-        far.append(r)
-        if len(far) == BLOCK:
-            count()
-    if far:
-        count()
-    first = F.col("first")
-    out = total.join(hits, "id", "left")
-    if counted:
-        before = counted[0]
-        for p in counted[1:]:
-            before = before.unionByName(p)
-        out = out.join(before.groupBy("id").agg(F.sum("before").alias("before")), "id", "left")
-        first = F.coalesce(first, F.col("before") + 1)
-    none = F.col("relevant") == 0
-    return out.select("id", F.when(none, 0.0).otherwise(F.coalesce(F.col("dcg") / ideal, F.lit(0.0))).alias("ndcg5"), F.coalesce(1 / first, F.lit(0.0)).alias("mrr"), F.when(none, 0.0).otherwise(F.coalesce(F.col("in10") / F.col("relevant"), F.lit(0.0))).alias("recall10"))
+    beyond = merged.where(F.col("first") > depth).select("id", "best.score", "best.other")
+    far = _blocks(queries.join(beyond, "id"), blocks, "score", "other")
+    before = _meet(pieces, far).mapInArrow(lambda batches: _stream(batches, _Before), "id long, before long").groupBy("id").agg(F.sum("before").alias("before"))
+    out = queries.select("id").join(merged, "id", "left").join(before, "id", "left")
+    first = F.when(F.col("first") > depth, F.col("before") + 1).otherwise(F.col("first"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("relevant"), F.lit(5)).cast("int")), F.lit(0.0), lambda s, k: s + 1 / F.log2(k + 1))
+    some = lambda x: F.coalesce(F.when(F.col("relevant") > 0, x), F.lit(0.0))
+    return out.select("id", some(F.col("dcg") / ideal).alias("ndcg5"), some(1 / first).alias("mrr"), some(F.col("in10") / F.col("relevant")).alias("recall10"))

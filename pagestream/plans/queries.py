@@ -268,7 +268,7 @@ def percentile_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NDCG@5, MRR and recall@10: queries are every 20th vector against all vectors, sent in blocks of a checked size; the gold is the label."""
+    """NDCG@5, MRR and recall@10: queries are every 20th vector against all vectors, in blocks; the gold is the label."""
     from pagestream.operators.retrieval import retrieval
 
     vectors = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("gold"))
