@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, ByteType, DoubleType, IntegerType, LongType, ShortType, StructField, StructType
 
-from pagestream.shipping import ship
+from pagestream.shipping import shared_folder, ship
 
 #: Queries of a block, about; blocks are made by a hash of the id.
 BLOCK = 1024
@@ -149,7 +149,7 @@ def retrieval(queries: DataFrame, vectors: DataFrame, depth: int = 50) -> DataFr
 
     Queries are packed into blocks and vectors into pieces, and every block meets every piece in the tasks: a task holds
     one piece, its blocks and their best ``depth`` vectors a query (10 at least), which are merged by query; no vector
-    goes through the driver.  Pieces whose norms can't reach what a block holds are skipped.  Where the first relevant
+    goes through the driver.  The merged rows are written to a folder below ``spark.checkpoint.dir``.  Pieces whose norms can't reach what a block holds are skipped.  Where the first relevant
     vector ranks beyond the depth, a second pass counts the vectors before it.  Rows without an embedding take no part;
     a null gold is nobody's, queries and vectors have golds of one type; a query without relevant vectors has zeros.  Ids are taken as unique, all vectors as long
     as each other.
@@ -170,6 +170,10 @@ def retrieval(queries: DataFrame, vectors: DataFrame, depth: int = 50) -> DataFr
         F.min(hit(F.col("rank"))).alias("first"),
         F.min_by(F.struct("score", "other"), hit(F.col("rank"))).alias("best"),
     )
+    # One small row a query; written, as two plans would meet all blocks and pieces twice.
+    where = shared_folder(vectors.sparkSession, "retrieval")
+    merged.write.parquet(where)
+    merged = vectors.sparkSession.read.schema(merged.schema).parquet(where)
     # Beyond the depth the merged ranks lack vectors that no task kept: there the place is counted.
     beyond = merged.where(F.col("first") > depth).select("id", "best.score", "best.other")
     far = _blocks(queries.join(beyond, "id"), blocks, "score", "other")
