@@ -42,6 +42,10 @@ from . import runtime as R
 
 #: Documents packed together: bounds the ids a task holds.
 SHARD_TOKENS = 1 << 22
+#: Pieces sent at once: their ids are held by the worker and by the JVM.
+BATCH_PIECES = 512
+#: Bytes of text encoded at once: bounds what encoding holds beside the ids.
+SLICE_BYTES = 1 << 20
 #: Words whose ids a worker remembers: about 25 MB.
 MEMORY_WORDS = 1 << 20
 PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -244,6 +248,16 @@ def _even(out: list[tuple[int, int, int, int, int]], used: int) -> list[tuple[in
     return keep
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch (id, text) of about ``SLICE_BYTES`` of text; a longer text is one part."""
+    upto = np.cumsum(pc.binary_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < b.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+        yield b.slice(lo, hi - lo)
+        lo = hi
+
+
 def _packed(path: str, end: int, limits: Limits, prompt_lines: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizer(path)
@@ -257,14 +271,14 @@ def _packed(path: str, end: int, limits: Limits, prompt_lines: int):
             names = np.concatenate([x[3] for x in held])
             at = np.concatenate([[0], np.cumsum(lengths)])
             doc, start, length, sequence, offset, loss = pack(lengths, limits, prompts)
-            for lo in range(0, len(doc), 4096):
-                part = slice(lo, lo + 4096)
+            for lo in range(0, len(doc), BATCH_PIECES):
+                part = slice(lo, lo + BATCH_PIECES)
                 a = at[doc[part]] + start[part]
                 raw = [ids[x : x + n].astype("<u4").tobytes() for x, n in zip(a.tolist(), length[part].tolist(), strict=True)]
                 whole = lambda x: pa.array(x[part], pa.int64())
                 yield pa.RecordBatch.from_arrays([whole(names[doc]), whole(start), whole(length), pa.array(raw, pa.binary()), whole(lengths[doc]), whole(base + (shard << 24) + sequence), whole(offset), whole(loss)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "loss_tokens"])
 
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole)):
             held.append((*model.encode(b.column(1), end, prompt_lines), b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))
             size += len(held[-1][0])
             if size >= SHARD_TOKENS:
