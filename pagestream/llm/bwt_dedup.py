@@ -309,7 +309,8 @@ def repeated_byte_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     buckets = R.bucket_count(texts)
     marked = R.stage(R.shared_spans(R.map_arrow(texts, _minimizers(length, buckets), R.KEY_SCHEMA), (0, 1), buckets, False, False), "minimizers")
     near = texts.join(marked, "doc_id").select("doc_id", "text", "spans")
-    rows = R.map_arrow(near, _segments(length, buckets), SEGMENT_SCHEMA)
+    # Segments carry their bytes: buckets of half the size.
+    rows = R.map_arrow(near, _segments(length, 2 * buckets), SEGMENT_SCHEMA)
     return R.stage(R.spans_of(R.group_arrow(rows, _mark(length, buckets), R.SPAN_SCHEMA)), "repeats", (marked,))
 
 
