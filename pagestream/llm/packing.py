@@ -46,8 +46,10 @@ SHARD_TOKENS = 1 << 22
 BATCH_PIECES = 512
 #: Bytes of text encoded at once: bounds what encoding holds beside the ids.
 SLICE_BYTES = 1 << 20
-#: Words whose ids a worker remembers: about 25 MB.
-MEMORY_WORDS = 1 << 20
+#: Slices after which a worker gives freed memory back, which else piles up until its task ends.
+RELEASE_SLICES = 4
+#: Words whose ids a worker remembers: about 12 MB.
+MEMORY_WORDS = 1 << 19
 PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
@@ -280,6 +282,8 @@ def _packed(path: str, end: int, limits: Limits, prompt_lines: int):
 
         for b in (part for whole in batches for part in _slices(whole)):
             held.append((*model.encode(b.column(1), end, prompt_lines), b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+            if len(held) % RELEASE_SLICES == 0:
+                R.release()
             size += len(held[-1][0])
             if size >= SHARD_TOKENS:
                 yield from close()
