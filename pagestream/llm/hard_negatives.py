@@ -1,7 +1,9 @@
 """Hard-negative mining over inverted lists of k-means clusters.
 
-The index: k-means is fitted on a bounded sample of vectors (``sample_rows``,
-those of the smallest hashed ids; only the choice of centroids rests on it),
+The index: k-means is fitted on a bounded sample of vectors (``sample_rows``
+distinct ones, those of the smallest hashes; only the choice of centroids rests
+on it; the tasks leave out all but about half as many more, so that the
+driver's share doesn't grow with their number),
 every row goes to its nearest centroid's list, and each list keeps its radius,
 the largest distance of a member from the centroid.  A large list is kept in
 several blocks of bounded size, so that one very common vector makes more
@@ -104,6 +106,17 @@ def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     raise ValueError("components are so large that scores leave 64 bits")
 
 
+def sampled(rows: DataFrame, kinds: int, most: int) -> DataFrame:
+    """At most ``most`` distinct vectors, those of the smallest hashes; ``kinds``: about how many distinct ones there are.
+
+    A sorted limit alone has every task send ``most`` rows to the driver: the hash lets some 1.5 times as many pass in all.
+    """
+    hashed = rows.select("vector", F.xxhash64("vector").alias("h"))
+    share = 1.5 * most / max(kinds, 1)
+    few = hashed.where(F.col("h") <= LEAST + int(share * 2**64)) if share < 1 else hashed
+    return few.distinct().orderBy("h", "vector").limit(most).select("vector")
+
+
 # --- the index ----------------------------------------------------------------------------------------------------
 
 
@@ -153,9 +166,9 @@ class Index:
     """Staged blocks of lists (cluster, block, ids, labels, vectors), and their shape."""
 
     def __init__(self, rows: DataFrame, sample_rows: int):
-        spark, n = rows.sparkSession, rows.count()
-        width = int(rows.agg(F.max("width")).head()[0] or 0)
-        sample = rows.select("vector").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()["vector"].tolist() if n else []
+        spark = rows.sparkSession
+        n, width, kinds = rows.agg(F.count("*"), F.coalesce(F.max("width"), F.lit(0)), F.approx_count_distinct("vector")).head()
+        sample = sampled(rows, kinds, sample_rows).toPandas()["vector"].tolist() if n else []
         k = int(max(1, min(CENTROIDS, CENTROID_BYTES // max(8 * width, 1), round(n**0.5))))
         centers = kmeans(matrix(sample, width), k) if n else np.zeros((1, width))
 
@@ -293,7 +306,8 @@ def search(index: Index, searches: DataFrame, same: bool, k: int) -> DataFrame:
         blocks = ready.select("anchor", "slot", "id", "label", "vector", "low", "high", "kth", "cluster").repartitionByRange(_tasks(index), "cluster", "anchor").sortWithinPartitions("cluster", "anchor", "slot")
         visits = blocks.drop("cluster").mapInPandas(_visit(index.shape, most, before), VISIT_SCHEMA)
         lists = index.lists.select(F.col("cluster").alias("c"), F.col("block").alias("b"), "ids", "labels", F.col("vectors").alias("list"))
-        met = visits.join(lists, (F.col("cluster") == F.col("c")) & (F.col("block") == F.col("b"))).drop("c", "b")
+        # A few anchors make many visits, which Spark can't foresee: without the hint it may gather them on the driver to broadcast them.
+        met = visits.join(lists.hint("merge"), (F.col("cluster") == F.col("c")) & (F.col("block") == F.col("b"))).drop("c", "b")
         new = R.map_arrow(met, _score(index.shape.width, same, k), SEARCH_SCHEMA)
         new = new if found is None else new.unionByName(found.drop("rank"))
         found = R.stage(_top(new, k), "negatives-found", old)

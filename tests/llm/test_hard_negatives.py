@@ -99,3 +99,29 @@ def test_query_equals_brute_force(spark):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     want = brute([(r["vec_id"], r["embedding"], (r["label"] + 1) % 10 if r["vec_id"] % 7 == 0 else r["label"]) for r in rows], 100)
     assert want and result(op11_hard_negatives(spark, sf)) == want
+
+
+def sent_to_driver(spark, work):
+    """Bytes of task results that reach the driver while ``work`` runs."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        listed = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {s.stageId(): s.resultSize() for s in (listed.apply(k) for k in range(listed.size()))}
+
+    before = stages()
+    work()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_the_sample_does_not_reach_the_driver_once_a_task(spark):
+    # 40 tasks of 500 rows each, and a sample of 500: the driver gets no more than a few samples' worth.
+    r = np.random.default_rng(4)
+    rows = [(k, k % 3, r.integers(-200, 200, 64).astype("<i8").tobytes(), 64) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "id long, label long, vector binary, width int").repartition(40).persist()
+    df.count()
+    assert sent_to_driver(spark, lambda: H.Index(df, 500)) < 3 * 500 * 600
+    few = H.sampled(df, 20_000, 500).collect()
+    assert len(few) == 500 == len({bytes(x.vector) for x in few})
+    df.unpersist()
