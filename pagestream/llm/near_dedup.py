@@ -1,4 +1,10 @@
-"""Near-dedup at a similarity: no pair of documents at or above it is lost.
+"""Near-dedup by SimHash, completed to a similarity: no pair of documents at or above it is lost.
+
+First the SimHash operator: fingerprints of all texts, linked through Golay keys
+at 2 or fewer differing bits.  Its links are candidates, those at or above the
+similarity hold.  Pairs whose fingerprints are further apart (at 0.8 some ten
+bits) are found by an exact way, which doesn't compare again what SimHash has
+joined.
 
 Of a document's n distinct shingles any document with similarity s shares
 ceil(s * n) or more.  Two similar documents whose shingles stand in one order
@@ -36,12 +42,14 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from . import runtime as R
 from .components import components
-from .simhash import _LOWER
+from .simhash import _LOWER, links, with_fingerprints
 
 #: A block of a component: documents, and shingles of all of them, at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 19
 #: Typical documents of a large component, each of which meets all blocks.
 HUBS = 4
+#: Words of a fingerprint's shingle.
+PRINT_SIZE = 3
 #: Entries of a packed chunk.
 FLUSH = 1 << 20
 ENTRY_SCHEMA = "bucket int, k1 binary, known binary, docs binary, side binary, side_count binary"
@@ -311,6 +319,38 @@ def forest(first: np.ndarray, values: np.ndarray, label: np.ndarray, left: np.nd
     return links
 
 
+def print_pairs(texts: DataFrame, size: int = PRINT_SIZE) -> DataFrame:
+    """Pairs (a, b) of ids that SimHash links: those of one fingerprint with its least id, and the least ids of linked fingerprints."""
+    marked = R.stage(with_fingerprints(texts, size), "near-prints")
+    classes = R.stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "near-print-classes")
+    within = marked.join(classes, "fp").where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    end = lambda fp, name: classes.select(F.col("fp").alias(fp), F.col("first").alias(name))
+    across = links(classes).select(F.col("a").alias("x"), F.col("b").alias("y")).join(end("x", "a"), "x").join(end("y", "b"), "y").select("a", "b")
+    return R.stage(within.unionByName(across), "near-print-pairs", (marked, classes))
+
+
+def _similar(similarity: float):
+    """Those of the pairs (a, b, one, two) whose shingle sets are similar."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for k, (x, y) in enumerate(zip(b.column("one"), b.column("two"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep[k] = len(x) > 0 and common >= similarity * (len(x) + len(y) - common) - 1e-9
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    return work
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose complete shingle sets are similar."""
+    end = lambda name, blob: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(blob))
+    both = pairs.join(end("a", "one"), "a").join(end("b", "two"), "b").select("a", "b", "one", "two")
+    return R.map_arrow(both, _similar(similarity), "a long, b long")
+
+
 def _settle(similarity: float):
     """Links of all similar pairs within each ``part`` of a bucket: between a marked document and any, as far as labels differ."""
 
@@ -338,18 +378,18 @@ def _settle(similarity: float):
     return work
 
 
-def _links_of_large(large: DataFrame, sets: DataFrame, buckets: int, similarity: float) -> DataFrame:
-    """Links of components (comp, doc_id, size, weight, blocks) that don't fit one task."""
+def _links_of_large(large: DataFrame, sets: DataFrame, seen: DataFrame, similarity: float) -> DataFrame:
+    """Links of components (comp, doc_id, size, weight, blocks, root) that don't fit one task; ``seen``: links that are known, by which roots go."""
     hubs = large.groupBy("comp", "blocks").agg(F.max_by(F.col("doc_id"), "weight").alias("h0"), *(F.max_by("doc_id", F.struct(F.xxhash64("doc_id", F.lit(k)))).alias(f"h{k}") for k in range(1, HUBS)))
     hubs = hubs.select("comp", "blocks", F.explode(F.array_distinct(F.array(*(f"h{k}" for k in range(HUBS))))).alias("doc_id"))
     block = F.pmod(F.xxhash64("doc_id", F.lit(0)), F.col("blocks")).cast("int")
     everywhere = hubs.select("comp", "doc_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     dealt = large.select("comp", "doc_id", block.alias("block")).unionByName(everywhere.select("comp", "doc_id", "block")).distinct()
     part = F.xxhash64("comp", "block")
-    rows = dealt.select("doc_id", part.alias("part"), F.col("doc_id").alias("root"), F.lit(True).alias("left")).join(sets, "doc_id")
-    within = R.stage(_settled(rows, similarity, 1 << 20), "near-within")
+    rows = dealt.join(large.select("doc_id", "root").distinct(), "doc_id").select("doc_id", part.alias("part"), "root", F.lit(True).alias("left")).join(sets, "doc_id")
+    within = R.stage(_settled(rows, similarity, 1 << 20).unionByName(seen), "near-within")
     roots = components(within).withColumnRenamed("node", "doc_id")
-    rooted = R.stage(large.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "near-rooted")
+    rooted = R.stage(large.drop("root").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "near-rooted")
     # The root with most documents is the rest; whoever isn't linked to it meets everyone.
     count = rooted.groupBy("comp", "root").agg(F.count("*").alias("n"))
     main = count.groupBy("comp").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
@@ -370,6 +410,7 @@ def _settled(rows: DataFrame, similarity: float, buckets: int) -> DataFrame:
 
 def similar_links(texts: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """Edges (a, b) between ids of ``texts`` (doc_id, text), verified at the similarity: they connect all similar pairs."""
+    pairs = print_pairs(texts)
     buckets = R.bucket_count(texts)
     probe = R.map_arrow(texts.select("doc_id", "text"), _probe(size, similarity, buckets), ENTRY_SCHEMA)
     found = R.group_arrow(probe, _found(buckets), "bucket int, doc binary, n binary")
@@ -381,22 +422,26 @@ def similar_links(texts: DataFrame, size: int = 5, similarity: float = 0.8) -> D
     classes = all_sets.groupBy("h").agg(F.min("doc_id").alias("a"))
     same = R.stage(all_sets.select("h", F.col("doc_id").alias("b")).join(classes, "h").where("a <> b").select("a", "b"), "near-same")
     sets = R.stage(all_sets.join(R.small_side(same.select(F.col("b").alias("later")).distinct()), F.col("doc_id") == F.col("later"), "left_anti").select("doc_id", "shingles"), "near-classes", (all_sets,))
+    seen = R.stage(verified(pairs, sets, similarity), "near-seen", (pairs,))
+    printed = components(seen)
+    joined = printed.select(F.col("node").alias("joined"), "root")
     buckets = R.bucket_count(sets)
     counted = R.group_arrow(R.map_arrow(sets, _dealt(buckets), ENTRY_SCHEMA), _counted(buckets), "bucket int, key binary, doc binary, n binary, side binary, side_count binary")
     firsts = R.stage(R.group_arrow(counted, _first_keys(similarity), "doc_id long, weight double, size long, keys binary"), "near-first")
     hung = R.group_arrow(R.map_arrow(firsts.select("doc_id", "keys"), _by_key(buckets), "bucket int, key binary, doc binary, a binary, b binary"), _hung, "a long, b long")
     comps = components(hung)
     members = firsts.select("doc_id", "weight", "size").join(comps, F.col("doc_id") == F.col("node")).select("doc_id", "weight", "size", F.col("root").alias("comp"))
-    members = R.stage(members, "near-members", (firsts, comps))
+    members = members.join(joined, F.col("doc_id") == F.col("joined"), "left").drop("joined").withColumn("root", F.coalesce("root", "doc_id"))
+    members = R.stage(members, "near-members", (firsts, comps, printed))
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("size") / BLOCK_SHINGLES)).cast("int")
     shape = members.groupBy("comp").agg(blocks.alias("blocks"))
     shaped = R.stage(members.join(shape, "comp"), "near-shaped", (members,))
-    fit = shaped.where("blocks = 1").select("doc_id", F.col("comp").alias("part"), F.col("doc_id").alias("root"), F.lit(True).alias("left")).join(sets, "doc_id")
-    links = same.unionByName(_settled(fit, similarity, buckets))
+    fit = shaped.where("blocks = 1").select("doc_id", F.col("comp").alias("part"), "root", F.lit(True).alias("left")).join(sets, "doc_id")
+    every = same.unionByName(seen).unionByName(_settled(fit, similarity, buckets))
     large = shaped.where("blocks > 1")
     if not large.isEmpty():
-        links = links.unionByName(_links_of_large(large, sets, buckets, similarity))
-    return R.stage(links, "near-links", (shaped, sets, same))
+        every = every.unionByName(_links_of_large(large, sets, seen, similarity))
+    return R.stage(every, "near-links", (shaped, sets, same, seen))
 
 
 def near_dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:

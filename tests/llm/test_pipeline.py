@@ -121,6 +121,30 @@ def test_blocks_of_a_large_group_link_all_pairs(spark, monkeypatch):
     assert {x.doc_id for x in N.near_dedup(df).collect()} == set(root.values())
 
 
+def test_simhash_links_near_copies_before_the_exact_way(spark, monkeypatch):
+    # Long texts with one word changed: without the exact way's links, those of SimHash alone remove them.
+    r = random.Random(11)
+    rows = []
+    for g in range(30):
+        base = [f"p{r.randrange(10**6)}" for _ in range(1500)]
+        rows += [(10 * g + k, " ".join(edited(r, base, k))) for k in range(2)]
+    rows += [(1000, "one two three four five"), (1001, "six seven eight nine ten")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pairs = N.print_pairs(df)
+    near = {(x.a, x.b) for x in pairs.collect()}
+    assert len(near) >= 20 and all(a // 10 == b // 10 for a, b in near)
+    monkeypatch.setattr(N, "_settled", lambda rows, similarity, buckets: rows.select(rows["doc_id"].alias("a"), rows["doc_id"].alias("b")).limit(0))
+    kept = {x.doc_id for x in N.near_dedup(df).collect()}
+    assert {i for i, _ in rows} - kept == {max(pair) for pair in near}
+
+
+def test_simhash_links_below_the_similarity_do_not_hold(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    pack = lambda v: b"".join(x.to_bytes(8, "little") for x in v)
+    sets = spark.createDataFrame([(1, pack(range(10))), (2, pack(range(1, 10))), (3, pack(range(5, 15)))], "doc_id long, shingles binary")
+    assert [(x.a, x.b) for x in N.verified(pairs, sets, 0.8).collect()] == [(1, 2)]
+
+
 def test_stages_and_their_contract(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
