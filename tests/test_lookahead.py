@@ -89,3 +89,16 @@ def test_batch_equals_state_machine_equals_stream(spark, tmp_path):
     key = lambda d: sorted((x.bundle_id, x.page_index, x.split, x.reason) for x in d.collect())
     assert key(decide(df.orderBy(F.rand(1)))) == sorted(want)
     assert key(replay(spark, df, str(tmp_path), cuts=(5, 11))) == sorted(want)
+
+
+def test_replay_deals_a_range_to_all_tasks_and_shares_states(spark, tmp_path, monkeypatch):
+    # 30 bundles in 4 states, null and odd names among them; each of the three ranges is written by several tasks.
+    from pagestream.streaming import lookahead as stream
+
+    monkeypatch.setattr(stream, "BUCKET_BUNDLES", 8)
+    rows = [(None if b == 7 else f"b{b}", i, [None, 0.5, 0.6, 0.9][(b + i) % 4] if i else None, (i % 4) + 1 if (b * i) % 5 else None, 4 if i % 2 else None) for b in range(30) for i in range(b + 1)]
+    df = spark.createDataFrame(rows, stream.PAGE_SCHEMA)
+    key = lambda out: sorted((r.bundle_id or "", r.page_index, r.split, r.reason, r.confidence) for r in out.collect())
+    got = key(replay(spark, df, str(tmp_path)))
+    assert len(list((tmp_path / "pages").glob("*.parquet"))) > 3
+    assert got == key(decide(df)) and len(got) == len(rows)
