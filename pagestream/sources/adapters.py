@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
+#: Low bits of the document ids of one range.
+DOCUMENT_BITS = 12
+#: Stored bytes of texts for each task that sorts them.
+TASK_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,10 +47,25 @@ def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bundle is a source, a page one document."""
+    """A bundle is a source, a page one document.
+
+    Pages are numbered within ranges of ids, behind those of the ranges before, so that no task sorts a whole source's texts.
+    """
     docs = table(spark, sf_dir, "documents")
-    order = Window.partitionBy("source").orderBy("doc_id")
-    return docs.select(F.col("source").alias("bundle_id"), (F.row_number().over(order) - 1).cast("int").alias("page_index"), "doc_id", "text", "lang")
+    place = F.struct(F.col("source").alias("bundle_id"), F.shiftright(F.col("doc_id").cast("long"), DOCUMENT_BITS).alias("part")).alias("place")
+    counts = docs.groupBy(place).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("place.bundle_id").orderBy("place.part")) - F.col("n")
+    # One exchange of the texts, into more tasks for larger tables, serves the windows and the join.
+    dealt = docs.select(place, "doc_id", "text", "lang").repartition(_tasks(docs), "place")
+    within = dealt.withColumn("within", F.row_number().over(Window.partitionBy("place").orderBy("doc_id")))
+    placed = within.join(counts.select("place", before.alias("first")), "place")
+    return placed.select("place.bundle_id", (F.col("first") + F.col("within") - 1).cast("int").alias("page_index"), "doc_id", "text", "lang")
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks of an exchange of whole rows: by the optimizer's size (stored bytes, for files)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(1 << 14, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES))
 
 
 def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

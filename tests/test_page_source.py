@@ -97,3 +97,20 @@ def test_a_stream_gives_the_rows_of_a_batch_and_resumes(spark, folder, tmp_path)
 def test_page_files_are_read_through_the_source(spark, folder):
     rows = X.page_files(spark, folder).collect()
     assert len(rows) == 46 and {r["bundle_id"] for r in rows} == {"a/x", "b/x", "b/y.v2"}
+
+
+def test_document_pages_are_numbered_across_ranges_of_ids(spark, tmp_path):
+    # 400 documents of one source (and some of none) in many ranges: no window may hold a whole source's texts.
+    from pagestream.sources import adapters as S
+
+    ids = [37 * k * 1024 - 100_000 for k in range(400)]
+    rows = [(i, f"text {i}", "en", None if k % 9 == 0 else "src") for k, i in enumerate(ids)] + [(None, "no id", "en", "src")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    pages = S.document_pages(spark, str(tmp_path))
+    got = {(r.bundle_id, r.doc_id): r.page_index for r in pages.collect()}
+    for source in ("src", None):
+        own = sorted((i for i, _, _, s in rows if s == source), key=lambda i: (i is not None, i or 0))
+        assert [got[source, i] for i in own] == list(range(len(own)))
+    assert len(got) == len(rows)
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("row_number()" in line and "windowspecdefinition(source" in line for line in plan.splitlines())
