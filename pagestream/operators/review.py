@@ -19,9 +19,14 @@ def weak_boundary() -> Column:
 LEVELS = 32
 
 
+def _levels(width: Column) -> Column:
+    """The levels whose intervals may lie in a range of ``width`` numbers (1 or more); one more, as logarithms are rounded."""
+    return F.sequence(F.lit(0), F.least(F.floor(F.log2(width)).cast("int") + 1, F.lit(LEVELS - 1)))
+
+
 def _cover(low: Column, high: Column) -> Column:
     """[low, high] as the fewest dyadic intervals (level, node), two a level at most."""
-    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    levels = _levels(high - low + 1)
 
     def nodes(k: Column) -> Column:
         size = F.pow(F.lit(2.0), k).cast("long")
@@ -42,7 +47,7 @@ def number_support(pages: DataFrame) -> DataFrame:
     anchor's lead; both together imply that the anchor is the earlier page.  So no pages are paired: in the order of
     numbers, the largest lead so far is compared, among anchors without a total and among those of the same total.  A
     page without a total may carry on from anchors of any, as long as its number is within it: anchors' ranges of
-    numbers are cut into dyadic intervals, which a number meets once a level.
+    numbers are cut into dyadic intervals, which a number meets once a level that the document's ranges reach.
     """
     key = ["bundle_id", "doc_index"]
     shape = pages.groupBy(*key).agg(F.count("*").alias("n"), F.min("page_index").alias("first"), F.min_by("page_num", "page_index").alias("first_num"), F.min_by("page_total", "page_index").alias("first_total"))
@@ -55,9 +60,11 @@ def number_support(pages: DataFrame) -> DataFrame:
     counted = rows.withColumn("hit", F.coalesce(open_, F.lit(False)) | F.coalesce(same, F.lit(False))).where("hit").select(*key)
     # An unnumbered first page may or may not have been counted.
     opening = rows.join(shape.where("first_num is null"), key).where((num >= 1) & (F.col("lead") <= 1 - F.col("first")) & (F.col("first_total").isNull() | ((num <= F.col("first_total")) & (of.isNull() | (of == F.col("first_total")))))).select(*key)
-    ranges = rows.where(of.isNotNull() & (num < of)).select(*key, "lead", F.explode(_cover(num + 1, of)).alias("d")).groupBy(*key, "d.level", "d.node").agg(F.max("lead").alias("most"))
-    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
-    loose = rows.where(of.isNull()).select(*key, "lead", F.explode(F.transform(levels, lambda k: F.struct(k.alias("level"), F.floor(num / F.pow(F.lit(2.0), k)).cast("long").alias("node")))).alias("d")).groupBy(*key, "d.level", "d.node").agg(F.min("lead").alias("least"))
+    total = rows.where(of.isNotNull() & (num < of))
+    ranges = total.select(*key, "lead", F.explode(_cover(num + 1, of)).alias("d")).groupBy(*key, "d.level", "d.node").agg(F.max("lead").alias("most"))
+    # Only levels that the document's widest range can have: none without a range.
+    wide = total.groupBy(*key).agg(F.max(of - num).alias("wide"))
+    loose = rows.where(of.isNull()).join(wide, key).select(*key, "lead", F.explode(F.transform(_levels(F.col("wide")), lambda k: F.struct(k.alias("level"), F.floor(num / F.pow(F.lit(2.0), k)).cast("long").alias("node")))).alias("d")).groupBy(*key, "d.level", "d.node").agg(F.min("lead").alias("least"))
     met = ranges.join(loose, [*key, "level", "node"]).where("least <= most").select(*key)
     carried = counted.unionByName(opening).unionByName(met).distinct().withColumn("carried", F.lit(True))
     one = F.coalesce(F.col("first_num") == 1, F.lit(False))

@@ -76,3 +76,10 @@ def test_parse_tags_with_what_was_read(spark):
     kinds = {(r["page_index"], r["kind"]) for r in out.blocks.collect()}
     assert (2, "header") in kinds and (0, "header") in kinds and len(out.documents.collect()) == 2
     out.close()
+
+
+def test_numbers_meet_only_the_levels_that_ranges_reach(spark):
+    widths = [1, 2, 3, 6, *(2**k for k in range(2, 32)), *(2**k - 1 for k in range(3, 32))]
+    got = spark.createDataFrame([(w,) for w in widths], "w long").select("w", F.size(review._levels(F.col("w"))).alias("n")).collect()
+    # All levels up to the one whose intervals are as wide as the range, and one more at most: three or four for a range of six, not 32.
+    assert all(min(r.w.bit_length(), 32) <= r.n <= min(r.w.bit_length() + 1, 32) for r in got)
