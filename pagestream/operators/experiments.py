@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -25,6 +26,9 @@ NO_TEXT = ("image", "header_image", "footer_image")
 LONGEST_SCORED = 12000
 STUDENT = 0.74
 # --- end of fixed values ---
+GEOMETRY = ("x0", "top", "x1", "bottom", "size", "loose_top", "loose_bottom")
+#: Glyphs that are folded at once.
+SLICE = 1 << 16
 LINE = "struct<text:string,x0:double,top:double,x1:double,bottom:double,size:double,bold:boolean>"
 
 
@@ -41,29 +45,65 @@ def page_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("bundle_id", "page_index", "width", "height", F.coalesce("rotation", F.lit(0)).alias("rotation"), F.coalesce("text", F.lit("")).alias("text"), lines.alias("lines"), (T.strip(F.coalesce("text", F.lit(""))) != "").alias("has_text"))
 
 
-def _page_lines(chars: list[str], geometry: np.ndarray, weights: list[int | None], fonts: list[str | None]) -> Iterator[dict]:
-    """geometry: x0, top, x1, bottom, size, loose_top, loose_bottom by glyph, measured from the page's upper left corner."""
-    x0, top, x1, bottom, size, loose_top, loose_bottom = geometry
+def _by_value(column: pa.Array, f: Callable) -> list:
+    """``f`` of each entry, called once a distinct one; nulls too."""
+    coded = column.dictionary_encode(null_encoding="encode")
+    made = [f(v) for v in coded.dictionary.to_pylist()]
+    return [made[k] for k in coded.indices.to_pylist()]
+
+
+def _plain(c: str | None) -> str:
+    return "".join(" " if x.isspace() else "" if unicodedata.category(x) in ("Cc", "Cf") else x for x in c or "")
+
+
+def _point(size: float | None, loose: float | None) -> float:
+    s = round(size, 1)
+    return round(loose / LOOSE_PER_POINT, 1) if loose > 2 * s else s
+
+
+def _batch_lines(glyphs: pa.StructArray, ends: list[int]) -> tuple[list[int], dict[str, list]]:
+    """Lines of pages whose glyphs lie one behind the other, up to ``ends``: how many each page has, and their columns.
+
+    Geometry is measured from the page's upper left corner.  One step a glyph, so that long pages take no more than many short ones.
+    """
+    part = {c: glyphs.field(c) for c in ("char", *GEOMETRY, "weight", "font")}
+    x0, top, x1, bottom, size, loose_top, loose_bottom = (part[c].to_numpy(zero_copy_only=False).astype(float) for c in GEOMETRY)
     loose = loose_bottom - loose_top
-    middle = np.where(loose > 0, (loose_top + loose_bottom) / 2, (top + bottom) / 2)
-    sizes = [round(s, 1) for s in size.tolist()]
-    sizes = [round(h / LOOSE_PER_POINT, 1) if h > 2 * s else s for s, h in zip(sizes, loose.tolist(), strict=True)]
-    reach = np.maximum(np.array(sizes, float), 1) * SAME_LINE
-    plain = [" " if c.isspace() else "" if unicodedata.category(c) in ("Cc", "Cf") else c for c in chars]
-    seen = np.array([p not in ("", " ") for p in plain], bool)
-    ends = [k for k, c in enumerate(chars) if c in "\r\n"]
-    for lo, hi in zip([0, *(e + 1 for e in ends)], [*ends, len(chars)], strict=True):
-        visible = lo + np.flatnonzero(seen[lo:hi])
-        begin = lo
-        while len(visible):  # one step a line: up to the first glyph too far from the line's first
-            away = np.flatnonzero(np.abs(middle[visible] - middle[visible[0]]) > reach[visible])
-            away = away[away > 0]
-            n = int(away[0]) if len(away) else len(visible)
-            own, stop = visible[:n], int(visible[n]) if n < len(visible) else hi
-            mode = Counter(sizes[k] for k in own.tolist()).most_common(1)[0][0]
-            bold = sum((weights[k] or 0) >= BOLD_WEIGHT or any(b in (fonts[k] or "").lower() for b in BOLD_NAMES) for k in own.tolist())
-            yield {"text": "".join(plain[begin:stop]).strip(), "x0": x0[own].min(), "top": top[own].min(), "x1": x1[own].max(), "bottom": bottom[own].max(), "size": mode, "bold": 2 * bold > n}
-            visible, begin = visible[n:], stop
+    middle = np.where(loose > 0, (loose_top + loose_bottom) / 2, (top + bottom) / 2).tolist()
+    known: dict[tuple, float] = {}
+    sizes = [known[p] if p in known else known.setdefault(p, _point(*p)) for p in zip(size.tolist(), loose.tolist(), strict=True)]
+    reach = (np.maximum(np.array(sizes, float), 1) * SAME_LINE).tolist()
+    plain, shown = _by_value(part["char"], _plain), _by_value(part["char"], lambda c: _plain(c).strip() != "")
+    newline = _by_value(part["char"], lambda c: c is not None and c != "" and c in "\r\n")
+    dark = _by_value(part["font"], lambda f: any(b in (f or "").lower() for b in BOLD_NAMES))
+    heavy = (pc.fill_null(part["weight"], 0).to_numpy(zero_copy_only=False) >= BOLD_WEIGHT) | np.array(dark, bool)
+    counts, firsts, visible, texts = [], [], [], []
+    begin = 0
+    for end in ends:
+        lines, first = len(firsts), -1  # the first glyph of the line at hand
+        for k in range(begin, end):
+            if newline[k]:
+                if first >= 0:
+                    texts.append("".join(plain[begin:k]).strip())
+                begin, first = k + 1, -1
+            elif shown[k]:
+                away = first >= 0 and abs(middle[k] - middle[first]) > reach[k]
+                if away:
+                    texts.append("".join(plain[begin:k]).strip())
+                    begin = k
+                if first < 0 or away:
+                    first = k
+                    firsts.append(len(visible))
+                visible.append(k)
+        if first >= 0:
+            texts.append("".join(plain[begin:end]).strip())
+        begin = end
+        counts.append(len(firsts) - lines)
+    at, stops = np.array(visible, int), [*firsts[1:], len(visible)]
+    fold = lambda f, a: f.reduceat(a[at], firsts) if firsts else a[:0]
+    modes = [Counter(sizes[k] for k in visible[lo:hi]).most_common(1)[0][0] for lo, hi in zip(firsts, stops, strict=False)]
+    bold = 2 * fold(np.add, heavy.astype(int)) > np.subtract(stops[: len(firsts)], firsts)
+    return counts, {"text": texts, "x0": fold(np.minimum, x0), "top": fold(np.minimum, top), "x1": fold(np.maximum, x1), "bottom": fold(np.maximum, bottom), "size": modes, "bold": bold}
 
 
 def glyph_lines(pages: DataFrame) -> DataFrame:
@@ -75,22 +115,32 @@ def glyph_lines(pages: DataFrame) -> DataFrame:
     ship(pages.sparkSession)
     rest = [c for c in pages.columns if c != "glyphs"]
     schema = S.StructType([*(pages.schema[c] for c in rest), S.StructField("lines", S._parse_datatype_string(f"array<{LINE}>"))])
-    fields = ("x0", "top", "x1", "bottom", "size", "loose_top", "loose_bottom")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("text", pa.string()), *((c, pa.float64()) for c in fields[:5]), ("bold", pa.bool_())]))
+        names = [("text", pa.string()), *((c, pa.float64()) for c in GEOMETRY[:5]), ("bold", pa.bool_())]
         for b in batches:
-            out = []
-            for page in b.column(b.schema.get_field_index("glyphs")):  # a page at a time, so that its glyphs are bounded
-                glyphs = pa.array([page.as_py() or []], type=page.type).flatten()
-                part = {c: glyphs.field(c) for c in ("char", *fields, "weight", "font")}
-                geometry = np.array([part[c].to_numpy(zero_copy_only=False).astype(float) for c in fields]).reshape(len(fields), -1)
-                out.append(list(_page_lines([c or "" for c in part["char"].to_pylist()], geometry, part["weight"].to_pylist(), part["font"].to_pylist())))
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), pa.array(out, kind)], names=[*rest, "lines"])
+            listed = b.column(b.schema.get_field_index("glyphs"))
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)).tolist()
+            # Some pages at a time, so that the values held beside the batch are bounded by a page.
+            for lo, hi in _slices(ends):
+                base = ends[lo - 1] if lo else 0
+                counts, made = _batch_lines(listed.slice(lo, hi - lo).flatten(), [e - base for e in ends[lo:hi]])
+                lines = pa.StructArray.from_arrays([pa.array(made[n], t) for n, t in names], names=[n for n, _ in names])
+                folded = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), lines)
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)).slice(lo, hi - lo) for c in rest), folded], names=[*rest, "lines"])
 
     return pages.mapInArrow(work, schema)
 
 
+def _slices(ends: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of pages of some ``SLICE`` glyphs, one page at least."""
+    lo, base = 0, 0
+    for k, e in enumerate(ends):
+        if e - base >= SLICE or k == len(ends) - 1:
+            yield lo, k + 1
+            lo, base = k + 1, e
+
+
 @dataclass(frozen=True)
 class Adapter:
     """A domain's addition to documents: ``enrich`` makes the new extras (map of strings) where ``applies`` holds."""

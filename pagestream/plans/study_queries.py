@@ -40,7 +40,8 @@ def glyph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = F.flatten(F.transform(letters, lambda c, j: F.array(glyph(c, i, j, F.when(j == F.length(w) - 1, 4.0).otherwise(0.0)), glyph(F.lit("­"), i, j, F.lit(0.0)))))
         return F.concat(own, F.array(glyph(F.lit(" "), i, F.length(w), F.lit(0.0))))
 
-    pages = S.table(spark, sf_dir, "part").select("p_partkey", F.flatten(F.transform(words, word)).alias("glyphs"))
+    # A stored name grows to some seventy glyphs: a small file is dealt into more tasks than it has splits.
+    pages = S.spread(S.table(spark, sf_dir, "part").select("p_partkey", "p_name"), S.NAME_BYTES).select("p_partkey", F.flatten(F.transform(words, word)).alias("glyphs"))
     lines = X.glyph_lines(pages).select("p_partkey", F.posexplode("lines").alias("line", "l"))
     return lines.select("p_partkey", "line", "l.text", "l.top", "l.size", "l.bold")
 

@@ -16,6 +16,8 @@ LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extende
 DOCUMENT_BITS = 12
 #: Stored bytes of texts for each task that sorts them.
 TASK_BYTES = 8 << 20
+#: Stored bytes of short texts that grow in the tasks.
+NAME_BYTES = 128 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,10 +64,15 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("place.bundle_id", (F.col("first") + F.col("within") - 1).cast("int").alias("page_index"), "doc_id", "text", "lang")
 
 
-def _tasks(df: DataFrame) -> int:
+def _tasks(df: DataFrame, each: int = TASK_BYTES) -> int:
     """Tasks of an exchange of whole rows: by the optimizer's size (stored bytes, for files)."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(1 << 14, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES))
+    return min(1 << 14, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // each))
+
+
+def spread(df: DataFrame, each: int = TASK_BYTES) -> DataFrame:
+    """The rows dealt evenly into tasks of some ``each`` stored bytes, however few files and row groups hold them."""
+    return df.repartition(_tasks(df, each))
 
 
 def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

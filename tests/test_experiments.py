@@ -96,6 +96,48 @@ def test_glyphs_without_loose_boxes_line_ends_and_bold_fonts(spark):
     assert got[1] == [] and got[2] == [] and got[3] == []
 
 
+def plain_lines(glyphs):
+    """Lines by the rule, a glyph at a time."""
+    lines, begin, own = [], 0, []
+
+    def close(stop):
+        if own:
+            text = "".join(" " if g[0].isspace() else "" if g[0] == "\x07" else g[0] for g in glyphs[begin:stop]).strip()
+            part, sizes = [glyphs[k] for k in own], [round(glyphs[k][5], 1) for k in own]
+            lines.append((text, min(g[1] for g in part), min(g[2] for g in part), max(g[3] for g in part), max(g[4] for g in part), max(dict.fromkeys(sizes), key=sizes.count), 2 * sum(g[8] >= 600 for g in part) > len(part)))
+
+    for k, g in enumerate(glyphs):
+        if g[0] in "\r\n":
+            close(k)
+            begin, own = k + 1, []
+        elif not g[0].isspace() and g[0] != "\x07":
+            middle = lambda x: (x[2] + x[4]) / 2
+            if own and abs(middle(g) - middle(glyphs[own[0]])) > 0.6 * max(round(g[5], 1), 1):
+                close(k)
+                begin, own = k, []
+            own.append(k)
+    close(len(glyphs))
+    return lines
+
+
+def test_glyph_lines_of_many_pages_and_of_a_long_one(spark, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(X, "SLICE", 40)  # pages are folded some at a time
+    schema = "page int, glyphs array<struct<char:string,x0:double,top:double,x1:double,bottom:double,size:double,loose_top:double,loose_bottom:double,weight:int,font:string>>"
+    some = [[glyph(rng.choice("ab \n\x07\t"), rng.randint(0, 9), rng.choice([0, 1, 20]), rng.choice([10.0, 4.0]), weight=rng.choice([400, 700])) for _ in range(rng.randint(0, 30))] for _ in range(60)]
+    long = [glyph("ab"[k % 2], 5 * k, 20 * (k // 2)) for k in range(20_000)]
+    rows = [(k, g) for k, g in enumerate([*some, long, None])]
+    got = {r.page: [tuple(x) for x in r.lines] for r in X.glyph_lines(spark.createDataFrame(rows, schema).coalesce(1)).collect()}
+    assert got == {k: plain_lines(g or []) for k, g in rows}
+
+
+def test_glyphs_of_one_small_file_are_dealt_into_tasks(spark):
+    from pagestream.plans.study_queries import QUERIES
+
+    assert spark.read.parquet("/root/testdata/sf0.001/part.parquet").rdd.getNumPartitions() == 1
+    assert QUERIES["glyph_lines"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+
+
 def test_arms_in_one_pass_equal_arms_alone(spark):
     rng = random.Random(9)
     rows = [(f"b{b}", i, rng.choice([None, 1, 2, 3]), None, rng.random() < 0.3, rng.random()) for b in range(12) for i in range(10)]
