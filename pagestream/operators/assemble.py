@@ -40,16 +40,18 @@ def sections(blocks: DataFrame, key: str = "bundle_id") -> DataFrame:
     rows = rows.withColumns({"opened": opened, **lasts})
     candidates = F.array(*(F.when(F.col("opened") > k, F.col(f"last{k}")) for k in range(LEVELS)))
     parent = F.array_max(candidates)
-    heads = rows.where("opens").select(key, "ord", F.when(F.col("head"), F.concat("block_id", F.lit("-sec"))).otherwise(F.lit("anon-1")).alias("section_id"), F.col("opened").alias("level"), F.when(F.col("head"), F.substring(F.split("text", "\n")[0], 1, 200)).alias("heading"), parent.alias("parent_ord"), F.col("page_index").alias("page_start"))
-    extents = rows.groupBy(key, "ord").agg(F.max("page_index").alias("last_page"), F.count("*").alias("n_blocks"))
-    joined = heads.join(extents, [key, "ord"])
+    # What stands before the next section and at the bundle's end gives extents, without a join; sections keep the blocks' sort.
+    whole = Window.partitionBy(key)
+    rows = rows.withColumns({"before_page": F.lag("page_index").over(w), "parent_ord": parent, "pages_end": F.max("page_index").over(whole), "n": F.count("*").over(whole)})
+    heads = rows.where(F.col("opens") & F.col(key).isNotNull())
+    own_end, stop = F.coalesce(F.lead("before_page").over(w), F.col("pages_end")), F.coalesce(F.lead("pos").over(w), F.col("n") + 1)
+    heads = heads.withColumns({"own_end": own_end, "n_blocks": stop - F.col("pos")})
     # A subtree is contiguous: it ends before the next section whose level is not above its own, and pages only grow.
-    ahead = Window.partitionBy(key).orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
-    after = F.least(*(F.when(F.col("level") >= k, F.min(F.when(F.col("level") == k, F.col("ord"))).over(ahead)) for k in range(LEVELS)))
-    last = Window.partitionBy(key)
-    closed = joined.withColumn("stop", F.coalesce(after, F.max("ord").over(last) + 1) - 1)
-    ends = joined.select(key, F.col("ord").alias("stop"), F.col("last_page").alias("page_end"))
-    return closed.join(ends, [key, "stop"]).drop("stop").withColumnRenamed("last_page", "own_end")
+    # Looking back from the end, the latest of each level is one running value.
+    back = Window.partitionBy(key).orderBy(F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.least(*(F.when(F.col("opened") >= k, F.min(F.when(F.col("opened") == k, F.struct("ord", "before_page"))).over(back)) for k in range(LEVELS)))
+    page_end = F.when(after.isNull(), F.col("pages_end")).otherwise(after["before_page"])
+    return heads.select(key, "ord", F.when(F.col("head"), F.concat("block_id", F.lit("-sec"))).otherwise(F.lit("anon-1")).alias("section_id"), F.col("opened").alias("level"), F.when(F.col("head"), F.substring(F.split("text", "\n")[0], 1, 200)).alias("heading"), "parent_ord", F.col("page_index").alias("page_start"), "own_end", "n_blocks", page_end.alias("page_end"))
 
 
 def titles(blocks: DataFrame, key: str = "bundle_id") -> DataFrame:
@@ -63,14 +65,25 @@ def titles(blocks: DataFrame, key: str = "bundle_id") -> DataFrame:
 
 def numbered_parents(sections_: DataFrame, key: str = "bundle_id") -> DataFrame:
     """For each section with an outline number: the nearest one before it whose number is its number without the last part."""
-    rows = sections_.withColumn("number", T.numbering(F.col("heading"))).where("number is not null").select(key, "ord", "level", "section_id", F.col("number.depth").alias("depth"), F.col("number.token").alias("token"), F.col("number.parts").alias("parts"))
-    rows = rows.withColumns({"own": F.array_join("parts", "."), "want": F.when(F.size("parts") > 1, F.array_join(F.slice("parts", F.lit(1), F.size("parts") - 1), "."))})
-    # An as-of join: parents and children in one order, the latest parent carried on.
-    sides = rows.where("parts is not null").select(key, "ord", F.col("own").alias("match"), F.col("ord").alias("parent")).unionByName(rows.where("want is not null").select(key, "ord", F.col("want").alias("match"), F.lit(None).cast("long").alias("parent")))
-    w = Window.partitionBy(key, "match").orderBy("ord", F.col("parent").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
-    found = sides.withColumn("asof", F.last("parent", ignorenulls=True).over(w)).where("parent is null").select(key, "ord", F.col("asof").alias("number_parent"))
-    # A title (level 0) is never moved.
-    return rows.select(key, "ord", "depth", "token").join(found, [key, "ord"], "left").withColumn("number_parent", F.col("number_parent"))
+    return _with_numbers(sections_, key).where("token is not null").select(key, "ord", "depth", "token", "number_parent")
+
+
+def _with_numbers(sections_: DataFrame, key: str) -> DataFrame:
+    """All sections with depth and token of their outline number, number_parent and that one's section_id as number_id; null without."""
+    columns = sections_.columns
+    rows = sections_.withColumn("number", T.numbering(F.col("heading")))
+    parts = F.col("number.parts")
+    own, want = F.array_join(parts, "."), F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "."))
+    # An as-of join in one pass: a section stands at the number it wants and at the one it bears, where the latest is carried on.
+    section = F.struct(*columns, F.col("number.depth").alias("depth"), F.col("number.token").alias("token"))
+    rows = rows.select(key, "ord", section.alias("section"), own.alias("own"), want.alias("want"), F.struct("ord", "section_id").alias("bearer"))
+    side = lambda match, here, bearer: F.struct(match.alias("match"), here.alias("here"), bearer.alias("bearer"))
+    nobody, nothing = F.lit(None).cast(rows.schema["bearer"].dataType), F.lit(None).cast(rows.schema["section"].dataType)
+    sides = F.array_compact(F.array(side(F.col("want"), F.col("section"), nobody), F.when(F.col("own").isNotNull(), side(F.col("own"), nothing, F.col("bearer")))))
+    each = rows.select(key, "ord", F.explode(sides).alias("x")).select(key, "ord", "x.match", "x.here", "x.bearer")
+    w = Window.partitionBy(key, "match").orderBy("ord", F.col("bearer").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    found = each.withColumn("found", F.when(F.col("match").isNotNull(), F.last("bearer", ignorenulls=True).over(w))).where("here is not null")
+    return found.select("here.*", F.col("found.ord").alias("number_parent"), F.col("found.section_id").alias("number_id"))
 
 
 def _ends(sections_: DataFrame, key: str) -> DataFrame:
@@ -88,27 +101,38 @@ def _ends(sections_: DataFrame, key: str) -> DataFrame:
     return sections_.select(F.col(key).cast("string").alias(key), "ord", "parent_ord", "own_end").groupBy(key).applyInPandas(work, schema)
 
 
+def _moved(sections_: DataFrame, key: str) -> DataFrame:
+    """Sections with level, parent_ord and own_end put right, moved, and from_parent if moved; number_id is a moved one's new parent."""
+    joined = _with_numbers(sections_, key)
+    movable = F.col("level") != 0
+    moved = movable & F.col("number_parent").isNotNull() & ~F.col("parent_ord").eqNullSafe(F.col("number_parent"))
+    out = joined.withColumns({"moved": F.coalesce(moved, F.lit(False)), "new_level": F.when(movable & F.col("depth").isNotNull(), F.col("depth")).otherwise(F.col("level"))})
+    out = out.withColumns({"from_parent": F.when(F.col("moved"), F.col("parent_ord")), "parent_ord": F.when(F.col("moved"), F.col("number_parent")).otherwise(F.col("parent_ord")), "own_end": F.coalesce("own_end", "page_start")})
+    return out.drop("level", "depth", "number_parent").withColumnRenamed("new_level", "level")
+
+
 def repaired_sections(sections_: DataFrame, key: str = "bundle_id") -> DataFrame:
     """Sections whose outline number disagrees with their level, put right: level, parent_ord and page_end, and from_parent if moved.
 
     The level becomes the number's depth; the parent the section that bears the number without its last part, if
     there is one.  Titles keep their level and place.
     """
-    joined = sections_.join(numbered_parents(sections_, key), [key, "ord"], "left")
-    movable = F.col("level") != 0
-    moved = movable & F.col("number_parent").isNotNull() & ~F.col("parent_ord").eqNullSafe(F.col("number_parent"))
-    out = joined.withColumns({"moved": F.coalesce(moved, F.lit(False)), "new_level": F.when(movable & F.col("depth").isNotNull(), F.col("depth")).otherwise(F.col("level"))})
-    out = out.withColumns({"from_parent": F.when(F.col("moved"), F.col("parent_ord")), "parent_ord": F.when(F.col("moved"), F.col("number_parent")).otherwise(F.col("parent_ord")), "own_end": F.coalesce("own_end", "page_start")})
-    ends = _ends(out, key)
-    return out.drop("page_end", "level", "depth", "number_parent").withColumnRenamed("new_level", "level").join(ends, [key, "ord"])
+    out = _moved(sections_, key)
+    return out.drop("page_end", "number_id").join(_ends(out, key), [key, "ord"])
 
 
 def repaired(sections_: DataFrame, key: str = "bundle_id") -> DataFrame:
     """One flag a moved section: its page and id, the ids of its old and new parent, and the number."""
-    rows = repaired_sections(sections_, key).where("moved")
-    names = sections_.select(key, F.col("ord").alias("o"), F.col("section_id").alias("name"))
-    old, new = names.select(key, F.col("o").alias("from_parent"), F.col("name").alias("from_id")), names.select(key, F.col("o").alias("parent_ord"), F.col("name").alias("to_id"))
-    return rows.join(old, [key, "from_parent"], "left").join(new, [key, "parent_ord"]).select(key, F.col("page_start").alias("page"), F.col("section_id").alias("ref"), "from_id", "to_id", F.col("token").alias("numbering"))
+    rows = _moved(sections_, key)
+    # Old parents are looked up where sections stand at their own place and, if moved, at their old parent's.
+    flag = F.when(F.col("moved"), F.struct(F.col("page_start").alias("page"), F.col("section_id").alias("ref"), F.col("number_id").alias("to_id"), F.col("token").alias("numbering")))
+    rows = rows.select(key, "ord", "section_id", "from_parent", flag.alias("flag"))
+    side = lambda at, name, here: F.struct(at.alias("at"), name.alias("name"), here.alias("here"))
+    none, nothing = F.lit(None).cast("string"), F.lit(None).cast(rows.schema["flag"].dataType)
+    sides = F.array_compact(F.array(side(F.col("ord"), F.col("section_id"), nothing), F.when(F.col("flag").isNotNull(), side(F.col("from_parent"), none, F.col("flag")))))
+    each = rows.select(key, F.explode(sides).alias("x")).select(key, "x.at", "x.name", "x.here")
+    named = each.withColumn("from_id", F.when(F.col("at").isNotNull(), F.max("name").over(Window.partitionBy(key, "at")))).where("here is not null")
+    return named.select(key, "here.page", "here.ref", "from_id", "here.to_id", "here.numbering")
 
 
 def citations(documents: DataFrame, blocks: DataFrame) -> DataFrame:

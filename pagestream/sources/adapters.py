@@ -27,16 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bundle is a customer's line items; each order in it is a document. Some numbers and totals are hidden.
 
-    One shuffle by customer serves all windows: an order belongs to one customer.
+    One shuffle by bundle, into more tasks for larger tables, serves all windows here and those over bundles that
+    follow: an order belongs to one customer.  Numbers within orders go by the bundles' sort, as its first column is the order.
     """
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    bundle = Window.partitionBy("o_custkey").orderBy(*LINE_ORDER)
-    document = Window.partitionBy("o_custkey", "l_orderkey")
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("bundle_id"))
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).repartition(_tasks(lines), "bundle_id")
+    bundle = Window.partitionBy("bundle_id").orderBy(*LINE_ORDER)
+    document = Window.partitionBy("bundle_id", "l_orderkey")
     shown = F.col("l_partkey") % 5 != 0
-    numbered = rows.withColumns({"page_index": (F.row_number().over(bundle) - 1).cast("int"), "num": F.row_number().over(document.orderBy(*LINE_ORDER)), "total": F.count("*").over(document)})
+    numbered = rows.withColumns({"page_index": (F.row_number().over(bundle) - 1).cast("int"), "num": F.row_number().over(document.orderBy(*LINE_ORDER[1:])), "total": F.count("*").over(document)})
     return numbered.select(
-        F.col("o_custkey").cast("string").alias("bundle_id"),
+        "bundle_id",
         "page_index",
         F.when(shown, F.col("num")).cast("int").alias("page_num"),
         F.when(shown & (F.col("l_suppkey") % 3 != 0), F.col("total")).cast("int").alias("page_total"),
@@ -48,6 +49,11 @@ def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def deal_bundles(spark: SparkSession, sf_dir: str, pages: DataFrame) -> DataFrame:
+    """Order pages by bundle again, into as many tasks, after a step that Spark can't see through."""
+    return pages.repartition(_tasks(table(spark, sf_dir, "lineitem")), "bundle_id")
+
+
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bundle is a source, a page one document.
 

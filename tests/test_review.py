@@ -190,3 +190,49 @@ def test_a_page_is_flagged_or_accepted(spark):
     taken = evaluation.accepted_error(rows.select(F.col("score").alias("probability"), F.lit(0.1).alias("cer")), t["threshold"]).head()
     assert taken["accepted"] + t["flagged"] == 3
     assert evaluation.best_threshold(rows.where("ok"), "score", "ok").head()["threshold"] == 0.0
+
+
+def scans(df):
+    """How often a query's plan reads tables."""
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+
+def test_rank_repair_reads_its_tables_once(spark):
+    from pagestream.plans.more_queries import QUERIES
+
+    assert scans(QUERIES["rank_repair"](spark, "/root/testdata/sf0.001")) == 2
+
+
+def test_sections_and_repairs_by_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for d in range(6):
+        page = 0
+        for k in range(40):
+            page += rng.random() < 0.4
+            kind = rng.choice(["title", "heading", "heading", "heading", "paragraph", "paragraph", "footer"])
+            text = rng.choice(["1 A", "1.1 B", "1.1.1 C", "2 D", "2.1 E", "Notes", "1.2 F"]) if kind != "paragraph" else "x"
+            rows.append((f"d{d}", page, k, f"d{d}b{k}", kind, rng.randint(1, 8) if kind == "heading" else None, text))
+    blocks = spark.createDataFrame(rows, "bundle_id string, page_index int, reading_order int, block_id string, kind string, heading_level int, text string")
+    made = assemble.sections(blocks)
+    got = {(r.bundle_id, r.ord): (r.section_id, r.level, r.parent_ord, r.page_start, r.own_end, r.n_blocks, r.page_end) for r in made.collect()}
+    want, flags = {}, set()
+    for d in sorted({r[0] for r in rows}):
+        own = []
+        for _, page, _, block, kind, level, text in (r for r in rows if r[0] == d and r[4] != "footer"):
+            head = kind in ("title", "heading")
+            if head or not own:
+                own.append({"id": f"{block}-sec" if head else "anon-1", "level": 0 if kind == "title" else min(level, 6) if head else 1, "start": page, "n": 0, "text": text if head else ""})
+            own[-1] |= {"end": page, "n": own[-1]["n"] + 1}
+        for k, s in enumerate(own):
+            parent = max((j + 1 for j in range(k) if own[j]["level"] < s["level"]), default=None)
+            stop = next((j for j in range(k + 1, len(own)) if own[j]["level"] <= s["level"]), len(own))
+            want[d, k + 1] = (s["id"], s["level"], parent, s["start"], s["end"], s["n"], own[stop - 1]["end"])
+            number = s["text"].split(" ")[0] if s["text"][:1].isdigit() else ""
+            up = number.rpartition(".")[0]
+            to = max((j + 1 for j in range(k) if up and own[j]["text"].split(" ")[0] == up), default=None)
+            if to and s["level"] and to != parent:
+                flags.add((d, s["start"], s["id"], own[parent - 1]["id"] if parent else None, own[to - 1]["id"], number))
+    assert got == want
+    found = assemble.repaired(made).collect()
+    assert {tuple(r) for r in found} == flags and len(found) == len(flags) > 20
