@@ -127,7 +127,8 @@ def lookahead_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _indexed(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every page of these streams is one block."""
-    return boundary.document_index(_decided(spark, sf_dir, keep).withColumn("n_blocks", F.lit(1)), always_filled=True)
+    decided = S.deal_bundles(spark, sf_dir, _decided(spark, sf_dir, keep))
+    return boundary.document_index(decided.withColumn("n_blocks", F.lit(1)), always_filled=True)
 
 
 def document_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,21 +160,25 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions, openings, closings and the end, in order: seq counts within the bundle."""
+    """Decisions, openings, closings and the end, in order: seq counts within the bundle.
+
+    A page's events are counted before they are listed, so that pages are sorted and not their events.
+    """
     w = Window.partitionBy("bundle_id").orderBy("page_index")
     rows = _indexed(spark, sf_dir).withColumn("last", F.lead("page_index").over(w).isNull())
-    event = lambda when, phase, kind, payload: F.when(when, F.struct(F.lit(phase).alias("phase"), F.lit(kind).alias("kind"), payload.alias("payload")))
+    event = lambda when, kind, payload: F.when(when, F.struct(F.lit(kind).alias("kind"), payload.alias("payload")))
     opens, document = F.col("effective") | (F.col("page_index") == 0), lambda d: F.format_string("doc-%d", d)
+    number = 1 + F.col("effective").cast("int") + opens.cast("int") + 2 * F.col("last").cast("int")
+    counted = rows.withColumn("before", F.coalesce(F.sum(number).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
     events = F.array_compact(F.array(
-        event(F.lit(True), 0, "boundary_decided", F.col("reason")),
-        event(F.col("effective"), 1, "document_closed", document(F.col("doc_index") - 1)),
-        event(opens, 2, "document_opened", document(F.col("doc_index"))),
-        event(F.col("last"), 3, "document_closed", document(F.col("doc_index"))),
-        event(F.col("last"), 4, "bundle_closed", F.lit("")),
+        event(F.lit(True), "boundary_decided", F.col("reason")),
+        event(F.col("effective"), "document_closed", document(F.col("doc_index") - 1)),
+        event(opens, "document_opened", document(F.col("doc_index"))),
+        event(F.col("last"), "document_closed", document(F.col("doc_index"))),
+        event(F.col("last"), "bundle_closed", F.lit("")),
     ))
-    every = rows.select("bundle_id", "page_index", F.explode(events).alias("e"))
-    seq = F.row_number().over(Window.partitionBy("bundle_id").orderBy("page_index", "e.phase")) - 1
-    return every.select("bundle_id", seq.alias("seq"), "e.kind", F.col("page_index").alias("page"), "e.payload")
+    every = counted.select("bundle_id", "page_index", "before", F.posexplode(events).alias("at", "e"))
+    return every.select("bundle_id", (F.col("before") + F.col("at")).alias("seq"), "e.kind", F.col("page_index").alias("page"), "e.payload")
 
 
 def _conversation_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,3 +102,11 @@ def test_replay_deals_a_range_to_all_tasks_and_shares_states(spark, tmp_path, mo
     got = key(replay(spark, df, str(tmp_path)))
     assert len(list((tmp_path / "pages").glob("*.parquet"))) > 3
     assert got == key(decide(df)) and len(got) == len(rows)
+
+
+def test_event_log_counts_events_instead_of_sorting_them(spark):
+    from pagestream.plans.queries import QUERIES
+
+    plan = QUERIES["event_log"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # Lines and orders meet, bundles are dealt once before the look-ahead and once after it; nothing is sorted behind the listing of events.
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "Sort " not in plan[: plan.index("Generate")]
