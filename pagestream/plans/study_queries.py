@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagestream.operators import experiments as X
-from pagestream.operators import boundary, metrics
+from pagestream.operators import boundary
 from pagestream.plans import queries as Q
 from pagestream.plans.more_queries import registrar
 from pagestream.plans.oracles import BLOCKS, DECISIONS, PAGES, SIGNALS, STRIP
@@ -175,14 +175,9 @@ def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three ways to confirm, each against the decisions without any."""
     rows = _student(spark, sf_dir).withColumn("c", F.coalesce("confidence", F.lit(0.0)))
     later, c = F.col("page_index") > 0, F.col("c")
-    run = lambda yes: metrics.flagged_scores(rows.select("bundle_id", (F.col("gold_start") & later).alias("gold"), (later & yes).alias("predicted")), "gold", "predicted")
     rules = (c >= 0.4, (c >= 0.4) & (F.col("p") >= 0.85), c >= 0.6)
-    bands = [run(y).withColumn("band", F.lit(k)) for k, y in enumerate(rules)]
-    marks = lambda yes: rows.where(later & yes).select("bundle_id", "page_index")
-    after = [marks(y).withColumn("band", F.lit(k)) for k, y in enumerate(rules)]
-    out = X.compare_runs(run(c >= 0.55), bands[0].unionByName(bands[1]).unionByName(bands[2]), marks(c >= 0.55), after[0].unionByName(after[1]).unionByName(after[2])).withColumns({k: F.round(k, 6) for k in ("macro_f1", "baseline_macro_f1")})
-    best = X.best_eligible(out).select(F.col("band").alias("_best"))
-    return out.join(F.broadcast(best), F.lit(True)).withColumn("best", F.col("band") == F.col("_best")).drop("_best")  # one row
+    out = X.compare_decisions(rows, F.col("gold_start") & later, later & (c >= 0.55), [later & y for y in rules])
+    return X.with_best(out.withColumns({k: F.round(k, 6) for k in ("macro_f1", "baseline_macro_f1")}))
 
 
 @query(PAGES + "SELECT max(page_num)::INT AS maximum FROM pages WHERE bundle_id::BIGINT % 5 = 0")
