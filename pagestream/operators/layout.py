@@ -37,22 +37,24 @@ def layout_blocks(lines: DataFrame) -> DataFrame:
     join where the gap is small.
     """
     key = ["bundle_id", "page_index"]
-    weight = lines.groupBy(*key, "size").agg(F.sum(F.length("text")).alias("chars"), F.min("pos").alias("seen"))
-    body = weight.groupBy(*key).agg(F.max_by("size", F.struct("chars", -F.col("seen"))).alias("body"))
     height = F.coalesce("height", F.lit(DEFAULT_HEIGHT))
     band = F.when(F.col("bottom") <= height * BAND, "top").when(F.col("top") >= height * (1 - BAND), "bottom")
-    page = Window.partitionBy(*key)
-    rows = lines.join(body, key).withColumn("band", band)
+    page, sized = Window.partitionBy(*key), Window.partitionBy(*key, "size")
+    # The size of most characters, of equals the first: windows, so that lines are dealt by page once.
+    weight = F.struct(F.sum(F.length("text")).over(sized).alias("chars"), (-F.min("pos").over(sized)).alias("first_seen"))
+    rows = lines.where(F.col("bundle_id").isNotNull() & F.col("page_index").isNotNull()).withColumn("weight", weight)
+    rows = rows.withColumns({"body": F.max_by("size", "weight").over(page), "band": band}).drop("weight")
     rows = rows.withColumn("biggest", F.max(F.when(F.col("band").isNull(), F.col("size"))).over(page))
     # Order: top band by position, content as it came, bottom band by position.
     part = F.when(F.col("band") == "top", 0).when(F.col("band").isNull(), 1).otherwise(2)
-    order = [part, F.when(F.col("band").isNotNull(), F.col("top")).otherwise(0.0), F.col("pos")]
-    rows = rows.withColumn("n", F.row_number().over(page.orderBy(*order)))
-    flow = page.orderBy("n")
+    rows = rows.withColumns({"part": part, "at": F.when(F.col("band").isNotNull(), F.col("top")).otherwise(0.0)})
+    flow = page.orderBy("part", "at", "pos")
+    upto = flow.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("n", F.row_number().over(flow))
     candidate = F.col("band").isNull() & (F.col("body") > 0) & (F.col("biggest") >= F.col("body") * TITLE_RATIO) & (F.col("size") == F.col("biggest")) & (F.col("top") <= height * TITLE_ZONE)
     rows = rows.withColumn("candidate", candidate)
     rows = rows.withColumn("first", F.min(F.when(F.col("candidate"), F.col("n"))).over(page))
-    broken = F.sum(F.when((F.col("n") >= F.col("first")) & ~F.col("candidate"), 1).otherwise(0)).over(flow)
+    broken = F.sum(F.when((F.col("n") >= F.col("first")) & ~F.col("candidate"), 1).otherwise(0)).over(upto)
     rows = rows.withColumn("is_title", F.col("candidate") & (broken == 0))
     short = (F.length("text") <= 80) & ~F.col("text").rlike(r"(?U)[.,]\s*$")
     heading = short & (F.col("body") > 0) & ((F.col("size") >= F.col("body") * HEADING_RATIO) | (F.col("bold") & (F.col("size") >= F.col("body") * BOLD_RATIO)))
@@ -62,7 +64,7 @@ def layout_blocks(lines: DataFrame) -> DataFrame:
     same = F.col("band").isNull() & lag("band").isNull() & lag("kind").isNotNull() & (lag("kind") == F.col("kind"))
     close = (F.col("top") - lag("bottom")) < F.greatest(F.col("size"), F.lit(1.0)) * GAP
     joins = F.coalesce(same & ((F.col("kind") == "title") | ((F.col("kind") == "paragraph") & close)), F.lit(False))
-    rows = rows.withColumn("opens", ~joins).withColumn("reading_order", F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(flow) - 1)
+    rows = rows.withColumn("opens", ~joins).withColumn("reading_order", F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(upto) - 1)
     by = lambda f, c: f(c, "n")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n")
     out = rows.groupBy(*key, "reading_order").agg(text.alias("text"), F.min("x0").alias("x0"), by(F.min_by, "top").alias("y0"), F.max("x1").alias("x1"), by(F.max_by, "bottom").alias("y1"), F.first("kind").alias("kind"), F.first("band").alias("band"), by(F.min_by, "size").alias("size"), F.first("body").alias("body"))

@@ -319,12 +319,12 @@ def neighbor_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positioned lines made from orders: an order is a bundle of one page, a line item a line."""
-    rows = S.table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy(*S.LINE_ORDER)
+    rows = S.deal_bundles(spark, sf_dir, S.table(spark, sf_dir, "lineitem").withColumn("bundle_id", F.col("l_orderkey").cast("string")))
+    w = Window.partitionBy("bundle_id").orderBy(*S.LINE_ORDER[1:])
     n = F.row_number().over(w) - 1
     size = F.when(F.col("l_partkey") % 11 == 0, 20.0).when(F.col("l_partkey") % 7 == 0, 12.5).when(F.col("l_partkey") % 13 == 0, 8.0).otherwise(11.0)
     text = F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit("Item "), F.col("l_partkey"), F.lit("."))).when(F.col("l_suppkey") % 9 == 0, F.concat(F.lit("Page "), F.col("l_linenumber"))).otherwise(F.concat(F.lit("Line "), F.col("l_partkey")))
-    placed = rows.select(F.col("l_orderkey").cast("string").alias("bundle_id"), F.lit(0).alias("page_index"), F.lit(792.0).alias("height"), n.alias("pos"), text.alias("text"), (50.0 + F.col("l_suppkey") % 5).alias("x0"), size.alias("size"), (F.col("l_returnflag") == "A").alias("bold"))
+    placed = rows.select("bundle_id", F.lit(0).alias("page_index"), F.lit(792.0).alias("height"), n.alias("pos"), text.alias("text"), (50.0 + F.col("l_suppkey") % 5).alias("x0"), size.alias("size"), (F.col("l_returnflag") == "A").alias("bold"))
     top = 30.0 + F.col("pos") * F.when(F.length("text") % 2 == 0, 14.0).otherwise(130.0)
     return placed.withColumn("top", top).withColumns({"bottom": F.col("top") + F.col("size"), "x1": F.col("x0") + F.length("text") * 5.0})
 
