@@ -98,16 +98,26 @@ def tolerant_scores(gold: DataFrame, predicted: DataFrame, tolerance: int) -> Da
     return counted.withColumns({"precision": p, "recall": r, "f1": f, "false_splits": F.col("n_pred") - F.col("matched")})
 
 
-def gate_failures(scores: DataFrame, floors: Floors, false_ocr: DataFrame | None = None, holdout: DataFrame | None = None) -> DataFrame:
-    """One row a failure (bundle_id, failure): low bundles, pages read in vain, a low mean (of the holdout bundles if given), nothing run."""
-    low = scores.where(F.col("f1").isNull() | F.isnan("f1") | (F.col("f1") < floors.bundle)).select("bundle_id", F.lit("low_f1").alias("failure"))
-    out = low
+def gate_failures(scores: DataFrame, floors: Floors, false_ocr: DataFrame | None = None, holdout: DataFrame | Column | None = None) -> DataFrame:
+    """One row a failure (bundle_id, failure): low bundles, pages read in vain, a low mean (of the holdout bundles if given), nothing run.
+
+    ``holdout`` is a table of bundle_ids or a condition on ``scores``.  Bundles and their mean come from one pass over ``scores``.
+    """
+    low = F.col("f1").isNull() | F.isnan("f1") | (F.col("f1") < floors.bundle)
+    if isinstance(holdout, DataFrame):
+        scores = scores.join(holdout.select("bundle_id", F.lit(True).alias("_own")).distinct(), "bundle_id", "left")
+        holdout = F.col("_own")
+    own = F.lit(True) if holdout is None else F.coalesce(holdout, F.lit(False))
+    rows = scores.select("bundle_id", low.cast("long").alias("low"), own.cast("long").alias("n"), F.when(own, F.col("f1")).alias("f1"))
+    # A row that counts as nothing, so that there is a total without any bundle too.
+    none = scores.sparkSession.range(1).select(F.lit(None).cast(scores.schema["bundle_id"].dataType).alias("bundle_id"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("f1"))
+    both = rows.unionByName(none).rollup("bundle_id").agg(F.grouping("bundle_id").alias("total"), F.sum("low").alias("low"), F.sum("n").alias("n"), F.avg("f1").alias("m"))
+    mean = F.when(F.col("n") == 0, "no_bundles").when(F.col("m").isNull() | F.isnan("m") | (F.col("m") < floors.macro), "low_macro")
+    why = F.when(F.col("total") == 1, F.array_compact(F.array(mean))).otherwise(F.array_repeat(F.lit("low_f1"), F.col("low").cast("int")))
+    out = both.select("bundle_id", F.explode(why).alias("failure"))
     if false_ocr is not None:
         out = out.unionByName(false_ocr.select("bundle_id", F.lit("false_ocr").alias("failure")).distinct())
-    pool = scores if holdout is None else scores.join(holdout.select("bundle_id").distinct(), "bundle_id", "left_semi")
-    mean = pool.agg(F.count("*").alias("n"), F.avg("f1").alias("m"))
-    why = F.when(F.col("n") == 0, "no_bundles").when(F.col("m").isNull() | F.isnan("m") | (F.col("m") < floors.macro), "low_macro")
-    return out.unionByName(mean.select(F.lit(None).cast("string").alias("bundle_id"), why.alias("failure")).where("failure is not null"))
+    return out
 
 
 def holdout_scorecard(scores: DataFrame, holdout: DataFrame) -> DataFrame:

@@ -173,8 +173,7 @@ fails AS (SELECT bundle_id, 'low_f1' AS failure FROM scores WHERE f1 < 0.2
   UNION ALL SELECT NULL, 'low_macro' FROM h HAVING avg(f1) < 0.95)
 SELECT coalesce(bundle_id, '-') AS bundle_id, failure FROM fails""")
 def gate_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = Q._scores(spark, sf_dir)
-    holdout = scores.where(F.col("bundle_id").cast("long") % 5 == 0)
+    scores, holdout = Q._scores(spark, sf_dir), F.col("bundle_id").cast("long") % 5 == 0
     wrong = S.order_pages(spark, sf_dir).where("page_num > 6")
     return evaluation.gate_failures(scores, evaluation.Floors(0.2, 0.95), wrong, holdout).select(F.coalesce("bundle_id", F.lit("-")).alias("bundle_id"), "failure")
 
