@@ -107,33 +107,45 @@ def review_checks(documents: DataFrame, sections: DataFrame, blocks: DataFrame)
     return found.unionByName(in_body).unionByName(titles)
 
 
-def event_log(classes: DataFrame, blocks: DataFrame, signals: DataFrame, indexed: DataFrame, window: int = 2) -> DataFrame:
-    """bundle_id, seq, kind, page, payload: all events of a parse in the order a stream gives them.
+def page_events(pages: DataFrame, window: int = 2) -> DataFrame:
+    """bundle_id, seq, kind, page, payload: all events of a parse in the order a stream gives them, from one row a page.
+
+    pages(bundle_id, page_index, page_class, block_ids array<string>, signal, reason, effective, doc_index).  A page is
+    classified, its blocks come, a boundary may be proposed before it; its decision follows ``window`` pages later, or
+    at the end, and closes and opens documents.
 
-    A page is classified, its blocks come, a boundary may be proposed before it; its decision follows ``window`` pages
-    later, or at the end, and closes and opens documents.
+    Events are counted before they are listed: a page is read after all earlier pages and the decisions that were due
+    before it, and decided after all pages up to ``window`` later and all earlier decisions.  So pages are sorted, events aren't.
     """
-    key = ["bundle_id", "page_index"]
-    last = indexed.groupBy("bundle_id").agg(F.max("page_index").alias("last"), F.max("doc_index").alias("last_doc"))
-    row = lambda df, read, phase, sub, kind, payload: df.select("bundle_id", read.alias("read"), F.lit(phase).alias("phase"), sub.cast("int").alias("sub"), F.lit(kind).alias("kind"), F.col("page_index").alias("page"), payload.alias("payload"))
-    zero, page = F.lit(0), F.col("page_index")
-    parts = [
-        row(classes, page, 0, zero, "page_classified", F.col("page_class")),
-        row(blocks, page, 1, F.col("reading_order"), "block_emitted", F.col("block_id")),
-        row(signals.where("confidence is not null"), page, 2, zero, "boundary_proposed", F.col("reason")),
-    ]
-    decided = indexed.join(last, "bundle_id")
-    read = F.least(page + window, F.col("last"))
-    document = lambda d: F.format_string("%s-doc-%d", "bundle_id", d)
-    parts += [
-        row(decided, read, 3, page * 4, "boundary_decided", F.col("reason")),
-        row(decided.where("effective"), read, 3, page * 4 + 1, "document_closed", document(F.col("doc_index") - 1)),
-        row(decided.where("effective or page_index = 0"), read, 3, page * 4 + 2, "document_opened", document(F.col("doc_index"))),
-        row(decided.where("page_index = last"), page, 4, zero, "document_closed", document(F.col("doc_index"))),
-        row(decided.where("page_index = last"), page, 5, zero, "bundle_closed", F.col("bundle_id")),
+    order = Window.partitionBy("bundle_id").orderBy("page_index")
+    opens = F.col("effective") | (F.col("page_index") == 0)
+    read = 1 + F.coalesce(F.size("block_ids"), F.lit(0)) + F.col("signal").isNotNull().cast("int")
+    rows = pages.withColumns({"_read": read.cast("long"), "_made": 1 + F.col("effective").cast("long") + opens.cast("long")})
+    upto = lambda c, k: F.coalesce(F.sum(c).over(order.rangeBetween(Window.unboundedPreceding, k)), F.lit(0))
+    last = F.lead("page_index").over(order).isNull()
+    rows = rows.withColumns({"_at": upto("_read", -1) + upto("_made", -window - 1), "_decided_at": upto("_read", window) + upto("_made", -1), "_last": last})
+    document = lambda d: F.concat("bundle_id", F.lit("-doc-"), d.cast("string"))
+    closes = F.col("effective").cast("long")
+    # Kinds of events with where they begin and their payloads, none or null where there are none; no lambdas, which Spark would interpret.
+    kinds = [
+        ("page_classified", F.col("_at"), F.array("page_class")),
+        ("block_emitted", F.col("_at") + 1, F.col("block_ids")),
+        ("boundary_proposed", F.col("_at") + F.col("_read") - 1, F.when(F.col("signal").isNotNull(), F.array("signal"))),
+        ("boundary_decided", F.col("_decided_at"), F.array("reason")),
+        ("document_closed", F.col("_decided_at") + 1, F.when(F.col("effective"), F.array(document(F.col("doc_index") - 1)))),
+        ("document_opened", F.col("_decided_at") + 1 + closes, F.when(opens, F.array(document(F.col("doc_index"))))),
+        ("document_closed", F.col("_decided_at") + F.col("_made"), F.when(F.col("_last"), F.array(document(F.col("doc_index"))))),
+        ("bundle_closed", F.col("_decided_at") + F.col("_made") + 1, F.when(F.col("_last"), F.array("bundle_id"))),
     ]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    order = Window.partitionBy("bundle_id").orderBy("read", "phase", "sub")
-    return every.select("bundle_id", (F.row_number().over(order) - 1).alias("seq"), "kind", "page", "payload")
+    listed = rows.select("bundle_id", "page_index", F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), first.alias("first"), payloads.alias("payloads")) for kind, first, payloads in kinds))).alias("e"))
+    every = listed.select("bundle_id", "page_index", "e.kind", "e.first", F.posexplode("e.payloads").alias("at", "payload"))
+    return every.select("bundle_id", (F.col("first") + F.col("at")).cast("int").alias("seq"), "kind", F.col("page_index").alias("page"), "payload")
+
+
+def event_log(classes: DataFrame, blocks: DataFrame, signals: DataFrame, indexed: DataFrame, window: int = 2) -> DataFrame:
+    """``page_events`` of a parse's tables: classes(page_class), blocks(reading_order, block_id), signals(confidence, reason) and indexed pages."""
+    key = ["bundle_id", "page_index"]
+    listed = blocks.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "block_id"))), lambda b: b["block_id"]).alias("block_ids"))
+    proposed = signals.select(*key, F.when(F.col("confidence").isNotNull(), F.col("reason")).alias("signal"))
+    pages = indexed.select(*key, "reason", "effective", "doc_index").join(classes.select(*key, "page_class"), key).join(listed, key, "left").join(proposed, key, "left")
+    return page_events(pages, window)

@@ -101,10 +101,9 @@ ev AS (
 SELECT bundle_id, (row_number() OVER (PARTITION BY bundle_id ORDER BY r, ph, sub) - 1)::INT AS seq, kind, page_index::INT AS page, payload FROM ev""")
 def full_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events of the order pages, each a block; a decision follows two pages later."""
-    pages = S.order_pages(spark, sf_dir)
-    classes = pages.select("bundle_id", "page_index", F.when(F.col("width") > 600, "text").otherwise("scan").alias("page_class"))
-    blocks = pages.select("bundle_id", "page_index", F.lit(0).alias("reading_order"), F.format_string("%s-p%d-b0", "bundle_id", "page_index").alias("block_id"))
-    return review.event_log(classes, blocks, Q.signals(spark, sf_dir), _indexed(spark, sf_dir))
+    pages = Q._indexed(spark, sf_dir, ("width", "signal"))
+    block = F.concat("bundle_id", F.lit("-p"), F.col("page_index").cast("string"), F.lit("-b0"))
+    return review.page_events(pages.withColumns({"page_class": F.when(F.col("width") > 600, "text").otherwise("scan"), "block_ids": F.array(block)}))
 
 
 @query(BLOCKS + r"""

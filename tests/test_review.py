@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagestream import parse
 from pagestream.functions import text as T
-from pagestream.operators import assemble, boundary, decision, evaluation, recognition
+from pagestream.operators import assemble, boundary, decision, evaluation, recognition, review
 
 
 def one(spark, column):
@@ -236,3 +236,63 @@ def test_sections_and_repairs_by_brute_force(spark):
     assert got == want
     found = assemble.repaired(made).collect()
     assert {tuple(r) for r in found} == flags and len(found) == len(flags) > 20
+
+
+def test_event_log_of_tables_in_the_order_of_a_stream(spark):
+    rng = random.Random(5)
+    pages, blocks, want = [], [], []
+    for b, n in (("a", 1), ("b", 2), ("c", 9)):
+        doc, made = 0, []
+        for p in range(n):
+            effective, reason = p > 0 and rng.random() < 0.5, rng.choice([None, "x+y"])
+            doc += effective
+            ids = [f"{b}-p{p}-b{k}" for k in range(rng.randint(0, 3))]
+            blocks += [(b, p, k, i) for k, i in enumerate(ids)]
+            pages.append((b, p, f"class{p}", 0.5 if reason else None, reason, f"why{p}", effective, doc))
+            at = min(p + 2, n - 1)
+            made += [(p, 0, 0, "page_classified", p, f"class{p}"), *((p, 1, k, "block_emitted", p, i) for k, i in enumerate(ids))] + ([(p, 2, 0, "boundary_proposed", p, reason)] if reason else [])
+            made += [(at, 3, 4 * p, "boundary_decided", p, f"why{p}")] + ([(at, 3, 4 * p + 1, "document_closed", p, f"{b}-doc-{doc - 1}")] if effective else []) + ([(at, 3, 4 * p + 2, "document_opened", p, f"{b}-doc-{doc}")] if effective or p == 0 else [])
+        made += [(n - 1, 4, 0, "document_closed", n - 1, f"{b}-doc-{doc}"), (n - 1, 5, 0, "bundle_closed", n - 1, b)]
+        want += [(b, k, *e[3:]) for k, e in enumerate(sorted(made))]
+    rows = spark.createDataFrame(pages, "bundle_id string, page_index int, page_class string, confidence double, reason string, why string, effective boolean, doc_index int")
+    key = ["bundle_id", "page_index"]
+    listed = spark.createDataFrame(blocks, "bundle_id string, page_index int, reading_order int, block_id string")
+    out = review.event_log(rows.select(*key, "page_class"), listed, rows.select(*key, "confidence", "reason"), rows.select(*key, F.col("why").alias("reason"), "effective", "doc_index"))
+    assert [tuple(r) for r in out.orderBy("bundle_id", "seq").collect()] == want
+
+
+def test_queries_over_order_pages_read_their_tables_once(spark):
+    from pagestream.plans import more_queries, queries, study_queries
+
+    sf = "/root/testdata/sf0.001"
+    assert scans(more_queries.QUERIES["full_event_log"](spark, sf)) == 2
+    assert scans(study_queries.QUERIES["run_comparison"](spark, sf)) == 2
+    assert scans(queries.QUERIES["layout_blocks"](spark, sf)) == 1
+    # Scores once, and the pages that were read in vain.
+    assert scans(more_queries.QUERIES["gate_failures"](spark, sf)) == 4
+
+
+def test_gate_failures_by_table_and_condition(spark):
+    scores = spark.createDataFrame([("a", 0.1), ("b", 0.9), ("c", float("nan")), (None, 0.0), ("d", None)], "bundle_id string, f1 double")
+    wrong = spark.createDataFrame([("b",), ("b",), ("z",)], "bundle_id string")
+    run = lambda df, holdout=None: sorted((r.bundle_id or "-", r.failure) for r in evaluation.gate_failures(df, evaluation.Floors(0.2, 0.95), wrong, holdout).collect())
+    each = [("-", "low_f1"), ("a", "low_f1"), ("b", "false_ocr"), ("c", "low_f1"), ("d", "low_f1"), ("z", "false_ocr")]
+    assert run(scores) == sorted([*each, ("-", "low_macro")])
+    assert run(scores, F.col("bundle_id") == "b") == run(scores, spark.createDataFrame([("b",)], "bundle_id string")) == sorted([*each, ("-", "low_macro")])
+    assert run(scores, F.col("bundle_id") == "x") == sorted([*each, ("-", "no_bundles")])
+    assert run(scores.where("false")) == [("-", "no_bundles"), ("b", "false_ocr"), ("z", "false_ocr")]
+
+
+def test_compared_decisions_equal_compared_runs(spark):
+    from pagestream.operators import experiments as X
+    from pagestream.operators import metrics
+
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(f"b{b}", p, *(rng.random() < 0.3 for _ in range(4))) for b in range(20) for p in range(rng.randint(1, 6))], "bundle_id string, page_index int, g boolean, y boolean, y0 boolean, y1 boolean")
+    score, marks = lambda y: metrics.flagged_scores(rows, "g", y), lambda y: rows.where(y).select("bundle_id", "page_index")
+    band = lambda f: f("y0").withColumn("band", F.lit(0)).unionByName(f("y1").withColumn("band", F.lit(1)))
+    plain = lambda df: sorted(tuple(round(x, 9) for x in r) for r in df.select("band", "macro_f1", "false_splits", "baseline_macro_f1", "baseline_false_splits", "changed", "eligible").collect())
+    made = X.compare_decisions(rows, F.col("g"), F.col("y"), [F.col("y0"), F.col("y1")])
+    assert plain(made) == plain(X.compare_runs(score("y"), band(score), marks("y"), band(marks)))
+    best = X.best_eligible(made).head().band
+    assert {r.band: r.best for r in X.with_best(made).collect()} == {k: None if best is None else k == best for k in (0, 1)}
