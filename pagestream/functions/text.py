@@ -132,17 +132,35 @@ def page_number(blocks: Column) -> Column:
     return F.coalesce(F.try_element_at(from_tag, F.lit(1)), found(near), found(last))
 
 
+def _runs(text: Column, least: int = 1) -> Column:
+    """Runs of letters."""
+    return F.regexp_extract_all(text, F.lit(rf"([\p{{L}}\p{{Nl}}\p{{No}}]{{{least},}})"), F.lit(1))
+
+
 def words_of(text: Column, least: int = 1) -> Column:
     """Runs of letters, lower-cased."""
-    return F.transform(F.regexp_extract_all(text, F.lit(rf"([\p{{L}}\p{{Nl}}\p{{No}}]{{{least},}})"), F.lit(1)), F.lower)
+    return F.transform(_runs(text, least), F.lower)
 
 
-def content_words(text: Column) -> Column:
-    """The content words of a text, repeats included; runs of CJK characters give their bigrams."""
-    long_ = F.filter(words_of(text, 4), lambda w: ~w.isin(*IGNORED))
+def _bigrams(text: Column) -> Column:
+    """Bigrams of the runs of CJK characters; texts of single bytes have none and aren't searched."""
     runs = F.regexp_extract_all(text, F.lit(r"([぀-ヿ㐀-䶿一-鿿가-힯]{2,})"), F.lit(1))
     grams = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda k: r.substr(k, F.lit(2)))))
-    return F.concat(long_, grams)
+    return F.when(F.octet_length(text) > F.length(text), grams).otherwise(F.array().cast("array<string>"))
+
+
+def content_words(text: Column) -> Column:
+    """The content words of a text, repeats included; runs of CJK characters give their bigrams."""
+    return F.concat(F.filter(words_of(text, 4), is_content), _bigrams(text))
+
+
+def content_runs(text: Column) -> Column:
+    """What gives the content words once it is lower-cased and those that aren't ``is_content`` are dropped: less work where words become rows."""
+    return F.concat(_runs(text, 4), _bigrams(text))
+
+
+def is_content(word: Column) -> Column:
+    return ~word.isin(*IGNORED)
 
 
 def language_hits(words: Column) -> Column:

@@ -15,6 +15,8 @@ WEIGHTS = {"page_number_reset": 0.45, "sequence_completed": 0.2, "header_changed
 PROPOSE, COMBINED, CAP_WITHOUT_RESET, CAP = 0.4, 0.6, 0.74, 0.95
 TOPIC_SHIFT_MAX, EMBED_SHIFT_MAX = 0.01, 0.5
 # --- end of fixed values ---
+#: Low bits of the page numbers of one part of a bundle.
+PART_BITS = 8
 
 
 def with_previous(pages: DataFrame, columns: Iterable[str], steps: int = 1) -> DataFrame:
@@ -40,35 +42,46 @@ def number_signals(pages: DataFrame) -> DataFrame:
     return rows.withColumns({"page_number_reset": page_number_reset(), "sequence_completed": sequence_completed(), "media_box_changed": size_jump() & (F.col("page_index") > 0)})
 
 
-def topic_dots(pages: DataFrame) -> DataFrame:
+def topic_dots(pages: DataFrame, tasks: int | None = None) -> DataFrame:
     """Pages with n_words, norm (of their content-word counts) and dot1, dot2 (products with the page before and the one before that).
 
-    Counts are made per (bundle, page, word) and meet their neighbours per (bundle, word): no page's words are
-    compared with another's one by one, and a bundle of any length is spread over its words.
+    Texts are dealt once, by parts of their bundles, into ``tasks``; a part's last two pages are dealt to the next one too,
+    so that words meet their neighbours' per (bundle, part, word) without another exchange: no page's words are compared
+    with another's one by one, and a bundle of any length is spread over its parts.  Sums over a page's occurrences of
+    a word's counts are those over its words of products.
     """
-    words = pages.select("bundle_id", "page_index", F.explode(T.content_words(F.col("text"))).alias("word"))
-    counted = words.groupBy("bundle_id", "page_index", "word").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("bundle_id", "word").orderBy("page_index")
-    back = lambda k: F.sum("c").over(w.rangeBetween(-k, -k))
-    near = counted.withColumns({"c1": back(1), "c2": back(2)})
-    total = lambda c: F.coalesce(F.sum(F.col("c") * F.col(c)), F.lit(0))
-    sums = near.groupBy("bundle_id", "page_index").agg(F.sum("c").alias("n_words"), total("c").alias("norm"), total("c1").alias("dot1"), total("c2").alias("dot2"))
-    return pages.join(sums, ["bundle_id", "page_index"], "left").na.fill(0, ["n_words", "norm", "dot1", "dot2"])
-
-
-def adjacent_similarity(pages: DataFrame) -> DataFrame:
+    i, last = F.col("page_index"), (1 << PART_BITS) - 1
+    part = F.shiftright(i, PART_BITS)
+    parts = F.when(i.bitwiseAND(last) >= last - 1, F.array(part, part + 1)).otherwise(F.array(part))
+    cut = pages.select("bundle_id", "page_index", "text", F.explode(parts).alias("part"))
+    place = "bundle_id", "part"
+    dealt = cut.repartition(tasks, *place) if tasks else cut.repartition(*place)
+    # An outer explode, as a plain one would look for words below the exchange too, to drop pages without any.
+    runs = dealt.select(*place, "page_index", F.explode_outer(T.content_runs(F.col("text"))).alias("run"))
+    words = runs.select(*place, "page_index", F.lower("run").alias("word")).where(T.is_content(F.col("word")))
+    # The hash comes first, for a quick sort.
+    w = Window.partitionBy("hash", *place, "word").orderBy("page_index")
+    upto = {f"n{k}": F.count("*").over(w.rangeBetween(Window.unboundedPreceding, -k)) for k in range(4)}
+    near = words.withColumn("hash", F.xxhash64(*place, "word")).withColumns(upto)
+    on = lambda k: F.sum(F.col(f"n{k}") - F.col(f"n{k + 1}"))
+    sums = near.groupBy(*place, "page_index").agg(F.count("*").alias("n_words"), on(0).alias("norm"), on(1).alias("dot1"), on(2).alias("dot2"))
+    own = sums.where(F.col("part") == part).drop("part")
+    return pages.join(own, ["bundle_id", "page_index"], "left").na.fill(0, ["n_words", "norm", "dot1", "dot2"])
+
+
+def adjacent_similarity(pages: DataFrame, tasks: int | None = None) -> DataFrame:
     """similarity: cosine of each page's content words with those of the page before; 0 if either has none."""
-    rows = with_previous(topic_dots(pages), ("norm",))
+    rows = with_previous(topic_dots(pages, tasks), ("norm",))
     known = (F.col("norm") > 0) & (F.col("prev_norm") > 0)
     return rows.withColumn("similarity", F.when(known, F.col("dot1") / F.sqrt(F.col("norm").cast("double") * F.col("prev_norm"))).otherwise(0.0))
 
 
-def topic_signals(pages: DataFrame) -> DataFrame:
+def topic_signals(pages: DataFrame, tasks: int | None = None) -> DataFrame:
     """Flags of vocabulary and language shifts, from pages with text.
 
     The two pages before count as one: its norm follows from theirs and their product.
     """
-    rows = topic_dots(pages).withColumn("guess", T.detect_language(F.col("text")))
+    rows = topic_dots(pages.withColumn("guess", T.detect_language(F.col("text"))), tasks)
     rows = with_previous(rows, ("n_words", "norm", "dot1", "guess"), 2)
     norm = F.col("prev_norm") + F.coalesce("prev2_norm", F.lit(0)) + 2 * F.when(F.col("page_index") > 1, F.col("prev_dot1")).otherwise(0)
     cosine = F.when((F.col("norm") > 0) & (norm > 0), (F.col("dot1") + F.col("dot2")) / F.sqrt(F.col("norm").cast("double") * norm)).otherwise(0.0)

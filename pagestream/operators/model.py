@@ -28,32 +28,38 @@ HEAD_CHARS, SCHEMA_VERSION = 600, 1
 DRIVER_ROWS = 100_000
 
 
-def features(pages: DataFrame) -> DataFrame:
-    """pages(bundle_id, page_index, page_num, page_total, title, text, width, height, rotation) to FEATURES; a bundle's first page has none."""
-    rows = topic_dots(pages).withColumn("guess", T.detect_language(F.col("text")))
-    rows = with_previous(rows, ("page_num", "text", "guess", "n_words", "norm", "width", "height", "rotation"))
+def features(pages: DataFrame, tasks: int | None = None) -> DataFrame:
+    """pages(bundle_id, page_index, page_num, page_total, title, text, width, height, rotation) to FEATURES; a bundle's first page has none.
+
+    What texts tell is taken first, so that only short columns meet their neighbours; ``tasks``: see ``topic_dots``.
+    """
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     head = F.lower(F.substring(F.coalesce("text", F.lit("")), 1, HEAD_CHARS))
+    told = {
+        "guess": T.detect_language(F.col("text")),
+        "arxiv_stamp": flag(F.col("text").rlike(ARXIV)),
+        "head_abstract": flag(head.contains("abstract")),
+        "head_intro": flag(head.contains("introduction")),
+        "head_affil": flag(head.rlike(AFFILIATION)),
+        "refs": F.col("text").rlike(REFERENCES),
+    }
+    rows = with_previous(topic_dots(pages.withColumns(told), tasks), ("page_num", "refs", "guess", "n_words", "norm", "width", "height", "rotation"))
     both = (F.col("n_words") > 0) & (F.col("prev_n_words") > 0)
     made = {
         "has_num": flag(F.col("page_num").isNotNull()),
         "num_is_one": flag(F.col("page_num") == 1),
         "has_total": flag(F.col("page_total").isNotNull()),
         "prev_has_num": flag(F.col("prev_page_num").isNotNull()),
-        "arxiv_stamp": flag(F.col("text").rlike(ARXIV)),
         "title_top": flag(F.col("title") == "top"),
         "title_lower": flag(F.col("title") == "lower"),
         "log_words": F.log1p("n_words"),
         "prev_log_words": F.log1p(F.coalesce("prev_n_words", F.lit(0))),
-        "head_abstract": flag(head.contains("abstract")),
-        "head_intro": flag(head.contains("introduction")),
-        "head_affil": flag(head.rlike(AFFILIATION)),
-        "prev_refs": flag(F.col("prev_text").rlike(REFERENCES)),
+        "prev_refs": flag(F.col("prev_refs")),
         "media_jump": flag(size_jump()),
         "lang_change": flag(~T.same_language(F.col("prev_guess"), F.col("guess"))),
         "topic_sim": F.when(both, F.when((F.col("norm") > 0) & (F.col("prev_norm") > 0), F.col("dot1") / F.sqrt(F.col("norm").cast("double") * F.col("prev_norm"))).otherwise(0.0)).otherwise(1.0),
     }
-    return rows.where("page_index > 0").select("bundle_id", "page_index", *(made[f].alias(f) for f in FEATURES))
+    return rows.where("page_index > 0").select("bundle_id", "page_index", *(made.get(f, F.col(f)).alias(f) for f in FEATURES))
 
 
 @dataclass

@@ -76,7 +76,7 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_similarity_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = boundary.adjacent_similarity(S.document_pages(spark, sf_dir))
+    rows = boundary.adjacent_similarity(S.document_pages(spark, sf_dir), S.document_tasks(spark, sf_dir))
     return rows.where("page_index > 0").select("bundle_id", "page_index", F.round("similarity", 6).alias("similarity"))
 
 
@@ -86,7 +86,7 @@ def language_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boundary.topic_signals(S.document_pages(spark, sf_dir)).select("bundle_id", "page_index", "topic_shift", "language_changed")
+    return boundary.topic_signals(S.document_pages(spark, sf_dir), S.document_tasks(spark, sf_dir)).select("bundle_id", "page_index", "topic_shift", "language_changed")
 
 
 def page_number_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,7 +362,7 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.features(_facts(spark, sf_dir)).select("bundle_id", "page_index", *(F.round(f, 6).alias(f) for f in model.FEATURES))
+    return model.features(_facts(spark, sf_dir), S.document_tasks(spark, sf_dir)).select("bundle_id", "page_index", *(F.round(f, 6).alias(f) for f in model.FEATURES))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

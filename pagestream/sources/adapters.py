@@ -16,6 +16,8 @@ LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extende
 DOCUMENT_BITS = 12
 #: Stored bytes of texts for each task that sorts them.
 TASK_BYTES = 8 << 20
+#: Stored bytes of texts for each task that sorts their words.
+WORD_BYTES = 2 << 20
 #: Stored bytes of short texts that grow in the tasks.
 NAME_BYTES = 128 << 10
 
@@ -70,6 +72,11 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("place.bundle_id", (F.col("first") + F.col("within") - 1).cast("int").alias("page_index"), "doc_id", "text", "lang")
 
 
+def document_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks of an exchange of the documents' texts, to be cut into words."""
+    return _tasks(table(spark, sf_dir, "documents"), WORD_BYTES)
+
+
 def _tasks(df: DataFrame, each: int = TASK_BYTES) -> int:
     """Tasks of an exchange of whole rows: by the optimizer's size (stored bytes, for files)."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
